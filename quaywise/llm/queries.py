@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quaywise.llm import packing, piece_codec
+from quaywise.llm import license_scan, packing, piece_codec, simhash, transport_stream, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,14 +19,62 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"), revisit_from=0)
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return piece_codec.piece_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transport_stream.media_round_trip(table(spark, sf_dir, "documents"))
+
+
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_warc": op5_warc,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_media_columns": op9_media_columns,
+    "op10_license_scans": op10_license_scans,
 }
 
-ORACLES: dict[str, str] = {}
+_TEMPLATE_ROWS = ", ".join(f"({n}, '{label}', '{text}')" for n, (label, text) in enumerate(license_scan.TEMPLATES))
+
+LICENSES_SQL = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}') AS low FROM documents
+), words AS (
+  SELECT r, doc_id, low, list_filter(regexp_split_to_array(low, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM docs
+), placed AS (
+  SELECT *, list_filter(range(1, len(w) + 1), lambda i: (w[i] = 'mit' AND w[i + 1] = 'license') OR (w[i] = 'apache' AND w[i + 1] = 'license')
+    OR (w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license')) AS spots FROM words
+), labelled AS (
+  SELECT *, list_filter(['apache', 'gpl', 'mit'], lambda l: list_bool_or(list_transform(spots, lambda i: w[i] = CASE l WHEN 'gpl' THEN 'general' ELSE l END))) AS base FROM placed
+), templates AS (
+  SELECT n, label, list_distinct(string_split(t, ' ')) AS t FROM (VALUES {_TEMPLATE_ROWS}) AS v(n, label, t)
+), blocks AS (
+  SELECT r, list_distinct(regexp_split_to_array(unnest(string_split(low, chr(10))), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS b FROM docs
+), hits AS (
+  SELECT r, label, len(list_intersect(b, t)) / len(t) AS share FROM blocks, templates WHERE len(list_intersect(b, t)) / len(t) >= {license_scan.THRESHOLD}
+), best AS (
+  SELECT r, list(DISTINCT label) AS more, max(share) AS share FROM hits GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(spots) AS BIGINT) AS n_base, CAST(list_min(spots) - 1 AS BIGINT) AS first_word,
+  CAST(list_max(spots) - 1 AS BIGINT) AS last_word, array_to_string(base, ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(base, coalesce(more, [])))), ',') AS labels,
+  greatest(CASE WHEN len(spots) > 0 THEN 1.0::DOUBLE ELSE 0.0 END, coalesce(share, 0.0)) AS score
+FROM labelled LEFT JOIN best USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op10_license_scans": LICENSES_SQL}
