@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quaywise.llm import license_scan, packing, piece_codec, quality, simhash, substring_dedup, transport_stream, warc
+from quaywise.llm import license_scan, packing, piece_codec, quality, simhash, substring_dedup, transport_stream, vector_graph, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.nearest_neighbours(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return piece_codec.piece_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_warc": op5_warc,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_media_columns": op9_media_columns,
     "op10_license_scans": op10_license_scans,
