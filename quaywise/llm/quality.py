@@ -226,3 +226,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, i
     """``doc_id, held_out, score, predicted`` of every document."""
     stats = written(statistics_table(docs, id_col, text_col), "statistics")
     return apply_scores(stats, train(stats, labels), threshold)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` (all columns) that are predicted to be good; scored in passing, with no join."""
+    model = train(written(statistics_table(docs, id_col, text_col), "statistics"), labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            text = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()
+            x = np.array([statistics(t or b"") for t in text])
+            score = np.full(len(x), model) if isinstance(model, float) else model.score(x)
+            yield batch.filter(pa.array(score >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
