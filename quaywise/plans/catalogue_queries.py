@@ -1,10 +1,494 @@
-"""Registered queries over catalogue tables that Spark derives from the star-schema tables."""
+"""Registered queries over catalogue tables that Spark derives from the star-schema tables, each with the SQL
+that must give the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quaywise.functions import geo, paths, scalars
+from quaywise.operators import audit, dispatch, filters, publish, respond, spatial, text, vectors
+from quaywise.sources import derived
+from quaywise.sources.derived import sql_with, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+NOW = "1998-06-01 00:00:00"
+R2 = f"{2 * geo.EARTH_M!r}"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def haversine_sql(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
+    return f"({R2} * asin(least(1.0, sqrt(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)))))"
+
+
+TS_SQL = "CASE WHEN regexp_matches({0}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN CAST(try_cast(replace({0}, 'Z', '') AS TIMESTAMP) AS TIMESTAMP) END"
+
+# --------------------------------------------------------------------------- path filters
+
+RESOURCE_FILTER = '$.catalogs[*].resources[*] ? (@.resourceAttributes.size >= 20 && @.resourceAttributes.brand == "Brand#2")'
+
+
+@query(sql_with("catalogs", "items") + " SELECT id, catalog_id, type, price FROM items WHERE size >= 20 AND brand = 'Brand#2'")
+def jsonpath_resource_filter(spark: SparkSession, d: str) -> DataFrame:
+    rows = derived.with_payload(derived.items(spark, d))
+    return rows.where(paths.path_filter(F.col("payload"), RESOURCE_FILTER)).select("id", "catalog_id", "type", "price")
+
+
+@query(sql_with("catalogs", "items") + " SELECT id, catalog_id, updated_at, rank FROM (SELECT *, row_number() OVER (ORDER BY updated_at DESC, catalog_id, id) AS rank FROM items WHERE size >= 20 AND brand = 'Brand#2') WHERE rank <= 100")
+def jsonpath_newest_first(spark: SparkSession, d: str) -> DataFrame:
+    rows = derived.with_payload(derived.items(spark, d))
+    kept = rows.where(paths.path_filter(F.col("payload"), RESOURCE_FILTER)).select("id", "catalog_id", "updated_at")
+    return respond.newest_first(kept, 0)
+
+
+@query(sql_with("catalogs", "items") + """, o AS (SELECT id, catalog_id, unnest([{'offer_id': 'offer-' || l_partkey || '-' || l_suppkey || '-a', 'value': price},
+  {'offer_id': 'offer-' || l_partkey || '-' || l_suppkey || '-b', 'value': price + l_suppkey % 50 - 25}]) AS offer FROM items)
+  SELECT id, catalog_id, string_agg(offer.offer_id, ',' ORDER BY offer.offer_id) AS offer_ids, round(min(offer.value), 2) AS least FROM o WHERE offer.value < 920 GROUP BY ALL""")
+def jsonpath_offer_select(spark: SparkSession, d: str) -> DataFrame:
+    rows = derived.with_payload(derived.items(spark, d))
+    matched = rows.select("id", "catalog_id", paths.path_values(F.col("payload"), "$.catalogs[*].offers[*] ? (@.price.value < 920)").alias("m")).where(F.size("m") > 0)
+    ids = F.transform("m", lambda o: F.try_variant_get(o, "$.id", "string"))
+    values = F.transform("m", lambda o: F.try_variant_get(o, "$.price.value", "double"))
+    return matched.select("id", "catalog_id", F.array_join(F.array_sort(ids), ",").alias("offer_ids"), F.round(F.array_min(values), 2).alias("least"))
+
+
+@query(sql_with("catalogs", "items") + " SELECT catalog_id, count(*) AS n FROM items WHERE is_active IS TRUE AND (size < 5 OR NOT brand = 'Brand#1') AND name LIKE 'small%' GROUP BY ALL")
+def jsonpath_nested_conditions(spark: SparkSession, d: str) -> DataFrame:
+    expression = "exists($.catalogs[*] ? (@.isActive == true && exists(@.resources[*] ? ((@.resourceAttributes.size < 5 || !(@.resourceAttributes.brand == 'Brand#1')) && @.descriptor.name starts with 'small'))))"
+    rows = derived.with_payload(derived.items(spark, d))
+    return rows.where(paths.path_filter(F.col("payload"), expression)).groupBy("catalog_id").agg(F.count("*").alias("n"))
+
+
+# --------------------------------------------------------------------------- plain filters
+
+
+@query(sql_with("catalogs", "items") + """ SELECT id, catalog_id, type, context_url FROM items
+  WHERE list_contains(network_id, 'ASIA') AND ((context_url = 'https://ctx/Brand-2' AND type = 'ECONOMY') OR context_url = 'https://ctx/Brand-3')""")
+def network_schema_filter(spark: SparkSession, d: str) -> DataFrame:
+    urls = F.array(*map(F.lit, ["https://ctx/Brand-2#ECONOMY", " ", "https://ctx/Brand-3"]))
+    kept = filters.network_filter(F.col("network_id"), F.lit("ASIA")) & filters.schema_filter(F.col("context_url"), F.col("type"), urls)
+    return derived.items(spark, d).where(kept).select("id", "catalog_id", "type", "context_url")
+
+
+@query(sql_with("catalogs", "items") + f""", t AS (SELECT *, {TS_SQL.format('start_text')} AS s, {TS_SQL.format('end_text')} AS e FROM items)
+  SELECT id, catalog_id, coalesce(is_active, true) AS active, coalesce(s <= TIMESTAMP '{NOW}', true) AND coalesce(e >= TIMESTAMP '{NOW}', true) AS valid,
+    coalesce(s > TIMESTAMP '{NOW}', false) OR coalesce(e < TIMESTAMP '{NOW}', false) AS invalid FROM t""")
+def active_validity_matrix(spark: SparkSession, d: str) -> DataFrame:
+    rows, now = derived.items(spark, d), F.lit(NOW).cast("timestamp")
+    start, end = scalars.try_timestamp(F.col("start_text")), scalars.try_timestamp(F.col("end_text"))
+    return rows.select("id", "catalog_id", filters.active_filter(F.col("is_active"), F.lit(True)).alias("active"), filters.valid_filter(start, end, now).alias("valid"), filters.invalid_filter(start, end, now).alias("invalid"))
+
+
+INTENTS_SQL = """SELECT conv_id, turn, text, CASE WHEN conv_id % 5 = 0 THEN 'not-a-uuid' ELSE '00000000-0000-4000-8000-' || lpad(CAST(conv_id AS VARCHAR), 12, '0') END AS message_id,
+  CASE WHEN turn % 3 = 1 THEN '   ' WHEN turn % 3 = 2 THEN text END AS text_search, CASE WHEN conv_id % 7 = 0 THEN ' ' WHEN conv_id % 7 = 1 THEN '$.catalogs[*]' END AS expression,
+  CASE WHEN conv_id % 3 = 0 THEN CAST(conv_id % 4 AS DOUBLE) - 1 END AS distance_m FROM conversations WHERE role = 'user'"""
+
+
+@query(f"""WITH i AS ({INTENTS_SQL}), p AS (SELECT conv_id, turn, list_filter([
+  CASE WHEN conv_id % 5 = 0 THEN 'context.messageId' END, CASE WHEN conv_id % 5 = 0 THEN 'context.transactionId' END,
+  CASE WHEN trim(coalesce(text_search, '')) = '' AND expression IS NULL AND distance_m IS NULL THEN 'message.intent' END,
+  CASE WHEN turn % 3 <> 0 AND trim(coalesce(text_search, '')) = '' THEN 'message.intent.textSearch' END,
+  CASE WHEN trim(expression) = '' THEN 'message.intent.filters.expression' END,
+  CASE WHEN distance_m < 0 THEN 'message.intent.spatial.distanceMeters' END], lambda x: x IS NOT NULL) AS problems FROM i)
+  SELECT conv_id, turn, array_to_string(problems, ',') AS problems FROM p""")
+def intent_validation(spark: SparkSession, d: str) -> DataFrame:
+    said = table(spark, d, "conversations").where("role = 'user'")
+    c, t = F.col("conv_id"), F.col("turn")
+    message = F.when(c % 5 == 0, F.lit("not-a-uuid")).otherwise(F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(c.cast("string"), 12, "0")))
+    distance = F.when(c % 3 == 0, (c % 4).cast("double") - 1)
+    shape = F.struct(F.lit("s_dwithin").alias("op"), distance.alias("distance_m"), F.lit(1.0).alias("lon"), F.lit(2.0).alias("lat"))
+    intents = said.select(
+        "conv_id", "turn", message.alias("message_id"), message.alias("transaction_id"),
+        F.when(t % 3 == 1, F.lit("   ")).when(t % 3 == 2, F.col("text")).alias("text_search"), (t % 3 != 0).alias("has_text"),
+        F.when(c % 7 == 0, F.lit(" ")).when(c % 7 == 1, F.lit("$.catalogs[*]")).alias("expression"),
+        F.when(distance.isNotNull(), F.array(shape)).alias("spatial"),
+    )
+    checked = filters.intent_problems(intents)
+    return checked.select("conv_id", "turn", F.array_join(F.transform("problems", lambda p: p["path"]), ",").alias("problems"))
+
+
+@query("""SELECT page_id, CASE WHEN strpos(url, '#') > 1 THEN split_part(url, '#', 1) ELSE url END AS base, nullif(regexp_extract(url, '#(.*)$', 1), '') AS kind,
+  CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://)', 1) || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1) || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#:]*(?::\\d*)?([^?#]*)', 1) END AS redacted FROM pages""")
+def url_parts(spark: SparkSession, d: str) -> DataFrame:
+    u = F.col("url")
+    return table(spark, d, "pages").select("page_id", scalars.context_base(u).alias("base"), scalars.context_type(u).alias("kind"), scalars.redact_url(u).alias("redacted"))
+
+
+@query("SELECT 'catalog-' || regexp_replace(lower(p_type || ' / ' || p_brand), '[^a-z0-9-]', '-', 'g') AS index_key, count(*) AS n FROM part GROUP BY ALL")
+def route_index_keys(spark: SparkSession, d: str) -> DataFrame:
+    key = scalars.index_key(F.concat("p_type", F.lit(" / "), "p_brand"))
+    return table(spark, d, "part").select(key.alias("index_key")).groupBy("index_key").agg(F.count("*").alias("n"))
+
+
+# --------------------------------------------------------------------------- space
+
+CIRCLES_SQL = "SELECT n_nationkey AS intent_id, n_nationkey * 14.0 - 170 AS lon, n_nationkey * 6.0 - 72 AS lat, 150000.0 + n_nationkey * 5000 AS metres FROM nation"
+
+
+def circles(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    return table(spark, d, "nation").select(n.alias("intent_id"), (n * 14.0 - 170).alias("lon"), (n * 6.0 - 72).alias("lat"), (n * 5000 + 150000.0).alias("metres"))
+
+
+@query(sql_with("catalogs", "items", "points") + f""", c AS ({CIRCLES_SQL}), d AS (SELECT intent_id, item_id, catalog_id, {haversine_sql('c.lon', 'c.lat', 'p.lon', 'p.lat')} AS m, metres FROM points p, c)
+  SELECT intent_id, item_id, catalog_id, round(m, 2) AS distance_m FROM d WHERE m <= metres""")
+def geo_dwithin_items(spark: SparkSession, d: str) -> DataFrame:
+    found = spatial.within_distance(derived.locations(derived.items(spark, d)), circles(spark, d))
+    return found.select("intent_id", "item_id", "catalog_id", F.round("distance_m", 2).alias("distance_m"))
+
+
+BOXES_SQL = "SELECT n_nationkey AS intent_id, n_nationkey * 14.0 - 170.23 AS x1, n_nationkey * 6.0 - 74.13 AS y1, n_nationkey * 14.0 - 166.33 AS x2, n_nationkey * 6.0 - 70.23 AS y2 FROM nation"
+
+
+def boxes(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    x1, y1, x2, y2 = n * 14.0 - 170.23, n * 6.0 - 74.13, n * 14.0 - 166.33, n * 6.0 - 70.23
+    ring = F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in ((x1, y1), (x2, y1), (x2, y2), (x1, y2), (x1, y1))))
+    return table(spark, d, "nation").select(n.alias("intent_id"), ring.alias("ring"))
+
+
+@query(sql_with("catalogs", "items", "points") + f""", b AS ({BOXES_SQL}), s AS (SELECT item_id, catalog_id, lon - 0.5 AS a1, lat - 0.5 AS c1, lon + 0.5 AS a2, lat + 0.5 AS c2 FROM points WHERE l_partkey % 3 = 0),
+  m AS (SELECT *, a1 <= x2 AND x1 <= a2 AND c1 <= y2 AND y1 <= c2 AS meet, a1 < x2 AND x1 < a2 AND c1 < y2 AND y1 < c2 AS inner_meet, a1 >= x1 AND a2 <= x2 AND c1 >= y1 AND c2 <= y2 AS in_query FROM s, b)
+  SELECT 's_intersects' AS relation, intent_id, count(*) AS n FROM m WHERE meet GROUP BY ALL UNION ALL SELECT 's_within', intent_id, count(*) FROM m WHERE in_query GROUP BY ALL
+  UNION ALL SELECT 's_overlaps', intent_id, count(*) FROM m WHERE inner_meet AND NOT in_query GROUP BY ALL UNION ALL SELECT 's_disjoint', intent_id, count(*) FROM m WHERE NOT meet GROUP BY ALL""")
+def geo_polygon_relations(spark: SparkSession, d: str) -> DataFrame:
+    areas = spatial.on_paths(derived.locations(derived.items(spark, d)), [derived.AREA_PATH])
+    parts = [spatial.related(areas, boxes(spark, d), r).groupBy("intent_id").agg(F.count("*").alias("n")).select(F.lit(r).alias("relation"), "intent_id", "n") for r in ("s_intersects", "s_within", "s_overlaps", "s_disjoint")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("""SELECT item_id, catalog_id, path, CAST(row_number() OVER (PARTITION BY item_id, catalog_id, path ORDER BY l_orderkey, l_linenumber) - 1 AS SMALLINT) AS seq, lat, lon FROM (
+  SELECT 'res-' || l_partkey AS item_id, 'cat-' || l_suppkey AS catalog_id, CASE WHEN l_linenumber % 2 = 0 THEN '$.even' ELSE '$.odd' END AS path, l_orderkey, l_linenumber,
+    CAST(l_orderkey % 200 - 100 AS DOUBLE) AS lat, CAST(l_orderkey % 400 - 200 AS DOUBLE) AS lon FROM lineitem) WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180""")
+def location_sequence(spark: SparkSession, d: str) -> DataFrame:
+    line = table(spark, d, "lineitem")
+    gps = F.concat_ws(",", (F.col("l_orderkey") % 200 - 100).cast("string"), (F.col("l_orderkey") % 400 - 200).cast("string"))
+    rows = line.select(F.concat(F.lit("res-"), "l_partkey").alias("item_id"), F.concat(F.lit("cat-"), "l_suppkey").alias("catalog_id"), F.when(F.col("l_linenumber") % 2 == 0, "$.even").otherwise("$.odd").alias("path"), geo.parse_gps(gps).alias("p"), F.struct("l_orderkey", "l_linenumber").alias("pos"))
+    return publish.location_seq(rows.where("p is not null")).select("item_id", "catalog_id", "path", "seq", F.col("p.y").alias("lat"), F.col("p.x").alias("lon"))
+
+
+# --------------------------------------------------------------------------- discover
+
+OFFERS_OF_ITEM_SQL = "SELECT catalog_id, unnest(resource_ids) AS id, offer_id, resource_ids, price FROM offers"
+
+
+@query(sql_with("catalogs", "items", "offers", "points") + f""", c AS ({CIRCLES_SQL}), t AS (SELECT *, {TS_SQL.format('start_text')} AS s, {TS_SQL.format('end_text')} AS e FROM items),
+  m AS (SELECT DISTINCT intent_id, item_id, catalog_id FROM points p, c WHERE {haversine_sql('c.lon', 'c.lat', 'p.lon', 'p.lat')} <= metres),
+  h AS (SELECT intent_id, t.*, row_number() OVER (PARTITION BY intent_id ORDER BY updated_at DESC, t.catalog_id, t.id) AS rank FROM t JOIN m ON t.id = m.item_id AND t.catalog_id = m.catalog_id
+    WHERE size >= 10 AND coalesce(is_active, true) AND coalesce(s <= TIMESTAMP '{NOW}', true) AND coalesce(e >= TIMESTAMP '{NOW}', true)),
+  k AS (SELECT * FROM h WHERE rank <= 100),
+  io AS (SELECT k.intent_id, k.catalog_id, k.id, k.provider_id, o.offer_id FROM k JOIN ({OFFERS_OF_ITEM_SQL}) o ON k.catalog_id = o.catalog_id AND k.id = o.id),
+  own AS (SELECT intent_id, catalog_id, provider_id, count(DISTINCT id) AS n_listed, list_sort(list(DISTINCT offer_id)) AS offer_ids FROM io GROUP BY ALL),
+  g AS (SELECT intent_id, catalog_id, provider_id, count(*) AS n_rows FROM k GROUP BY ALL),
+  po AS (SELECT provider_id, count(*) AS n FROM offers WHERE len(resource_ids) = 0 GROUP BY ALL)
+  SELECT g.intent_id, g.catalog_id, g.provider_id, coalesce(own.n_listed, g.n_rows) AS n_resources, coalesce(len(own.offer_ids), 0) + coalesce(po.n, 0) AS n_offers
+  FROM g LEFT JOIN own USING (intent_id, catalog_id, provider_id) LEFT JOIN po USING (provider_id) WHERE coalesce(len(own.offer_ids), 0) + coalesce(po.n, 0) > 0""")
+def filter_and_geo(spark: SparkSession, d: str) -> DataFrame:
+    """Path filter, distance, activity and validity; newest 100 per intent; regrouped, pruned and enriched."""
+    now = F.lit(NOW).cast("timestamp")
+    items = derived.items(spark, d)
+    near = spatial.within_distance(derived.locations(items), circles(spark, d)).select("intent_id", F.col("item_id").alias("id"), "catalog_id")
+    kept = derived.with_payload(items).where(filters.active_filter(F.col("is_active"), F.lit(True)) & filters.validity_filter(F.col("start_text"), F.col("end_text"), F.lit(True), now))
+    kept = kept.where(paths.path_filter(F.col("payload"), "$.catalogs[*].resources[*] ? (@.resourceAttributes.size >= 10)")).drop("payload")
+    hits = respond.newest_first(kept.join(near, ["id", "catalog_id"]), 100, by=["intent_id"])
+    offers = derived.offers(spark, d)
+    listed = offers.select("catalog_id", F.explode("resource_ids").alias("id"), F.struct("offer_id", "resource_ids", "price").alias("o"))
+    own = hits.select("intent_id", "catalog_id", "id").join(listed, ["catalog_id", "id"]).groupBy("intent_id", "catalog_id", "id").agg(F.array_sort(F.collect_list("o")).alias("offers"))
+    rows = hits.join(own, ["intent_id", "catalog_id", "id"], "left").withColumn("offers", F.coalesce("offers", F.array().cast("array<struct<offer_id:string,resource_ids:array<string>,price:double>>")))
+    pruned = respond.mutual_pruning(respond.group_into_catalogs(rows))
+    answers = respond.drop_broken_answers(respond.discard_without_offers(respond.enrich_with_provider_offers(pruned, offers)))
+    return answers.select("intent_id", "catalog_id", "provider_id", F.size("resources").cast("long").alias("n_resources"), F.size("offers").cast("long").alias("n_offers"))
+
+
+# --------------------------------------------------------------------------- text
+
+TOKENS_SQL = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '' AND NOT list_contains([" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "], w))"
+BM25_SQL = f"""WITH dl AS (SELECT doc_id, {TOKENS_SQL.format('text')} AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS a FROM dl),
+  p AS (SELECT doc_id, length, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS length, unnest(w) AS term FROM dl) GROUP BY ALL),
+  q AS (SELECT DISTINCT item_id AS query_id, unnest({TOKENS_SQL.format('text')}[1:6]) AS term FROM benchmark),
+  df AS (SELECT term, count(*) AS df FROM p WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+  s AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / a))) AS score, count(*) AS matched FROM p JOIN df USING (term) JOIN q USING (term), st GROUP BY ALL)"""
+
+
+def _query_terms(spark: SparkSession, d: str) -> DataFrame:
+    words = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(text.analyse(F.col("text")), 1, 6).alias("w"))
+    return words.select("query_id", F.explode("w").alias("term")).distinct()
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where("text is not null")
+    shape = docs.agg(F.count("*").alias("n"), F.avg(F.size(text.analyse(F.col("text")))).alias("a")).first()
+    if not shape["n"]:
+        shape = {"n": 0, "a": 1.0}
+    return text.bm25(text.postings(docs, "doc_id", "text"), "doc_id", _query_terms(spark, d), shape["n"], shape["a"])
+
+
+@query(BM25_SQL + " SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s) WHERE rank <= 50")
+def text_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    hits = _scored(spark, d).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return text.top_hits(hits, 50, "query_id", "doc_id")
+
+
+@query(BM25_SQL + " SELECT query_id, count(*) AS n, round(min(score), 6) AS least FROM (SELECT *, max(round(score, 6)) OVER (PARTITION BY query_id) AS top FROM s) WHERE round(score, 6) >= 0.6 * top AND score >= 0.72 GROUP BY ALL")
+def text_relative_cutoff(spark: SparkSession, d: str) -> DataFrame:
+    hits = _scored(spark, d).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    kept = filters.min_score(text.relative_cutoff(hits, 0.6), 0.72)
+    return kept.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+
+
+@query(BM25_SQL + ", need AS (SELECT query_id, count(*) AS need FROM q GROUP BY ALL) SELECT query_id, doc_id FROM s JOIN need USING (query_id) WHERE matched = need")
+def text_match_all(spark: SparkSession, d: str) -> DataFrame:
+    return text.match_all(_scored(spark, d), _query_terms(spark, d)).select("query_id", "doc_id")
+
+
+@query("""WITH v AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS term FROM part), q AS (SELECT DISTINCT n_nationkey AS query_id, CASE n_nationkey % 4 WHEN 0 THEN 'smal' WHEN 1 THEN 'rnig' WHEN 2 THEN 'larhe' ELSE 'bo' END AS term FROM nation)
+  SELECT query_id, q.term, v.term AS variant, levenshtein(q.term, v.term) AS edits FROM q, v WHERE levenshtein(q.term, v.term) <= CASE WHEN length(q.term) <= 2 THEN 0 WHEN length(q.term) <= 5 THEN 1 ELSE 2 END""")
+def text_fuzzy_terms(spark: SparkSession, d: str) -> DataFrame:
+    vocabulary = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("term")).distinct()
+    n = F.col("n_nationkey")
+    asked = table(spark, d, "nation").select(n.alias("query_id"), F.when(n % 4 == 0, "smal").when(n % 4 == 1, "rnig").when(n % 4 == 2, "larhe").otherwise("bo").alias("term"))
+    return text.fuzzy_terms(vocabulary, asked).withColumn("edits", F.col("edits").cast("long"))
+
+
+@query(BM25_SQL + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s), " + sql_with("catalogs", "items")[5:] + """
+  SELECT query_id, rank, id, catalog_id FROM (SELECT query_id, rank, i.id, i.catalog_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, i.catalog_id) AS place FROM r JOIN items i ON i.id = 'res-' || r.doc_id WHERE rank <= 500 AND i.size >= 25) WHERE place <= 50""")
+def text_then_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Ranked text hits, then the path filter on items of those ids, in rank order."""
+    ranked = text.top_hits(_scored(spark, d).select("query_id", "doc_id", F.round("score", 6).alias("score")), vectors.candidate_cap(50), "query_id", "doc_id")
+    hits = ranked.select("query_id", "rank", F.concat(F.lit("res-"), "doc_id").alias("id"))
+    items = derived.with_payload(derived.items(spark, d)).where(paths.path_filter(F.col("payload"), "$.catalogs[*].resources[*] ? (@.resourceAttributes.size >= 25)"))
+    found = items.select("id", "catalog_id").join(hits, "id")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "catalog_id"))
+    return found.withColumn("place", place).where("place <= 50").select("query_id", "rank", "id", "catalog_id")
+
+
+# --------------------------------------------------------------------------- vectors
+
+KNN_SQL = """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q, label FROM embeddings WHERE vec_id % 100 = 0),
+  s AS (SELECT query_id, vec_id, round((1 + list_cosine_similarity(q, CAST(embedding AS DOUBLE[]))) / 2, 9) AS score FROM q JOIN embeddings USING (label))
+  SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10"""
+
+
+@query(KNN_SQL)
+def knn_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest vectors of the same label, filtered inside the search."""
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), "label")
+    return vectors.knn(rows, asked, 10, same="label").withColumn("score", F.round("score", 9))
+
+
+# --------------------------------------------------------------------------- publish
+
+STATE_SQL = """, old AS (SELECT catalog_id, 'res-' || l_partkey AS id, 0 AS version, list_sort(list(DISTINCT 'off-' || l_orderkey || '-' || l_suppkey)) AS offer_ids FROM lineitem JOIN catalogs ON l_suppkey = s_suppkey WHERE l_orderkey % 2 = 0 GROUP BY ALL),
+  new AS (SELECT catalog_id, 'res-' || l_partkey AS id, 1 AS version, list_sort(list(DISTINCT 'off-' || l_orderkey || '-' || l_suppkey)) AS offer_ids FROM lineitem JOIN catalogs ON l_suppkey = s_suppkey WHERE l_orderkey % 2 = 1 GROUP BY ALL)"""
+
+
+def _batches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    line = table(spark, d, "lineitem").withColumn("catalog_id", F.concat(F.lit("cat-"), "l_suppkey")).withColumn("id", F.concat(F.lit("res-"), "l_partkey"))
+    offer = F.concat(F.lit("off-"), "l_orderkey", F.lit("-"), "l_suppkey")
+    part = lambda n: line.where(F.col("l_orderkey") % 2 == n).groupBy("catalog_id", "id").agg(F.array_sort(F.collect_set(offer)).alias("offer_ids")).select("catalog_id", "id", F.lit(n).alias("version"), "offer_ids")
+    return part(0), part(1)
+
+
+def _restated(spark: SparkSession, d: str) -> DataFrame:
+    offers = derived.offers(spark, d)
+    return offers.where("l_orderkey % 6 = 0").select("catalog_id", "offer_id")
+
+
+_joined = lambda: F.array_join(F.array_sort("offer_ids"), ",").alias("offer_ids")
+
+
+@query(sql_with("catalogs", "offers") + STATE_SQL + """, rs AS (SELECT catalog_id, list(offer_id) AS r FROM offers WHERE l_orderkey % 6 = 0 GROUP BY ALL)
+  SELECT catalog_id, id, version, array_to_string(list_sort(offer_ids), ',') AS offer_ids FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.catalog_id = old.catalog_id AND new.id = old.id)
+  UNION ALL SELECT n.catalog_id, n.id, n.version, array_to_string(list_sort(list_distinct(list_concat(n.offer_ids, list_filter(coalesce(o.offer_ids, []), lambda x: NOT list_contains(coalesce(rs.r, []), x))))), ',')
+  FROM new n LEFT JOIN old o ON n.catalog_id = o.catalog_id AND n.id = o.id LEFT JOIN rs ON n.catalog_id = rs.catalog_id""")
+def publish_merge_state(spark: SparkSession, d: str) -> DataFrame:
+    old, new = _batches(spark, d)
+    return publish.publish_merge(old, new, _restated(spark, d)).select("catalog_id", "id", "version", _joined())
+
+
+@query(sql_with("catalogs") + STATE_SQL + ", f AS (SELECT catalog_id FROM catalogs WHERE s_suppkey % 3 = 0) SELECT catalog_id, id, version, array_to_string(offer_ids, ',') AS offer_ids FROM old WHERE catalog_id NOT IN (SELECT catalog_id FROM f) UNION ALL SELECT catalog_id, id, version, array_to_string(offer_ids, ',') FROM new WHERE catalog_id IN (SELECT catalog_id FROM f)")
+def publish_full_state(spark: SparkSession, d: str) -> DataFrame:
+    old, new = _batches(spark, d)
+    full = derived.catalogs(spark, d).where("s_suppkey % 3 = 0").select("catalog_id")
+    return publish.publish_full(old, new.join(full, "catalog_id", "left_semi"), full).select("catalog_id", "id", "version", _joined())
+
+
+@query(sql_with("catalogs") + STATE_SQL + """ SELECT catalog_id, count(*) FILTER (was IS NULL) AS inserted, count(*) FILTER (was IS NOT NULL AND now IS NOT NULL) AS updated, CASE WHEN CAST(substr(catalog_id, 5) AS BIGINT) % 3 = 0 THEN count(*) FILTER (now IS NULL) ELSE 0 END AS deleted
+  FROM (SELECT coalesce(n.catalog_id, o.catalog_id) AS catalog_id, o.id AS was, n.id AS now FROM new n FULL JOIN old o ON n.catalog_id = o.catalog_id AND n.id = o.id) GROUP BY catalog_id""")
+def publish_change_counts(spark: SparkSession, d: str) -> DataFrame:
+    old, new = _batches(spark, d)
+    return publish.change_counts(old, new, derived.catalogs(spark, d).where("s_suppkey % 3 = 0").select("catalog_id"))
+
+
+@query(sql_with("catalogs", "offers") + STATE_SQL + """, u AS (SELECT catalog_id, id, unnest(offer_ids) AS offer_id FROM old), io AS (SELECT catalog_id, offer_id FROM offers WHERE l_orderkey % 6 = 0)
+  SELECT u.catalog_id, u.id, array_to_string(list_sort(list(DISTINCT u.offer_id)), ',') AS shared FROM u JOIN io ON u.catalog_id = io.catalog_id AND u.offer_id = io.offer_id
+  WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.catalog_id = u.catalog_id AND new.id = u.id) GROUP BY u.catalog_id, u.id""")
+def offer_propagation(spark: SparkSession, d: str) -> DataFrame:
+    old, new = _batches(spark, d)
+    return publish.linked_items(old, _restated(spark, d), new).select("catalog_id", "id", F.array_join("shared", ",").alias("shared"))
+
+
+@query(sql_with("catalogs", "offers") + STATE_SQL + """, l AS (SELECT DISTINCT offer_id, unnest(resource_ids) AS id FROM offers WHERE l_orderkey % 40 = 1), a AS (SELECT id, list(DISTINCT offer_id) AS added FROM l WHERE id NOT IN (SELECT id FROM new WHERE catalog_id = 'cat-1') GROUP BY id)
+  SELECT old.catalog_id, old.id, len(list_distinct(list_concat(offer_ids, added))) AS n_offers FROM old JOIN a ON old.id = a.id""")
+def cross_catalog_offers(spark: SparkSession, d: str) -> DataFrame:
+    old, new = _batches(spark, d)
+    incoming = derived.offers(spark, d).where("l_orderkey % 40 = 1")
+    touched, _ = publish.cross_catalog_offers(old, incoming, new.where("catalog_id = 'cat-1'"))
+    return touched.select("catalog_id", "id", F.size("offer_ids").cast("long").alias("n_offers"))
+
+
+@query(sql_with("catalogs", "offers") + STATE_SQL + """ SELECT DISTINCT catalog_id AS offer_catalog, offer_id, id FROM (SELECT catalog_id, offer_id, unnest(resource_ids) AS id FROM offers WHERE l_orderkey % 40 = 1)
+  WHERE id NOT IN (SELECT id FROM new WHERE catalog_id = 'cat-1') AND id NOT IN (SELECT id FROM old WHERE id NOT LIKE '%7')""")
+def unresolved_offer_refs(spark: SparkSession, d: str) -> DataFrame:
+    old, new = _batches(spark, d)
+    incoming = derived.offers(spark, d).where("l_orderkey % 40 = 1")
+    return publish.cross_catalog_offers(old.where("id not like '%7'"), incoming, new.where("catalog_id = 'cat-1'"))[1]
+
+
+@query(sql_with("catalogs") + STATE_SQL + """ SELECT o.catalog_id, o.id, c.catalog_name || ' v2' AS meta FROM old o JOIN catalogs c ON o.catalog_id = c.catalog_id
+  WHERE s_suppkey % 4 <> 0 AND s_suppkey % 5 <> 0 AND NOT EXISTS (SELECT 1 FROM new WHERE new.catalog_id = o.catalog_id AND new.id = o.id)""")
+def metadata_propagation(spark: SparkSession, d: str) -> DataFrame:
+    old, new = _batches(spark, d)
+    names = derived.catalogs(spark, d)
+    changed = F.when(F.col("s_suppkey") % 5 == 0, F.col("catalog_name")).otherwise(F.concat("catalog_name", F.lit(" v2")))
+    meta = names.select("catalog_id", changed.alias("meta"), (F.col("s_suppkey") % 4 != 0).alias("describes"))
+    stored = old.join(names.select("catalog_id", F.col("catalog_name").alias("meta")), "catalog_id").select("catalog_id", "id", "meta")
+    return publish.metadata_propagation(stored, meta, new)
+
+
+@query(sql_with("catalogs", "offers") + """, old AS (SELECT * FROM offers WHERE len(resource_ids) = 0 AND l_orderkey % 3 <> 1), new AS (SELECT * FROM offers WHERE len(resource_ids) = 0 AND l_orderkey % 3 <> 0)
+  SELECT offer_id, catalog_id, provider_id, price, 1 AS created_at FROM old WHERE offer_id NOT IN (SELECT offer_id FROM new)
+  UNION ALL SELECT n.offer_id, n.catalog_id, n.provider_id, n.price + 1, CASE WHEN o.offer_id IS NULL THEN 2 ELSE 1 END FROM new n LEFT JOIN old o ON n.offer_id = o.offer_id""")
+def provider_offers_upsert(spark: SparkSession, d: str) -> DataFrame:
+    whole = publish.offer_index(derived.offers(spark, d))[1]
+    cols = ["offer_id", "catalog_id", "provider_id"]
+    old = whole.where("l_orderkey % 3 <> 1").select(*cols, "price", F.lit(1).alias("created_at"))
+    new = whole.where("l_orderkey % 3 <> 0").select(*cols, (F.col("price") + 1).alias("price"), F.lit(2).alias("created_at"))
+    return publish.upsert(old, new, ["offer_id", "catalog_id"])
+
+
+@query(sql_with("catalogs", "items") + f""" SELECT catalog_id || ':' || id AS doc_key, 'catalog-' || regexp_replace(lower(type), '[^a-z0-9-]', '-', 'g') AS index_key, catalog_id, catalog_name, is_active AS catalog_is_active,
+  {TS_SQL.format('start_text')} AS catalog_start, {TS_SQL.format('end_text')} AS catalog_end, id AS resource_id, name AS resource_name, provider_id, type AS attributes_type, context_url AS attributes_context, price AS list_price, 2 AS n_offers FROM items""")
+def document_build(spark: SparkSession, d: str) -> DataFrame:
+    docs = publish.search_documents(derived.with_payload(derived.items(spark, d)))
+    return docs.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("catalog_start", "catalog_end")})
+
+
+@query(sql_with("catalogs", "items") + " SELECT id, catalog_id, array_to_string(list_reduce(list_prepend([], list_transform(list_filter([name, catalog_name, brand, CAST(size AS VARCHAR)], lambda x: x IS NOT NULL), lambda x: [x])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END), ' ') AS blob FROM items")
+def text_blob(spark: SparkSession, d: str) -> DataFrame:
+    rows = derived.items(spark, d)
+    attributes = F.to_variant_object(F.create_map(F.lit("@type"), F.to_variant_object(F.array("type")), F.lit("brand"), F.col("brand").cast("variant"), F.lit("link"), F.col("context_url").cast("variant"), F.lit("size"), F.col("size").cast("variant")))
+    return rows.select("id", "catalog_id", publish.text_blob([F.col("name"), F.col("catalog_name")], attributes).alias("blob"))
+
+
+# --------------------------------------------------------------------------- streams, delivery, audit
+
+MESSAGES_SQL = "SELECT event_id, ts, user_id || '-' || event_type AS message_id FROM events"
+
+
+@query(f"WITH m AS ({MESSAGES_SQL}) SELECT event_id, message_id FROM (SELECT *, lag(ts) OVER (PARTITION BY message_id ORDER BY ts, event_id) AS before FROM m) WHERE before IS NULL OR ts > before + INTERVAL 60 SECOND")
+def dedupe_messages_window(spark: SparkSession, d: str) -> DataFrame:
+    """First of each run of equal messages that follow within the time to live (the batch form)."""
+    from quaywise.streaming.jobs import dedupe_batch
+
+    m = table(spark, d, "events").select("event_id", "ts", F.concat_ws("-", F.col("user_id").cast("string"), "event_type").alias("message_id"))
+    return dedupe_batch(m, 60).select("event_id", "message_id")
+
+
+ATTEMPTS_SQL = "SELECT user_id || '-' || event_type AS message_id, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS attempt, CASE CAST(value AS BIGINT) % 5 WHEN 0 THEN 200 WHEN 1 THEN 503 WHEN 2 THEN 409 WHEN 3 THEN 429 ELSE CASE WHEN CAST(value AS BIGINT) % 2 = 0 THEN 404 ELSE 500 END END AS status FROM events"
+
+
+def _attempts(spark: SparkSession, d: str) -> DataFrame:
+    v = F.round("value", 0).cast("long")
+    status = F.when(v % 5 == 0, 200).when(v % 5 == 1, 503).when(v % 5 == 2, 409).when(v % 5 == 3, 429).when(v % 2 == 0, 404).otherwise(500)
+    n = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
+    return table(spark, d, "events").select(F.concat_ws("-", F.col("user_id").cast("string"), "event_type").alias("message_id"), n.alias("attempt"), status.alias("status"))
+
+
+@query(f"""WITH a AS ({ATTEMPTS_SQL.replace('CAST(value AS BIGINT)', 'CAST(round(value, 0) AS BIGINT)')}), m AS (SELECT *, CASE WHEN status = 200 OR status = 409 THEN 'DELIVERED' WHEN status = 404 THEN 'FAILED' ELSE 'RETRY' END AS o FROM a WHERE attempt <= 3),
+  u AS (SELECT message_id, coalesce(min(attempt) FILTER (o <> 'RETRY'), max(attempt)) AS attempts FROM m GROUP BY ALL)
+  SELECT message_id, attempts, sum(CASE WHEN attempt <= 1 THEN 0.0 ELSE least(10.0, pow(2.0, attempt - 2)) END) AS waited,
+    max(CASE WHEN attempt = attempts THEN CASE WHEN o = 'RETRY' THEN CASE WHEN attempt >= 3 THEN 'DEAD' ELSE 'PENDING' END WHEN o = 'FAILED' THEN 'DEAD' ELSE 'DELIVERED' END END) AS result
+  FROM m JOIN u USING (message_id) WHERE attempt <= attempts GROUP BY ALL""")
+def retry_attempts_dlq(spark: SparkSession, d: str) -> DataFrame:
+    return dispatch.delivery_results(_attempts(spark, d))
+
+
+@query("""WITH l AS (SELECT l_suppkey % 50 AS grp, l_orderkey FROM lineitem WHERE l_linenumber <= 2), r AS (SELECT o_orderkey % 50 AS grp, o_orderkey AS l_orderkey FROM orders), a AS (SELECT grp, l_orderkey, count(*) AS l FROM l GROUP BY ALL), b AS (SELECT grp, l_orderkey, count(*) AS r FROM r GROUP BY ALL)
+  SELECT coalesce(a.grp, b.grp) AS grp, CAST(coalesce(sum(l), 0) AS BIGINT) AS left_rows, CAST(coalesce(sum(r), 0) AS BIGINT) AS right_rows, count(*) FILTER (r IS NULL) AS only_left, count(*) FILTER (l IS NULL) AS only_right,
+    CAST(sum(greatest(coalesce(l, 0) - 1, 0) + greatest(coalesce(r, 0) - 1, 0)) AS BIGINT) AS duplicates FROM a FULL JOIN b ON a.grp = b.grp AND a.l_orderkey = b.l_orderkey GROUP BY ALL""")
+def reconcile_tables(spark: SparkSession, d: str) -> DataFrame:
+    left = table(spark, d, "lineitem").where("l_linenumber <= 2").select((F.col("l_suppkey") % 50).alias("grp"), "l_orderkey")
+    right = table(spark, d, "orders").select((F.col("o_orderkey") % 50).alias("grp"), F.col("o_orderkey").alias("l_orderkey"))
+    return audit.reconcile(left, right, ["grp", "l_orderkey"], "grp")
+
+
+@query("""WITH s AS (SELECT event_id AS message_id, ts FROM events WHERE event_type <> 'error'), r AS (SELECT event_id AS message_id, ts + INTERVAL 1 SECOND * CAST(value AS INTEGER) AS ts FROM events WHERE event_id % 9 <> 0 UNION ALL SELECT event_id, ts + INTERVAL 2000 SECOND FROM events WHERE event_id % 11 = 0),
+  a AS (SELECT message_id, min(ts) AS f, count(*) AS n FROM r GROUP BY ALL), j AS (SELECT s.*, f, n, epoch_us(f) / 1e6 - epoch_us(s.ts) / 1e6 AS delay FROM s LEFT JOIN a USING (message_id))
+  SELECT count(*) AS sent, count(n) AS received, count(*) FILTER (n IS NULL) AS lost, count(*) FILTER (n > 1) AS duplicated, round(quantile_cont(delay, 0.5), 3) AS p50, round(quantile_cont(delay, 0.95), 3) AS p95, round(quantile_cont(delay, 0.99), 3) AS p99 FROM j""")
+def reconcile_callbacks(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    sent = e.where("event_type <> 'error'").select(F.col("event_id").alias("message_id"), "ts")
+    first = e.where("event_id % 9 <> 0").select(F.col("event_id").alias("message_id"), (F.col("ts") + F.make_dt_interval(secs=F.bround("value", 0).cast("decimal(18,6)"))).alias("ts"))
+    late = e.where("event_id % 11 = 0").select(F.col("event_id").alias("message_id"), (F.col("ts") + F.expr("INTERVAL 2000 SECONDS")).alias("ts"))
+    return audit.reconcile_callbacks(sent, first.unionByName(late))
+
+
+@query("""WITH w AS (SELECT event_type AS route, time_bucket(INTERVAL 6 HOUR, ts) AS start, value FROM events) SELECT route, start, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99, quantile_cont(value, 0.99) <= 90 AS met FROM w GROUP BY ALL""")
+def slo_latency_windows(spark: SparkSession, d: str) -> DataFrame:
+    w = table(spark, d, "events").groupBy(F.col("event_type").alias("route"), F.window("ts", "6 hours").alias("w"))
+    out = w.agg(F.count("*").alias("n"), F.percentile("value", 0.5).alias("p50"), F.percentile("value", 0.99).alias("p99"))
+    return out.select("route", F.col("w.start").alias("start"), "n", F.round("p50", 6).alias("p50"), F.round("p99", 6).alias("p99"), (F.col("p99") <= 90).alias("met"))
+
+
+@query("""WITH i AS (SELECT conv_id % 2 = 0 AS j, turn % 2 = 1 AS g, length(text) % 3 <> 0 AS t, length(text) AS cost FROM conversations)
+  SELECT CASE WHEN j AND t THEN 'chain' WHEN j AND g THEN 'A' WHEN j THEN 'B' WHEN g THEN 'C' WHEN t THEN 'D' ELSE 'none' END AS route, count(*) AS n, round(avg(cost), 6) AS mean_cost, max(cost) AS most, count(*) FILTER (cost > 200) AS over_budget FROM i GROUP BY ALL""")
+def route_stats(spark: SparkSession, d: str) -> DataFrame:
+    from quaywise.plans.discover import route_of
+
+    i = table(spark, d, "conversations").select((F.col("conv_id") % 2 == 0).alias("j"), (F.col("turn") % 2 == 1).alias("g"), (F.length("text") % 3 != 0).alias("t"), F.length("text").alias("cost"))
+    routed = i.groupBy(route_of(F.col("j"), F.col("g"), F.col("t")).alias("route"))
+    return routed.agg(F.count("*").alias("n"), F.round(F.avg("cost"), 6).alias("mean_cost"), F.max("cost").cast("long").alias("most"), F.count_if(F.col("cost") > 200).alias("over_budget"))
+
+
+CHANGES_SQL = "SELECT o_custkey AS key, o_orderkey + 1 AS version, CASE WHEN o_orderstatus = 'F' THEN 'DELETE' ELSE 'UPSERT' END AS op, o_totalprice AS amount FROM orders"
+
+
+@query(f"WITH e AS ({CHANGES_SQL} UNION ALL SELECT c_custkey, 0, 'UPSERT', c_acctbal FROM customer) SELECT key, amount FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY version DESC) AS n FROM e) WHERE n = 1 AND op <> 'DELETE'")
+def change_feed_apply(spark: SparkSession, d: str) -> DataFrame:
+    base = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("amount"))
+    changes = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_totalprice").alias("amount"), (F.col("o_orderkey") + 1).alias("version"), F.when(F.col("o_orderstatus") == "F", "DELETE").otherwise("UPSERT").alias("op"))
+    return audit.apply_change_feed(base, changes, "key")
+
+
+@query("""WITH s AS (SELECT o_custkey AS feed, o_orderkey AS version, CAST(floor(o_totalprice) AS BIGINT) AS size FROM orders), t AS (SELECT c_custkey AS feed, CASE WHEN c_custkey % 6 <> 0 THEN c_custkey * 9 END AS seen, 1000000 AS b FROM customer),
+  p AS (SELECT t.feed, seen, b, CAST(coalesce(sum(size) FILTER (version > seen), 0) AS BIGINT) AS pending, count(*) FILTER (version > seen) AS behind FROM t LEFT JOIN s ON s.feed = t.feed GROUP BY ALL)
+  SELECT feed, pending, behind, CASE WHEN seen IS NULL THEN 'BASELINE' WHEN behind = 0 THEN 'NONE' WHEN behind > 5 OR pending >= 0.25 * b THEN 'BASELINE' ELSE 'SEGMENTS' END AS plan FROM p""")
+def feed_plan(spark: SparkSession, d: str) -> DataFrame:
+    segments = table(spark, d, "orders").select(F.col("o_custkey").alias("feed"), F.col("o_orderkey").alias("version"), F.floor("o_totalprice").alias("size"))
+    c = F.col("c_custkey")
+    state = table(spark, d, "customer").select(c.alias("feed"), F.when(c % 6 != 0, c * 9).alias("seen"), F.lit(1000000).alias("baseline_size"))
+    return audit.feed_plan(segments, state, most_behind=5)
+
+
+@query("""WITH c AS (SELECT s_suppkey AS provider, s_nationkey AS operator, s_acctbal AS score, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS of_operator FROM supplier WHERE s_suppkey % 4 <> 0)
+  SELECT provider, operator, score, place FROM (SELECT *, row_number() OVER (ORDER BY score DESC, provider) AS place FROM c WHERE of_operator <= 4) WHERE place <= 8""")
+def shortlist_providers(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("provider"), F.col("s_nationkey").alias("operator"), F.col("s_acctbal").alias("score"), (F.col("s_suppkey") % 4 != 0).alias("healthy"))
+    return audit.shortlist(rows, 8).select("provider", "operator", "score", "place")
