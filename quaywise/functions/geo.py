@@ -1,6 +1,6 @@
 """Geometry as Spark expressions: points and polygons as rings of ``struct<x, y>``, longitude first.
 
-Distances are great-circle distances on a sphere of mean radius; planar relations compare coordinates.
+Distances are great-circle distances on a sphere of mean radius.
 """
 
 from __future__ import annotations
@@ -49,101 +49,6 @@ def boxes_meet(a: Column, b: Column) -> Column:
     return (a["x1"] <= b["x2"]) & (b["x1"] <= a["x2"]) & (a["y1"] <= b["y2"]) & (b["y1"] <= a["y2"])
 
 
-def _edges(ring: Column) -> Column:
-    """Neighbouring corners as ``struct<a, b>``; a lone point is an edge to itself."""
-    return F.when(F.size(ring) == 1, F.transform(ring, lambda p: F.struct(p.alias("a"), p.alias("b")))).otherwise(
-        F.zip_with(F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    )
-
-
-def _turn(a: Column, b: Column, c: Column) -> Column:
-    return F.signum((b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"]))
-
-
-def _within_box(a: Column, b: Column, p: Column) -> Column:
-    return p["x"].between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & p["y"].between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
-
-
-def on_border(p: Column, ring: Column) -> Column:
-    return F.exists(_edges(ring), lambda e: (_turn(e["a"], e["b"], p) == 0) & _within_box(e["a"], e["b"], p))
-
-
-def inside(p: Column, ring: Column) -> Column:
-    """Strictly inside, by crossings of a ray to the right."""
-    crossed = F.filter(_edges(ring), lambda e: ((e["a"]["y"] > p["y"]) != (e["b"]["y"] > p["y"])) & (p["x"] < (e["b"]["x"] - e["a"]["x"]) * (p["y"] - e["a"]["y"]) / F.nullif(e["b"]["y"] - e["a"]["y"], F.lit(0.0)) + e["a"]["x"]))
-    return (F.size(ring) > 3) & (F.size(crossed) % 2 == 1) & ~on_border(p, ring)
-
-
-def _cross_properly(e: Column, f: Column) -> Column:
-    return (_turn(e["a"], e["b"], f["a"]) * _turn(e["a"], e["b"], f["b"]) < 0) & (_turn(f["a"], f["b"], e["a"]) * _turn(f["a"], f["b"], e["b"]) < 0)
-
-
-def _touching(e: Column, f: Column) -> Column:
-    meet = lambda g, p: (_turn(g["a"], g["b"], p) == 0) & _within_box(g["a"], g["b"], p)
-    return _cross_properly(e, f) | meet(e, f["a"]) | meet(e, f["b"]) | meet(f, e["a"]) | meet(f, e["b"])
-
-
-def intersects(a: Column, b: Column) -> Column:
-    """Two rings (or points) share a point."""
-    edges = F.exists(_edges(a), lambda e: F.exists(_edges(b), lambda f: _touching(e, f)))
-    return boxes_meet(box(a), box(b)) & (edges | inside(a[0], b) | inside(b[0], a))
-
-
-def crosses_border(a: Column, b: Column) -> Column:
-    return F.exists(_edges(a), lambda e: F.exists(_edges(b), lambda f: _cross_properly(e, f)))
-
-
-def _middles(ring: Column) -> Column:
-    return F.transform(_edges(ring), lambda e: F.struct(((e["a"]["x"] + e["b"]["x"]) / 2).alias("x"), ((e["a"]["y"] + e["b"]["y"]) / 2).alias("y")))
-
-
-def contains(a: Column, b: Column) -> Column:
-    """``a`` contains ``b``: no point of ``b`` outside ``a``, and some point of it inside."""
-    point = F.size(a) == 1
-    same = point & (F.size(b) == 1) & (a[0] == b[0])
-    reached = F.concat(b, _middles(b))
-    covered = F.forall(reached, lambda p: inside(p, a) | on_border(p, a)) & ~crosses_border(a, b)
-    within_some = F.exists(reached, lambda p: inside(p, a)) | F.exists(a, lambda p: inside(p, b)) | ((F.size(a) > 3) & (F.size(b) > 3) & equals(a, b))
-    return same | (~point & covered & within_some & ~F.exists(a, lambda p: inside(p, b)))
-
-
-def within(a: Column, b: Column) -> Column:
-    return contains(b, a)
-
-
-def disjoint(a: Column, b: Column) -> Column:
-    return ~intersects(a, b)
-
-
-def equals(a: Column, b: Column) -> Column:
-    """Same corners on both sides (corner order and start do not matter)."""
-    return (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
-
-
-def interiors_meet(a: Column, b: Column) -> Column:
-    """Two areas share inner points."""
-    reach = lambda r: F.concat(r, _middles(r))
-    return crosses_border(a, b) | F.exists(reach(a), lambda p: inside(p, b)) | F.exists(reach(b), lambda p: inside(p, a)) | equals(a, b)
-
-
-def touches(a: Column, b: Column) -> Column:
-    """They meet, but only with their borders."""
-    area_a, area_b = F.size(a) > 3, F.size(b) > 3
-    two_points = (F.size(a) == 1) & (F.size(b) == 1)
-    point_area = (~area_a & area_b & on_border(a[0], b)) | (area_a & ~area_b & on_border(b[0], a))
-    return ~two_points & intersects(a, b) & F.when(area_a & area_b, ~interiors_meet(a, b)).otherwise(point_area)
-
-
-def overlaps(a: Column, b: Column) -> Column:
-    """Two areas share inner points, and neither contains the other."""
-    return (F.size(a) > 3) & (F.size(b) > 3) & interiors_meet(a, b) & ~contains(a, b) & ~contains(b, a)
-
-
-def crosses(a: Column, b: Column) -> Column:
-    """Between points and areas no crossing is possible; kept for completeness of the relation set."""
-    return F.lit(False)
-
-
 def cells_of_circle(lon: Column, lat: Column, metres: Column, cell: float = CELL) -> Column:
     """Grid cells ``struct<cx, cy>`` that a circle can touch. The longitude step widens towards the poles; a
     circle that reaches one covers all longitudes, and cells wrap at 180 degrees."""
@@ -167,16 +72,3 @@ def cell_of(lon: Column, lat: Column, cell: float = CELL) -> Column:
 def cells_of_box(b: Column, cell: float = CELL) -> Column:
     span = lambda lo, hi: F.sequence(F.floor(lo / cell).cast("int"), F.floor(hi / cell).cast("int"))
     return F.flatten(F.transform(span(b["x1"], b["x2"]), lambda x: F.transform(span(b["y1"], b["y2"]), lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
-
-
-#: Relations by the name an intent gives them; each is ``f(stored ring, query ring)``.
-RELATIONS = {
-    "s_intersects": intersects,
-    "s_contains": contains,
-    "s_within": within,
-    "s_disjoint": disjoint,
-    "s_overlaps": overlaps,
-    "s_crosses": crosses,
-    "s_touches": touches,
-    "s_equals": equals,
-}

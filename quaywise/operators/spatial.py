@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaywise.functions import geo
+from quaywise.functions import geo, shapes
 
 KEYS = ["item_id", "catalog_id"]
 #: What the index side supports; other relations are skipped there.
@@ -27,20 +31,40 @@ def within_distance(locations: DataFrame, circles: DataFrame) -> DataFrame:
     return near.where(F.col("distance_m") <= F.col("metres")).groupBy("intent_id", *KEYS).agg(F.min("distance_m").alias("distance_m"))
 
 
-def related(locations: DataFrame, shapes: DataFrame, relation: str, blocks: int = 16) -> DataFrame:
+def refine(pairs: DataFrame, relation: str) -> DataFrame:
+    """Pairs (``intent_id, item_id, catalog_id, stored, ring``) whose shapes are in the relation, by Arrow batch."""
+    test = shapes.RELATIONS[relation]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for stored, ring in zip(batch.column("stored"), batch.column("ring"), strict=True):
+                r, s = (np.stack([v.values.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")], 1) for v in (stored, ring))
+                keep.append(test(r, s))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return pairs.mapInArrow(run, pairs.schema)
+
+
+def related(locations: DataFrame, queries: DataFrame, relation: str, blocks: int = 16) -> DataFrame:
     """``intent_id, item_id, catalog_id`` with some location in the relation to the intent's ring (``intent_id,
-    ring``). Disjoint holds if *some* location is disjoint; nearly every pair of a location and an intent is, so
-    there the intents, a stated query set, meet all locations block by block."""
-    test = geo.RELATIONS[relation]
-    stored = locations.select(*KEYS, "path", "seq", F.col("geometry.ring").alias("stored"))
+    ring``). Shapes meet by grid cell and bounds, and what meets is tested exactly.
+
+    Disjoint holds if *some* location is disjoint. Nearly every pair is, so there the intents, a stated query
+    set, meet all locations block by block; bounds decide all pairs but those that meet.
+    """
+    stored = locations.select(*KEYS, "path", "seq", F.col("geometry.ring").alias("stored")).withColumn("sb", geo.box(F.col("stored")))
+    asked = queries.select("intent_id", "ring").withColumn("qb", geo.box(F.col("ring")))
+    meet = geo.boxes_meet(F.col("sb"), F.col("qb"))
+    keys, cols = ["intent_id", *KEYS], ["intent_id", *KEYS, "stored", "ring"]
     if relation == "s_disjoint":
         dealt = stored.withColumn("block", F.pmod(F.xxhash64(*KEYS, "path", "seq"), F.lit(blocks)))
-        pairs = dealt.join(shapes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))), "block")
-        return pairs.where(test(F.col("stored"), F.col("ring"))).select("intent_id", *KEYS).distinct()
-    left = stored.withColumn("cell", F.explode(geo.cells_of_box(geo.box(F.col("stored")))))
-    right = shapes.select("intent_id", "ring", F.explode(geo.cells_of_box(geo.box(F.col("ring")))).alias("cell"))
-    pairs = left.join(right, "cell").drop("cell").dropDuplicates(["intent_id", *KEYS, "path", "seq"])
-    return pairs.where(geo.boxes_meet(geo.box(F.col("stored")), geo.box(F.col("ring"))) & test(F.col("stored"), F.col("ring"))).select("intent_id", *KEYS).distinct()
+        pairs = dealt.join(asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))), "block")
+        return pairs.where(~meet).select(*keys).unionByName(refine(pairs.where(meet).select(*cols), relation).select(*keys)).distinct()
+    left = stored.withColumn("cell", F.explode(geo.cells_of_box(F.col("sb"))))
+    right = asked.withColumn("cell", F.explode(geo.cells_of_box(F.col("qb"))))
+    pairs = left.join(right, "cell").where(meet).dropDuplicates(["intent_id", *KEYS, "path", "seq"])
+    return refine(pairs.select(*cols), relation).select(*keys).distinct()
 
 
 def keep_matching(items: DataFrame, *matches: DataFrame) -> DataFrame:
