@@ -32,8 +32,9 @@ def parse_geojson(value: Column) -> Column:
     kind = F.try_variant_get(value, "$.type", "string")
     at = F.try_variant_get(value, "$.coordinates", "array<double>")
     ring = F.try_variant_get(value, "$.coordinates[0]", "array<array<double>>")
-    xy = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
-    point_ok = (F.size(at) >= 2) & at[0].between(-180, 180) & at[1].between(-90, 90)
+    x, y = (lambda p, n=n: F.get(p, F.lit(n)) for n in (0, 1))
+    xy = lambda p: F.struct(x(p).alias("x"), y(p).alias("y"))
+    point_ok = (F.size(at) >= 2) & x(at).between(-180, 180) & y(at).between(-90, 90)
     return F.when((kind == "Point") & point_ok, F.struct(kind.alias("kind"), F.array(xy(at)).alias("ring"))).when(
         (kind == "Polygon") & (F.size(ring) >= 4), F.struct(kind.alias("kind"), F.transform(ring, xy).alias("ring"))
     )

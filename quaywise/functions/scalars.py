@@ -91,7 +91,7 @@ def truncate_words(text: Column, most: int = 8192) -> Column:
     A text over the cap is cut in bytes; the broken character at the cut, if any, is dropped.
     """
     raw = F.substring(text.cast("binary"), 1, most)
-    whole = F.regexp_replace(F.decode(raw, "UTF-8"), "�+$", "")
+    whole = F.regexp_replace(F.make_valid_utf8(raw.cast("string")), "�+$", "")
     words = F.regexp_extract(whole, r"^(.*)\s", 1)
     return F.when(F.octet_length(text) <= most, text).otherwise(F.rtrim(F.when(F.length(words) > 0, words).otherwise(whole)))
 
