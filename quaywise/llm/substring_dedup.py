@@ -6,21 +6,28 @@ with a smaller id, or earlier in the same one). Windows are judged on the input.
 
 * Seed. Hashes of ``anchor`` words are winnowed: of the anchors inside each window the smallest hash is kept
   (the last of equals). Which one that is depends on the window's words alone, so equal windows keep the same
-  anchor at the same place. Anchors found twice or more in the corpus are joined back to their places.
-* Extend. Around each such place exactly the windows that keep that anchor are compared, which extends a match
-  word by word to both sides: a window is a repeat when its 128-bit hash was seen in an earlier document, or
-  earlier in its own. Runs of repeated windows are the maximal repeats over the threshold, given as spans.
-
-Nothing lists pairs of documents: windows and anchors are counted with partial sums before they are shuffled,
-and joined on keys that adaptive execution can split where one is hot. A document is one row: rows that share
-an id and a text are alike, and neither of two rows with one id starts earlier than the other. A null id
-ranks before all others. Null texts have no words. An empty table gives an empty result.
+  anchor at the same place. Documents are joined on the anchors they keep: one shuffle brings equal anchors
+  together, and anchors that are alone go no further.
+* Extend. The windows that keep an anchor reach over a block of words to its left and right. Where the whole
+  block equals one of an earlier document, all its windows are repeats. Where it does not, but the anchor stands
+  in other blocks too, the block's windows are compared one by one, which extends matches word by word to both
+  sides. A block is compared once, for the first document that holds it, however many copies there are.
+* Runs of repeated windows are the maximal repeats over the threshold, given as spans.
+
+No pairs of documents are listed. Anchors that a bounded sample shows to be in many documents are salted: their
+copies are reduced per salt before they meet. The sample decides only where rows go, never the result. Hashes of
+blocks and windows have 128 bits.
+
+A document is one row: rows that share an id and a text are alike, and neither of two rows with one id starts
+earlier than the other. A null id ranks before all others. Null texts have no words. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +39,7 @@ from quaywise.llm.common import small_batches, text_or_empty, written
 
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd multipliers of the two rolling hashes
 NO_ID = -(1 << 63)  # stands for a null id while documents are compared
+SAMPLE, HOT_SHARE, SALTS = 4096, 0.005, 256  # of documents looked at for common anchors; how common; their salts
 
 
 def word_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -42,21 +50,36 @@ def word_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a multiplier and of its inverse modulo 2**64, at least ``n`` of each."""
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        size = max(1 << 12, 1 << n.bit_length())
+        both = (np.full(size, x, np.uint64) for x in (base, pow(base, -1, 1 << 64)))
+        up, down = (np.concatenate([np.ones(1, np.uint64), p])[:-1] for p in both)
+        _POWERS[base] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    return _POWERS[base]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(29))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def run_hashes(h: np.ndarray, base: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Polynomial hashes (modulo 2**64) of the words from ``start`` to ``stop``, wherever they stand."""
+    up, down = _powers(base, len(h) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * down[: len(h)], dtype=np.uint64)])
+    return _mixed((sums[stop] - sums[start]) * up[start])
+
+
 def window_hashes(h: np.ndarray, size: int, base: int) -> np.ndarray:
-    """Polynomial hashes (modulo 2**64) of all runs of ``size`` words."""
-    n = len(h) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    factor = np.uint64(base)
-    with np.errstate(over="ignore"):
-        for i in range(size):
-            out *= factor
-            out += h[i : i + n]
-        out ^= out >> np.uint64(29)
-        out *= np.uint64(0xBF58476D1CE4E5B9)
-        out ^= out >> np.uint64(32)
-    return out
+    """Hashes of all runs of ``size`` words."""
+    start = np.arange(max(len(h) - size + 1, 0))
+    return run_hashes(h, base, start, start + size)
 
 
 def kept_anchors(anchors: np.ndarray, per_window: int) -> np.ndarray:
@@ -67,6 +90,20 @@ def kept_anchors(anchors: np.ndarray, per_window: int) -> np.ndarray:
     return np.arange(len(view)) + per_window - 1 - view.argmin(axis=1)
 
 
+@dataclass
+class Blocks:
+    place: np.ndarray  # of the anchor, in words
+    first: np.ndarray  # window that keeps it
+    last: np.ndarray  # window that keeps it
+    anchor: np.ndarray  # hash
+
+    def windows_of(self, places: np.ndarray) -> np.ndarray:
+        """The windows of the blocks whose anchors stand at these places."""
+        at = np.searchsorted(self.place, places)
+        at = at[at < len(self.place)]
+        return np.concatenate([np.arange(self.first[i], self.last[i] + 1) for i in at.tolist()]) if len(at) else np.zeros(0, np.int64)
+
+
 class Cutter:
     """The hashes of one text for given window and anchor lengths."""
 
@@ -77,10 +114,18 @@ class Cutter:
         if self.enough:
             self.h1, self.h2 = word_hashes(self.words)
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """(hash of each anchor, anchor kept by each window)."""
-        a = window_hashes(self.h1, self.anchor, BASES[0])
-        return a, kept_anchors(a, self.window - self.anchor + 1)
+    def blocks(self) -> Blocks:
+        """The anchors that windows keep, each with the run of windows that keep it."""
+        hashes = window_hashes(self.h1, self.anchor, BASES[0])
+        kept = kept_anchors(hashes, self.window - self.anchor + 1)
+        first = np.flatnonzero(np.diff(kept, prepend=-1))
+        last = np.append(first[1:], len(kept)) - 1
+        return Blocks(kept[first], first, last, hashes[kept[first]])
+
+    def block_hashes(self, b: Blocks) -> np.ndarray:
+        """Hashes of the blocks' words, and of where the anchor stands in them."""
+        shape = (b.last - b.first + self.window) * 1024 + b.place - b.first
+        return _mixed(run_hashes(self.h2, BASES[1], b.first, b.last + self.window) ^ _mixed(shape.astype(np.uint64)))
 
     def windows(self) -> np.ndarray:
         """128-bit hash of each window as two columns."""
@@ -97,71 +142,156 @@ def earlier_in_text(windows: np.ndarray) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, row: str | None = None) -> DataFrame:
+    """``doc_id, d`` (null as the smallest), ``t`` (tells rows of one id apart) and ``text``."""
     text = text_or_empty(text_col)
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(text).alias("t"), text.alias("text"), *([F.col(row).alias("row")] if row else []))
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("d"), F.hash(text).alias("t"), text.alias("text"), *([F.col(row).alias("row")] if row else []))
+
+
+def common_anchors(keyed: DataFrame, window: int, anchor: int, sample: int = SAMPLE, share: float = HOT_SHARE) -> np.ndarray:
+    """Anchors found in over a share of about ``sample`` documents: they are dealt out with salt."""
+    n = keyed.count()
+    if not n:
+        return np.zeros(0, np.int64)
+    some = keyed.sample(min(1.0, sample / n), 7) if n > sample else keyed
+    seen = anchor_rows(some, window, anchor, np.zeros(0, np.int64)).select("g", "d").distinct().groupBy("g").agg(F.count("*").alias("n"))
+    hot = seen.where(F.col("n") > max(8, share * min(n, sample))).select("g").collect()  # a share can hold few anchors
+    return np.sort(np.array([r["g"] for r in hot], np.int64))
+
+
+def _salt(d: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _mixed((_mixed(d.view(np.uint64)) % np.uint64(SALTS) + np.uint64(1)) * np.uint64(BASES[1]))
 
 
-def anchor_places(keyed: DataFrame, window: int, anchor: int) -> DataFrame:
-    """``d, t, a, p``: every anchor that some window keeps, with its place in words."""
+def anchor_rows(keyed: DataFrame, window: int, anchor: int, hot: np.ndarray) -> DataFrame:
+    """``g, b, d, t, p``: every anchor that windows keep. ``g`` is the anchor's hash (salted by document for a common
+    one, and then ``p`` is negative), ``b`` the hash of its block, ``p`` its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            rows, hashes, places = [], [], []
+            rows, g, b, p = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for r, raw in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
                 c = Cutter(raw, window, anchor)
                 if c.enough:
-                    a, kept = c.anchors()
-                    kept = np.unique(kept)
-                    rows.append(np.full(len(kept), r, np.int32))
-                    hashes.append(a[kept])
-                    places.append(kept)
-            at = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32))
-            a = np.concatenate(hashes).view(np.int64) if rows else np.zeros(0, np.int64)
-            p = np.concatenate(places).astype(np.int32) if rows else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(a), pa.array(p)], names=["d", "t", "a", "p"])
+                    blocks = c.blocks()
+                    rows.append(np.full(len(blocks.place), r, np.int32))
+                    g.append(blocks.anchor)
+                    b.append(c.block_hashes(blocks))
+                    p.append(blocks.place)
+            at = np.concatenate(rows)
+            d = batch.column(0).to_numpy()[at] if batch.num_rows else np.zeros(0, np.int64)
+            key, place = np.concatenate(g), np.concatenate(p)
+            if len(hot):
+                spot = np.minimum(np.searchsorted(hot, key.view(np.int64)), len(hot) - 1)
+                common = hot[spot] == key.view(np.int64)
+                key = np.where(common, key ^ _salt(d), key)
+                place = np.where(common, -1 - place, place)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.concatenate(b).view(np.int64)), pa.array(d), batch.column(1).take(pa.array(at)), pa.array(place.astype(np.int32))], names=["g", "b", "d", "t", "p"])
+
+    return keyed.select("d", "t", "text").mapInArrow(run, "g long, b long, d long, t int, p int")
+
 
-    return keyed.select("d", "t", "text").mapInArrow(run, "d long, t long, a long, p int")
+WHOLE, REST, SALTED = 0, 1, 2  # a block repeats an earlier one whole; its windows must be compared; not known yet
 
 
-def candidate_windows(seeded: DataFrame, window: int, anchor: int) -> DataFrame:
-    """``d, t, h1, h2, s``: around each seed the windows that keep it; the first of equal ones in a text."""
+def judged_blocks(rows: DataFrame) -> DataFrame:
+    """``kind, d, t, p, g, b`` of the anchors that are not alone, from rows in order of ``g, b, d``.
+
+    Equal blocks follow each other, the earliest document first, so one pass with a few remembered values tells
+    them apart whatever the size of a group.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_g = last_b = last_f = None  # of the row before; first document of its block
+        several = False  # the open anchor has shown a second block
+        held: tuple | None = None  # the open anchor's first block, not yet given out
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            g, b, d, t, p = (c.to_numpy() for c in batch.columns)
+            same_g = np.concatenate([[last_g is not None and g[0] == last_g], g[1:] == g[:-1]])
+            same_b = same_g & np.concatenate([[last_b is not None and b[0] == last_b], b[1:] == b[:-1]])
+            opens = ~same_b
+            start = np.maximum.accumulate(np.where(opens, np.arange(n), -1))
+            first = np.where(start >= 0, d[np.maximum(start, 0)], last_f if last_f is not None else 0)
+            salted = p < 0
+            group = np.cumsum(~same_g)  # 0: the anchor left open by the batch before
+            blocks = np.bincount(group, opens, group[-1] + 1)
+            if same_g[0]:
+                blocks[0] += 1 + several
+            many = blocks[group] > 1
+            kind = np.where(~opens & (d > first), WHOLE, np.where(opens & salted, SALTED, np.where(opens & many, REST, -1)))
+            give = np.flatnonzero(kind >= 0)
+            out = [kind[give].astype(np.int8), d[give], t[give], p[give], g[give], b[give]]
+            if held is not None:
+                if same_g[0] and blocks[0] > 1:  # the block held back turns out to have company
+                    out = [np.concatenate([[h], o]).astype(o.dtype) for h, o in zip(held, out, strict=True)]
+                    held = None
+                elif not same_g[0] or group[-1] > 0:
+                    held = None
+            opened = np.flatnonzero(opens & (group == group[-1]))
+            several = bool(blocks[-1] > 1)
+            if not several and len(opened) and not salted[opened[0]]:
+                i = opened[0]
+                held = (REST, d[i], t[i], p[i], g[i], b[i])
+            last_g, last_b, last_f = g[-1], b[-1], first[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(o) for o in out], names=["kind", "d", "t", "p", "g", "b"])
+
+    return rows.mapInArrow(run, "kind tinyint, d long, t int, p int, g long, b long")
+
+
+def settled_blocks(judged: DataFrame) -> DataFrame:
+    """``kind, d, t, p`` with the salted blocks reduced over all salts."""
+    plain = judged.where(F.col("kind") != SALTED).select("kind", "d", "t", F.when(F.col("p") < 0, -1 - F.col("p")).otherwise(F.col("p")).alias("p"))
+
+    def unsalted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d, t, p, g, b = batch.columns
+            a = (g.to_numpy().view(np.uint64) ^ _salt(d.to_numpy())).view(np.int64)
+            yield pa.RecordBatch.from_arrays([d, t, pa.array((-1 - p.to_numpy()).astype(np.int32)), pa.array(a), b], names=["d", "t", "p", "a", "b"])
+
+    rest = judged.where(F.col("kind") == SALTED).select("d", "t", "p", "g", "b").mapInArrow(unsalted, "d long, t int, p int, a long, b long")
+    first = rest.groupBy("a", "b").agg(F.min("d").alias("f"))
+    again = rest.join(first, ["a", "b"]).select(F.when(F.col("d") > F.col("f"), WHOLE).otherwise(REST).cast("tinyint").alias("kind"), "d", "t", "p")
+    return plain.unionByName(again)
+
+
+def block_windows(seeded: DataFrame, window: int, anchor: int) -> DataFrame:
+    """``d, t, h1, h2, s``: the windows of the blocks at ``seeds``; of equal ones in a text the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            rows, found, starts = [], [], []
+            rows, found, starts = [np.zeros(0, np.int32)], [np.zeros((0, 2), np.uint64)], [np.zeros(0, np.int64)]
             for r, (raw, seeds) in enumerate(zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3), strict=True)):
                 c = Cutter(raw, window, anchor)
                 if not c.enough:
                     continue
-                a, kept = c.anchors()
-                seed = np.zeros(len(a), bool)
-                p = seeds.values.to_numpy(zero_copy_only=False)
-                seed[p[p < len(a)]] = True
-                s = np.flatnonzero(seed[kept])
+                s = np.unique(c.blocks().windows_of(seeds.values.to_numpy(zero_copy_only=False)))
                 w = c.windows()[s]
                 first = ~earlier_in_text(w)
                 rows.append(np.full(int(first.sum()), r, np.int32))
                 found.append(w[first])
                 starts.append(s[first])
-            at = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32))
-            w = (np.concatenate(found) if rows else np.zeros((0, 2), np.uint64)).view(np.int64)
-            s = np.concatenate(starts).astype(np.int32) if rows else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.ascontiguousarray(w[:, 0])), pa.array(np.ascontiguousarray(w[:, 1])), pa.array(s)], names=["d", "t", "h1", "h2", "s"])
+            at, w = pa.array(np.concatenate(rows)), np.concatenate(found).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.ascontiguousarray(w[:, 0])), pa.array(np.ascontiguousarray(w[:, 1])), pa.array(np.concatenate(starts).astype(np.int32))], names=["d", "t", "h1", "h2", "s"])
 
-    return seeded.select("d", "t", "text", "seeds").mapInArrow(run, "d long, t long, h1 long, h2 long, s int")
+    return seeded.select("d", "t", "text", "seeds").mapInArrow(run, "d long, t int, h1 long, h2 long, s int")
 
 
-def repeated_starts(docs: DataFrame, window: int = 20, anchor: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``d, t, starts``: for each text the windows that also start in an earlier document."""
+def repeated_places(docs: DataFrame, window: int = 20, anchor: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``d, t, wholes, starts``: for each text the anchors of blocks that repeat whole, and single windows that
+    also start in an earlier document."""
     keyed = _keyed(docs, id_col, text_col)
-    places = written(anchor_places(keyed, window, anchor), "anchors")
-    again = places.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-    seeds = places.join(again, "a", "left_semi").groupBy("d", "t").agg(F.collect_set("p").alias("seeds"))
-    # equal rows need comparing once only
-    windows = written(candidate_windows(keyed.join(seeds, ["d", "t"]), window, anchor), "windows")
+    rows = anchor_rows(keyed, window, anchor, common_anchors(keyed, window, anchor))
+    judged = written(judged_blocks(rows.repartition("g").sortWithinPartitions("g", "b", "d")), "judged")
+    blocks = written(settled_blocks(judged), "blocks")
+    seeds = blocks.where(F.col("kind") == REST).groupBy("d", "t").agg(F.collect_set("p").alias("seeds"))
+    windows = written(block_windows(keyed.join(seeds, ["d", "t"]), window, anchor), "windows")
     first = windows.groupBy("h1", "h2").agg(F.min("d").alias("f"), F.max("d").alias("l")).where("f < l").select("h1", "h2", "f")
-    later = windows.join(first, ["h1", "h2"]).where("d > f")
-    return later.groupBy("d", "t").agg(F.collect_set("s").alias("starts"))
+    later = windows.join(first, ["h1", "h2"]).where("d > f").select("d", "t", F.lit(None).cast("int").alias("p"), "s")
+    whole = blocks.where(F.col("kind") == WHOLE).select("d", "t", "p", F.lit(None).cast("int").alias("s"))
+    return written(whole.unionByName(later).groupBy("d", "t").agg(F.collect_set("p").alias("wholes"), F.collect_set("s").alias("starts")), "places")
 
 
 def covered(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -177,31 +307,32 @@ def spans_of(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def _removed_words(raw: bytes, starts, window: int, anchor: int) -> tuple[list[bytes], np.ndarray]:
+def _removed_words(raw: bytes, wholes: np.ndarray, starts: np.ndarray, window: int, anchor: int) -> tuple[list[bytes], np.ndarray]:
     c = Cutter(raw, window, anchor)
     if not c.enough:
         return c.words, np.zeros(len(c.words), bool)
-    own = np.flatnonzero(earlier_in_text(w := c.windows()))
-    if starts is not None:
-        far = starts[starts < len(w)]
-        # a later copy of a window inside the text goes with the first one
-        own = np.concatenate([own, far])
-    return c.words, covered(len(c.words), own, window)
+    w = c.windows()
+    gone = earlier_in_text(w)
+    gone[starts] = True
+    if len(wholes):
+        gone[c.blocks().windows_of(wholes)] = True
+    return c.words, covered(len(c.words), np.flatnonzero(gone), window)
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, anchor: int = 10, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, anchor: int = 5, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_removed, kept_sha256, spans`` (word ranges removed) and, on
     request, ``kept_text`` (the kept words joined by one space, or the text as it was) and ``row`` (the other columns of the input)."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     keyed = _keyed(docs, id_col, text_col) if not with_text else _keyed(docs.select("*", F.struct(*others).alias("_row")), id_col, text_col, "_row")
-    starts = repeated_starts(docs, window, anchor, id_col, text_col)
-    joined = keyed.join(starts, ["d", "t"], "left").select("doc_id", "text", "starts", *(["row"] if with_text else []))
+    places = repeated_places(docs, window, anchor, id_col, text_col)
+    joined = keyed.join(places, ["d", "t"], "left").select("doc_id", "text", "wholes", "starts", *(["row"] if with_text else []))
+    ints = lambda x: x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             n, gone, sha, spans, kept_text = [], [], [], [], []
-            for raw, starts in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2), strict=True):
-                words, mask = _removed_words(raw, starts.values.to_numpy(zero_copy_only=False) if starts.is_valid else None, window, anchor)
+            for raw, wholes, starts in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                words, mask = _removed_words(raw, ints(wholes), ints(starts), window, anchor)
                 kept = b" ".join([w for w, m in zip(words, mask.tolist(), strict=True) if not m]) if mask.any() else b" ".join(words)
                 n.append(len(words))
                 gone.append(int(mask.sum()))
@@ -212,7 +343,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, anchor: int = 10, id_col:
             out = [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256", "spans"]
             if with_text:
-                out += [pa.array(kept_text, pa.binary()).cast(pa.string()), batch.column(3)]
+                out += [pa.array(kept_text, pa.binary()).cast(pa.string()), batch.column(4)]
                 names += ["kept_text", "row"]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
@@ -220,7 +351,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, anchor: int = 10, id_col:
     return joined.mapInArrow(run, schema + (f", kept_text string, row {dict(joined.dtypes)['row']}" if with_text else ""))
 
 
-def without_repeats(docs: DataFrame, window: int = 20, anchor: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = 20, anchor: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeats cut out of its texts (a text that loses nothing stays as it was)."""
     cut = remove_repeats(docs, window, anchor, id_col, text_col)
     return cut.select(*(F.col("kept_text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -191,6 +191,26 @@ def test_substring_dedup_random(spark):
     assert sorted(map(tuple, got.drop("spans").collect()), key=repr) == brute_repeats(rows, 6)
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_blocks_are_judged_across_batches(spark, hot, monkeypatch):
+    """Groups that span many Arrow batches, with every anchor or none salted."""
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(12)]
+    piece = [r.choice(words) for _ in range(30)]
+    rows = [(n, " ".join([*(r.choice(words) for _ in range(r.randint(0, 9))), *piece[r.randint(0, 6) :], *(r.choice(words) for _ in range(r.randint(0, 9)))])) for n in range(60)]
+    if hot:
+        monkeypatch.setattr(substring_dedup, "common_anchors", lambda keyed, w, a: np.sort(np.array([x["g"] for x in substring_dedup.anchor_rows(keyed, w, a, np.zeros(0, np.int64)).select("g").distinct().collect()], np.int64)))
+    else:
+        monkeypatch.setattr(substring_dedup, "common_anchors", lambda keyed, w, a: np.zeros(0, np.int64))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = substring_dedup.remove_repeats(documents(spark, rows), window=8, anchor=3, with_text=False).drop("spans").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(map(tuple, got), key=repr) == brute_repeats(rows, 8)
+
+
 def test_kept_anchor_depends_on_the_window_alone():
     h = np.random.default_rng(1).integers(0, 5, 300).astype(np.uint64)
     kept = substring_dedup.kept_anchors(h, 7)
