@@ -92,3 +92,43 @@ def shortlist(providers: DataFrame, slots: int) -> DataFrame:
     order = [F.desc("score"), "provider"]
     capped = providers.where("healthy").withColumn("of_operator", F.row_number().over(Window.partitionBy("operator").orderBy(*order))).where(F.col("of_operator") <= max(1, slots // 2))
     return capped.orderBy(*order).limit(slots).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+def pull_stats(pulled: DataFrame) -> DataFrame:
+    """``mode, reject_reason, n``: catalogues received by way of delivery, and why some were refused."""
+    return pulled.groupBy("mode", "reject_reason").agg(F.count("*").alias("n"))
+
+
+def step_latency(steps: DataFrame) -> DataFrame:
+    """``request_id, step, elapsed_ms`` from the moments at which steps ended (``request_id, step, ts``): each lasts
+    since the step before it, and repeated steps of a request are summed."""
+    before = F.lag("ts").over(Window.partitionBy("request_id").orderBy("ts", "step"))
+    lasted = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(before.cast("timestamp"))) / 1000
+    return steps.withColumn("ms", lasted).where("ms is not null").groupBy("request_id", "step").agg(F.sum("ms").alias("elapsed_ms"))
+
+
+def engine_stats(searches: DataFrame) -> DataFrame:
+    """Durations and result counts by engine: ``engine, n, mean_ms, p99_ms, most_ms, empty, truncated``."""
+    return searches.groupBy("engine").agg(
+        F.count("*").alias("n"),
+        F.avg("ms").alias("mean_ms"),
+        F.percentile_approx("ms", 0.99).alias("p99_ms"),
+        F.max("ms").alias("most_ms"),
+        F.count_if(F.col("results") == 0).alias("empty"),
+        F.count_if(F.col("results") >= F.col("limit")).alias("truncated"),
+    )
+
+
+def fanout_status(requests: DataFrame, answers: DataFrame, now) -> DataFrame:
+    """``request_id, status, responded, timed_out``: COMPLETE when every asked provider has answered or run out of
+    time, PARTIAL when some have, else INITIATED.
+
+    ``requests``: ``request_id, provider, deadline``; ``answers``: ``request_id, provider, ts``. Late answers do not count.
+    """
+    first = answers.groupBy("request_id", "provider").agg(F.min("ts").alias("ts"))
+    joined = requests.join(first, ["request_id", "provider"], "left").withColumn("ok", F.coalesce(F.col("ts") <= F.col("deadline"), F.lit(False)))
+    late = ~F.col("ok") & (F.col("deadline") < now)
+    counted = joined.groupBy("request_id").agg(F.count("*").alias("asked"), F.count_if("ok").alias("responded"), F.count_if(late).alias("timed_out"))
+    closed = F.col("responded") + F.col("timed_out")
+    status = F.when(closed >= F.col("asked"), "COMPLETE").when(closed > 0, "PARTIAL").otherwise("INITIATED")
+    return counted.select("request_id", status.alias("status"), "responded", "timed_out")

@@ -217,3 +217,26 @@ def text_blob(parts: list[Column], attributes: Column, most: int = 8192) -> Colu
     found = F.coalesce(F.transform(plain, word), F.array().cast("array<string>"))
     every = F.filter(F.concat(F.array(*parts), found), lambda x: x.isNotNull() & (F.trim(x) != ""))
     return scalars.truncate_words(F.array_join(F.array_distinct(every), " "), most)
+
+
+#: Rules of a publish message: member, JSON type, whether it must be there.
+CATALOG_RULES = [("id", "string", True), ("descriptor.name", "string", False), ("provider.id", "string", False), ("isActive", "boolean", False), ("resources", "array<variant>", False), ("offers", "array<variant>", False)]
+
+
+def catalog_problems(catalog: Column, rules: list[tuple[str, str, bool]] = CATALOG_RULES) -> Column:
+    """What a variant catalogue breaks, as ``array<string>``: missing members and members of another type."""
+    kinds = {"string": "^STRING", "boolean": "^BOOLEAN", "array<variant>": "^ARRAY", "double": "^(BIGINT|DOUBLE|DECIMAL|FLOAT)"}
+    found = []
+    for name, kind, needed in rules:
+        value = F.try_variant_get(catalog, f"$.{name}", "variant")
+        here = value.isNotNull() & ~F.coalesce(F.is_variant_null(value), F.lit(False))
+        found.append(F.when(here & ~F.schema_of_variant(value).rlike(kinds[kind]), F.lit(f"{name}: wrong type")))
+        if needed:
+            found.append(F.when(~here, F.lit(f"{name}: missing")))
+    return F.array_compact(F.array(*found))
+
+
+def sized_batches(rows: DataFrame, size: int = 100) -> DataFrame:
+    """Rows with the number of the bulk request they belong to, at most ``size`` to one within each partition key."""
+    place = F.row_number().over(Window.partitionBy("index_key").orderBy("doc_key")) - 1
+    return rows.withColumn("bulk", F.floor(place / size))

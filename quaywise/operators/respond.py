@@ -116,3 +116,17 @@ def envelopes(responses: DataFrame) -> DataFrame:
     """``key, value``: callback envelopes (``transaction_id, subscriber_id, record_id, payload`` rows) as JSON."""
     meta = F.struct(F.col("subscriber_id").alias("subscriberId"), F.col("record_id").alias("recordId"))
     return responses.select(F.col("transaction_id").alias("key"), F.to_json(F.struct(meta.alias("meta"), F.col("payload").alias("payload"))).alias("value"))
+
+
+def normalise_catalogs(catalogs: DataFrame) -> DataFrame:
+    """Catalogues and resources with blank ids go; a catalogue without provider takes that of its first resource
+    that has one (``resources`` with ``id`` and ``provider_id``)."""
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    kept = catalogs.where(~blank(F.col("catalog_id"))).withColumn("resources", F.filter("resources", lambda r: ~blank(r["id"])))
+    named = F.filter("resources", lambda r: ~blank(r["provider_id"]))
+    return kept.withColumn("provider_id", F.coalesce(F.when(~blank(F.col("provider_id")), F.col("provider_id")), F.get(named, F.lit(0))["provider_id"]))
+
+
+def location_level(path):
+    """Whether a location belongs to the ``provider``, the ``resource`` or the ``catalog``, by what its path passes."""
+    return F.when(path.contains("provider"), "provider").when(path.contains("resources"), "resource").otherwise("catalog")

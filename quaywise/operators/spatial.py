@@ -67,6 +67,15 @@ def related(locations: DataFrame, queries: DataFrame, relation: str, blocks: int
     return refine(pairs.select(*cols), relation).select(*keys).distinct()
 
 
+def index_spatial(locations: DataFrame, constraint: dict, intents: DataFrame) -> DataFrame | None:
+    """The index side's subset of a constraint (``op, targets, quantifier``): its first target only, and nothing
+    for a quantifier other than ``any`` or a relation it does not know. None means: skipped."""
+    if constraint.get("op") not in INDEX_RELATIONS or constraint.get("quantifier", "any") != "any":
+        return None
+    own = on_paths(locations, (constraint.get("targets") or [])[:1])
+    return within_distance(own, intents) if constraint["op"] == "s_dwithin" else related(own, intents, constraint["op"])
+
+
 def keep_matching(items: DataFrame, *matches: DataFrame) -> DataFrame:
     """Items (``id, catalog_id``) that are in every match set, joined on both keys."""
     for m in matches:

@@ -137,3 +137,36 @@ def test_discover_routes(spark, data):
     assert names_hit and all("small" in r["n"] for r in names_hit)
     routes = intents.select("intent_id", plan.route_of(F.col("expression").isNotNull(), F.col("lon").isNotNull(), F.col("text_search").isNotNull()).alias("r")).where("intent_id <> 'bad'").collect()
     assert all(r["r"] == r["intent_id"] for r in routes)
+
+
+def test_more_audits(spark):
+    t = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    req = spark.createDataFrame([(1, "a", t(10)), (1, "b", t(10)), (2, "a", t(10)), (3, "a", t(99)), (3, "b", t(99)), (4, "a", t(99))], "request_id int, provider string, deadline timestamp")
+    ans = spark.createDataFrame([(1, "a", t(5)), (2, "a", t(50)), (3, "b", t(20))], "request_id int, provider string, ts timestamp")
+    assert sorted(map(tuple, audit.fanout_status(req, ans, F.lit(t(60))).collect())) == [(1, "COMPLETE", 1, 1), (2, "COMPLETE", 0, 1), (3, "PARTIAL", 1, 0), (4, "INITIATED", 0, 0)]
+    steps = spark.createDataFrame([(1, "start", t(0)), (1, "parse", t(1)), (1, "save", t(3)), (1, "parse", t(4))], "request_id int, step string, ts timestamp")
+    assert {r["step"]: r["elapsed_ms"] for r in audit.step_latency(steps).collect()} == {"parse": 2000.0, "save": 2000.0}
+    pulled = spark.createDataFrame([("inline", None), ("inline", "expired"), ("inline", None)], "mode string, reject_reason string")
+    assert {tuple(r) for r in audit.pull_stats(pulled).collect()} == {("inline", None, 2), ("inline", "expired", 1)}
+    found = spark.createDataFrame([("text", 5.0, 0, 10), ("text", 9.0, 10, 10)], "engine string, ms double, results int, limit int")
+    assert audit.engine_stats(found).first()[3:] == (9.0, 9.0, 1, 1)
+
+
+def test_normalising_and_rules(spark):
+    rows = spark.createDataFrame([("a", None, [(" ", "x"), ("r", None), ("s", "p2")]), (" ", "p", [])], "catalog_id string, provider_id string, resources array<struct<id:string,provider_id:string>>")
+    got = respond.normalise_catalogs(rows).collect()
+    assert [(r["catalog_id"], r["provider_id"], [x["id"] for x in r["resources"]]) for r in got] == [("a", "p2", ["r", "s"])]
+    bad = spark.createDataFrame([('{"id":7,"offers":{}}',), ('{"id":"x","isActive":true}',), ("{}",)], "j string").select(publish.catalog_problems(F.parse_json("j")).alias("p"))
+    assert [r["p"] for r in bad.collect()] == [["id: wrong type", "offers: wrong type"], [], ["id: missing"]]
+    docs = spark.createDataFrame([("k", str(n)) for n in range(5)], "index_key string, doc_key string")
+    assert sorted(r["bulk"] for r in publish.sized_batches(docs, 2).collect()) == [0, 0, 1, 1, 2]
+
+
+def test_index_side_of_space(spark):
+    at = lambda x, y: ("Point", [(x, y)])
+    schema = "item_id string, catalog_id string, path string, seq short, geometry struct<kind:string,ring:array<struct<x:double,y:double>>>"
+    loc = spark.createDataFrame([("i", "c", "$.a", 0, at(1.0, 1.0)), ("j", "c", "$.b", 0, at(1.0, 1.0))], schema)
+    circle = spark.createDataFrame([(1, 1.0, 1.0, 1000.0)], "intent_id int, lon double, lat double, metres double")
+    near = spatial.index_spatial(loc, {"op": "s_dwithin", "targets": ["$.a", "$.b"]}, circle)
+    assert [r["item_id"] for r in near.collect()] == ["i"]
+    assert spatial.index_spatial(loc, {"op": "s_dwithin", "quantifier": "all"}, circle) is None and spatial.index_spatial(loc, {"op": "s_touches"}, circle) is None
