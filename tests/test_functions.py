@@ -17,7 +17,7 @@ CHARGER = {
             "isActive": True,
             "resources": [
                 {"id": "r1", "resourceAttributes": {"connectorType": "CCS2", "maxPowerKW": 60, "label": "60", "opens": "06:00:00Z"}},
-                {"id": "r2", "resourceAttributes": {"connectorType": "Type2", "maxPowerKW": 22.5, "beckn:kind": "AC"}},
+                {"id": "r2", "resourceAttributes": {"connectorType": "Type2", "maxPowerKW": 22.5, "ext:kind": "AC"}},
             ],
             "offers": [{"id": "o1", "price": {"value": 18, "currency": "INR"}}, {"id": "o2", "price": {"value": 25}}],
         }
@@ -39,7 +39,7 @@ CHARGER = {
         ("$.catalogs[*].resources[*] ? (@.resourceAttributes.label == 60)", False),  # a text is no number
         ("$.catalogs[*].resources[*] ? (!(@.resourceAttributes.label == 60))", True),  # r2 has no label: not unknown
         ("$.catalogs[*].resources[*] ? (@.id == 'r1' && !(@.resourceAttributes.label == 60))", False),  # unknown does not negate
-        ("$.catalogs[*].resources[*] ? (@.resourceAttributes.beckn:kind == 'AC')", True),
+        ("$.catalogs[*].resources[*] ? (@.resourceAttributes.ext:kind == 'AC')", True),
         ("$.catalogs[*].resources[*] ? (@.resourceAttributes.connectorType like_regex \"^CC\")", True),
         ("$.catalogs[*].resources[*] ? (@.resourceAttributes.connectorType starts with \"Ty\" || @.id == 'zz')", True),
         ("$.catalogs[*].missing[*]", False),
@@ -84,7 +84,7 @@ def test_context_and_index_names(spark):
     assert one(spark, scalars.index_key(F.col("k")), k="EV Charger:v2") == "catalog-ev-charger-v2"
     assert one(spark, scalars.index_key(F.col("k")), k=" ") is None
     assert one(spark, scalars.index_key(F.col("k"), default="Misc"), k=None) == "catalog-misc"
-    assert one(spark, scalars.location_field(F.col("p")), p="$.catalogs[*].resources[*].beckn:at.geo") == "loc_catalogs_resources_beckn_at"
+    assert one(spark, scalars.location_field(F.col("p")), p="$.catalogs[*].resources[*].ext:at.geo") == "loc_catalogs_resources_ext_at"
     assert one(spark, scalars.redact_url(F.col("u")), u="https://me:pw@h.example:8443/a/b?q=1#f") == "https://h.example/a/b"
     assert one(spark, scalars.endpoint_for_action(F.col("b"), F.lit("on_discover")), b="https://h/") == "https://h/on_discover"
     assert one(spark, scalars.ack_outcome(F.col("b")), b='{"message":{"status":"NACK"}}') == "NACK"
