@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,10 +18,12 @@ def scratch_dir(spark: SparkSession) -> str:
     A local temporary folder is used only where the setting is absent, as in tests on one machine.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = "file://" + tempfile.mkdtemp(prefix="quaywise-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared.rstrip("/")
+    return shared.rstrip("/") if shared else _own_dir()
+
+
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="quaywise-")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
