@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -83,11 +84,20 @@ def window_hashes(h: np.ndarray, size: int, base: int) -> np.ndarray:
 
 
 def kept_anchors(anchors: np.ndarray, per_window: int) -> np.ndarray:
-    """For each window, the place of the anchor it keeps: its smallest hash, the last of equals."""
+    """For each window, the place of the anchor it keeps: its smallest hash, the last of equals.
+
+    Two runs that together span a longer one give its minimum, so a few doublings reach the window.
+    """
     if len(anchors) < per_window:
         return np.zeros(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(anchors, per_window)[:, ::-1]
-    return np.arange(len(view)) + per_window - 1 - view.argmin(axis=1)
+    value, place, width = anchors, np.arange(len(anchors)), 1
+    while width < per_window:
+        shift = min(width, per_window - width)
+        right = value[shift:] <= value[:-shift]
+        place = np.where(right, place[shift:], place[:-shift])
+        value = np.where(right, value[shift:], value[:-shift])
+        width += shift
+    return place
 
 
 @dataclass
@@ -101,25 +111,32 @@ class Blocks:
         """The windows of the blocks whose anchors stand at these places."""
         at = np.searchsorted(self.place, places)
         at = at[at < len(self.place)]
-        return np.concatenate([np.arange(self.first[i], self.last[i] + 1) for i in at.tolist()]) if len(at) else np.zeros(0, np.int64)
+        size = self.last[at] - self.first[at] + 1
+        ends = np.cumsum(size)
+        return np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[at] - (ends - size), size)
 
 
 class Cutter:
-    """The hashes of one text for given window and anchor lengths."""
+    """The words of several texts in a row, and hashes of runs of them that stay inside one text."""
 
-    def __init__(self, raw: bytes, window: int, anchor: int):
-        self.words = raw.split()  # on bytes: ASCII white space
+    def __init__(self, raws: list[bytes], window: int, anchor: int):
+        self.texts = [raw.split() for raw in raws]  # on bytes: ASCII white space
         self.window, self.anchor = window, anchor
-        self.enough = len(self.words) >= window
-        if self.enough:
-            self.h1, self.h2 = word_hashes(self.words)
+        self.size = np.fromiter(map(len, self.texts), np.int64, len(raws))
+        self.base = np.cumsum(self.size) - self.size
+        self.text_of = np.repeat(np.arange(len(raws)), self.size)
+        self.h1, self.h2 = word_hashes([w for t in self.texts for w in t])
+        n = len(self.h1) - window + 1
+        self.inside = self.text_of[window - 1 :] == self.text_of[:n] if n > 0 else np.zeros(0, bool)
 
     def blocks(self) -> Blocks:
         """The anchors that windows keep, each with the run of windows that keep it."""
         hashes = window_hashes(self.h1, self.anchor, BASES[0])
-        kept = kept_anchors(hashes, self.window - self.anchor + 1)
-        first = np.flatnonzero(np.diff(kept, prepend=-1))
-        last = np.append(first[1:], len(kept)) - 1
+        kept = np.where(self.inside, kept_anchors(hashes, self.window - self.anchor + 1), -1)
+        change = np.flatnonzero(np.diff(kept, prepend=-2, append=-2))
+        first, last = change[:-1], change[1:] - 1
+        real = kept[first] >= 0
+        first, last = first[real], last[real]
         return Blocks(kept[first], first, last, hashes[kept[first]])
 
     def block_hashes(self, b: Blocks) -> np.ndarray:
@@ -127,17 +144,23 @@ class Cutter:
         shape = (b.last - b.first + self.window) * 1024 + b.place - b.first
         return _mixed(run_hashes(self.h2, BASES[1], b.first, b.last + self.window) ^ _mixed(shape.astype(np.uint64)))
 
-    def windows(self) -> np.ndarray:
-        """128-bit hash of each window as two columns."""
-        return np.stack([window_hashes(self.h1, self.window, BASES[0]), window_hashes(self.h2, self.window, BASES[1])], 1)
+    def windows(self, at: np.ndarray) -> np.ndarray:
+        """128-bit hash of the windows at these places as two columns."""
+        return np.stack([run_hashes(h, base, at, at + self.window) for h, base in zip((self.h1, self.h2), BASES, strict=True)], 1)
 
 
-def earlier_in_text(windows: np.ndarray) -> np.ndarray:
+def earlier_in_text(text: np.ndarray, windows: np.ndarray) -> np.ndarray:
     """Which windows have an equal one before them in the same text."""
-    out = np.ones(len(windows), bool)
-    if len(windows):
-        _, first = np.unique(windows.view([("a", "<u8"), ("b", "<u8")]).ravel(), return_index=True)
-        out[first] = False
+    out = np.zeros(len(windows), bool)
+    key = _mixed(windows[:, 0] ^ _mixed(text.astype(np.uint64)))
+    order = np.argsort(key, kind="stable")
+    twice = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    if len(twice):  # few: compare these in full
+        some = np.unique(np.concatenate([order[twice], order[twice + 1]]))
+        full = np.stack([text[some].astype(np.uint64), windows[some, 0], windows[some, 1]], 1)
+        _, first = np.unique(full, axis=0, return_index=True)
+        out[some] = True
+        out[some[first]] = False
     return out
 
 
@@ -169,24 +192,17 @@ def anchor_rows(keyed: DataFrame, window: int, anchor: int, hot: np.ndarray) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            rows, g, b, p = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for r, raw in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
-                c = Cutter(raw, window, anchor)
-                if c.enough:
-                    blocks = c.blocks()
-                    rows.append(np.full(len(blocks.place), r, np.int32))
-                    g.append(blocks.anchor)
-                    b.append(c.block_hashes(blocks))
-                    p.append(blocks.place)
-            at = np.concatenate(rows)
-            d = batch.column(0).to_numpy()[at] if batch.num_rows else np.zeros(0, np.int64)
-            key, place = np.concatenate(g), np.concatenate(p)
+            c = Cutter(batch.column(2).cast(pa.binary()).to_pylist(), window, anchor)
+            blocks = c.blocks()
+            at = c.text_of[blocks.place]
+            d = batch.column(0).to_numpy()[at]
+            key, place, b = blocks.anchor, blocks.place - c.base[at], c.block_hashes(blocks)
             if len(hot):
                 spot = np.minimum(np.searchsorted(hot, key.view(np.int64)), len(hot) - 1)
                 common = hot[spot] == key.view(np.int64)
                 key = np.where(common, key ^ _salt(d), key)
                 place = np.where(common, -1 - place, place)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.concatenate(b).view(np.int64)), pa.array(d), batch.column(1).take(pa.array(at)), pa.array(place.astype(np.int32))], names=["g", "b", "d", "t", "p"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(b.view(np.int64)), pa.array(d), batch.column(1).take(pa.array(at)), pa.array(place.astype(np.int32))], names=["g", "b", "d", "t", "p"])
 
     return keyed.select("d", "t", "text").mapInArrow(run, "g long, b long, d long, t int, p int")
 
@@ -257,24 +273,28 @@ def settled_blocks(judged: DataFrame) -> DataFrame:
     return plain.unionByName(again)
 
 
+def _in_row(c: Cutter, lists: pa.ListArray, limit: np.ndarray) -> np.ndarray:
+    """Places inside texts (one list for each) as sorted places in the row of all words; those beyond a text go."""
+    size = np.diff(lists.offsets.to_numpy())
+    size = np.where(lists.is_valid().to_numpy(zero_copy_only=False), size, 0)
+    text = np.repeat(np.arange(len(size)), size)
+    place = lists.flatten().to_numpy(zero_copy_only=False)
+    real = place < limit[text]
+    return np.sort(place[real] + c.base[text[real]])
+
+
 def block_windows(seeded: DataFrame, window: int, anchor: int) -> DataFrame:
     """``d, t, h1, h2, s``: the windows of the blocks at ``seeds``; of equal ones in a text the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            rows, found, starts = [np.zeros(0, np.int32)], [np.zeros((0, 2), np.uint64)], [np.zeros(0, np.int64)]
-            for r, (raw, seeds) in enumerate(zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3), strict=True)):
-                c = Cutter(raw, window, anchor)
-                if not c.enough:
-                    continue
-                s = np.unique(c.blocks().windows_of(seeds.values.to_numpy(zero_copy_only=False)))
-                w = c.windows()[s]
-                first = ~earlier_in_text(w)
-                rows.append(np.full(int(first.sum()), r, np.int32))
-                found.append(w[first])
-                starts.append(s[first])
-            at, w = pa.array(np.concatenate(rows)), np.concatenate(found).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.ascontiguousarray(w[:, 0])), pa.array(np.ascontiguousarray(w[:, 1])), pa.array(np.concatenate(starts).astype(np.int32))], names=["d", "t", "h1", "h2", "s"])
+            c = Cutter(batch.column(2).cast(pa.binary()).to_pylist(), window, anchor)
+            s = c.blocks().windows_of(_in_row(c, batch.column(3), c.size))
+            w = c.windows(s)
+            first = ~earlier_in_text(c.text_of[s], w)
+            s, w = s[first], w[first]
+            at = c.text_of[s]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(w[:, 0].view(np.int64)), pa.array(w[:, 1].view(np.int64)), pa.array((s - c.base[at]).astype(np.int32))], names=["d", "t", "h1", "h2", "s"])
 
     return seeded.select("d", "t", "text", "seeds").mapInArrow(run, "d long, t int, h1 long, h2 long, s int")
 
@@ -296,9 +316,7 @@ def repeated_places(docs: DataFrame, window: int = 20, anchor: int = 5, id_col:
 
 def covered(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
     """Which words the windows at ``starts`` cover."""
-    step = np.zeros(n_words + 1, np.int64)
-    np.add.at(step, starts, 1)
-    np.add.at(step, starts + window, -1)
+    step = np.bincount(starts, minlength=n_words + 1) - np.bincount(starts + window, minlength=n_words + 1)
     return np.cumsum(step)[:n_words] > 0
 
 
@@ -307,16 +325,15 @@ def spans_of(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def _removed_words(raw: bytes, wholes: np.ndarray, starts: np.ndarray, window: int, anchor: int) -> tuple[list[bytes], np.ndarray]:
-    c = Cutter(raw, window, anchor)
-    if not c.enough:
-        return c.words, np.zeros(len(c.words), bool)
-    w = c.windows()
-    gone = earlier_in_text(w)
-    gone[starts] = True
-    if len(wholes):
-        gone[c.blocks().windows_of(wholes)] = True
-    return c.words, covered(len(c.words), np.flatnonzero(gone), window)
+def _removed_words(c: Cutter, wholes: pa.ListArray, starts: pa.ListArray) -> np.ndarray:
+    """Which words of the row of texts go."""
+    every = np.flatnonzero(c.inside)
+    own = every[earlier_in_text(c.text_of[every], c.windows(every))]
+    whole = _in_row(c, wholes, c.size)
+    parts = [own, _in_row(c, starts, c.size - c.window + 1)]
+    if len(whole):
+        parts.append(c.blocks().windows_of(whole))
+    return covered(len(c.h1), np.concatenate(parts), c.window)
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, anchor: int = 5, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
@@ -326,20 +343,22 @@ def remove_repeats(docs: DataFrame, window: int = 20, anchor: int = 5, id_col: s
     keyed = _keyed(docs, id_col, text_col) if not with_text else _keyed(docs.select("*", F.struct(*others).alias("_row")), id_col, text_col, "_row")
     places = repeated_places(docs, window, anchor, id_col, text_col)
     joined = keyed.join(places, ["d", "t"], "left").select("doc_id", "text", "wholes", "starts", *(["row"] if with_text else []))
-    ints = lambda x: x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            n, gone, sha, spans, kept_text = [], [], [], [], []
-            for raw, wholes, starts in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                words, mask = _removed_words(raw, ints(wholes), ints(starts), window, anchor)
-                kept = b" ".join([w for w, m in zip(words, mask.tolist(), strict=True) if not m]) if mask.any() else b" ".join(words)
-                n.append(len(words))
-                gone.append(int(mask.sum()))
+            raws = batch.column(1).cast(pa.binary()).to_pylist()
+            c = Cutter(raws, window, anchor)
+            row = _removed_words(c, batch.column(2), batch.column(3))
+            n, gone, sha, spans, kept_text = c.size, [], [], [], []
+            for raw, words, at in zip(raws, c.texts, c.base.tolist(), strict=True):
+                mask = row[at : at + len(words)]
+                lost = int(mask.sum())
+                kept = b" ".join(compress(words, (~mask).tolist()) if lost else words)
+                gone.append(lost)
                 sha.append(hashlib.sha256(kept).hexdigest())
-                spans.append([{"start": a, "stop": b} for a, b in spans_of(mask)])
+                spans.append([{"start": a, "stop": b} for a, b in spans_of(mask)] if lost else [])
                 if with_text:
-                    kept_text.append(kept if mask.any() else raw)
+                    kept_text.append(kept if lost else raw)
             out = [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256", "spans"]
             if with_text:
