@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quaywise.llm.common import written
 
 LINKS = 16  # neighbours kept per vector and layer, twice as many on the lowest layer
-BUILD_BEAM, SEARCH_BEAM = 40, 64
+BUILD_BEAM, SEARCH_BEAM = 32, 64
 SHARD = 4096  # most distinct vectors per shard, about
 QUERY_BLOCK = 1024
 
