@@ -51,3 +51,58 @@ def test_stages(spark, data):
     for r in packed.collect():
         lengths[r["sequence_id"]] += r["length"]
     assert {r["doc_id"] for r in packed.collect()} == set(got) and max(lengths.values()) <= 1024
+
+
+def test_near_copies_by_similarity(spark):
+    import random
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    passage = [word() for _ in range(30)]
+    rows, n = [], 0
+    for _ in range(25):
+        base = [word() for _ in range(rng.randint(20, 120))] + passage * (rng.random() < 0.5)
+        for _ in range(rng.randint(1, 6)):
+            copy = list(base)
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(len(copy))] = word()
+            rows.append((n := n + 1, " ".join(copy), "en", "web", 1))
+    rows += [(1, rows[0][1], "en", "web", 1), (2, "its own text under a repeated id", "en", "web", 1), (None, rows[5][1], "en", "web", 1), (None, "a row without id", None, "web", 1)]
+    rows += [(900, "", "en", "web", 0), (901, None, "en", "web", 0), (902, " \n", "en", "web", 2), (903, "two words", "en", "web", 9), (904, "Two  words", "en", "web", 9)]
+    rows += [rows[0]]
+
+    def grams(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, root = [grams(r[1]) for r in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    linked = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                linked += sets[i] != sets[j]
+                root[find(i)] = find(j)
+    groups = collections.defaultdict(list)
+    for i, r in enumerate(rows):
+        groups[find(i)].append(r[0])
+    want = sorted(min((x for x in g if x is not None), default=-1) for g in groups.values())
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    got = corpus_pipeline.near_duplicate_filter(spark, docs, "")
+    assert linked > 20 and got.columns == docs.columns
+    assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in got.collect()) == want
+    assert corpus_pipeline.near_duplicate_filter(spark, docs.limit(0), "").count() == 0
+
+
+def test_no_near_copy_of_the_table_stays(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    left = [r["text"] for r in corpus_pipeline.near_duplicate_filter(spark, docs, data).collect()]
+    words = [(t or "").encode().lower().split() for t in left]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    assert 0 < len(left) < docs.count()
+    assert not [(i, j) for i in range(len(sets)) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
