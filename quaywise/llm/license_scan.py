@@ -1,8 +1,9 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block (a line of a text) matches a template when it holds at least ``threshold`` of the template's distinct
-words. The words of all templates are ordered by how many blocks of the whole corpus hold them, rarest
-first. A matching block must hold one of a template's first ``size - need + 1`` words in that order (prefix),
+A block is a line of a text, or a run of as many words as the longest template has, wherever lines break in it
+(a wrapped notice). It matches a template when it holds at least ``threshold`` of the template's distinct
+words. Texts and blocks that hold too few words of every template are left out first, which loses no match. The
+words of all templates are ordered by how many of the other blocks hold them, rarest first. A matching block must hold one of a template's first ``size - need + 1`` words in that order (prefix),
 must hold ``need`` template words at all (length), and the first word in common must leave enough words
 behind it on both sides (position); what passes is verified by counting. The filters only spare work, so the
 join is exact. Everything runs as DataFrame functions.
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaywise.llm.common import text_or_empty
+from quaywise.llm.common import text_or_empty, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -72,10 +73,42 @@ def phrase_columns(words: Column, phrases: dict[str, str] = PHRASES) -> dict[str
     }
 
 
-def text_blocks(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """``keys, words``: one row per line with its words as an array (repeats included)."""
-    lines = docs.select(*keys, F.explode(F.split(text_or_empty(text_col), "\n")).alias("_line"))
-    return lines.select(*keys, F.split(F.translate("_line", UPPER, LOWER), NOT_WORD).alias("words"))
+def least_words(words: list[str], threshold: float) -> int:
+    return next(k for k in range(1, len(words) + 1) if k / len(words) >= threshold)
+
+
+def text_blocks(docs: DataFrame, keys: list[str], templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """``keys, words``: the distinct template words of every line, and of every run of words over several lines,
+    that holds enough words of some template."""
+    sets = [sorted(set(text.split())) for _, text in templates]
+    literal = lambda ws: F.array(*(F.lit(w) for w in ws))
+    vocabulary = literal(sorted({w for s in sets for w in s}))
+    width = max(len(text.split()) for _, text in templates)
+    words_of = lambda text: F.split(F.translate(text, UPPER, LOWER), NOT_WORD)
+
+    def enough(held: Column) -> Column:
+        some = F.lit(False)
+        for s in sets:
+            some = some | (F.size(F.array_intersect(held, literal(s))) >= least_words(s, threshold))
+        return some
+
+    # the one-element arrays bind a value once, where a column would be computed again at each use
+    kept = lambda words: F.filter(F.array(F.array_intersect(vocabulary, words)), enough)
+
+    def runs(text: Column) -> Column:
+        placed = F.filter(F.transform(F.filter(words_of(text), lambda w: w != ""), lambda w, i: F.struct(i.alias("p"), w.alias("w"))), lambda x: F.array_contains(vocabulary, x["w"]))
+
+        def windows(ps: Column) -> Column:
+            near = lambda x, i: F.filter(F.slice(ps, i + 1, F.lit(width)), lambda y: y["p"] < x["p"] + width)
+            return F.transform(ps, lambda x, i: F.array_distinct(F.transform(near(x, i), lambda y: y["w"])))
+
+        return F.filter(F.flatten(F.transform(F.array(placed), windows)), enough)
+
+    text = text_or_empty(text_col)
+    may = docs.where(F.size(kept(words_of(text))) > 0)
+    lines = F.flatten(F.transform(F.split(text, "\n"), lambda line: kept(words_of(line))))
+    wrapped = F.when(F.instr(text, "\n") > 0, runs(text)).otherwise(F.array().cast("array<array<string>>"))
+    return may.select(*keys, F.explode(F.array_distinct(F.concat(lines, wrapped))).alias("words"))
 
 
 def containment_join(blocks: DataFrame, keys: list[str], templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -85,7 +118,7 @@ def containment_join(blocks: DataFrame, keys: list[str], templates: list[tuple[s
     vocabulary = sorted({w for _, s in sets for w in s})
     literal = lambda ws: F.array(*(F.lit(w) for w in ws))
 
-    # how many blocks hold each template word, over the whole corpus: one row per template word
+    # how many blocks hold each template word: one row per template word
     held = blocks.select(F.explode(F.array_intersect(literal(vocabulary), F.col("words"))).alias("w"))
     frequency = {r["w"]: r["n"] for r in held.groupBy("w").agg(F.count("*").alias("n")).collect()}
     order = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
@@ -94,7 +127,7 @@ def containment_join(blocks: DataFrame, keys: list[str], templates: list[tuple[s
     prefixes = []
     for number, (label, words) in enumerate(sets):
         size = len(words)
-        need = next(k for k in range(1, size + 1) if k / size >= threshold)
+        need = least_words(words, threshold)
         ranked = sorted(words, key=place.__getitem__)
         prefixes += [(w, number, label, p, size, need, ranked) for p, w in enumerate(ranked[: size - need + 1])]
     prefix = spark.createDataFrame(prefixes, "w string, number int, label string, p int, size int, need int, template array<string>")
@@ -113,7 +146,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     """One row per document: phrase counts and places, base labels, labels with the templates', and a score
     (1 where a base phrase stands, else the best containment that meets the threshold, else 0)."""
     keyed = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("text"), F.xxhash64(text_or_empty(text_col)).alias("_h"))
-    found = containment_join(text_blocks(keyed, ["doc_id", "_h"]), ["doc_id", "_h"], templates, threshold)
+    found = containment_join(written(text_blocks(keyed, ["doc_id", "_h"], templates, threshold), "blocks"), ["doc_id", "_h"], templates, threshold)
     by_text = found.groupBy(F.col("doc_id").alias("_d"), F.col("_h").alias("_g")).agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"))
     words = keyed.select("doc_id", "_h", spaced_words(F.col("text")).alias("_words"))
     phrases = phrase_columns(F.col("_words"))

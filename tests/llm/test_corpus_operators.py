@@ -434,6 +434,19 @@ def test_license_scan(spark, awkward):
     assert license_scan.scan_licenses(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_wrapped_license_notices(spark):
+    import textwrap
+
+    rows = [(n, "\n".join(["code();", *textwrap.wrap(text, 70, initial_indent=" * ", subsequent_indent=" * "), "more();"])) for n, (_, text) in enumerate(license_scan.TEMPLATES)]
+    wrapped = [(100 + n, "\n".join(textwrap.wrap(text, 30))) for n, (_, text) in enumerate(license_scan.TEMPLATES)]
+    apart = [(200, "redistribution and use in source and binary forms with or without\n" + "other words here\n" * 20 + "modification are permitted provided that the following conditions are met")]
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(documents(spark, rows + wrapped + apart)).collect()}
+    for n, (label, _) in enumerate(license_scan.TEMPLATES):
+        for row in (got[n], got[100 + n]):
+            assert label in row["labels"].split(",") and row["score"] == 1.0
+    assert got[200]["labels"] == "" and got[200]["score"] == 0.0
+
+
 def test_main_text(spark):
     article = "<article><h1>A &amp; B</h1><p>First <b>bold</b>\n text, with commas, and more words to read here.</p><p>Second paragraph of the story; it goes on for a while.<p>Third &copy; x"
     page = f"<html><head><title>t</title><style>p{{}}</style><script>var a='</p>';</script></head><body><nav><ul><li><a href=/>Home</a></li><li><a href=/b>More</a></li></ul></nav><!-- note --><div class='ad'>Buy now</div>{article}</article><div class=comments><p>Nice!</p></div><footer>All rights reserved</footer>"
