@@ -1,15 +1,21 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, or a run of as many words as the longest template has, wherever lines break in it
-(a wrapped notice). It matches a template when it holds at least ``threshold`` of the template's distinct
-words. Texts and blocks that hold too few words of every template are left out first, which loses no match. The
-words of all templates are ordered by how many of the other blocks hold them, rarest first. A matching block must hold one of a template's first ``size - need + 1`` words in that order (prefix),
-must hold ``need`` template words at all (length), and the first word in common must leave enough words
-behind it on both sides (position); what passes is verified by counting. The filters only spare work, so the
-join is exact. Everything runs as DataFrame functions.
-
-Null texts count as empty (no words, no labels, score 0). Repeated rows repeat, null ids stay null, an empty
-table gives an empty result. The template table is fixed and small, whatever the corpus.
+A block is a run of consecutive words, as many as the template has, wherever lines break in it. It matches a
+template when it holds at least ``threshold`` of the template's distinct words. One pass over the texts counts the
+phrases and keeps, for texts that hold enough words of some template at all, the places of template words. The rest
+works on these places:
+
+* template words are ordered by how often they stand there, rarest first, over the whole corpus;
+* prefix: words that a block and a template share include one of the template's first ``size - need + 1``;
+* length: around such a word there must be ``need`` different template words;
+* position: so many must stand at or behind it in the global order, as it is taken for the first shared one;
+* what passes is verified by counting the words of the blocks that hold it.
+
+The filters only spare work, so the join is exact. Everything runs as DataFrame functions.
+
+Null texts count as empty (no words, no labels, score 0). Texts are read whole, however long. Repeated rows repeat,
+null ids stay null, an empty table gives an empty result, further columns of the input are not looked at. Templates
+are a list or a table ``label, text`` of at most :data:`MOST_TEMPLATES` rows, whatever the corpus; more is an error.
 """
 
 from __future__ import annotations
@@ -38,13 +44,13 @@ TEMPLATES = [
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 ]
+MOST_TEMPLATES = 1000
 THRESHOLD = 0.8
 
 
 def spaced_words(text: Column) -> Column:
     """The lower-cased words of a text, each behind one space."""
-    plain = F.regexp_replace(F.translate(text, UPPER, LOWER), NOT_WORD, " ")
-    plain = F.rtrim(F.ltrim(plain))
+    plain = F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), NOT_WORD, " "))
     return F.when(plain == "", F.lit("")).otherwise(F.concat(F.lit(" "), plain))
 
 
@@ -53,105 +59,117 @@ def spaces(text: Column) -> Column:
 
 
 def phrase_columns(words: Column, phrases: dict[str, str] = PHRASES) -> dict[str, Column]:
-    """Counts, first and last place and labels of phrases in a :func:`spaced_words` column."""
-    pattern = " (?:" + "|".join(phrases) + ")(?= |$)"
-    last_words = sorted({p.rpartition(" ")[2] for p in phrases})
+    """Counts, first and last place and labels of phrases in a :func:`spaced_words` column.
+
+    Words may hold any character above ASCII, line separators too, hence ``(?s)`` and ``\\z`` in the patterns.
+    """
+    start = r" (?=(?:" + "|".join(phrases) + r")(?: |\z))"
     may = F.lit(False)
-    for w in last_words:
-        may = may | words.contains(" " + w)
-    count = F.when(may, F.regexp_count(words, F.lit(pattern))).otherwise(F.lit(0)).cast("long")
-    found = may & words.rlike(pattern)
-    before_first = F.substr(words, F.lit(1), F.regexp_instr(words, F.lit(pattern)))
-    before_last = F.regexp_extract(words, f"^(.*){pattern}", 1)
-    labels = [F.when(may & F.concat(words, F.lit(" ")).contains(f" {p} "), F.lit(label)) for p, label in phrases.items()]
+    for word in sorted({p.rpartition(" ")[2] for p in phrases}):
+        may = may | words.contains(" " + word)
+    count = F.when(may, F.regexp_count(words, F.lit(start))).otherwise(F.lit(0)).cast("long")
+    found = may & words.rlike(start)
+    before_first = F.regexp_extract(words, f"(?s)^(.*?){start}", 1)
+    before_last = F.regexp_extract(words, f"(?s)^(.*){start}", 1)
+    ended = F.concat(words, F.lit(" "))
+    labels = [F.when(may & ended.contains(f" {p} "), F.lit(label)) for p, label in phrases.items()]
     return {
         "n_words": spaces(words),
         "n_base": count,
-        "first_word": F.when(found, spaces(before_first) - 1),
+        "first_word": F.when(found, spaces(before_first)),
         "last_word": F.when(found, spaces(before_last)),
         "base": F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))),
     }
 
 
-def least_words(words: list[str], threshold: float) -> int:
-    return next(k for k in range(1, len(words) + 1) if k / len(words) >= threshold)
+def least_words(n: int, threshold: float) -> int:
+    """How many of ``n`` words reach the threshold."""
+    return next(k for k in range(1, n + 1) if k / n >= threshold)
 
 
-def text_blocks(docs: DataFrame, keys: list[str], templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """``keys, words``: the distinct template words of every line, and of every run of words over several lines,
-    that holds enough words of some template."""
-    sets = [sorted(set(text.split())) for _, text in templates]
-    literal = lambda ws: F.array(*(F.lit(w) for w in ws))
-    vocabulary = literal(sorted({w for s in sets for w in s}))
-    width = max(len(text.split()) for _, text in templates)
-    words_of = lambda text: F.split(F.translate(text, UPPER, LOWER), NOT_WORD)
+def template_list(templates: list[tuple[str, str]] | DataFrame) -> list[tuple[str, str]]:
+    """Templates with lower-cased words, from a list or a table; those without a word go."""
+    if isinstance(templates, DataFrame):
+        rows = templates.select("label", spaced_words(text_or_empty("text")).alias("text")).limit(MOST_TEMPLATES + 1).collect()
+        if len(rows) > MOST_TEMPLATES:
+            raise ValueError(f"more than {MOST_TEMPLATES} templates")
+        templates = sorted((r["label"], r["text"]) for r in rows if r["label"] is not None)
+    return [(label, text) for label, text in templates if text.split()]
 
-    def enough(held: Column) -> Column:
-        some = F.lit(False)
-        for s in sets:
-            some = some | (F.size(F.array_intersect(held, literal(s))) >= least_words(s, threshold))
-        return some
 
-    # the one-element arrays bind a value once, where a column would be computed again at each use
-    kept = lambda words: F.filter(F.array(F.array_intersect(vocabulary, words)), enough)
+def _literal(words: list[str]) -> Column:
+    return F.array(*map(F.lit, words)).cast("array<string>")
 
-    def runs(text: Column) -> Column:
-        placed = F.filter(F.transform(F.filter(words_of(text), lambda w: w != ""), lambda w, i: F.struct(i.alias("p"), w.alias("w"))), lambda x: F.array_contains(vocabulary, x["w"]))
 
-        def windows(ps: Column) -> Column:
-            near = lambda x, i: F.filter(F.slice(ps, i + 1, F.lit(width)), lambda y: y["p"] < x["p"] + width)
-            return F.transform(ps, lambda x, i: F.array_distinct(F.transform(near(x, i), lambda y: y["w"])))
+def word_places(words: Column, templates: list[tuple[str, str]], threshold: float) -> Column:
+    """``array<struct<p, w>>``: the places of template words in a :func:`spaced_words` column, null where the text
+    holds too few words of every template."""
+    sets = [sorted(set(text.split())) for _, text in templates]
+    vocabulary = _literal(sorted({w for s in sets for w in s}))
+
+    def placed(all_words: Column) -> Column:
+        held = F.array_intersect(vocabulary, all_words)
+        # the one-element array binds a value once, where a column would be computed again at each use
+        enough = F.exists(F.array(held), lambda h: _any([F.size(F.array_intersect(h, _literal(s))) >= least_words(len(s), threshold) for s in sets]))
+        every = F.transform(all_words, lambda w, i: F.struct(i.alias("p"), w.alias("w")))
+        return F.when(enough, F.filter(every, lambda x: F.array_contains(vocabulary, x["w"])))
 
-        return F.filter(F.flatten(F.transform(F.array(placed), windows)), enough)
+    return F.transform(F.array(F.split(F.ltrim(words), " ")), placed)[0]
 
-    text = text_or_empty(text_col)
-    may = docs.where(F.size(kept(words_of(text))) > 0)
-    lines = F.flatten(F.transform(F.split(text, "\n"), lambda line: kept(words_of(line))))
-    wrapped = F.when(F.instr(text, "\n") > 0, runs(text)).otherwise(F.array().cast("array<array<string>>"))
-    return may.select(*keys, F.explode(F.array_distinct(F.concat(lines, wrapped))).alias("words"))
 
+def _any(tests: list[Column]) -> Column:
+    out = F.lit(False)
+    for t in tests:
+        out = out | t
+    return out
 
-def containment_join(blocks: DataFrame, keys: list[str], templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """``keys, label, containment`` of every block and template that meet the threshold."""
-    spark = blocks.sparkSession
-    sets = [(label, sorted(set(text.split()))) for label, text in templates]
-    vocabulary = sorted({w for _, s in sets for w in s})
-    literal = lambda ws: F.array(*(F.lit(w) for w in ws))
 
-    # how many blocks hold each template word: one row per template word
-    held = blocks.select(F.explode(F.array_intersect(literal(vocabulary), F.col("words"))).alias("w"))
-    frequency = {r["w"]: r["n"] for r in held.groupBy("w").agg(F.count("*").alias("n")).collect()}
-    order = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
-    place = {w: i for i, w in enumerate(order)}
+def containment_join(placed: DataFrame, key: str, templates: list[tuple[str, str]], threshold: float = THRESHOLD) -> DataFrame:
+    """``key, label, containment`` of every row (``key, placed``) and template with a block that meets the threshold:
+    its best block's share of the template's words."""
+    # how often each template word stands in the corpus' places: one row per template word
+    counted = placed.select(F.explode("placed.w").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()
+    often = {r["w"]: r["n"] for r in counted}
+    order = {w: i for i, w in enumerate(sorted({w for _, text in templates for w in text.split()}, key=lambda w: (often.get(w, 0), w)))}
 
     prefixes = []
-    for number, (label, words) in enumerate(sets):
-        size = len(words)
-        need = least_words(words, threshold)
-        ranked = sorted(words, key=place.__getitem__)
-        prefixes += [(w, number, label, p, size, need, ranked) for p, w in enumerate(ranked[: size - need + 1])]
-    prefix = spark.createDataFrame(prefixes, "w string, number int, label string, p int, size int, need int, template array<string>")
-    least = min(p[5] for p in prefixes)
-
-    ordered = blocks.select(*keys, F.array_intersect(literal(order), F.col("words")).alias("held")).where(F.size("held") >= least)
-    seeds = ordered.select(*keys, "held", F.posexplode("held").alias("q", "w"))
-    reach = F.lit(1) + F.least(F.col("size") - F.col("p"), F.size("held") - F.col("q")) - 1
-    pairs = seeds.join(F.broadcast(prefix), "w").where((F.size("held") >= F.col("need")) & (reach >= F.col("need")))
-    overlap = F.size(F.array_intersect("held", "template"))
-    checked = pairs.select(*keys, "label", "need", "size", overlap.alias("overlap")).where(F.col("overlap") >= F.col("need"))
-    return checked.select(*keys, "label", (F.col("overlap") / F.col("size")).alias("containment"))
-
-
-def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    for number, (label, text) in enumerate(templates):
+        ranked = sorted(set(text.split()), key=order.__getitem__)
+        need = least_words(len(ranked), threshold)
+        for q, w in enumerate(ranked[: len(ranked) - need + 1]):
+            prefixes.append((w, number, label, len(text.split()), len(ranked), need, ranked, ranked[q:]))
+    schema = "w string, number int, label string, width int, size int, need int, template array<string>, behind array<string>"
+    prefix = placed.sparkSession.createDataFrame(prefixes, schema)
+
+    seeds = placed.select(key, "placed", F.explode("placed").alias("seed")).select(key, "placed", "seed.p", "seed.w")
+    met = seeds.join(F.broadcast(prefix), "w")
+    around = F.filter("placed", lambda x: (x["p"] > F.col("p") - F.col("width")) & (x["p"] < F.col("p") + F.col("width")) & F.array_contains("template", x["w"]))
+    met = met.select(key, "number", "label", "p", "width", "size", "need", "behind", around.alias("near"))
+    words = F.array_distinct("near.w")
+    met = met.where((F.size(words) >= F.col("need")) & (F.size(F.array_intersect(words, "behind")) >= F.col("need")))
+
+    def words_from(start: Column) -> Column:
+        inside = F.filter("near", lambda x: (x["p"] >= start["p"]) & (x["p"] < start["p"] + F.col("width")))
+        return F.size(F.array_distinct(F.transform(inside, lambda x: x["w"])))
+
+    starts = F.filter("near", lambda x: (x["p"] <= F.col("p")))
+    met = met.select(key, "number", "label", "size", "need", F.array_max(F.transform(starts, words_from)).alias("overlap"))
+    best = met.where(F.col("overlap") >= F.col("need")).groupBy(key, "number", "label", "size").agg(F.max("overlap").alias("overlap"))
+    return best.select(key, "label", (F.col("overlap") / F.col("size")).alias("containment"))
+
+
+def scan_licenses(
+    docs: DataFrame, templates: list[tuple[str, str]] | DataFrame = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """One row per document: phrase counts and places, base labels, labels with the templates', and a score
     (1 where a base phrase stands, else the best containment that meets the threshold, else 0)."""
-    keyed = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("text"), F.xxhash64(text_or_empty(text_col)).alias("_h"))
-    found = containment_join(written(text_blocks(keyed, ["doc_id", "_h"], templates, threshold), "blocks"), ["doc_id", "_h"], templates, threshold)
-    by_text = found.groupBy(F.col("doc_id").alias("_d"), F.col("_h").alias("_g")).agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"))
-    words = keyed.select("doc_id", "_h", spaced_words(F.col("text")).alias("_words"))
-    phrases = phrase_columns(F.col("_words"))
-    base = words.select("doc_id", "_h", *(c.alias(n) for n, c in phrases.items()))
-    joined = base.join(by_text, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")), "left")
+    templates = template_list(templates)
+    words = docs.select(F.col(f"`{id_col}`").alias("doc_id"), spaced_words(text_or_empty(text_col)).alias("_words"))
+    columns = phrase_columns(F.col("_words")) | {"placed": word_places(F.col("_words"), templates, threshold)}
+    scanned = written(words.select("doc_id", F.monotonically_increasing_id().alias("_r"), *(c.alias(n) for n, c in columns.items())), "scanned")
+    found = containment_join(scanned.where("placed is not null").select("_r", "placed"), "_r", templates, threshold)
+    by_row = found.groupBy("_r").agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"))
+    joined = scanned.drop("placed").join(by_row, "_r", "left")
     every = F.array_sort(F.array_union("base", F.coalesce("_more", F.array().cast("array<string>"))))
     return joined.select(
         "doc_id",

@@ -83,13 +83,15 @@ WITH docs AS (
 ), labelled AS (
   SELECT *, list_filter(['apache', 'gpl', 'mit'], lambda l: list_bool_or(list_transform(spots, lambda i: w[i] = CASE l WHEN 'gpl' THEN 'general' ELSE l END))) AS base FROM placed
 ), templates AS (
-  SELECT n, label, list_distinct(string_split(t, ' ')) AS t FROM (VALUES {_TEMPLATE_ROWS}) AS v(n, label, t)
-), blocks AS (
-  SELECT r, list_distinct(regexp_split_to_array(unnest(string_split(low, chr(10))), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS b FROM docs
+  SELECT n, label, len(string_split(t, ' ')) AS width, list_distinct(string_split(t, ' ')) AS t FROM (VALUES {_TEMPLATE_ROWS}) AS v(n, label, t)
+), may AS (
+  SELECT r, label, width, t, w FROM words, templates WHERE len(list_intersect(w, t)) / len(t) >= {license_scan.THRESHOLD}
+), windows AS (
+  SELECT r, label, t, width, w, unnest(range(1, len(w) + 1)) AS i FROM may
 ), hits AS (
-  SELECT r, label, len(list_intersect(b, t)) / len(t) AS share FROM blocks, templates WHERE len(list_intersect(b, t)) / len(t) >= {license_scan.THRESHOLD}
+  SELECT r, label, len(list_intersect(w[i : i + width - 1], t)) / len(t) AS share FROM windows
 ), best AS (
-  SELECT r, list(DISTINCT label) AS more, max(share) AS share FROM hits GROUP BY r
+  SELECT r, list(DISTINCT label) AS more, max(share) AS share FROM hits WHERE share >= {license_scan.THRESHOLD} GROUP BY r
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(spots) AS BIGINT) AS n_base, CAST(list_min(spots) - 1 AS BIGINT) AS first_word,
   CAST(list_max(spots) - 1 AS BIGINT) AS last_word, array_to_string(base, ',') AS base_labels,

@@ -418,22 +418,50 @@ def lower(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
 
 
+def best_blocks(words, templates, threshold):
+    """Label and containment of the templates that some block of as many words matches, block by block."""
+    found = {}
+    for label, text in templates:
+        t = text.split()
+        best = max((len(set(words[k : k + len(t)]) & set(t)) / len(set(t)) for k in range(len(words))), default=0)
+        if best >= threshold:
+            found[label] = max(best, found.get(label, 0))
+    return found
+
+
 def test_license_scan(spark, awkward):
     notice = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software"
     rows = [*awkward, (40, f"intro\n{notice} without\nLicensed under CC BY-NC 4.0."), (41, "mit license mit license\nmit\nlicense"), (42, "ſMIT LICENSEé mit-license"), (43, "general public public license")]
+    # characters above ASCII are word characters, those that other tools take for line ends too
+    rows += [(50, "a\u2028b mit license x mit license end"), (51, "q\u0085 mit license"), (52, "see mit license\u2028"), (53, "mit license\u0085"), (54, "\u2029 apache license \u2029 mit license\u2029 mit license")]
+    rows += [(55, "😀😀 😀 mit license 😀😀😀 a b general public license 😀 c"), (56, "mit license\n"), (57, "licensed under cc " + "x " * 30 + "by nc 4 0"), (58, "by nc licensed 4 0 under cc " * 3)]
     got = {(r["doc_id"], r["n_words"]): r for r in license_scan.scan_licenses(documents(spark, rows)).collect()}
     assert license_scan.scan_licenses(documents(spark, rows)).count() == len(rows)
     for i, t in rows:
         w = WORD.findall(lower(t))
         at = sorted((k, label) for phrase, label in license_scan.PHRASES.items() for p in [phrase.split()] for k in range(len(w)) if w[k : k + len(p)] == p)
-        more = {label for label, text in license_scan.TEMPLATES for line in lower(t).split("\n") if len(set(WORD.findall(line)) & set(text.split())) / len(set(text.split())) >= license_scan.THRESHOLD}
+        more = best_blocks(w, license_scan.TEMPLATES, license_scan.THRESHOLD)
         r = got[i, len(w)]
         assert (r["n_base"], r["first_word"], r["last_word"]) == (len(at), at[0][0] if at else None, at[-1][0] if at else None)
-        assert r["base_labels"] == ",".join(sorted({x for _, x in at})) and r["labels"] == ",".join(sorted({x for _, x in at} | more))
-        assert 0 <= r["score"] <= 1
+        assert r["base_labels"] == ",".join(sorted({x for _, x in at})) and r["labels"] == ",".join(sorted({x for _, x in at} | set(more)))
+        assert r["score"] == pytest.approx(1.0 if at else max(more.values(), default=0.0))
     assert license_scan.scan_licenses(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_license_templates_from_a_table(spark):
+    r = random.Random(9)
+    word = lambda: r.choice("abcdefghij")
+    templates = [(f"l{k}", " ".join(word() for _ in range(r.randint(1, 9)))) for k in range(12)]
+    table = spark.createDataFrame([*templates, ("none", None), ("blank", " . "), (None, "a b")], "label string, text string")
+    rows = [(n, " ".join(word() for _ in range(r.randint(0, 40)))) for n in range(80)]
+    got = license_scan.scan_licenses(documents(spark, rows), table, threshold=0.7).collect()
+    want = {n: best_blocks(t.split(), templates, 0.7) for n, t in rows}
+    assert {x["doc_id"]: (x["labels"], round(x["score"], 9)) for x in got} == {n: (",".join(sorted(w)), round(max(w.values(), default=0.0), 9)) for n, w in want.items()}
+    many = table.crossJoin(spark.range(license_scan.MOST_TEMPLATES)).select("label", "text")
+    with pytest.raises(ValueError):
+        license_scan.scan_licenses(documents(spark, rows), many)
+
+
 def test_wrapped_license_notices(spark):
     import textwrap
 
