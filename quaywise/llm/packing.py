@@ -8,8 +8,9 @@ and what is left placed by best fit. The pieces themselves stay in Spark: they a
 length (long runs of one length in blocks, so no task holds them all) and the number alone tells the
 sequence and the place in it.
 
-Null texts count as empty, so such a document is the end id alone; an empty table gives an empty result;
-repeated rows are packed once each; null ids are kept.
+Null texts count as empty, so such a document is the end id alone; texts are tokenised whole, however long; an empty
+table gives an empty result; repeated rows are packed once each; null ids are kept; further columns of the input are
+not looked at. Pieces of equal length are numbered by block, document, piece and checksum, so a run can be repeated.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import json
 import math
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,9 @@ from quaywise.llm.common import small_batches, text_or_empty, written
 class TokenIds:
     """Token ids of whole texts from a byte-level pair-merging vocabulary file.
 
-    The file is also turned into its ranked form, which gives the same ids several times as fast. Strings
-    that name special tokens are ordinary text.
+    The file is also turned into its ranked form, which gives the same ids several times as fast. Texts that hold a
+    token the file adds to its vocabulary (such as an end mark spelled out) go to the ``tokenizers`` library, which
+    gives that token's own id.
     """
 
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value
@@ -43,7 +46,7 @@ class TokenIds:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.added = [t.content for t in self.slow.get_added_tokens_decoder().values()]
         self.fast = self._ranked(path)
 
     def _ranked(self, path: str):
@@ -68,7 +71,7 @@ class TokenIds:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        if self.fast is not None:
+        if self.fast is not None and not any(t in text for t in self.added):
             try:
                 return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
             except (ValueError, RuntimeError):  # the pattern engine gave up on an extreme run
@@ -121,101 +124,128 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end
 # --------------------------------------------------------------------------- plan on the histogram
 
 
-def _best_configuration(lengths: np.ndarray, value: np.ndarray, capacity: int) -> dict[int, int]:
-    """The most valuable multiset of lengths that fills the capacity, or the fullest room that can be filled:
-    an unbounded knapsack over the capacity."""
-    best = np.full(capacity + 1, -np.inf)
-    best[0] = 0
-    pick = np.full(capacity + 1, -1)
-    fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(int(lengths[0]), capacity + 1):
-        n = fits[c]
-        gain = best[c - lengths[:n]] + value[:n]
+def best_configuration(lengths: np.ndarray, value: np.ndarray, most: np.ndarray, capacity: int) -> np.ndarray:
+    """How many of each length (ascending) the most valuable configuration holds, at most ``most`` of each.
+
+    The pricing step: a knapsack by dynamic programming over the capacity, with multiples split into powers of two.
+    Of the lengths over half the capacity one fits at most, so they are tried last, all at once.
+    """
+    short = int(np.searchsorted(lengths, capacity // 2, side="right"))
+    parts: list[tuple[int, int]] = []
+    for k, m in enumerate(np.minimum(most[:short], capacity // lengths[:short]).tolist()):
+        step = 1
+        while m > 0:
+            parts.append((k, min(step, m)))
+            m -= step
+            step *= 2
+    best = np.zeros(capacity + 1)
+    taken = np.zeros((len(parts), capacity + 1), bool)
+    for p, (k, n) in enumerate(parts):
+        w = int(lengths[k]) * n
+        gain = best[:-w] + value[k] * n
+        np.greater(gain, best[w:], out=taken[p, w:])
+        np.maximum(gain, best[w:], out=best[w:])
+    out = np.zeros(len(lengths), np.int64)
+    room = capacity
+    if short < len(lengths):
+        gain = best[capacity - lengths[short:]] + value[short:]
         k = int(gain.argmax())
-        best[c], pick[c] = gain[k], k
-    out: dict[int, int] = {}
-    c = int(np.flatnonzero(np.isfinite(best))[-1])
-    while c:
-        k = int(pick[c])
-        out[k] = out.get(k, 0) + 1
-        c -= int(lengths[k])
+        if gain[k] > best[capacity]:
+            out[short + k] = 1
+            room -= int(lengths[short + k])
+    for p in range(len(parts) - 1, -1, -1):
+        if taken[p, room]:
+            k, n = parts[p]
+            out[k] += n
+            room -= int(lengths[k]) * n
     return out
 
 
-def solve_configurations(counts: np.ndarray, capacity: int, rounds: int = 200, rate: float = 2.0, power: float = 1.2) -> list[tuple[dict[int, int], float]]:
-    """Fractional covering of the histogram by configurations ({index of length: how many}, how often).
+POWER = 1.3  # of a length's share of the capacity, as its first price
+
+
+@dataclass
+class Covering:
+    """A fractional covering of the histogram by configurations, and a bound of it from below."""
+
+    lengths: np.ndarray
+    configs: list[np.ndarray]  # pieces of each length
+    times: list[float]
+    bound: float  # no covering, fractional or whole, has fewer sequences
+
+    @property
+    def value(self) -> float:
+        return sum(self.times)
 
-    Weights start as the share of the capacity (to a power just over one, as long pieces are the hard ones)
-    and shrink exponentially with the part of the demand that is covered, so the pricing step turns to
-    lengths that lag. A step covers at most half of the open demand of any length in the configuration until
-    that is small. Demand that the rounds leave open is the rounding step's to place.
+
+def solve_configurations(counts: np.ndarray, capacity: int, rounds: int = 400, rate: float = 0.5, power: float = POWER) -> Covering:
+    """The configuration program: cover the demand of every length by as few configurations as possible.
+
+    Multiplicative weights: a length's price starts at its share of the capacity (to a power over one, as long pieces
+    are the hard ones) and shrinks exponentially with the part of its demand that is covered, so the pricing step
+    turns to lengths that lag. A step covers at most half of the open demand of a length (all of it once one sequence
+    does, or when the rounds run short). Prices divided by the worth of the best configuration are a solution of the
+    dual program, so every round in which all lengths are open gives a lower bound; the best one is kept.
     """
     lengths = np.flatnonzero(counts)
-    if not len(lengths):
-        return []
     demand = counts[lengths].astype(float)
-    covered = np.zeros(len(lengths))
-    chosen: dict[tuple, float] = {}
-    for _ in range(rounds):
-        open_ = covered < demand - 1e-9
-        if not open_.any():
-            break
-        at = np.flatnonzero(open_)
-        share = covered[at] / demand[at]
-        value = (lengths[at] / capacity) ** power * np.exp(-rate * (share - share.min()))
-        config = {int(at[k]): n for k, n in _best_configuration(lengths[at], value, capacity).items()}
-        step = min((demand[k] - covered[k]) / n for k, n in config.items())
-        if step > 64:
-            step /= 2
-        for k, n in config.items():
-            covered[k] += step * n
-        key = tuple(sorted(config.items()))
-        chosen[key] = chosen.get(key, 0.0) + step
-    return [({int(lengths[k]): n for k, n in key}, x) for key, x in chosen.items()]
-
-
-def packing_plan(counts: np.ndarray, capacity: int, rounds: int = 200) -> list[tuple[dict[int, int], int]]:
-    """Whole-number plan: ``({length: pieces per sequence}, sequences)`` covering the histogram exactly.
-
-    The solution is rounded after all rounds and after a part of them (rounding to whole sequences can cost
-    more than the later rounds gain on a small corpus); the plan with the fewest sequences is taken, and the
-    search ends where the total length allows no fewer.
+    result = Covering(lengths, [], [], float((lengths * demand).sum() / capacity))
+    chosen: dict[bytes, int] = {}
+    left = demand.copy()
+    n = 0
+    while (left > 1e-9).any():
+        at = np.flatnonzero(left > 1e-9)
+        share = left[at] / demand[at]
+        price = (lengths[at] / capacity) ** power * np.exp(rate * (share - share.max()))
+        config = np.zeros(len(lengths), np.int64)
+        config[at] = best_configuration(lengths[at], price, np.ceil(left[at]).astype(np.int64), capacity)
+        if len(at) == len(lengths) and n < rounds:
+            worth = best_configuration(lengths, price, np.full(len(at), capacity), capacity) @ price
+            result.bound = max(result.bound, float(price @ demand / worth))
+        held = config > 0
+        step = (left[held] / config[held]).min()
+        if step > 1 and n < rounds:
+            step = max(step / 2, 1.0)
+        left[held] -= step * config[held]
+        key = config.tobytes()
+        if key not in chosen:
+            chosen[key] = len(result.configs)
+            result.configs.append(config)
+            result.times.append(0.0)
+        result.times[chosen[key]] += step
+        n += 1
+    return result
+
+
+def packing_plan(counts: np.ndarray, capacity: int, rounds: int = 400) -> list[tuple[dict[int, int], int]]:
+    """Whole-number plan: ``({length: pieces per sequence}, sequences)`` that holds the histogram exactly.
+
+    The program's solution is rounded down to whole sequences. What that leaves is placed sequence by sequence: each
+    is the most valuable configuration of the pieces that are left, at the program's first prices.
     """
-    least = -(-int((np.arange(len(counts)) * counts).sum()) // capacity)
-    best: list[tuple[dict[int, int], int]] | None = None
-    for some in sorted({rounds, rounds // 4, rounds // 16, 0}, reverse=True):
-        plan = _rounded(solve_configurations(counts, capacity, some), counts, capacity)
-        if best is None or sum(t for _, t in plan) < sum(t for _, t in best):
-            best = plan
-        if sum(t for _, t in best) == least:
-            break
-    return best
-
-
-def _rounded(solution: list[tuple[dict[int, int], float]], counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    left = counts.astype(np.int64).copy()
+    if not counts.any():
+        return []
+    solved = solve_configurations(counts, capacity, rounds)
+    lengths, left = solved.lengths, counts[solved.lengths].astype(np.int64)
     plan: list[tuple[dict[int, int], int]] = []
-    for config, x in sorted(solution, key=lambda c: -c[1]):
-        times = min([math.floor(x + 1e-9), *(int(left[n]) // k for n, k in config.items())])
-        if times > 0:
-            plan.append((config, times))
-            for n, k in config.items():
-                left[n] -= k * times
-    while left.any():  # best fit, largest first, as many equal sequences at a time as the counts allow
-        room, config = capacity, {}
-        while room:
-            fit = np.flatnonzero(left[: room + 1])
-            fit = fit[[left[n] > config.get(int(n), 0) for n in fit]] if len(fit) else fit
-            if not len(fit):
-                break
-            n = int(fit[-1])
-            k = min(room // n, int(left[n]) - config.get(n, 0))
-            config[n] = config.get(n, 0) + k
-            room -= k * n
-        times = min(int(left[n]) // k for n, k in config.items())
-        plan.append((config, times))
-        for n, k in config.items():
-            left[n] -= k * times
+
+    def place(config: np.ndarray, times: int) -> None:
+        nonlocal left
+        left = left - config * times
+        plan.append(({int(lengths[k]): int(config[k]) for k in np.flatnonzero(config)}, int(times)))
+
+    for k in np.argsort(-np.array(solved.times), kind="stable"):
+        config, held = solved.configs[k], solved.configs[k] > 0
+        times = min(math.floor(solved.times[k] + 1e-9), int((left[held] // config[held]).min()))
+        if times:
+            place(config, times)
+    price = (lengths / capacity) ** POWER
+    while left.any():
+        at = np.flatnonzero(left)
+        config = np.zeros(len(lengths), np.int64)
+        config[at] = best_configuration(lengths[at], price[at], left[at], capacity)
+        held = config > 0
+        place(config, int((left[held] // config[held]).min()))
     return plan
 
 
@@ -249,7 +279,7 @@ class PlanTable:
 # --------------------------------------------------------------------------- operator
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 1024, rounds: int = 200) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = 1024, rounds: int = 400) -> DataFrame:
     """``pieces`` (a stored table with ``doc_id, piece, start, length, ids_crc32``) with ``sequence_id, offset``."""
     counts = np.zeros(capacity + 1, np.int64)
     for row in pieces.groupBy("length").count().collect():  # at most `capacity` rows
@@ -277,6 +307,6 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024, rounds: int = 200) -> D
     return out.mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, rounds: int = 200, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, rounds: int = 400, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise, cut and pack: one row per piece with its sequence and its offset there."""
     return pack_pieces(written(token_pieces(docs, tokenizer_path, capacity, end_id, keep_ids, id_col, text_col), "pieces"), capacity, rounds)

@@ -105,7 +105,6 @@ def test_character_map_longest_prefix():
 
 def test_token_ids_match_tokenizers(awkward):
     slow = Tokenizer.from_file(BPE)
-    slow.encode_special_tokens = True
     ids = packing.TokenIds(BPE)
     for _, t in awkward:
         assert np.frombuffer(ids.encode(t or ""), "<u4").tolist() == slow.encode(t or "", add_special_tokens=False).ids
@@ -113,7 +112,6 @@ def test_token_ids_match_tokenizers(awkward):
 
 def test_packing(spark, awkward):
     slow = Tokenizer.from_file(BPE)
-    slow.encode_special_tokens = True
     df = documents(spark, awkward)
     rows = packing.pack_documents(df, BPE, capacity=128).collect()
     want = collections.Counter()
@@ -137,6 +135,44 @@ def test_packing(spark, awkward):
     assert packing.pack_documents(df.limit(0), BPE).count() == 0
 
 
+def best_fit(counts, capacity):
+    """Sequences that plain best fit needs: the longest piece that fits, until none does."""
+    left, n = counts.copy(), 0
+    while left.any():
+        room = capacity
+        while len(fit := np.flatnonzero(left[: room + 1])):
+            left[fit[-1]] -= 1
+            room -= int(fit[-1])
+        n += 1
+    return n
+
+
+def fewest(pieces, capacity):
+    """Fewest sequences, by trying every set of pieces with the largest one."""
+    if not pieces:
+        return 0
+    first, rest = pieces[0], pieces[1:]
+    best = len(pieces)
+    for chosen in range(1 << len(rest)):
+        held = [p for k, p in enumerate(rest) if chosen >> k & 1]
+        if first + sum(held) <= capacity:
+            best = min(best, 1 + fewest(tuple(p for k, p in enumerate(rest) if not chosen >> k & 1), capacity))
+            if best * capacity < sum(pieces) + capacity:
+                break
+    return best
+
+
+def sequences(counts, capacity):
+    plan = packing.packing_plan(counts, capacity)
+    got = np.zeros_like(counts)
+    for config, times in plan:
+        assert sum(n * k for n, k in config.items()) <= capacity and times > 0
+        for n, k in config.items():
+            got[n] += k * times
+    assert (got == counts).all()
+    return sum(t for _, t in plan)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing_plan_is_whole_and_tight(seed):
     r = np.random.default_rng(seed)
@@ -144,15 +180,42 @@ def test_packing_plan_is_whole_and_tight(seed):
     for n in r.integers(1, 65, size=int(r.integers(1, 3000))):
         counts[n] += 1
     counts[int(r.integers(1, 65))] += 1000 * (seed % 2)
-    plan = packing.packing_plan(counts, 64)
-    got = np.zeros(65, np.int64)
-    for config, times in plan:
-        assert sum(n * k for n, k in config.items()) <= 64 and times > 0
-        for n, k in config.items():
-            got[n] += k * times
-    assert (got == counts).all()
     over_half = counts[33:].sum()
-    assert sum(t for _, t in plan) <= max(-(-int((np.arange(65) * counts).sum()) // 64), over_half) * 1.06 + 2
+    assert sequences(counts, 64) <= max(-(-int((np.arange(65) * counts).sum()) // 64), over_half) * 1.06 + 2
+
+
+def test_packing_program_beats_best_fit():
+    counts = np.zeros(101, np.int64)
+    counts[[51, 27, 26, 23]] = 60, 60, 60, 120
+    solved = packing.solve_configurations(counts, 100)
+    assert solved.value == pytest.approx(90) and solved.bound == pytest.approx(90)
+    assert sequences(counts, 100) == 90 and best_fit(counts, 100) == 110
+    for seed in range(4):  # the program comes within a hundredth of its own lower bound, and so does the plan
+        counts = np.bincount(np.random.default_rng(seed).integers(20, 60, 2000), minlength=101)
+        solved = packing.solve_configurations(counts, 100)
+        assert solved.bound <= solved.value <= 1.01 * solved.bound
+        assert sequences(counts, 100) <= 1.01 * solved.bound < best_fit(counts, 100)
+
+
+def test_packing_of_few_pieces_is_as_small_as_can_be():
+    r, gap = random.Random(6), 0
+    for _ in range(60):
+        pieces = tuple(sorted((r.randint(3, 30) for _ in range(r.randint(1, 9))), reverse=True))
+        n, least = sequences(np.bincount(pieces, minlength=41), 40), fewest(pieces, 40)
+        assert least <= n <= least + 1
+        gap += n - least
+    assert gap <= 3
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_pricing_step_finds_the_most_valuable_configuration(seed):
+    r = np.random.default_rng(seed)
+    lengths = np.sort(r.choice(np.arange(1, 21), size=4, replace=False))
+    value, most = r.random(4), r.integers(1, 4, 4)
+    got = packing.best_configuration(lengths, value, most, 20)
+    every = [c for c in np.ndindex(*(most + 1)) if np.dot(c, lengths) <= 20]
+    assert (got <= most).all() and got @ lengths <= 20
+    assert got @ value == pytest.approx(max(np.dot(c, value) for c in every))
 
 
 def brute_repeats(rows, window):
