@@ -2,13 +2,15 @@
 
 The model file is read once per Python worker. Its compiled character map (a double-array trie plus a
 pool of replacement strings) normalises a text by longest prefix, and each normalised byte remembers the
-source byte range it came from. Where the map is empty the installed library merges the pairs; else they
-are merged here, unit by unit: no piece of the vocabularies served has a word start inside it, so merging
-never crosses one (a unit is a run of word-start marks and the characters after it). Either way the sizes
-of the pieces, laid over the alignment, give each id its range of source bytes.
-
-Null texts count as empty; an empty text has no ids and decodes to an empty text. Rows are independent of
-each other, so repeated rows give repeated results and an empty table an empty one.
+source byte range it came from; an empty map has no rules, so every character stays as it is. The pairs are
+then merged unit by unit: no piece of the vocabularies served has a word start inside it, so merging never
+crosses one (a unit is a run of word-start marks and the characters after it), and a long unit is cut
+wherever two characters stand side by side in no piece. The sizes of the pieces, laid over the alignment,
+give each id its range of source bytes.
+
+Null texts count as empty; an empty text has no ids and decodes to an empty text. Texts are encoded whole,
+however long, in time that grows with them. Rows are independent of each other, so repeated rows give
+repeated results and an empty table an empty one; further columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ MARK = "▁"  # stands for a space inside pieces
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the model format
 CACHE_UNITS = 300_000  # units remembered per worker
 LONGEST_CACHED = 48  # characters
+NEVER = 1 << 30  # rank of a pair that is no piece
+MERGED_AT_ONCE = 4096  # units
 
 
 # --------------------------------------------------------------------------- model file
@@ -189,23 +192,44 @@ class PieceCodec:
         self.model = PieceModel.read(path)
         self.rules = CharacterMap(self.model.charsmap)
         m = self.model
-        self.rank = {p: (-s, i) for i, (p, s, k) in enumerate(zip(m.pieces, m.scores, m.kinds, strict=True)) if k == NORMAL}
+        normal = [i for i, k in enumerate(m.kinds) if k == NORMAL]
+        place = {s: n for n, s in enumerate(sorted({m.scores[i] for i in normal}, reverse=True))}
+        self.rank = {m.pieces[i]: place[m.scores[i]] for i in normal}  # the best score comes first
+        self.id = {m.pieces[i]: i for i in normal}
         if any(MARK in p.lstrip(MARK) for p in self.rank) or any(k in (USER, UNUSED) for k in m.kinds):
             raise ValueError("pieces with inner word starts, user-defined or unused pieces are not supported")
         self.byte_id = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(m.pieces, m.kinds, strict=True)) if k == BYTE}
         self.id_byte = {i: b for b, i in self.byte_id.items()}
         self.unknown = next(i for i, k in enumerate(m.kinds) if k == UNKNOWN)
         self.size = np.array([len(p.encode()) if k == NORMAL else 0 for p, k in zip(m.pieces, m.kinds, strict=True)])
-        # Where normalising changes nothing but the marks, the installed library merges faster than the loop here.
-        plain = self.rules.units is None and not m.squeeze_spaces and m.add_dummy_prefix and m.byte_fallback
-        self.library = sentencepiece.SentencePieceProcessor(model_file=path) if plain else None
+        self.neighbours = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}  # characters side by side in some piece
         # ASCII bytes decode alone; a piece whose text hangs on its neighbours has no entry here
         self.surface = [p.replace(MARK, " ") if k == NORMAL else chr(self.id_byte[i]) if self.id_byte.get(i, 255) < 0x80 else None for i, (p, k) in enumerate(zip(m.pieces, m.kinds, strict=True))]
         self.decimal = list(map(str, range(len(m.pieces))))
-        self.seen: dict[str, tuple[list[int], list[int]]] = {}
+        self.seen: dict[str, tuple[bytes, bytes | None]] = {}  # bytes, which the collector need not look at
+        self._pair_table()
 
     def merge(self, unit: str) -> list[str]:
         """Pieces of a unit: the best-ranked neighbouring pair merges first, the leftmost among equals."""
+        if len(unit) > 32:
+            return self._merge_long(unit)
+        parts, rank = list(unit), self.rank.get
+        pairs = [rank(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs:
+            best = min(pairs)
+            if best == NEVER:
+                break
+            i = pairs.index(best)
+            parts[i] = piece = parts[i] + parts.pop(i + 1)
+            del pairs[i]
+            if i:
+                pairs[i - 1] = rank(parts[i - 1] + piece, NEVER)
+            if i < len(pairs):
+                pairs[i] = rank(piece + parts[i + 1], NEVER)
+        return parts
+
+    def _merge_long(self, unit: str) -> list[str]:
+        """The same with a heap of pairs, in time that grows nearly with the unit's length."""
         parts: list[str | None] = list(unit)
         left, right = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
         rank, heap = self.rank, []
@@ -214,7 +238,7 @@ class PieceCodec:
             if i >= 0 and j < len(parts):
                 both = parts[i] + parts[j]
                 if both in rank:
-                    heapq.heappush(heap, (rank[both][0], i, len(both), j))
+                    heapq.heappush(heap, (rank[both], i, len(both), j))
 
         for i in range(len(parts) - 1):
             offer(i, i + 1)
@@ -231,51 +255,136 @@ class PieceCodec:
             offer(i, right[i])
         return [p for p in parts if p is not None]
 
-    def _unit(self, unit: str) -> tuple[list[int], list[int]]:
-        """Ids of a unit and the normalised bytes of each."""
+    def _unit(self, unit: str) -> tuple[bytes, bytes | None]:
+        """Ids of a unit as 32-bit numbers, and where the ids do not tell them the normalised bytes of each."""
+        pieces = self.merge(unit)
+        ids = list(map(self.id.get, pieces))
+        if None not in ids:
+            return struct.pack(f"<{len(ids)}i", *ids), None
         ids, sizes = [], []
-        run: list[str] = []  # neighbouring unknown pieces are one where there is no byte fallback
-
-        def flush() -> None:
-            if run:
-                ids.append(self.unknown)
-                sizes.append(len("".join(run).encode()))
-                run.clear()
-
-        for piece in self.merge(unit):
-            known = self.rank.get(piece)
-            if known is None and not self.model.byte_fallback:
-                run.append(piece)
-                continue
-            flush()
+        for piece in pieces:
+            known, raw = self.id.get(piece), piece.encode()
             if known is not None:
-                ids.append(known[1])
-                sizes.append(len(piece.encode()))
-            else:
-                raw = piece.encode()
+                ids.append(known)
+                sizes.append(len(raw))
+            elif self.model.byte_fallback:
                 ids += [self.byte_id[b] for b in raw]
                 sizes += [0] * (len(raw) - 1) + [len(raw)]  # the character's bytes stay together
-        flush()
-        return ids, sizes
-
-    def _lookup(self, units: list[str]) -> list[tuple[list[int], list[int]]]:
-        seen = self.seen
-        out = []
-        for unit in units:
-            value = seen.get(unit)
-            if value is None:
-                value = self._unit(unit)
-                if len(unit) <= LONGEST_CACHED:
-                    if len(seen) >= CACHE_UNITS:
-                        seen.clear()
-                    seen[unit] = value
-            out.append(value)
-        return out
+            elif ids and ids[-1] == self.unknown:  # neighbouring unknown characters are one
+                sizes[-1] += len(raw)
+            else:
+                ids.append(self.unknown)
+                sizes.append(len(raw))
+        return struct.pack(f"<{len(ids)}i", *ids), struct.pack(f"<{len(ids)}i", *sizes)
+
+    def _pair_table(self) -> None:
+        """Which two symbols (pieces, and characters of pieces) join to which piece, and how early."""
+        symbols = list(self.rank) + sorted({c for p in self.rank for c in p} - self.rank.keys())
+        number = {p: n for n, p in enumerate(symbols)}
+        rows = []
+        for whole in self.rank:
+            for cut in range(1, len(whole)):
+                a, b = number.get(whole[:cut]), number.get(whole[cut:])
+                if a is not None and b is not None:
+                    rows.append((a << 32 | b, self.rank[whole], number[whole]))
+        keys, ranks, joined = np.array(sorted(rows), np.int64).reshape(-1, 3).T
+        never = np.array([NEVER])
+        self.pair_key, self.pair_rank, self.pair_symbol = np.append(keys, 1 << 62), np.append(ranks, never), np.append(joined, never)
+        self.symbol_id = np.array([self.id.get(p, -1) for p in symbols], np.int32)
+        self.symbol_of = np.full(0x110000, -2, np.int64)  # by code point; -2: stands in no piece
+        for c, n in number.items():
+            if len(c) == 1:
+                self.symbol_of[ord(c)] = n
+
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, symbol) of the piece that two symbols join to, NEVER where there is none."""
+        key = np.where((a >= 0) & (b >= 0), a << 32 | b, -1)
+        at = np.searchsorted(self.pair_key, key)
+        real = self.pair_key[at] == key
+        return np.where(real, self.pair_rank[at], NEVER), np.where(real, self.pair_symbol[at], NEVER)
+
+    def _see(self, wanted: set[str]) -> None:
+        """Remember units: those not seen lately merge side by side, one pair of each a round."""
+        new = [u for u in wanted if u not in self.seen and len(u) <= LONGEST_CACHED]
+        if len(self.seen) + len(new) > CACHE_UNITS:
+            self.seen = {u: v for u, v in self.seen.items() if u in wanted}
+        new.sort(key=len)
+        for at in range(0, len(new), MERGED_AT_ONCE):
+            self._learn(new[at : at + MERGED_AT_ONCE])
+
+    def _learn(self, units: list[str]) -> None:
+        n, width = len(units), len(units[-1])
+        size = np.fromiter(map(len, units), np.int64, n)
+        symbols = np.full((n, width + 1), -1, np.int64)
+        symbols[np.arange(width + 1) < size[:, None]] = self.symbol_of[np.frombuffer("".join(units).encode("utf-32-le"), "<u4")]
+        ranks, joined = self._pairs(symbols[:, :-1], symbols[:, 1:])
+        live, place = np.arange(n), np.arange(width)
+        while len(live):
+            best = ranks[live].argmin(1)
+            going = ranks[live, best] < NEVER
+            live, best = live[going], best[going]
+            r = np.arange(len(live))
+            s, k, j = symbols[live], ranks[live], joined[live]
+            s[r, best] = j[r, best]
+            source = place + (place > best[:, None])  # what stands behind moves up by one
+            s[:, :-1] = np.take_along_axis(s, source, 1)
+            s[:, -1] = -1
+            source = np.minimum(place + (place >= best[:, None]), width - 1)
+            k, j = np.take_along_axis(k, source, 1), np.take_along_axis(j, source, 1)
+            k[:, -1] = NEVER
+            k[r, best], j[r, best] = self._pairs(s[r, best], s[r, best + 1])
+            before = np.maximum(best - 1, 0)
+            old, old_j = k[r, before], j[r, before]
+            new, new_j = self._pairs(s[r, before], s[r, best])
+            k[r, before], j[r, before] = np.where(best > 0, new, old), np.where(best > 0, new_j, old_j)
+            symbols[live], ranks[live], joined[live] = s, k, j
+        held = symbols[:, :width] != -1
+        ids = np.where(symbols >= 0, self.symbol_id[np.maximum(symbols, 0)], -1)[:, :width]
+        strange = (held & (ids < 0)).any(1).tolist()
+        raw, ends = ids[held].astype("<i4").tobytes(), np.cumsum(4 * held.sum(1)).tolist()
+        start = 0
+        for unit, end, odd in zip(units, ends, strange, strict=True):
+            self.seen[unit] = self._unit(unit) if odd else (raw[start:end], None)
+            start = end
+
+    def _remembered(self, unit: str) -> tuple[bytes, bytes | None]:
+        """:meth:`_unit` of a unit that was not seen lately; a long one is put together from its parts."""
+        if len(unit) > LONGEST_CACHED:
+            parts = self.parts(unit)
+            if len(parts) == 1:
+                return self._unit(unit)
+            ids, sizes = self._joined([self.seen.get(p) or self._remembered(p) for p in parts])
+            return ids, sizes.astype("<i4").tobytes()
+        if len(self.seen) >= CACHE_UNITS:
+            self.seen.clear()
+        self.seen[unit] = value = self._unit(unit)
+        return value
+
+    def _joined(self, found: list[tuple[bytes, bytes | None]]) -> tuple[bytes, np.ndarray]:
+        """Ids of units in a row, and the normalised bytes of each."""
+        raw = b"".join([f[0] for f in found])
+        sizes = self.size[np.frombuffer(raw, "<i4")]
+        if any(own for _, own in found):
+            at = 0
+            for ids, own in found:
+                if own is not None:
+                    sizes[at : at + len(ids) // 4] = np.frombuffer(own, "<i4")
+                at += len(ids) // 4
+        return raw, sizes
+
+    def parts(self, unit: str) -> list[str]:
+        """A unit cut where merging cannot join what stands on both sides. Unknown characters in a row stay together
+        where they become one id."""
+        neighbours, fallback = self.neighbours, self.model.byte_fallback
+        cuts = [i for i, pair in enumerate(map("".join, zip(unit, unit[1:], strict=False)), 1) if pair not in neighbours and (fallback or pair[0] in self.rank or pair[1] in self.rank)]
+        return [unit[a:b] for a, b in zip([0, *cuts], [*cuts, len(unit)], strict=True)]
 
     @staticmethod
     def units(text: str) -> list[str]:
         """The text cut before every run of marks."""
         parts = text.split(MARK)
+        if "" not in parts[1:]:
+            return ([parts[0]] if parts[0] else []) + [MARK + p for p in parts[1:]]
         out, run = ([parts[0]] if parts[0] else []), 0
         for p in parts[1:]:
             run += 1
@@ -287,24 +396,20 @@ class PieceCodec:
         return out
 
     def encode(self, text: str) -> Encoded:
-        norm = normalise(self.model, self.rules, text)
-        if self.library:
-            ids = self.library.encode(text, num_threads=1)
-            return Encoded(ids, self._sizes(ids), norm)
-        found = self._lookup(self.units(norm.text)) if norm.text else []
-        return Encoded([i for f in found for i in f[0]], np.array([n for f in found for n in f[1]], np.int64), norm)
-
-    def _sizes(self, ids: list[int]) -> np.ndarray:
-        """Normalised bytes of each id; of a character written as bytes, all stand on its last byte."""
-        codes = np.array(ids, np.int64)
-        sizes = self.size[codes]
-        at, stop = 0, np.flatnonzero(sizes == 0).tolist()
-        for i in stop:
-            if i >= at:
-                lead = self.id_byte[ids[i]]
-                at = i + (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
-                sizes[at - 1] = at - i
-        return sizes
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[Encoded]:
+        norms = [normalise(self.model, self.rules, t) for t in texts]
+        units = [self.units(n.text) for n in norms]
+        self._see(set().union(*units))
+        out = []
+        for norm, own in zip(norms, units, strict=True):
+            found = list(map(self.seen.get, own))
+            if None in found:
+                found = [f or self._remembered(u) for f, u in zip(found, own, strict=True)]
+            raw, sizes = self._joined(found)
+            out.append(Encoded(np.frombuffer(raw, "<i4").tolist(), sizes, norm))
+        return out
 
     def spans(self, e: Encoded) -> tuple[np.ndarray, np.ndarray]:
         """Source byte range of each id. Bytes of one character share that character's range."""
@@ -398,8 +503,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
         c = codec(model_path)
         for batch in small_batches(batches):
             ids, starts, ends = [], [], []
-            for text in batch.column(1).to_pylist():
-                e = c.encode(text)
+            for e in c.encode_all(batch.column(1).to_pylist()):
                 a, b = c.spans(e)
                 ids.append(e.ids)
                 starts.append(a)
@@ -434,8 +538,7 @@ def piece_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
         c = codec(model_path)
         for batch in small_batches(batches):
             n, ids, decoded, spans = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                e = c.encode(text)
+            for e in c.encode_all(batch.column(1).to_pylist()):
                 n.append(len(e.ids))
                 ids.append(hashlib.sha256(",".join(map(c.decimal.__getitem__, e.ids)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(c.decode(e.ids).encode()).hexdigest())

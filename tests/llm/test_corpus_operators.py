@@ -74,12 +74,22 @@ def test_piece_spans_cover_the_source(spark, awkward):
                     assert raw[a[k] : b[k]].decode() == sp.id_to_piece(i).replace("▁", " ")
 
 
-def test_piece_codec_own_merging(awkward):
+@pytest.mark.parametrize("at_once", [3, 4096])
+def test_pieces_merge_as_in_the_library(awkward, at_once, monkeypatch):
+    """Units side by side, one by one, from memory, and long ones that are cut or merged by the heap."""
+    monkeypatch.setattr(piece_codec, "MERGED_AT_ONCE", at_once)
+    monkeypatch.setattr(piece_codec, "CACHE_UNITS", 200)
+    r = random.Random(1)
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = [t or "" for _, t in awkward] + ["".join(r.choices(x, k=r.randint(1, 300))) for x in ("abcdefg", "ab ", "你好世界 ", "éü€ߘ😀 ", "▁ x", "the and ing") for _ in range(20)]
     codec = piece_codec.PieceCodec(PIECES)
-    library, codec.library = codec.library, None
-    for _, t in awkward:
-        if len(t or "") < 20_000:
-            assert codec.encode(t or "").ids == library.encode(t or "")
+    for _ in range(2):
+        for at in range(0, len(texts), 7):
+            for t, e in zip(texts[at : at + 7], codec.encode_all(texts[at : at + 7]), strict=True):
+                assert e.ids == sp.encode(t) and e.sizes.sum() == len(e.normal.text.encode())
+    for t in texts:
+        for unit in codec.units(piece_codec.normalise(codec.model, codec.rules, t).text):
+            assert codec.merge(unit[:2000]) == codec._merge_long(unit[:2000])
 
 
 def test_character_map_longest_prefix():
