@@ -9,7 +9,8 @@ through a logistic link that is fitted on a histogram of that difference.
 Labels, language, source and id are never inputs of a score. Null texts count as empty and are scored like any
 text. Labels without an id or value are ignored, of several for one id the smallest counts. With no labelled
 row of one of the classes every score is the share of good rows (0.5 if there is no label at all). A null id is
-never held out. Repeated rows repeat; an empty table gives an empty result.
+never held out and has no label. Texts are read whole, however long. Repeated rows repeat; further columns of the
+input may have any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaywise.llm.common import small_batches, text_or_empty, written
+from quaywise.llm.common import removed, small_batches, text_or_empty, written
 
 _KIND = np.zeros(256, np.int64)
 for _kind, _members in enumerate([b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b"\t\r\x0b\x0c", b".,;:", b"!?", b"'\"-()", b"|", b"#$%&*", b"<>{}[]=+~^_\\/@`", bytes(range(128, 256))], 1):
@@ -80,16 +81,19 @@ def statistics(raw: bytes) -> list[float]:
 SIZE = len(statistics(b""))
 
 
-def statistics_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, held_out, x``."""
+def statistics_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``doc_id, held_out, x`` and the columns to keep."""
+    keep = keep or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             x = [statistics(b) for b in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64())), *batch.columns[2:]], names=["doc_id", "x", *keep])
 
-    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, x array<double>").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "x")
+    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("text"), *keep)
+    kinds = dict(source.dtypes)
+    rows = source.mapInArrow(run, f"doc_id {kinds['doc_id']}, x array<double>" + "".join(f", {c} {kinds[c]}" for c in keep))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "x", *keep)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -193,10 +197,14 @@ def _arrays(batch: pa.RecordBatch, column: int) -> np.ndarray:
     return batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(-1, SIZE)
 
 
-def train(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id") -> Discriminant | float:
-    """Fit on every labelled row that is not held out; the share of good rows where a class is missing."""
-    truth = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(f"`{id_col}`").alias("_id")).agg(F.min(label_col).alias("y"))
-    labelled = written(stats.where(~F.col("held_out")).join(truth, F.col("doc_id") == F.col("_id")).select("x", "y"), "labelled")
+def truth_of(labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id") -> DataFrame:
+    """``_id, y``: one label for each id that has any, held-out ones left out."""
+    known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(f"`{id_col}`")))
+    return known.groupBy(F.col(f"`{id_col}`").alias("_id")).agg(F.min(label_col).alias("y")).where("_id is not null")
+
+
+def train(labelled: DataFrame) -> Discriminant | float:
+    """Fit on labelled rows (``x, y``, a stored table); the share of good rows where a class is missing."""
     moments = class_moments(labelled)
     if not moments.n.all():
         return float(moments.n[1] / moments.n.sum()) if moments.n.sum() else 0.5
@@ -225,12 +233,18 @@ def apply_scores(stats: DataFrame, model: Discriminant | float, threshold: float
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document."""
     stats = written(statistics_table(docs, id_col, text_col), "statistics")
-    return apply_scores(stats, train(stats, labels), threshold)
+    labelled = written(stats.join(truth_of(labels), F.col("doc_id") == F.col("_id")).select("x", "y"), "labelled")
+    return apply_scores(stats, train(labelled), threshold)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` (all columns) that are predicted to be good; scored in passing, with no join."""
-    model = train(written(statistics_table(docs, id_col, text_col), "statistics"), labels)
+    """The rows of ``docs`` (all columns) that are predicted to be good. Only labelled texts are looked at for the
+    fit; all are scored in passing, with no join."""
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    known = statistics_table(texts.join(truth_of(labels), F.col("doc_id") == F.col("_id")), keep=["y"])
+    labelled = written(known.select("x", "y"), "labelled")
+    model = train(labelled)
+    removed(labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):

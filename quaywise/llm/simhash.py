@@ -13,7 +13,8 @@ size of a bucket, and connected components from star contraction of those links.
 
 Texts without words have fingerprint zero and link like any other. Null texts count as empty. Equal texts,
 repeated rows and repeated ids share a fingerprint and so a component; a null id gets its component's smallest
-non-null id (null if there is none). An empty table gives an empty result.
+non-null id (null if there is none). Texts are read whole, however long; further columns of the input are not looked
+at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -87,7 +88,8 @@ def star_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``u, root``: every node of the links but the roots, with the smallest node of its component.
 
     Alternates large-star and small-star contraction on stored tables until nothing changes; only two sums
-    reach the driver. Groups are reduced by minimum before they are joined, so no node's links meet in a task.
+    reach the driver. A node's smallest neighbour comes from a reduction in two steps; its links then meet that one row
+    in a plain join of small rows, which adaptive execution splits where a node has very many.
     """
     now = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -107,20 +109,25 @@ def star_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def fingerprint_components(distinct: DataFrame) -> DataFrame:
+    """``fp, root`` of the distinct fingerprints (column ``fp``) that link to another one."""
+    roots = written(star_components(fingerprint_links(distinct)).select(F.col("u").alias("fp"), "root"), "roots")
+    return roots.unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fingerprint, component_id`` of every document (links at two or fewer differing bits)."""
+    """``doc_id, fingerprint, component_id`` of every document (links at two or fewer differing bits).
+
+    Fingerprints that more than a thousandth of the documents have are at most a thousand; these are named by a
+    broadcast, so that no task gets all documents of one.
+    """
     fps = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = star_components(fingerprint_links(distinct)).select(F.col("u").alias("fp"), "root")
-    members = roots.unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
+    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
+    members = fingerprint_components(distinct.select("fp"))
     least = members.join(distinct, "fp").groupBy("root").agg(F.min("first").alias("component"))
     component = members.join(least, "root").select("fp", "component")
-    named = distinct.join(component, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one_of_each(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` (all columns) whose id names their component. Rows without an id stay."""
-    kept = near_duplicates(docs, shingle, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, F.col(f"`{id_col}`") == F.col("_kept"), "left_semi")
-    return named.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    named = written(distinct.join(component, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"), "n"), "named")
+    common = named.where(F.col("n") > max(1000, fps.count() // 1000)).drop("n")
+    many = fps.join(F.broadcast(common), "fp")
+    few = fps.join(F.broadcast(common.select("fp")), "fp", "left_anti").join(named.drop("n"), "fp")
+    return many.unionByName(few).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -19,13 +19,14 @@ copies are reduced per salt before they meet. The sample decides only where rows
 blocks and windows have 128 bits.
 
 A document is one row: rows that share an id and a text are alike, and neither of two rows with one id starts
-earlier than the other. A null id ranks before all others. Null texts have no words. An empty table gives an
-empty result.
+earlier than the other. Ids are read as long; a null id ranks before all others. Null texts have no words. Texts are
+read whole, however long. Further columns may have any names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import compress
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaywise.llm.common import small_batches, text_or_empty, written
+from quaywise.llm.common import removed, small_batches, text_or_empty, unused_name, written
 
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd multipliers of the two rolling hashes
 NO_ID = -(1 << 63)  # stands for a null id while documents are compared
@@ -311,7 +312,11 @@ def repeated_places(docs: DataFrame, window: int = 20, anchor: int = 5, id_col:
     first = windows.groupBy("h1", "h2").agg(F.min("d").alias("f"), F.max("d").alias("l")).where("f < l").select("h1", "h2", "f")
     later = windows.join(first, ["h1", "h2"]).where("d > f").select("d", "t", F.lit(None).cast("int").alias("p"), "s")
     whole = blocks.where(F.col("kind") == WHOLE).select("d", "t", "p", F.lit(None).cast("int").alias("s"))
-    return written(whole.unionByName(later).groupBy("d", "t").agg(F.collect_set("p").alias("wholes"), F.collect_set("s").alias("starts")), "places")
+    places = whole.unionByName(later).groupBy("d", "t").agg(F.collect_set("p").alias("wholes"), F.collect_set("s").alias("starts"))
+    places = written(places, "places")
+    for table in (judged, blocks, windows):
+        removed(table)
+    return places
 
 
 def covered(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -325,6 +330,16 @@ def spans_of(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def cut_out(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
+    """A text without runs of its words and the white space behind each; all else stays byte for byte."""
+    starts = [m.start() for m in _WORD.finditer(raw)] + [len(raw)]
+    edges = [0, *(starts[n] for run in runs for n in run), len(raw)]
+    return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
 def _removed_words(c: Cutter, wholes: pa.ListArray, starts: pa.ListArray) -> np.ndarray:
     """Which words of the row of texts go."""
     every = np.flatnonzero(c.inside)
@@ -337,10 +352,15 @@ def _removed_words(c: Cutter, wholes: pa.ListArray, starts: pa.ListArray) -> np.
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, anchor: int = 5, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """One row per document: ``doc_id, n_words, n_removed, kept_sha256, spans`` (word ranges removed) and, on
-    request, ``kept_text`` (the kept words joined by one space, or the text as it was) and ``row`` (the other columns of the input)."""
-    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    keyed = _keyed(docs, id_col, text_col) if not with_text else _keyed(docs.select("*", F.struct(*others).alias("_row")), id_col, text_col, "_row")
+    """One row per document: ``doc_id, n_words, n_removed, kept_sha256, spans`` (word ranges removed; the hash is of
+    the kept words joined by one space) and, on request, ``kept_text`` (the text without the removed runs of words and
+    the white space behind each) and ``row`` (the other columns of the input)."""
+    if with_text:
+        row_name = unused_name(docs, "_row")
+        others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+        keyed = _keyed(docs.withColumn(row_name, F.struct(*others)), id_col, text_col, row_name)
+    else:
+        keyed = _keyed(docs, id_col, text_col)
     places = repeated_places(docs, window, anchor, id_col, text_col)
     joined = keyed.join(places, ["d", "t"], "left").select("doc_id", "text", "wholes", "starts", *(["row"] if with_text else []))
 
@@ -356,9 +376,10 @@ def remove_repeats(docs: DataFrame, window: int = 20, anchor: int = 5, id_col: s
                 kept = b" ".join(compress(words, (~mask).tolist()) if lost else words)
                 gone.append(lost)
                 sha.append(hashlib.sha256(kept).hexdigest())
-                spans.append([{"start": a, "stop": b} for a, b in spans_of(mask)] if lost else [])
+                runs = spans_of(mask) if lost else []
+                spans.append([{"start": a, "stop": b} for a, b in runs])
                 if with_text:
-                    kept_text.append(kept if lost else raw)
+                    kept_text.append(cut_out(raw, runs) if lost else raw)
             out = [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256", "spans"]
             if with_text:
@@ -371,6 +392,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, anchor: int = 5, id_col: s
 
 
 def without_repeats(docs: DataFrame, window: int = 20, anchor: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeats cut out of its texts (a text that loses nothing stays as it was)."""
-    cut = remove_repeats(docs, window, anchor, id_col, text_col)
-    return cut.select(*(F.col("kept_text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
+    """``docs`` with the repeats cut out of its texts (a text that loses nothing stays as it was, null too)."""
+    was_null = unused_name(docs, "_null")
+    cut = remove_repeats(docs.withColumn(was_null, F.col(f"`{text_col}`").isNull()), window, anchor, id_col, text_col)
+    text = F.when(~F.col("row").getField(was_null), F.col("kept_text"))
+    return cut.select(*(text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))

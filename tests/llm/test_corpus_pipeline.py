@@ -8,8 +8,32 @@ import pytest
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
+def near_copy_roots(rows):
+    """For each (id, text) the number of the first row of its group: fingerprints within two bits, or five-word
+    shingle sets with a similarity of 0.8."""
+    from quaywise.llm.simhash import fingerprint
+
+    def grams(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, fps, root = [grams(r[1]) for r in rows], [fingerprint((r[1] or "").encode()) for r in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 2 or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(rows))]
+
+
 def test_stages(spark, data):
-    from quaywise.llm import quality, simhash
+    from quaywise.llm import quality
     from quaywise.llm.common import written
 
     docs = spark.read.parquet(f"{data}/documents.parquet")
@@ -27,8 +51,8 @@ def test_stages(spark, data):
     kept = {r["doc_id"] for r in good.collect()}
     assert sum(truth[i] == (i in kept) for i in truth) >= 0.95 * len(truth)
 
-    groups = simhash.near_duplicates(good).collect()
-    assert {r["doc_id"] for r in single.collect()} == {r["component_id"] for r in groups}
+    rows = sorted((r["doc_id"], r["text"]) for r in good.collect())
+    assert sorted(r["doc_id"] for r in single.collect()) == [rows[n][0] for n, r in enumerate(near_copy_roots(rows)) if n == r]
 
     texts = {r["doc_id"]: r["text"] for r in single.collect()}
     left, windows = {}, set()
@@ -71,30 +95,13 @@ def test_near_copies_by_similarity(spark):
     rows += [(900, "", "en", "web", 0), (901, None, "en", "web", 0), (902, " \n", "en", "web", 2), (903, "two words", "en", "web", 9), (904, "Two  words", "en", "web", 9)]
     rows += [rows[0]]
 
-    def grams(t):
-        w = (t or "").encode().lower().split()
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
-
-    sets, root = [grams(r[1]) for r in rows], list(range(len(rows)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    linked = 0
-    for i in range(len(rows)):
-        for j in range(i):
-            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
-                linked += sets[i] != sets[j]
-                root[find(i)] = find(j)
     groups = collections.defaultdict(list)
-    for i, r in enumerate(rows):
-        groups[find(i)].append(r[0])
+    for r, root in zip(rows, near_copy_roots(rows), strict=True):
+        groups[root].append(r[0])
     want = sorted(min((x for x in g if x is not None), default=-1) for g in groups.values())
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
     got = corpus_pipeline.near_duplicate_filter(spark, docs, "")
-    assert linked > 20 and got.columns == docs.columns
+    assert len(rows) - len(groups) > 20 and got.columns == docs.columns
     assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in got.collect()) == want
     assert corpus_pipeline.near_duplicate_filter(spark, docs.limit(0), "").count() == 0
 
@@ -106,3 +113,35 @@ def test_no_near_copy_of_the_table_stays(spark, data):
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
     assert 0 < len(left) < docs.count()
     assert not [(i, j) for i in range(len(sets)) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+
+
+CLASH = {"_row": "a b", "_kept": True, "_a": 1, "_A_": 2, "row": 3, "text_": "t", "x": None, "score": 0.5, "root": 1, "set_id": 2, "key": 3, "path": "p"}
+
+
+def test_stages_on_awkward_tables(spark, data):
+    """Repeated rows, one id with two texts, nulls, line breaks and clashing names, through every filtering stage."""
+    from pyspark.sql import functions as F
+
+    passage = " ".join(f"w{n}" for n in range(30))
+    p, q = " ".join(f"p{n}" for n in range(40)), " ".join(f"q{n}" for n in range(40))
+    rows = [(3, p), (8, p), (8, q), (8, q), (None, None), (None, p), (20, None), (21, ""), (22, "\n"), (30, f"first line\n\n{passage}\n\nlast  line\n"), (31, f"other\trow\n{passage}\n- one\n- two"), (32, f"{passage}"), (33, f"tail\n{passage}")]
+    docs = spark.createDataFrame([(i, t, "en", None, 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({k: F.lit(v) for k, v in CLASH.items()})
+
+    single = corpus_pipeline.near_duplicate_filter(spark, docs, data)
+    assert single.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"] or "") for r in single.collect() if r["doc_id"] not in (30, 31, 32, 33)) == [(3, p), (8, q), (20, "")]
+
+    cut = corpus_pipeline.passage_filter(spark, docs.where("doc_id >= 30"), data)
+    assert cut.columns == docs.columns
+    got = {r["doc_id"]: r["text"] for r in cut.collect()}
+    assert got == {30: f"first line\n\n{passage}\n\nlast  line\n", 31: "other\trow\n- one\n- two", 33: "tail\n"}
+    assert all(r["n_chars"] == len(r["text"]) for r in cut.collect())
+    left = corpus_pipeline.passage_filter(spark, docs, data).collect()
+    assert collections.Counter(r["doc_id"] for r in left if r["text"] is None) == {None: 1, 20: 1}
+
+    good = corpus_pipeline.quality_filter(spark, docs, data)
+    assert good.columns == docs.columns and good.count() <= docs.count()
+    assert {r["doc_id"] for r in corpus_pipeline.pack(spark, docs, data).collect()} == {i for i, _ in rows}
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), data).count() == 0
