@@ -8,7 +8,8 @@ kept runs, cut into blocks, give the text.
 
 The model is trained on pages that :func:`training_pages` lays out from a seed, whose main text is known by
 construction. Null pages count as empty; a page without main text gives an empty string. Nothing is cut: the
-whole page is read whatever its length. Rows are independent: repeated rows repeat, null ids stay null, an
+whole page is read whatever its length, in time that grows with it however broken its markup is. Rows are
+independent: repeated rows repeat, null ids stay null, further columns of the input are not looked at, an
 empty table gives an empty result.
 """
 
@@ -68,10 +69,10 @@ _TAG = {t: i for i, ts in enumerate(TAG_GROUPS.values()) for t in ts.split()}
 _OTHER_TAG = len(TAG_GROUPS)
 _TOKEN = {t: i for i, ts in enumerate(TOKEN_GROUPS.values()) for t in ts.split()}
 _TOKENS = len(TOKEN_GROUPS)
-_PIECE = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
-    re.S,
-)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_SPECIAL = re.compile(r"[>\"']")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
+_ZEROS, _BEYOND = re.compile(r"&#0++(?=[0-9])"), re.compile(r"&#[0-9]{8,}+")  # of numbers too long to be read
 _ATTRIBUTE = re.compile(r"(?i)(?:^|\s)(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?=[\s=]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true")
 _TOKEN_CUT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
@@ -90,8 +91,12 @@ class Page:
     marks: list[bool] = field(default_factory=lambda: [False])  # nodes that training pages mark as main text
 
 
-@lru_cache(maxsize=4096)
 def _token_bits(attributes: str) -> int:
+    return _short_token_bits(attributes) if len(attributes) <= 512 else _short_token_bits.__wrapped__(attributes)
+
+
+@lru_cache(maxsize=4096)
+def _short_token_bits(attributes: str) -> int:
     bits = 0
     for m in _ATTRIBUTE.finditer(attributes):
         value = m[2] or m[3] or m[4] or ""
@@ -104,16 +109,97 @@ def _token_bits(attributes: str) -> int:
     return bits
 
 
+class _Markup:
+    """Finds where pieces of markup end, in time that grows with the page however broken it is."""
+
+    def __init__(self, source: str):
+        self.source, self.size = source, len(source)
+        self.last = source.rfind(">")  # nothing behind it is a tag
+        self.from_, self.special = 1, 0  # the next of > " ' behind any place between these two stands at the second
+        self.hopeless: set[int] = set()  # quotes from which no end of a tag was reached
+
+    def _next_special(self, at: int) -> int:
+        if not self.from_ <= at <= self.special:
+            m = _SPECIAL.search(self.source, at)
+            self.from_, self.special = at, m.start() if m else self.size
+        return self.special
+
+    def tag_end(self, at: int) -> int:
+        """The place behind the ``>`` of a tag whose name ends at ``at``. One inside quotes does not count, unless the
+        quotes leave no other; -1 if there is none at all."""
+        place, tried = at, []
+        while True:
+            place = self._next_special(place)
+            if place == self.size or place in self.hopeless:
+                break
+            if self.source[place] == ">":
+                return place + 1
+            tried.append(place)
+            place = self.source.find(self.source[place], place + 1) + 1
+            if not place:
+                break
+        self.hopeless.update(tried)
+        return self.source.find(">", at) + 1 or -1
+
+    def other_end(self, at: int) -> int:
+        """The place behind a comment, a character section or a declaration that opens at ``at``; ``at`` if it is none."""
+        for start, stop in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+            if self.source.startswith(start, at):
+                end = self.source.find(stop, at + len(start))
+                return self.size if end < 0 else end + len(stop)
+        return self.source.find(">", at + 2) + 1 or at if self.source.startswith(("<!", "<?"), at) else at
+
+
+class _Open:
+    """The open elements, by place and by name."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = [("", 0)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks = [0]  # places of those that are not inline
+
+    def push(self, name: str, number: int) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        if name not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append((name, number))
+
+    def cut(self, place: int) -> None:
+        """Close the element at a place and all inside it."""
+        while len(self.stack) > place:
+            name, _ = self.stack.pop()
+            self.places[name].pop()
+            if name not in INLINE:
+                self.blocks.pop()
+
+    def last(self, names: set[str]) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def end(self, name: str) -> None:
+        """An end tag; a stray inline one does not close blocks."""
+        place = self.last({name})
+        if place and (name not in INLINE or self.blocks[-1] < place):
+            self.cut(place)
+
+    def before(self, name: str) -> None:
+        """What a start tag closes."""
+        if name not in INLINE:
+            self.cut(self.blocks[-1] + 1)  # blocks end open inline elements
+            if self.stack[-1][0] == "p":
+                self.cut(len(self.stack) - 1)
+        if name in CLOSES and self.last(CLOSES[name]) > self.last(HOLDS[name]):
+            self.cut(self.last(CLOSES[name]))
+
+
 def parse(source: str) -> Page:
-    """The tree of a page, tolerant of missing end tags."""
+    """The tree of a page, tolerant of missing end tags. A tag that never ends is text."""
     page = Page()
-    stack: list[tuple[str, int]] = [("", 0)]
+    markup, open_ = _Markup(source), _Open()
     block = 0
-    at, size = 0, len(source)
     parent, tag, tokens, run, marks = page.parent, page.tag, page.tokens, page.run, page.marks
 
     def add(name: str, bits: int, number: int) -> int:
-        parent.append(stack[-1][1])
+        parent.append(open_.stack[-1][1])
         tag.append(_TAG.get(name, _OTHER_TAG))
         tokens.append(bits)
         run.append(number)
@@ -125,58 +211,42 @@ def parse(source: str) -> Page:
             add("#", 0, len(page.texts))
             page.texts.append(piece)
             page.blocks.append(block)
-        elif piece and page.texts and page.blocks[-1] == block:
+        elif piece and page.texts and page.blocks[-1] == block and not page.texts[-1][-1].isspace():
             page.texts[-1] += " "  # white space between runs of one block
 
-    while at < size:
-        m = _PIECE.search(source, at)
-        if m is None:
-            text(source[at:])
+    at = look = 0
+    while at < markup.size:
+        start = source.find("<", look)
+        if start < 0:
             break
-        text(source[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
-        if name is None:
+        end, m = markup.other_end(start), None
+        if end == start and start < markup.last:
+            m = _NAME.match(source, start)
+            end = markup.tag_end(m.end()) if m else start
+        if end <= start:
+            look = start + 1
             continue
-        name = name.lower()
-        closing, attributes = bool(m[1] or m[4]), m[3] if m[2] else m[6]
-        if name not in INLINE:
-            block += 1
-        if closing:
-            if name in VOID:
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if name in INLINE and stack[k][0] not in INLINE:
-                    break  # a stray inline end tag does not close blocks
-            continue
-        if name in RAW:
-            if name == "head":
-                continue
-            if not attributes.rstrip().endswith("/"):
-                end = re.compile(f"</{name}[^>]*>", re.I).search(source, at)
-                at = end.end() if end else size
-            continue
-        if name in VOID:
+        text(source[at:start])
+        at = look = end
+        if m is None:
             continue
+        name, attributes = m[2].lower(), source[m.end() : end - 1]
         if name not in INLINE:
-            while len(stack) > 1 and stack[-1][0] in INLINE:
-                stack.pop()  # blocks end open inline elements
-            if len(stack) > 1 and stack[-1][0] == "p":
-                stack.pop()
-        if name in CLOSES:
-            k = len(stack) - 1
-            while k > 0 and stack[k][0] not in HOLDS[name]:
-                if stack[k][0] in CLOSES[name]:
-                    del stack[k:]
-                    break
-                k -= 1
-        number = add(name, _token_bits(attributes) if attributes else 0, -1)
-        if "data-main" in attributes:
-            marks[number] = True
-        stack.append((name, number))
+            block += 1
+        if m[1]:
+            if name not in VOID:
+                open_.end(name)
+        elif name in RAW:
+            if name != "head" and not attributes.rstrip().endswith("/"):
+                stop = _RAW_END[name].search(source, at)
+                at = look = stop and source.find(">", stop.end()) + 1 or markup.size
+        elif name not in VOID:
+            open_.before(name)
+            number = add(name, _token_bits(attributes) if attributes else 0, -1)
+            if "data-main" in attributes:
+                marks[number] = True
+            open_.push(name, number)
+    text(source[at:])
     return page
 
 
@@ -186,6 +256,11 @@ _PUNCTUATION = re.compile(r"[.,;:!?]")
 
 def features(page: Page) -> np.ndarray:
     """[node, feature]: tag and attribute groups of the node and of its ancestors, place, and densities."""
+    return np.concatenate(list(feature_slices(page)))
+
+
+def feature_slices(page: Page, nodes: int = 1 << 15) -> Iterator[np.ndarray]:
+    """The features of a page's nodes, some at a time."""
     n = len(page.parent)
     parent = page.parent
     chars, linked, stops, words, runs, paragraphs, items = ([0] * n for _ in range(7))
@@ -229,7 +304,10 @@ def features(page: Page) -> np.ndarray:
         np.log1p(a[0]), a[0] / total, np.log1p(a[0][up]), a[0][up] / total, a[0] / np.maximum(a[0][up], 1),
         a[1] / c, a[2] / c, a[3] / c, c / np.maximum(a[4], 1), np.log1p(a[5]), np.log1p(a[6]),
     ], 1)
-    return np.concatenate([own[:, None] == groups, above[:, None] >> groups & 1, tok[:, None] >> bits & 1, tok_above[:, None] >> bits & 1, place], 1).astype(np.float32)
+    for k in range(0, n, nodes):
+        part = slice(k, k + nodes)
+        flags = [own[part, None] == groups, above[part, None] >> groups & 1, tok[part, None] >> bits & 1, tok_above[part, None] >> bits & 1]
+        yield np.concatenate([*flags, place[part]], 1).astype(np.float32)
 
 
 def decode(parent: list[int], logit: np.ndarray) -> list[bool]:
@@ -260,7 +338,7 @@ def block_text(page: Page, kept: list[bool]) -> str:
                 blocks.append([])
                 last = page.blocks[number]
             blocks[-1].append(page.texts[number])
-    out = [" ".join(html.unescape("".join(b)).split()) for b in blocks]
+    out = [" ".join(html.unescape(_BEYOND.sub("&#99999999", _ZEROS.sub("&#", "".join(b)))).split()) for b in blocks]
     return " ".join(b for b in out if b)
 
 
@@ -370,15 +448,28 @@ def node_model() -> Trees:
 
 
 def main_text(sources: list[str], model: Trees) -> list[str]:
-    pages = [parse(s) for s in sources]
-    if not pages:
-        return []
-    sizes = [len(p.parent) for p in pages]
-    logit = model.logit(np.concatenate([features(p) for p in pages]))
-    out, at = [], 0
-    for page, n in zip(pages, sizes, strict=True):
-        out.append(block_text(page, decode(page.parent, logit[at : at + n])))
-        at += n
+    """The main text of each page. Small pages are scored together, so that what is held stays bounded."""
+    out: list[str] = []
+    held: list[tuple[Page, np.ndarray]] = []
+
+    def score() -> None:
+        logit = model.logit(np.concatenate([f for _, f in held])) if held else np.zeros(0)
+        at = 0
+        for page, f in held:
+            out.append(block_text(page, decode(page.parent, logit[at : at + len(f)])))
+            at += len(f)
+        held.clear()
+
+    for source in sources:
+        page = parse(source)
+        if len(page.parent) > 4096:
+            score()
+            out.append(block_text(page, decode(page.parent, np.concatenate([model.logit(f) for f in feature_slices(page)]))))
+            continue
+        held.append((page, features(page)))
+        if sum(len(f) for _, f in held) > 1 << 15:
+            score()
+    score()
     return out
 
 

@@ -558,6 +558,28 @@ def test_main_text(spark):
     assert main_text.extract_main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<a '", '<a ">"', "<!", "<!a ", "<p", "</p", "<", "<a b='>'\"", "<script", "<b>", "<div>x</b>", "<i> </i> ", "<td><div>", "&#9", "<![CDATA[", "<!--", "</x>"])
+def test_broken_markup_takes_time_in_proportion(piece):
+    """A megabyte of it is read in seconds, where a scan to the end at every piece would take many minutes."""
+    import time
+
+    began = time.time()
+    for tail in ("", ">", "<p>end</p>"):
+        page = main_text.parse("<p>start</p>" + piece * (350_000 // len(piece)) + tail)
+        assert page.texts[0] == "start"
+    assert time.time() - began < 20
+
+
+def test_markup_with_quotes():
+    texts = lambda source: [t.strip() for t in main_text.parse(source).texts]
+    assert texts("<p title='a>b'>one</p><p title=\"x>y\" >two</p>") == ["one", "two"]
+    assert texts("<p title='a>one</p><p>two</p>") == ["one", "two"]  # the quote never closes
+    assert texts("a < b <p>c<d") == ["a < b", "c<d"]
+    assert texts("<p>x<!-- > -->y<![CDATA[z]]><?q?></p><SCRIPT>var a = '</p>';</ScRipt >w") == ["x", "y", "w"]
+    assert texts("<p>x<script>never closed") == ["x"] and texts("<p>x<!-- never") == ["x"]
+    assert main_text.block_text(main_text.parse("<p>&#" + "9" * 6000 + ";&#000000000000065;</p>"), [True] * 3) == "\ufffdA"
+
+
 def test_main_text_on_unseen_layouts():
     model = main_text.node_model()
     wrong = 0
