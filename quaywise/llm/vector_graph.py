@@ -2,15 +2,15 @@
 
 Vectors that take part (not null, not zero, all components finite) are first reduced to distinct ones, each
 with the smallest ids that hold it: more than ``k`` copies can never all be among the ``k`` nearest. Distinct
-vectors are dealt to shards of bounded size by hash. A shard's graph has layers; a vector's layer falls off
-geometrically, its neighbours stand in a flat array per layer, and a search descends from the top layer to a
-beam search on the lowest one. Building and searching work on many vectors at a time, so the inner loops are
-array operations. Query blocks meet every shard's stored graph; what each shard finds is scored again in double
-precision on the original vectors, and the best of all shards are kept.
+vectors are dealt to shards of bounded size by hash. A shard's graph has layers; a vector's highest layer falls off
+geometrically, its neighbours stand in a flat array per layer, and building and searching descend from the top layer
+to a beam search on the lowest one. Both work on many vectors at a time, so the inner loops are array operations.
+Every shard's stored graph is sent once for many query blocks, which follow it in the same sorted stream; what each
+shard finds is scored again in double precision on the original vectors, and the best of all shards are kept.
 
 Vectors only meet vectors of their own length. Equal scores go to the smaller id. A null id takes no part as
-query or candidate. A query's own row is never its neighbour (repeated rows of one id count as one row). An
-empty table gives an empty result.
+query or candidate. A query's own row is never its neighbour (repeated rows of one id count as one row). Ids are
+read as long; further columns of the input are not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from quaywise.llm.common import written
 
 LINKS = 16  # neighbours kept per vector and layer, twice as many on the lowest layer
-BUILD_BEAM, SEARCH_BEAM = 32, 64
-SHARD = 4096  # most distinct vectors per shard, about
-QUERY_BLOCK = 1024
+BUILD_BEAM, SEARCH_BEAM = 64, 192
+SHARD = 32_768  # most distinct vectors per shard, about
+QUERY_BLOCK, BLOCKS_TOGETHER = 1024, 64  # queries searched at once; blocks that meet one copy of a shard
 
 
 # --------------------------------------------------------------------------- graph
@@ -37,29 +37,36 @@ QUERY_BLOCK = 1024
 
 @dataclass
 class Graph:
+    """Vectors stand in order of their highest layer, so the members of a layer are the first so many of them, and
+    a layer is one flat array: the neighbours of each member, -1 where none."""
+
     unit: np.ndarray  # [n, d] float32, normalised
-    layers: list[tuple[np.ndarray, np.ndarray]]  # per layer: members (sorted), neighbours [members, width], -1 where none
+    layers: list[np.ndarray]  # [members, width], the lowest layer first
 
-    def to_bytes(self) -> tuple[list[bytes], list[bytes]]:
-        return [m.astype("<i4").tobytes() for m, _ in self.layers], [a.astype("<i4").tobytes() for _, a in self.layers]
+    def to_bytes(self) -> list[bytes]:
+        return [table.astype("<i4").tobytes() for table in self.layers]
 
     @classmethod
-    def from_bytes(cls, unit: np.ndarray, members: list[bytes], neighbours: list[bytes]) -> Graph:
-        layers = []
-        for m, a in zip(members, neighbours, strict=True):
-            ids = np.frombuffer(m, "<i4").astype(np.int64)
-            layers.append((ids, np.frombuffer(a, "<i4").astype(np.int64).reshape(len(ids), -1)))
-        return cls(unit, layers)
+    def from_bytes(cls, unit: np.ndarray, neighbours: list[bytes]) -> Graph:
+        widths = [2 * LINKS] + [LINKS] * (len(neighbours) - 1)
+        return cls(unit, [np.frombuffer(raw, "<i4").reshape(-1, w) for raw, w in zip(neighbours, widths, strict=True)])
+
 
+def unit_vectors(vectors: np.ndarray) -> np.ndarray:
+    longest = np.abs(vectors).max(axis=1, keepdims=True)
+    scaled = vectors / np.where(longest > 0, longest, 1)
+    return (scaled / np.maximum(np.linalg.norm(scaled, axis=1, keepdims=True), 1e-300)).astype(np.float32)
 
-def _row_of(n: int, members: np.ndarray) -> np.ndarray:
-    rows = np.full(n, -1, np.int64)
-    rows[members] = np.arange(len(members))
-    return rows
 
+def highest_layers(n: int, seed: int = 7) -> np.ndarray:
+    """The highest layer of each of ``n`` vectors, falling off geometrically; sorted, the highest first."""
+    level = np.floor(-np.log(1 - np.random.default_rng(seed).random(n)) / math.log(LINKS)).astype(np.int64)
+    return -np.sort(-level)
 
-def _beam(unit: np.ndarray, queries: np.ndarray, table: np.ndarray, rows: np.ndarray, entry: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Beam search of many queries at once on one layer: ids [q, width] (-1 where none) and similarities.
+
+def _beam(unit: np.ndarray, queries: np.ndarray, table: np.ndarray, entry: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Beam search of many queries at once on one layer: ids [q, width], nearest first (-1 where none), their
+    similarities, and how many vectors were scored in all.
 
     Each round every query opens its best unopened candidate; a query rests when it has none left.
     """
@@ -67,13 +74,17 @@ def _beam(unit: np.ndarray, queries: np.ndarray, table: np.ndarray, rows: np.nda
     ids = np.full((q, width), -1, np.int64)
     sims = np.full((q, width), -np.inf, np.float32)
     opened = np.zeros((q, width), bool)
-    e = entry.shape[1]
-    known = entry >= 0
-    s = np.einsum("qed,qd->qe", unit[np.maximum(entry, 0)], queries)
-    ids[:, :e], sims[:, :e] = np.where(known, entry, -1), np.where(known, s, -np.inf)
     visited = np.zeros((q, (len(unit) + 7) // 8), np.uint8)
-    who = np.repeat(np.arange(q), e)[known.ravel()]
-    np.bitwise_or.at(visited, (who, entry[known] >> 3), (1 << (entry[known] & 7)).astype(np.uint8))
+
+    def score(who: np.ndarray, near: np.ndarray) -> np.ndarray:
+        np.bitwise_or.at(visited, (who, near >> 3), (1 << (near & 7)).astype(np.uint8))
+        return np.einsum("nd,nd->n", unit[near], queries[who])
+
+    e = min(entry.shape[1], width)
+    known = entry[:, :e] >= 0
+    who, near = np.nonzero(known)[0], entry[:, :e][known]
+    ids[:, :e][known], sims[:, :e][known] = near, score(who, near)
+    scored = len(near)
     live = np.arange(q)
     while len(live):
         waiting = np.where(opened[live] | (ids[live] < 0), -np.inf, sims[live])
@@ -83,20 +94,30 @@ def _beam(unit: np.ndarray, queries: np.ndarray, table: np.ndarray, rows: np.nda
         if not len(live):
             break
         opened[live, best] = True
-        near = table[rows[ids[live, best]]]
-        ok = near >= 0
+        near = table[ids[live, best]].astype(np.int64)
         safe = np.maximum(near, 0)
-        ok &= (visited[live[:, None], safe >> 3] >> (safe & 7) & 1) == 0
-        who = np.broadcast_to(live[:, None], near.shape)[ok]
-        np.bitwise_or.at(visited, (who, near[ok] >> 3), (1 << (near[ok] & 7)).astype(np.uint8))
-        s = np.where(ok, np.einsum("qed,qd->qe", unit[safe], queries[live]), -np.inf)
-        all_ids = np.concatenate([ids[live], np.where(ok, near, -1)], 1)
+        fresh = (near >= 0) & ((visited[live[:, None], safe >> 3] >> (safe & 7)) & 1 == 0)
+        who = np.nonzero(fresh)[0]
+        s = np.full(near.shape, -np.inf, np.float32)
+        s[fresh] = score(live[who], near[fresh])
+        scored += len(who)
+        all_ids = np.concatenate([ids[live], np.where(fresh, near, -1)], 1)
         all_sims = np.concatenate([sims[live], s], 1)
         all_open = np.concatenate([opened[live], np.zeros(near.shape, bool)], 1)
         top = np.argpartition(-all_sims, width - 1, axis=1)[:, :width]
         r = np.arange(len(live))[:, None]
         ids[live], sims[live], opened[live] = all_ids[r, top], all_sims[r, top], all_open[r, top]
-    return ids, sims
+    order = np.argsort(-sims, axis=1, kind="stable")
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1), scored
+
+
+def _descend(unit: np.ndarray, queries: np.ndarray, upper: list[np.ndarray], width: int = 4) -> tuple[np.ndarray, int]:
+    """Entry points [q, width] for the layer under the ``upper`` ones (lowest first), from the top one down."""
+    entry, scored = np.zeros((len(queries), 1), np.int64), 0
+    for table in reversed(upper):
+        entry, _, n = _beam(unit, queries, table, entry, width)
+        scored += n
+    return entry, scored
 
 
 def _spread(unit: np.ndarray, base: np.ndarray, cand: np.ndarray, sims: np.ndarray, keep: int) -> np.ndarray:
@@ -108,7 +129,7 @@ def _spread(unit: np.ndarray, base: np.ndarray, cand: np.ndarray, sims: np.ndarr
     ok = (cand >= 0) & (cand != base[:, None])
     ok[:, 1:] &= cand[:, 1:] != cand[:, :-1]
     vec = unit[np.maximum(cand, 0)]
-    mutual = np.einsum("bcd,bed->bce", vec, vec)
+    mutual = vec @ vec.transpose(0, 2, 1)
     taken = np.zeros(cand.shape, bool)
     count = np.zeros(len(base), np.int64)
     for j in range(cand.shape[1]):
@@ -124,75 +145,78 @@ def _spread(unit: np.ndarray, base: np.ndarray, cand: np.ndarray, sims: np.ndarr
     return out
 
 
-def build_graph(vectors: np.ndarray, seed: int = 7, batch: int = 512) -> Graph:
-    """The layered graph of the rows of ``vectors``. Rows join in batches that double up to ``batch``: a batch
-    searches the graph so far and its own members, links both ways, and crowded lists are thinned."""
-    n = len(vectors)
-    unit = (vectors / np.maximum(np.linalg.norm(vectors.astype(np.float64), axis=1, keepdims=True), 1e-300)).astype(np.float32)
-    level = np.floor(-np.log(1 - np.random.default_rng(seed).random(n)) / math.log(LINKS)).astype(np.int64)
-    layers = []
-    for layer in range(int(level.max()) + 1 if n else 1):
-        members = np.flatnonzero(level >= layer)
+def _link_back(unit: np.ndarray, table: np.ndarray, new: np.ndarray, links: np.ndarray) -> None:
+    """Links from the neighbours of new members back to them; a list that grows too long is thinned."""
+    width = table.shape[1]
+    source, target = np.repeat(new, links.shape[1]), links.ravel()
+    source, target = source[target >= 0], target[target >= 0]
+    order = np.argsort(target, kind="stable")
+    source, target = source[order], target[order]
+    ends, at = np.unique(target, return_index=True)
+    size = np.diff(np.append(at, len(target)))
+    for lo in range(0, len(ends), 1024):
+        e, k = ends[lo : lo + 1024], size[lo : lo + 1024]
+        extra = np.full((len(e), int(k.max())), -1, np.int64)
+        slot = np.arange(at[lo], at[lo] + k.sum()) - np.repeat(at[lo : lo + 1024], k)
+        extra[np.repeat(np.arange(len(e)), k), slot] = source[at[lo] : at[lo] + k.sum()]
+        both = np.concatenate([table[e], extra], 1)
+        crowded = (both >= 0).sum(1) > width
+        if not crowded.all():
+            packed = -np.sort(-both[~crowded], axis=1)[:, :width]
+            packed[:, 1:][packed[:, 1:] == packed[:, :-1]] = -1
+            table[e[~crowded]] = packed
+        if crowded.any():
+            b, c = e[crowded], both[crowded]
+            sims = np.where(c >= 0, np.einsum("bcd,bd->bc", unit[np.maximum(c, 0)], unit[b]), -np.inf)
+            table[b] = _spread(unit, b, c, sims, width)
+
+
+def build_graph(vectors: np.ndarray, batch: int = 512) -> Graph:
+    """The layered graph of the rows of ``vectors``, which stand in order of :func:`highest_layers`.
+
+    Layers are built from the top down. Rows join a layer in batches that double up to ``batch``: a batch descends
+    through the layers above to its entry points, searches the layer so far and its own members, and links both ways.
+    """
+    n, unit = len(vectors), unit_vectors(vectors)
+    level = highest_layers(n)
+    upper: list[np.ndarray] = []
+    for layer in range(int(level.max()) if n else 0, -1, -1):
+        count = int((level >= layer).sum())
         width = LINKS * 2 if layer == 0 else LINKS
-        table = np.full((len(members), width), -1, np.int64)
-        rows = _row_of(n, members)
-        done = min(len(members), 2 * width)
-        first = members[:done]
-        sims = unit[first] @ unit[first].T
-        np.fill_diagonal(sims, -np.inf)
+        table = np.full((count, width), -1, np.int64)
+        above = len(upper[0]) if upper else 0
+        done = min(count, 2 * width)
         if done > 1:
+            sims = unit[:done] @ unit[:done].T
+            np.fill_diagonal(sims, -np.inf)
+            first = np.arange(done)
             table[:done] = _spread(unit, first, np.broadcast_to(first, (done, done)).copy(), sims, width)
-        while done < len(members):
-            new = members[done : done + min(batch, done)]
-            start = members[np.linspace(0, done - 1, min(done, 8)).astype(np.int64)]
-            ids, near = _beam(unit, unit[new], table, rows, np.broadcast_to(start, (len(new), len(start))), BUILD_BEAM)
+        while done < count:
+            new = np.arange(done, min(done + min(batch, done), count))
+            if done < above:  # members of the layer above join first, from a few fixed points
+                entry = np.broadcast_to(np.linspace(0, done - 1, 8).astype(np.int64), (len(new), 8))
+            else:
+                entry, _ = _descend(unit, unit[new], upper)
+            ids, near, _ = _beam(unit, unit[new], table, entry, BUILD_BEAM)
             among = unit[new] @ unit[new].T
             np.fill_diagonal(among, -np.inf)
             m = min(LINKS, len(new))
             inner = np.argpartition(-among, m - 1, axis=1)[:, :m]
-            r = np.arange(len(new))[:, None]
-            cand, sims = np.concatenate([ids, new[inner]], 1), np.concatenate([near, among[r, inner]], 1)
-            links = _spread(unit, new, cand, sims, LINKS)
-            table[done : done + len(new), :LINKS] = links
-            # links back; lists that grow too long are thinned by the same rule
-            source, target = np.repeat(new, LINKS), links.ravel()
-            source, target = source[target >= 0], target[target >= 0]
-            order = np.argsort(target, kind="stable")
-            source, target = source[order], target[order]
-            ends, at = np.unique(target, return_index=True)
-            size = np.diff(np.append(at, len(target)))
-            for lo in range(0, len(ends), 1024):
-                e, k = ends[lo : lo + 1024], size[lo : lo + 1024]
-                extra = np.full((len(e), int(k.max())), -1, np.int64)
-                slot = np.arange(at[lo], at[lo] + k.sum()) - np.repeat(at[lo : lo + 1024], k)
-                extra[np.repeat(np.arange(len(e)), k), slot] = source[at[lo] : at[lo] + k.sum()]
-                both = np.concatenate([table[rows[e]], extra], 1)
-                both_sims = np.where(both >= 0, np.einsum("bcd,bd->bc", unit[np.maximum(both, 0)], unit[e]), -np.inf)
-                room = (both >= 0).sum(1) <= width
-                if room.any():
-                    packed = np.sort(np.where(both[room] >= 0, both[room], n + 1), axis=1)[:, :width]
-                    packed[:, 1:][packed[:, 1:] == packed[:, :-1]] = n + 1
-                    table[rows[e[room]]] = np.where(packed > n, -1, packed)
-                if (~room).any():
-                    table[rows[e[~room]]] = _spread(unit, e[~room], both[~room], both_sims[~room], width)
+            cand = np.concatenate([ids, new[inner]], 1)
+            links = _spread(unit, new, cand, np.concatenate([near, np.take_along_axis(among, inner, 1)], 1), LINKS)
+            table[new, :LINKS] = links
+            _link_back(unit, table, new, links)
             done += len(new)
-        layers.append((members, table))
-    return Graph(unit, layers)
+        upper.insert(0, table)
+    return Graph(unit, upper)
 
 
-def search_graph(graph: Graph, queries: np.ndarray, k: int, beam: int = SEARCH_BEAM) -> np.ndarray:
-    """Ids [q, beam] of the nearest vectors found for each (normalised) query, nearest first, -1 where none."""
-    n, q = len(graph.unit), len(queries)
-    beam = max(beam, k)
-    members, _ = graph.layers[-1]
-    entry = np.broadcast_to(members[:1], (q, 1))
-    for layer in range(len(graph.layers) - 1, -1, -1):
-        members, table = graph.layers[layer]
-        rows = _row_of(n, members)
-        ids, sims = _beam(graph.unit, queries, table, rows, entry, beam if layer == 0 else 8)
-        order = np.argsort(-sims, axis=1, kind="stable")
-        entry = np.take_along_axis(ids, order, 1)
-    return entry
+def search_graph(graph: Graph, queries: np.ndarray, k: int, beam: int = SEARCH_BEAM) -> tuple[np.ndarray, int]:
+    """Ids [q, beam] of the nearest vectors found for each (normalised) query, nearest first, -1 where none, and how
+    many vectors were scored for all queries together."""
+    entry, above = _descend(graph.unit, queries, graph.layers[1:])
+    ids, _, scored = _beam(graph.unit, queries, graph.layers[0], entry, max(beam, k))
+    return ids, above + scored
 
 
 # --------------------------------------------------------------------------- operators
@@ -226,19 +250,25 @@ def _shards_of(counts: dict[int, int]):
 
 
 def build_shards(distinct: DataFrame, counts: dict[int, int]) -> DataFrame:
-    """``dim, shard, ids, vectors, members, neighbours``: one stored graph per shard, as flat arrays."""
+    """``dim, shard, ids, vectors, neighbours``: one stored graph per shard, as flat arrays."""
     shards = _shards_of(counts)
     dealt = distinct.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("h", F.lit(1)), shards).cast("int").alias("shard"), "v", "ids")
 
     def build(table: pa.Table) -> pa.Table:
         dim = table.column("dim")[0].as_py()
-        order = np.argsort(np.array([i[0] for i in table.column("ids").to_pylist()]), kind="stable")
-        table = table.take(pa.array(order))
+        by_id = np.argsort(np.array([i[0] for i in table.column("ids").to_pylist()]), kind="stable")
+        table = table.take(pa.array(by_id[np.random.default_rng(1).permutation(len(by_id))]))
         v = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-        members, neighbours = build_graph(v).to_bytes()
-        return pa.table({"dim": table.column("dim")[:1], "shard": table.column("shard")[:1], "ids": pa.array([table.column("ids").to_pylist()], pa.list_(pa.list_(pa.int64()))), "vectors": pa.array([v.astype("<f8").tobytes()], pa.binary()), "members": pa.array([members], pa.list_(pa.binary())), "neighbours": pa.array([neighbours], pa.list_(pa.binary()))})
+        columns = {
+            "dim": table.column("dim")[:1],
+            "shard": table.column("shard")[:1],
+            "ids": pa.array([table.column("ids").to_pylist()], pa.list_(pa.list_(pa.int64()))),
+            "vectors": pa.array([v.astype("<f8").tobytes()], pa.binary()),
+            "neighbours": pa.array([build_graph(v).to_bytes()], pa.list_(pa.binary())),
+        }
+        return pa.table(columns)
 
-    return dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, ids array<array<long>>, vectors binary, members array<binary>, neighbours array<binary>")
+    return dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, ids array<array<long>>, vectors binary, neighbours array<binary>")
 
 
 def exact_cosines(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
@@ -247,37 +277,63 @@ def exact_cosines(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     return dot / (np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(candidates, axis=2))
 
 
+FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
+@dataclass
+class Shard:
+    """One shard as a task holds it."""
+
+    ids: list[list[int]]
+    vectors: np.ndarray
+    graph: Graph
+
+    @classmethod
+    def read(cls, batch: pa.RecordBatch, r: int, dim: int) -> Shard:
+        vectors = np.frombuffer(batch.column("vectors")[r].as_buffer(), "<f8").reshape(-1, dim)
+        return cls(batch.column("ids")[r].as_py(), vectors, Graph.from_bytes(unit_vectors(vectors), batch.column("neighbours")[r].as_py()))
+
+    def best(self, query_ids: list[int], queries: np.ndarray, k: int, beam: int) -> Iterator[pa.RecordBatch]:
+        """The ``k`` nearest found of each query, its own row left out."""
+        found, _ = search_graph(self.graph, unit_vectors(queries), k + 1, beam)
+        rows = []
+        for lo in range(0, len(found), 128):
+            part = found[lo : lo + 128]
+            scores = np.where(part >= 0, exact_cosines(queries[lo : lo + 128], self.vectors[np.maximum(part, 0)]), -np.inf)
+            least = np.partition(scores, -(k + 1), axis=1)[:, -(k + 1), None]  # equal ones stay, whatever their number
+            for own, f, s, near in zip(query_ids[lo : lo + 128], part, scores, (scores >= least) & (part >= 0), strict=True):
+                mine = [(-x, i) for x, n in zip(s[near].tolist(), f[near].tolist(), strict=True) for i in self.ids[n] if i != own]
+                rows += [(own, i, -x) for x, i in sorted(mine)[:k]]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), FOUND, strict=True)], schema=FOUND)
+
+
 def search_shards(shards: DataFrame, queries: DataFrame, counts: dict[int, int], k: int = 5, beam: int = SEARCH_BEAM) -> DataFrame:
     """``query_id, vec_id, score``: from each shard the ``k`` nearest found of every query (own row excluded).
-    Blocks of queries are sent to each shard of their vectors' length."""
+    Blocks of queries go to each shard of their vectors' length, many of them to one copy of it."""
     n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    blocks = queries.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).alias("block"), _shards_of(counts).alias("n"), "vec_id", "v")
-    packed = blocks.groupBy("dim", "block", "n").agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))
-    sent = packed.where("n > 0").select("dim", "q", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("shard"))
-    pairs = sent.join(shards, ["dim", "shard"])
+    parts = -(-n_blocks // BLOCKS_TOGETHER)
+    blocks = queries.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("block"), _shards_of(counts).alias("n"), "vec_id", "v")
+    packed = blocks.where("n > 0").groupBy("dim", "block", "n").agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))
+    every_shard = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("shard")
+    asked = packed.select("dim", every_shard, (F.col("block") % parts).alias("part"), F.col("block").alias("at"), "q")
+    every_part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    sent = shards.select("dim", "shard", every_part, F.lit(-1).alias("at"), "ids", "vectors", "neighbours")
+    stream = sent.unionByName(asked, allowMissingColumns=True).repartition("dim", "shard", "part").sortWithinPartitions("dim", "shard", "part", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out_schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+        shard = None
         for batch in batches:
             for r in range(batch.num_rows):
-                q_col, dim = batch.column(0), batch.column(1)[r].as_py()
-                q = q_col[r].values
-                q_ids = q.field("vec_id").to_numpy()
-                q_vec = q.field("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                ids = batch.column(2)[r].as_py()
-                v = np.frombuffer(batch.column(3)[r].as_py(), "<f8").reshape(-1, dim)
-                unit = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
-                graph = Graph.from_bytes(unit, batch.column(4)[r].as_py(), batch.column(5)[r].as_py())
-                found = search_graph(graph, (q_vec / np.linalg.norm(q_vec, axis=1, keepdims=True)).astype(np.float32), k + 1, beam)
-                scores = np.where(found >= 0, exact_cosines(q_vec, v[np.maximum(found, 0)]), -np.inf)
-                rows = []
-                for i, own in enumerate(q_ids.tolist()):
-                    mine = [(-s, x) for s, f in zip(scores[i].tolist(), found[i].tolist(), strict=True) if f >= 0 for x in ids[f] if x != own]
-                    mine.sort()
-                    rows += [(own, x, -s) for s, x in mine[:k]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 3, out_schema, strict=True)], schema=out_schema)
-
-    return pairs.select("q", "dim", "ids", "vectors", "members", "neighbours").mapInArrow(run, "query_id long, vec_id long, score double")
+                dim = batch.column("dim")[r].as_py()
+                if batch.column("at")[r].as_py() < 0:  # a shard opens its stretch of the stream
+                    shard = Shard.read(batch, r, dim)
+                    continue
+                q = batch.column("q")[r].values
+                vectors = q.field("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                yield from shard.best(q.field("vec_id").to_pylist(), vectors, k, beam)
+
+    return stream.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def nearest_neighbours(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", per_shard: int = SHARD, beam: int = SEARCH_BEAM) -> DataFrame:
