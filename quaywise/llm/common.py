@@ -15,10 +15,15 @@ from pyspark.sql import functions as F
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    A local temporary folder is used only where the setting is absent, as in tests on one machine.
+    Where the setting is absent, a temporary folder serves sessions on one machine, as in tests; on a cluster that
+    would lose data, so it is an error there.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return shared.rstrip("/") if shared else _own_dir()
+    if shared:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _own_dir()
 
 
 @lru_cache(maxsize=1)

@@ -6,8 +6,9 @@ random-access point with a clock reference. A program table pair opens the strea
 program tables, checks the continuity counters, reassembles the elementary packets and lists the times of
 the units and which of them are random-access points. All of it is arithmetic on whole arrays of packets.
 
-Null texts count as empty; an empty text is one block of padding. Equal texts give equal media. Rows are
-independent, so repeated rows repeat, null ids stay null and an empty table gives an empty result.
+Null texts count as empty; an empty text is one block of padding. Equal texts give equal media; texts are stored
+whole, however long. Rows are independent, so repeated rows repeat, null ids stay null, further columns of the input
+are not looked at and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -143,7 +144,6 @@ class Stream:
     times: np.ndarray  # of the access units, in 90 kHz ticks
     random_access: np.ndarray  # of the access units
     packets: int
-    breaks: int  # packets whose continuity counter does not follow
 
 
 def _read_section(packet: np.ndarray, table_id: int) -> bytes:
@@ -171,6 +171,8 @@ def read_stream(media: bytes) -> Stream:
     mine = packets[pid == data_pid]
     counter = mine[:, 3] & 15
     breaks = int(((counter[1:] - counter[:-1]) & 15 != 1).sum())
+    if breaks:
+        raise ValueError(f"{breaks} packets are missing or out of order")
     adapted = mine[:, 3] & 0x20 != 0
     begin = HEADER + np.where(adapted, 1 + mine[:, 4].astype(np.int64), 0)
     filled = np.arange(PACKET) >= begin[:, None]
@@ -189,7 +191,7 @@ def read_stream(media: bytes) -> Stream:
         raise ValueError("an elementary packet is incomplete")
     body = start + 9 + head[:, 8]
     payload = b"".join([elementary[a:b].tobytes() for a, b in zip(body.tolist(), stop.tolist(), strict=True)])
-    return Stream(payload, times, random_access, len(packets), breaks)
+    return Stream(payload, times, random_access, len(packets))
 
 
 # --------------------------------------------------------------------------- operators
@@ -208,21 +210,23 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def media_features(stored: DataFrame) -> DataFrame:
-    """Digests and features of stored media: the payload as read back, its units' times and access points."""
+    """Digests and features of stored media: the payload as read back, the times of its units and of those that are
+    random-access points (in 90 kHz ticks). A stream with a packet missing or out of order is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(8)]
             for media in batch.column(2).to_pylist():
                 s = read_stream(media)
                 points = s.times[s.random_access]
-                feature = f"packets={s.packets};breaks={s.breaks};units={len(s.times)};last_time={int(s.times[-1])};access_points={len(points)};last_access={int(points[-1])}"
-                for c, v in zip(cols, (len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature), strict=True):
+                feature = f"packets={s.packets};units={len(s.times)};last_time={int(s.times[-1])};access_points={len(points)};last_access={int(points[-1])}"
+                for c, v in zip(cols, (len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, s.times, points), strict=True):
                     c.append(v)
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            ticks = pa.list_(pa.int64())
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), ticks, ticks]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "unit_times", "access_times"])
 
-    return stored.mapInArrow(run, f"doc_id {dict(stored.dtypes)['doc_id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.mapInArrow(run, f"doc_id {dict(stored.dtypes)['doc_id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, unit_times array<long>, access_times array<long>")
 
 
 def media_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
