@@ -77,10 +77,14 @@ def is_real_resource(resource: Column) -> Column:
 
 
 def callback_url_allowed(url: Column) -> Column:
-    """http or https, a host, and no literal private, loopback or link-local address."""
+    """http or https, a host, and no literal private, loopback or link-local address. An IPv6 address that wraps an
+    IPv4 one is judged by that one; hosts that write an address as one number, in hex or octal are refused."""
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z]+://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
-    private = host.rlike(r"^(localhost|127\.|10\.|192\.168\.|169\.254\.|0\.|172\.(1[6-9]|2\d|3[01])\.|\[(::1|f[cd]|fe80))")
-    return url.rlike("^(?i)https?://") & (host != "") & ~private
+    inner = F.regexp_replace(host, r"^\[(?:::ffff:|::|64:ff9b::)(\d+\.\d+\.\d+\.\d+)\]$", "$1")
+    private = inner.rlike(r"^(localhost\.?$|.*\.localhost\.?$|127\.|10\.|192\.168\.|169\.254\.|0\.|100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.|172\.(1[6-9]|2\d|3[01])\.)")
+    wrapped = inner.rlike(r"^\[(::1?\]|f[cd]|fe[89ab]|::ffff:|0*:0*:)")
+    odd = inner.rlike(r"^(0x[0-9a-f]+|\d+)(\.(0x[0-9a-f]+|\d+)){0,3}$") & ~inner.rlike(r"^(0|[1-9]\d*)(\.(0|[1-9]\d*)){3}$")
+    return url.rlike("^(?i)https?://") & (host != "") & ~private & ~wrapped & ~odd
 
 
 def intent_problems(intents: DataFrame) -> DataFrame:

@@ -85,11 +85,12 @@ def publish_merge(existing: DataFrame, incoming: DataFrame, restated: DataFrame)
     ``existing``/``incoming``: ``catalog_id, id, version, offer_ids``; ``restated``: ``catalog_id, offer_id`` of
     the message's offers. Stored offers of a replaced row stay unless the message restates them.
     """
-    named = restated.groupBy("catalog_id").agg(F.collect_set("offer_id").alias("restated"))
     none = F.array().cast("array<string>")
-    stored = existing.select(*KEYS, F.col("offer_ids").alias("stored"))
-    new = incoming.join(stored, KEYS, "left").join(named, "catalog_id", "left")
-    new = new.withColumn("offer_ids", carry_forward(F.coalesce("stored", none), F.coalesce("restated", none), F.col("offer_ids"))).select(*incoming.columns)
+    held = existing.join(incoming.select(*KEYS), KEYS, "left_semi").select(*KEYS, F.posexplode("offer_ids").alias("pos", "offer_id"))
+    held = held.join(restated.select("catalog_id", "offer_id").distinct(), ["catalog_id", "offer_id"], "left_anti")
+    stored = held.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("pos", "offer_id"))).alias("stored"))
+    more = F.coalesce(F.transform("stored", lambda x: x["offer_id"]), none)
+    new = incoming.join(stored, KEYS, "left").withColumn("offer_ids", F.array_union("offer_ids", more)).select(*incoming.columns)
     return existing.join(incoming.select(*KEYS), KEYS, "left_anti").unionByName(new)
 
 
@@ -236,7 +237,10 @@ def catalog_problems(catalog: Column, rules: list[tuple[str, str, bool]] = CATAL
     return F.array_compact(F.array(*found))
 
 
-def sized_batches(rows: DataFrame, size: int = 100) -> DataFrame:
-    """Rows with the number of the bulk request they belong to, at most ``size`` to one within each partition key."""
-    place = F.row_number().over(Window.partitionBy("index_key").orderBy("doc_key")) - 1
-    return rows.withColumn("bulk", F.floor(place / size))
+def sized_batches(rows: DataFrame, size: int = 100, block: int = 100_000) -> DataFrame:
+    """Rows with the number of the bulk request they belong to (``block, bulk``), at most ``size`` to one within each
+    partition key. Keys with many rows are numbered within hashed blocks of about ``block`` rows."""
+    shares = rows.groupBy("index_key").agg(F.ceil(F.count("*") / block).alias("_blocks"))
+    dealt = rows.join(shares, "index_key").withColumn("block", F.pmod(F.xxhash64("doc_key"), F.col("_blocks"))).drop("_blocks")
+    place = F.row_number().over(Window.partitionBy("index_key", "block").orderBy("doc_key")) - 1
+    return dealt.withColumn("bulk", F.floor(place / size))

@@ -34,14 +34,23 @@ def group_into_catalogs(rows: DataFrame, by: str = "intent_id") -> DataFrame:
     return grouped.select(by, "catalog_id", "m.catalog_name", "m.provider_id", "rank", "resources", "offers")
 
 
+def first_of_each(items: Column, field: str) -> Column:
+    """The first element of each value of a field, in order; elements without one all stay.
+
+    Elements are sorted by value and place, so each is compared with the one before it only.
+    """
+    placed = F.array_sort(F.transform(items, lambda x, i: F.struct(x[field].alias("id"), i.alias("i"), x.alias("x"))))
+
+    def firsts(s: Column) -> Column:  # bound once, where a column would be computed again for each element
+        new = lambda x, i: x["id"].isNull() | (i == 0) | ~F.get(s, i - 1)["id"].eqNullSafe(x["id"])
+        return F.array_sort(F.transform(F.filter(s, new), lambda x: F.struct(x["i"].alias("i"), x["x"].alias("x"))))
+
+    return F.transform(F.transform(F.array(placed), firsts)[0], lambda x: x["x"])
+
+
 def dedupe_offers(offers: Column) -> Column:
     """First offer of each id in order; offers without an id all stay."""
-    kept = F.aggregate(
-        offers,
-        F.filter(offers, lambda o: F.lit(False)),
-        lambda out, o: F.when(o["offer_id"].isNull() | ~F.exists(out, lambda k: k["offer_id"] == o["offer_id"]), F.concat(out, F.array(o))).otherwise(out),
-    )
-    return F.coalesce(kept, offers)
+    return first_of_each(offers, "offer_id")
 
 
 def prune_resources_by_offers(resources: Column, offers: Column) -> Column:
@@ -66,14 +75,18 @@ def mutual_pruning(catalogs: DataFrame) -> DataFrame:
 def provider_offers(offers: DataFrame) -> DataFrame:
     """``provider_id, provider_offers``: offers that list no resource, by provider."""
     whole = offers.where((F.coalesce(F.size("resource_ids"), F.lit(0)) <= 0) & F.col("provider_id").isNotNull())
-    return whole.groupBy("provider_id").agg(F.array_sort(F.collect_list(F.struct("offer_id", "resource_ids", "price"))).alias("provider_offers"))
+    every = F.array_sort(F.collect_list(F.struct("offer_id", "resource_ids", "price")))
+    return whole.groupBy("provider_id").agg(dedupe_offers(every).alias("provider_offers"))
 
 
 def enrich_with_provider_offers(catalogs: DataFrame, offers: DataFrame) -> DataFrame:
-    """Append the provider's own offers (joined on the provider alone, across catalogues)."""
-    joined = catalogs.join(provider_offers(offers), "provider_id", "left")
+    """Append the provider's own offers that are not there yet (joined on the provider alone, across catalogues)."""
+    wanted = catalogs.select("provider_id").distinct()
+    joined = catalogs.join(provider_offers(offers.join(wanted, "provider_id", "left_semi")), "provider_id", "left")
     more = F.coalesce("provider_offers", F.filter("offers", lambda o: F.lit(False)))
-    return joined.withColumn("offers", dedupe_offers(F.concat("offers", more))).drop("provider_offers")
+    ids = F.transform("offers", lambda o: o["offer_id"])
+    other = F.transform(F.array(ids), lambda own: F.filter(more, lambda o: ~F.coalesce(F.array_contains(own, o["offer_id"]), F.lit(False))))[0]
+    return joined.withColumn("offers", F.concat("offers", other)).drop("provider_offers")
 
 
 def discard_without_offers(catalogs: DataFrame) -> DataFrame:
@@ -83,17 +96,30 @@ def discard_without_offers(catalogs: DataFrame) -> DataFrame:
 def drop_broken_answers(catalogs: DataFrame, by: str = "intent_id") -> DataFrame:
     """One catalogue without id, resources or resource ids empties its whole answer."""
     ok = F.col("catalog_id").isNotNull() & (F.size("resources") > 0) & F.forall("resources", lambda r: r["id"].isNotNull())
-    bad = catalogs.where(~F.coalesce(ok, F.lit(False))).select(by).distinct()
-    return catalogs.join(bad, by, "left_anti")
+    bad = F.max(~F.coalesce(ok, F.lit(False))).over(Window.partitionBy(by))
+    return catalogs.withColumn("_bad", bad).where(~F.col("_bad")).drop("_bad")
+
+
+def attach_offers(hits: DataFrame, offers: DataFrame) -> DataFrame:
+    """``hits`` (keyed by intent, catalogue and id) with the ``offers`` of the same catalogue that list them."""
+    listed = offers.select("catalog_id", F.explode("resource_ids").alias("id"), F.struct("offer_id", "resource_ids", "price").alias("o"))
+    joined = hits.join(listed, ["catalog_id", "id"], "left")
+    own = F.array_sort(F.collect_list("o")).alias("offers")  # nulls are not collected
+    return joined.groupBy(*hits.columns).agg(own)
 
 
 def merge_catalogs_by_provider(catalogs: DataFrame, by: str = "intent_id") -> DataFrame:
-    """Catalogues of one provider as one: key provider, else catalogue; resources united by id."""
-    keyed = catalogs.withColumn("merge_key", F.coalesce("provider_id", "catalog_id"))
+    """Catalogues of one provider as one: key provider, else that of the first resource that names one (where
+    resources have a ``provider_id``), else catalogue; resources united by id."""
+    keys = ["provider_id", "catalog_id"]
+    if "provider_id" in catalogs.schema["resources"].dataType.elementType.names:
+        named = F.filter("resources", lambda r: F.coalesce(F.trim(r["provider_id"]), F.lit("")) != "")
+        keys.insert(1, F.get(named, F.lit(0))["provider_id"])
+    keyed = catalogs.withColumn("merge_key", F.coalesce(*keys))
     first = F.min_by("catalog_id", F.struct("rank", "catalog_id"))
-    merged = keyed.groupBy(by, "merge_key").agg(first.alias("catalog_id"), F.min("rank").alias("rank"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rank", "catalog_id", "resources"))), lambda x: x["resources"])).alias("all"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rank", "catalog_id", "offers"))), lambda x: x["offers"])).alias("offers"))
-    distinct = F.aggregate("all", F.filter("all", lambda r: F.lit(False)), lambda out, r: F.when(F.exists(out, lambda k: k["id"] == r["id"]), out).otherwise(F.concat(out, F.array(r))))
-    return merged.select(by, "merge_key", "catalog_id", "rank", distinct.alias("resources"), dedupe_offers(F.col("offers")).alias("offers"))
+    in_order = lambda name: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rank", "catalog_id", name))), lambda x: x[name]))
+    merged = keyed.groupBy(by, "merge_key").agg(first.alias("catalog_id"), F.min("rank").alias("rank"), in_order("resources").alias("all"), in_order("offers").alias("offers"))
+    return merged.select(by, "merge_key", "catalog_id", "rank", first_of_each(F.col("all"), "id").alias("resources"), dedupe_offers(F.col("offers")).alias("offers"))
 
 
 def offers_from_match(matched: Column, offers: Column) -> Column:

@@ -46,13 +46,14 @@ def refine(pairs: DataFrame, relation: str) -> DataFrame:
     return pairs.mapInArrow(run, pairs.schema)
 
 
-def related(locations: DataFrame, queries: DataFrame, relation: str, blocks: int = 16) -> DataFrame:
+def related(locations: DataFrame, queries: DataFrame, relation: str, blocks: int | None = None) -> DataFrame:
     """``intent_id, item_id, catalog_id`` with some location in the relation to the intent's ring (``intent_id,
     ring``). Shapes meet by grid cell and bounds, and what meets is tested exactly.
 
     Disjoint holds if *some* location is disjoint. Nearly every pair is, so there the intents, a stated query
     set, meet all locations block by block; bounds decide all pairs but those that meet.
     """
+    blocks = blocks or max(16, int(locations.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     stored = locations.select(*KEYS, "path", "seq", F.col("geometry.ring").alias("stored")).withColumn("sb", geo.box(F.col("stored")))
     asked = queries.select("intent_id", "ring").withColumn("qb", geo.box(F.col("ring")))
     meet = geo.boxes_meet(F.col("sb"), F.col("qb"))

@@ -82,10 +82,14 @@ def relative_cutoff(hits: DataFrame, share: float = 0.6, by: str = "query_id", s
     return hits.withColumn("_top", top).where(F.col(score) >= share * F.col("_top")).drop("_top")
 
 
+def ranked(hits: DataFrame, by: str, key: str, score: str = "score") -> DataFrame:
+    """All hits of each query with their ``rank``; ties by key."""
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), key)))
+
+
 def top_hits(hits: DataFrame, n: int, by: str, key: str, score: str = "score") -> DataFrame:
     """The best ``n`` hits of each query with their ``rank``; ties by key."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), key))
-    return hits.withColumn("rank", place).where(F.col("rank") <= n)
+    return ranked(hits, by, key, score).where(F.col("rank") <= n)
 
 
 def fuzzy_terms(vocabulary: DataFrame, query_terms: DataFrame) -> DataFrame:

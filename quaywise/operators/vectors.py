@@ -19,13 +19,14 @@ def cosine_score(a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column
     return (1 + dot(a, b) / (norm_a * norm_b)) / 2
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, same: str | None = None, blocks: int = 16) -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, k: int, same: str | None = None, blocks: int | None = None) -> DataFrame:
     """``query_id, vec_id, score, rank``: for each query (``query_id, query``) the best ``k`` vectors (``vec_id,
     vector``), among those with the same value of ``same`` if given.
 
     Vectors are scored block by block against a stated query set: each block keeps its own best ``k`` before the
     blocks' bests meet, so a query's candidates never gather in one task.
     """
+    blocks = blocks or max(16, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     stored = vectors.withColumn("_norm", norm(F.col("vector"))).where("_norm > 0").withColumn("_block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     asked = queries.withColumn("_qnorm", norm(F.col("query"))).where("_qnorm > 0").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     pairs = stored.join(asked, ["_block", *([same] if same else [])])

@@ -42,13 +42,13 @@ RESOURCE_FILTER = '$.catalogs[*].resources[*] ? (@.resourceAttributes.size >= 20
 
 @query(sql_with("catalogs", "items") + " SELECT id, catalog_id, type, price FROM items WHERE size >= 20 AND brand = 'Brand#2'")
 def jsonpath_resource_filter(spark: SparkSession, d: str) -> DataFrame:
-    rows = derived.with_payload(derived.items(spark, d))
+    rows = derived.stored_items(spark, d)
     return rows.where(paths.path_filter(F.col("payload"), RESOURCE_FILTER)).select("id", "catalog_id", "type", "price")
 
 
 @query(sql_with("catalogs", "items") + " SELECT id, catalog_id, updated_at, rank FROM (SELECT *, row_number() OVER (ORDER BY updated_at DESC, catalog_id, id) AS rank FROM items WHERE size >= 20 AND brand = 'Brand#2') WHERE rank <= 100")
 def jsonpath_newest_first(spark: SparkSession, d: str) -> DataFrame:
-    rows = derived.with_payload(derived.items(spark, d))
+    rows = derived.stored_items(spark, d)
     kept = rows.where(paths.path_filter(F.col("payload"), RESOURCE_FILTER)).select("id", "catalog_id", "updated_at")
     return respond.newest_first(kept, 0)
 
@@ -57,7 +57,7 @@ def jsonpath_newest_first(spark: SparkSession, d: str) -> DataFrame:
   {'offer_id': 'offer-' || l_partkey || '-' || l_suppkey || '-b', 'value': price + l_suppkey % 50 - 25}]) AS offer FROM items)
   SELECT id, catalog_id, string_agg(offer.offer_id, ',' ORDER BY offer.offer_id) AS offer_ids, round(min(offer.value), 2) AS least FROM o WHERE offer.value < 920 GROUP BY ALL""")
 def jsonpath_offer_select(spark: SparkSession, d: str) -> DataFrame:
-    rows = derived.with_payload(derived.items(spark, d))
+    rows = derived.stored_items(spark, d)
     matched = rows.select("id", "catalog_id", paths.path_values(F.col("payload"), "$.catalogs[*].offers[*] ? (@.price.value < 920)").alias("m")).where(F.size("m") > 0)
     ids = F.transform("m", lambda o: F.try_variant_get(o, "$.id", "string"))
     values = F.transform("m", lambda o: F.try_variant_get(o, "$.price.value", "double"))
@@ -67,7 +67,7 @@ def jsonpath_offer_select(spark: SparkSession, d: str) -> DataFrame:
 @query(sql_with("catalogs", "items") + " SELECT catalog_id, count(*) AS n FROM items WHERE is_active IS TRUE AND (size < 5 OR NOT brand = 'Brand#1') AND name LIKE 'small%' GROUP BY ALL")
 def jsonpath_nested_conditions(spark: SparkSession, d: str) -> DataFrame:
     expression = "exists($.catalogs[*] ? (@.isActive == true && exists(@.resources[*] ? ((@.resourceAttributes.size < 5 || !(@.resourceAttributes.brand == 'Brand#1')) && @.descriptor.name starts with 'small'))))"
-    rows = derived.with_payload(derived.items(spark, d))
+    rows = derived.stored_items(spark, d)
     return rows.where(paths.path_filter(F.col("payload"), expression)).groupBy("catalog_id").agg(F.count("*").alias("n"))
 
 
@@ -201,15 +201,14 @@ OFFERS_OF_ITEM_SQL = "SELECT catalog_id, unnest(resource_ids) AS id, offer_id, r
 def filter_and_geo(spark: SparkSession, d: str) -> DataFrame:
     """Path filter, distance, activity and validity; newest 100 per intent; regrouped, pruned and enriched."""
     now = F.lit(NOW).cast("timestamp")
-    items = derived.items(spark, d)
+    items = derived.stored_items(spark, d)
     near = spatial.within_distance(derived.locations(items), circles(spark, d)).select("intent_id", F.col("item_id").alias("id"), "catalog_id")
-    kept = derived.with_payload(items).where(filters.active_filter(F.col("is_active"), F.lit(True)) & filters.validity_filter(F.col("start_text"), F.col("end_text"), F.lit(True), now))
-    kept = kept.where(paths.path_filter(F.col("payload"), "$.catalogs[*].resources[*] ? (@.resourceAttributes.size >= 10)")).drop("payload")
-    hits = respond.newest_first(kept.join(near, ["id", "catalog_id"]), 100, by=["intent_id"])
+    kept = items.where(filters.active_filter(F.col("is_active"), F.lit(True)) & filters.validity_filter(F.col("start_text"), F.col("end_text"), F.lit(True), now))
+    wanted = paths.path_filter(F.col("payload"), "$.catalogs[*].resources[*] ? (@.resourceAttributes.size >= 10)")
+    met = kept.join(near, ["id", "catalog_id"]).where(F.when(F.col("intent_id").isNotNull(), wanted))  # on what lies in a circle only
+    hits = respond.newest_first(met.select("intent_id", "catalog_id", "id", "catalog_name", "provider_id", "name", "updated_at"), 100, by=["intent_id"])
     offers = derived.offers(spark, d)
-    listed = offers.select("catalog_id", F.explode("resource_ids").alias("id"), F.struct("offer_id", "resource_ids", "price").alias("o"))
-    own = hits.select("intent_id", "catalog_id", "id").join(listed, ["catalog_id", "id"]).groupBy("intent_id", "catalog_id", "id").agg(F.array_sort(F.collect_list("o")).alias("offers"))
-    rows = hits.join(own, ["intent_id", "catalog_id", "id"], "left").withColumn("offers", F.coalesce("offers", F.array().cast("array<struct<offer_id:string,resource_ids:array<string>,price:double>>")))
+    rows = respond.attach_offers(hits, offers)
     pruned = respond.mutual_pruning(respond.group_into_catalogs(rows))
     answers = respond.drop_broken_answers(respond.discard_without_offers(respond.enrich_with_provider_offers(pruned, offers)))
     return answers.select("intent_id", "catalog_id", "provider_id", F.size("resources").cast("long").alias("n_resources"), F.size("offers").cast("long").alias("n_offers"))
@@ -220,22 +219,22 @@ def filter_and_geo(spark: SparkSession, d: str) -> DataFrame:
 TOKENS_SQL = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '' AND NOT list_contains([" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "], w))"
 BM25_SQL = f"""WITH dl AS (SELECT doc_id, {TOKENS_SQL.format('text')} AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS a FROM dl),
   p AS (SELECT doc_id, length, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS length, unnest(w) AS term FROM dl) GROUP BY ALL),
-  q AS (SELECT DISTINCT item_id AS query_id, unnest({TOKENS_SQL.format('text')}[1:6]) AS term FROM benchmark),
+  q AS (SELECT DISTINCT item_id AS query_id, unnest({TOKENS_SQL.format('text')}) AS term FROM benchmark),
   df AS (SELECT term, count(*) AS df FROM p WHERE term IN (SELECT term FROM q) GROUP BY ALL),
   s AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / a))) AS score, count(*) AS matched FROM p JOIN df USING (term) JOIN q USING (term), st GROUP BY ALL)"""
 
 
 def _query_terms(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(text.analyse(F.col("text")), 1, 6).alias("w"))
-    return words.select("query_id", F.explode("w").alias("term")).distinct()
+    words = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(text.analyse(F.col("text"))).alias("term"))
+    return words.distinct()
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text is not null")
-    shape = docs.agg(F.count("*").alias("n"), F.avg(F.size(text.analyse(F.col("text")))).alias("a")).first()
-    if not shape["n"]:
-        shape = {"n": 0, "a": 1.0}
-    return text.bm25(text.postings(docs, "doc_id", "text"), "doc_id", _query_terms(spark, d), shape["n"], shape["a"])
+    """Relevance of every document that holds a term of a benchmark text, from the stored postings."""
+    posted = derived.stored_postings(spark, d)
+    n = table(spark, d, "documents").where("text is not null").count()
+    words = posted.agg(F.sum("tf").alias("n")).first()["n"] or 0
+    return text.bm25(posted, "doc_id", _query_terms(spark, d), n, words / n if words else 1.0)
 
 
 @query(BM25_SQL + " SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s) WHERE rank <= 50")
@@ -266,12 +265,13 @@ def text_fuzzy_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(BM25_SQL + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s), " + sql_with("catalogs", "items")[5:] + """
-  SELECT query_id, rank, id, catalog_id FROM (SELECT query_id, rank, i.id, i.catalog_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, i.catalog_id) AS place FROM r JOIN items i ON i.id = 'res-' || r.doc_id WHERE rank <= 500 AND i.size >= 25) WHERE place <= 50""")
+  SELECT query_id, rank, id, catalog_id FROM (SELECT query_id, rank, i.id, i.catalog_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, i.catalog_id) AS place FROM r JOIN items i ON i.id = 'res-' || r.doc_id WHERE i.size >= 25) WHERE place <= 50""")
 def text_then_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Ranked text hits, then the path filter on items of those ids, in rank order."""
-    ranked = text.top_hits(_scored(spark, d).select("query_id", "doc_id", F.round("score", 6).alias("score")), vectors.candidate_cap(50), "query_id", "doc_id")
+    """Ranked text hits, then the path filter on items of those ids, in rank order. All hits are candidates, so no
+    item is lost behind a cap."""
+    ranked = text.ranked(_scored(spark, d).select("query_id", "doc_id", F.round("score", 6).alias("score")), "query_id", "doc_id")
     hits = ranked.select("query_id", "rank", F.concat(F.lit("res-"), "doc_id").alias("id"))
-    items = derived.with_payload(derived.items(spark, d)).where(paths.path_filter(F.col("payload"), "$.catalogs[*].resources[*] ? (@.resourceAttributes.size >= 25)"))
+    items = derived.stored_items(spark, d).where(paths.path_filter(F.col("payload"), "$.catalogs[*].resources[*] ? (@.resourceAttributes.size >= 25)"))
     found = items.select("id", "catalog_id").join(hits, "id")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "catalog_id"))
     return found.withColumn("place", place).where("place <= 50").select("query_id", "rank", "id", "catalog_id")
@@ -279,7 +279,7 @@ def text_then_filter(spark: SparkSession, d: str) -> DataFrame:
 
 # --------------------------------------------------------------------------- vectors
 
-KNN_SQL = """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q, label FROM embeddings WHERE vec_id % 100 = 0),
+KNN_SQL = """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q, label FROM embeddings WHERE vec_id % 20 = 0),
   s AS (SELECT query_id, vec_id, round((1 + list_cosine_similarity(q, CAST(embedding AS DOUBLE[]))) / 2, 9) AS score FROM q JOIN embeddings USING (label))
   SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10"""
 
@@ -288,7 +288,7 @@ KNN_SQL = """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) A
 def knn_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     """Nearest vectors of the same label, filtered inside the search."""
     rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
-    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), "label")
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), "label")
     return vectors.knn(rows, asked, 10, same="label").withColumn("score", F.round("score", 9))
 
 
@@ -344,21 +344,27 @@ def offer_propagation(spark: SparkSession, d: str) -> DataFrame:
     return publish.linked_items(old, _restated(spark, d), new).select("catalog_id", "id", F.array_join("shared", ",").alias("shared"))
 
 
-@query(sql_with("catalogs", "offers") + STATE_SQL + """, l AS (SELECT DISTINCT offer_id, unnest(resource_ids) AS id FROM offers WHERE l_orderkey % 40 = 1), a AS (SELECT id, list(DISTINCT offer_id) AS added FROM l WHERE id NOT IN (SELECT id FROM new WHERE catalog_id = 'cat-1') GROUP BY id)
+def _message(spark: SparkSession, d: str, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A message that states the offers of the second batch, and a third of the parts that these list as resources:
+    (its offers, the items it handles itself)."""
+    return derived.offers(spark, d).where("l_orderkey % 2 = 1"), new.where(F.substring("id", 5, 20).cast("long") % 3 == 0)
+
+
+MESSAGE_SQL = ", l AS (SELECT DISTINCT catalog_id AS offer_catalog, offer_id, unnest(resource_ids) AS id FROM offers WHERE l_orderkey % 2 = 1), h AS (SELECT DISTINCT id FROM new WHERE CAST(substr(id, 5) AS BIGINT) % 3 = 0)"
+
+
+@query(sql_with("catalogs", "offers") + STATE_SQL + MESSAGE_SQL + """, a AS (SELECT id, list(DISTINCT offer_id) AS added FROM l WHERE id NOT IN (SELECT id FROM h) GROUP BY id)
   SELECT old.catalog_id, old.id, len(list_distinct(list_concat(offer_ids, added))) AS n_offers FROM old JOIN a ON old.id = a.id""")
 def cross_catalog_offers(spark: SparkSession, d: str) -> DataFrame:
     old, new = _batches(spark, d)
-    incoming = derived.offers(spark, d).where("l_orderkey % 40 = 1")
-    touched, _ = publish.cross_catalog_offers(old, incoming, new.where("catalog_id = 'cat-1'"))
+    touched, _ = publish.cross_catalog_offers(old, *_message(spark, d, new))
     return touched.select("catalog_id", "id", F.size("offer_ids").cast("long").alias("n_offers"))
 
 
-@query(sql_with("catalogs", "offers") + STATE_SQL + """ SELECT DISTINCT catalog_id AS offer_catalog, offer_id, id FROM (SELECT catalog_id, offer_id, unnest(resource_ids) AS id FROM offers WHERE l_orderkey % 40 = 1)
-  WHERE id NOT IN (SELECT id FROM new WHERE catalog_id = 'cat-1') AND id NOT IN (SELECT id FROM old WHERE id NOT LIKE '%7')""")
+@query(sql_with("catalogs", "offers") + STATE_SQL + MESSAGE_SQL + """ SELECT offer_catalog, offer_id, id FROM l WHERE id NOT IN (SELECT id FROM h) AND id NOT IN (SELECT id FROM old WHERE id NOT LIKE '%7')""")
 def unresolved_offer_refs(spark: SparkSession, d: str) -> DataFrame:
     old, new = _batches(spark, d)
-    incoming = derived.offers(spark, d).where("l_orderkey % 40 = 1")
-    return publish.cross_catalog_offers(old.where("id not like '%7'"), incoming, new.where("catalog_id = 'cat-1'"))[1]
+    return publish.cross_catalog_offers(old.where("id not like '%7'"), *_message(spark, d, new))[1]
 
 
 @query(sql_with("catalogs") + STATE_SQL + """ SELECT o.catalog_id, o.id, c.catalog_name || ' v2' AS meta FROM old o JOIN catalogs c ON o.catalog_id = c.catalog_id
@@ -386,7 +392,7 @@ def provider_offers_upsert(spark: SparkSession, d: str) -> DataFrame:
 @query(sql_with("catalogs", "items") + f""" SELECT catalog_id || ':' || id AS doc_key, 'catalog-' || regexp_replace(lower(type), '[^a-z0-9-]', '-', 'g') AS index_key, catalog_id, catalog_name, is_active AS catalog_is_active,
   {TS_SQL.format('start_text')} AS catalog_start, {TS_SQL.format('end_text')} AS catalog_end, id AS resource_id, name AS resource_name, provider_id, type AS attributes_type, context_url AS attributes_context, price AS list_price, 2 AS n_offers FROM items""")
 def document_build(spark: SparkSession, d: str) -> DataFrame:
-    docs = publish.search_documents(derived.with_payload(derived.items(spark, d)))
+    docs = publish.search_documents(derived.stored_items(spark, d))
     return docs.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("catalog_start", "catalog_end")})
 
 
@@ -402,13 +408,15 @@ def text_blob(spark: SparkSession, d: str) -> DataFrame:
 MESSAGES_SQL = "SELECT event_id, ts, user_id || '-' || event_type AS message_id FROM events"
 
 
-@query(f"WITH m AS ({MESSAGES_SQL}) SELECT event_id, message_id FROM (SELECT *, lag(ts) OVER (PARTITION BY message_id ORDER BY ts, event_id) AS before FROM m) WHERE before IS NULL OR ts > before + INTERVAL 60 SECOND")
+@query(f"""WITH RECURSIVE m AS ({MESSAGES_SQL}), a AS (SELECT message_id, ts, event_id FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY ts, event_id) AS n FROM m) WHERE n = 1
+  UNION ALL SELECT message_id, ts, event_id FROM (SELECT m.*, row_number() OVER (PARTITION BY m.message_id ORDER BY m.ts, m.event_id) AS n FROM a JOIN m ON m.message_id = a.message_id AND m.ts > a.ts + INTERVAL 3600 SECOND) WHERE n = 1)
+  SELECT event_id, message_id FROM a""")
 def dedupe_messages_window(spark: SparkSession, d: str) -> DataFrame:
-    """First of each run of equal messages that follow within the time to live (the batch form)."""
+    """Messages that pass: no equal one was let through within the time to live before (the batch form)."""
     from quaywise.streaming.jobs import dedupe_batch
 
     m = table(spark, d, "events").select("event_id", "ts", F.concat_ws("-", F.col("user_id").cast("string"), "event_type").alias("message_id"))
-    return dedupe_batch(m, 60).select("event_id", "message_id")
+    return dedupe_batch(m, 3600).select("event_id", "message_id")
 
 
 ATTEMPTS_SQL = "SELECT user_id || '-' || event_type AS message_id, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS attempt, CASE CAST(value AS BIGINT) % 5 WHEN 0 THEN 200 WHEN 1 THEN 503 WHEN 2 THEN 409 WHEN 3 THEN 429 ELSE CASE WHEN CAST(value AS BIGINT) % 2 = 0 THEN 404 ELSE 500 END END AS status FROM events"

@@ -93,9 +93,8 @@ def discover(intents: DataFrame, tables: Tables, now: Column, limit: int = 100,
     hits = joined.where((~F.col("_g") | F.col("_near")) & (~F.col("_t") | F.col("text_rank").isNotNull()))
     place = F.row_number().over(_ranking())
     hits = hits.withColumn("rank", place).where(F.col("rank") <= limit)
-    listed = tables.offers.select("catalog_id", F.explode("resource_ids").alias("id"), F.struct("offer_id", "resource_ids", "price").alias("o"))
-    own = hits.select("intent_id", "catalog_id", "id").join(listed, ["catalog_id", "id"]).groupBy("intent_id", "catalog_id", "id").agg(F.array_sort(F.collect_list("o")).alias("offers"))
-    full = hits.join(own, ["intent_id", "catalog_id", "id"], "left").withColumn("offers", F.coalesce("offers", F.array().cast("array<struct<offer_id:string,resource_ids:array<string>,price:double>>")))
+    slim = hits.select("intent_id", "catalog_id", "id", "catalog_name", "provider_id", "name", "rank")
+    full = respond.attach_offers(slim, tables.offers)
     pruned = respond.mutual_pruning(respond.group_into_catalogs(full))
     return respond.drop_broken_answers(on_answer(respond.enrich_with_provider_offers(pruned, tables.offers)))
 

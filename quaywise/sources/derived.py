@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaywise.operators import text
+from quaywise.sources.stored import stored_once
+
 POINT_PATH = "$.catalogs[*].resources[*].availableAt[*].geo"
 AREA_PATH = "$.catalogs[*].resources[*].resourceAttributes.serviceArea.geo"
 
@@ -80,7 +83,19 @@ def with_payload(rows: DataFrame) -> DataFrame:
         F.array(resource).alias("resources"),
         F.array(offer("-a", F.col("price"), own), offer("-b", F.col("price") + F.col("l_suppkey") % 50 - 25, own)).alias("offers"),
     )
-    return rows.withColumn("payload", F.parse_json(F.to_json(F.struct(F.array(catalog).alias("catalogs")))))
+    return rows.withColumn("payload", F.to_variant_object(F.struct(F.array(catalog).alias("catalogs"))))
+
+
+def stored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`items` with their payload, as a publish leaves them: the payload is built and parsed once, and plain
+    columns stand beside it."""
+    return stored_once(spark, sf_dir, "items", lambda: with_payload(items(spark, sf_dir)))
+
+
+def stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings of ``documents`` (``term, doc_id, tf, length``), tokenised once, when documents are indexed."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    return stored_once(spark, sf_dir, "postings", lambda: text.postings(docs, "doc_id", "text"))
 
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -34,16 +35,47 @@ def read_envelopes(messages: DataFrame) -> DataFrame:
     return messages.select(*messages.columns, text("$.meta.subscriberId", "subscriber_id"), text("$.meta.recordId", "record_id"), flag("active"), flag("valid"), text("$.payload.context.messageId", "message_id"), text("$.payload.context.transactionId", "transaction_id"), F.try_variant_get(v, "$.payload", "variant").alias("payload"))
 
 
-def dedupe_stream(messages: DataFrame, seconds: int = 60) -> DataFrame:
-    """Equal message ids within the time to live pass once."""
-    return messages.withWatermark("ts", f"{seconds} seconds").dropDuplicatesWithinWatermark(["message_id"])
+def dedupe_stream(messages: DataFrame, seconds: int = 60, late: str = "60 seconds") -> DataFrame:
+    """Messages (``message_id, ts, ...``) that pass: no equal one was let through within the time to live before. The
+    moment of the last one let through is the state of an id; it is dropped once the watermark has passed its time."""
+    columns, ttl = messages.columns, pd.Timedelta(seconds=seconds)
+
+    def accept(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"] if "event_id" in columns else ["ts"])
+        keep = []
+        for ts in rows["ts"]:
+            keep.append(last is None or ts > last + ttl)
+            last = ts if keep[-1] else last
+        state.update((int(last.value // 1000),))
+        state.setTimeoutTimestamp(max(int((last + ttl).value // 1_000_000), state.getCurrentWatermarkMs() + 1))
+        yield rows[keep][columns]
+
+    timed = messages.withWatermark("ts", late)
+    return timed.groupBy("message_id").applyInPandasWithState(accept, messages.schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def dedupe_batch(messages: DataFrame, seconds: int = 60) -> DataFrame:
-    """The batch form: a message passes unless an equal one came within the time to live before it."""
-    before = F.lag("ts").over(Window.partitionBy("message_id").orderBy("ts", "event_id"))
-    marked = messages.withColumn("_before", before)
-    return marked.where(F.col("_before").isNull() | (F.col("ts") > F.col("_before") + F.make_dt_interval(secs=F.lit(seconds)))).drop("_before")
+    """The batch form, as one pass over the messages in order of id and time: it remembers one moment, whatever the
+    number of equal messages."""
+    ordered = messages.repartition("message_id").sortWithinPartitions("message_id", "ts", "event_id")
+    source = ordered.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
+    ttl = seconds * 1_000_000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, 0
+        for batch in batches:
+            keep = []
+            for name, at in zip(batch.column("message_id").to_pylist(), batch.column("_at").to_pylist(), strict=True):
+                keep.append(name != now or at > last + ttl)
+                if keep[-1]:
+                    now, last = name, at
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return source.mapInArrow(run, source.schema).drop("_at")
 
 
 def message_key(subscriber: str = "subscriber_id", provider: str = "bpp_id"):
@@ -63,12 +95,8 @@ def apply_publish(batch: DataFrame, state_dir: str, batch_id: int) -> None:
     none = F.array().cast("array<string>")
     incoming = new.join(listed, publish.KEYS, "left").select("catalog_id", "id", F.to_json("resource").alias("resource"), F.coalesce("offer_ids", none).alias("offer_ids"))
     schema = "catalog_id string, id string, resource string, offer_ids array<string>"
-    try:
-        old = spark.read.schema(schema).parquet(f"{state_dir}/items/version={batch_id - 1}") if batch_id else spark.createDataFrame([], schema)
-    except Exception as e:  # a version that was never written is an empty state
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = spark.createDataFrame([], schema)
+    # only the first batch starts from nothing: a version that is missing later is lost data, and reading it raises
+    old = spark.read.schema(schema).parquet(f"{state_dir}/items/version={batch_id - 1}") if batch_id else spark.createDataFrame([], schema)
     full = catalogs.where("update_mode = 'FULL'").select("catalog_id").distinct()
     kept = old.join(full, "catalog_id", "left_anti")
     merged = publish.publish_merge(kept, incoming, offers.select("catalog_id", "offer_id"))

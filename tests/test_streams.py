@@ -26,14 +26,20 @@ def test_publish_stream_equals_batches(spark, tmp_path):
     assert [r["status"] for r in spark.read.parquet(f"{state}/results/version=0").collect()] == ["ACCEPTED"]
 
 
-def test_dedupe_stream(spark, tmp_path):
-    source = str(tmp_path / "in")
-    rows = [("a", T0, 1), ("a", T0 + datetime.timedelta(seconds=20), 2), ("b", T0, 3)]
-    spark.createDataFrame(rows, "message_id string, ts timestamp, event_id long").coalesce(1).write.parquet(source)
-    stream = spark.readStream.schema("message_id string, ts timestamp, event_id long").parquet(source)
-    jobs.dedupe_stream(stream).writeStream.format("memory").queryName("deduped").trigger(availableNow=True).start().awaitTermination()
-    assert sorted(r["message_id"] for r in spark.table("deduped").collect()) == ["a", "b"]
-    assert sorted(r["event_id"] for r in jobs.dedupe_batch(spark.read.parquet(source)).collect()) == [1, 3]
+def test_dedupe_counts_from_what_was_let_through(spark, tmp_path):
+    """One id every 50 seconds: 0, 100 and 200 pass, in one batch, in the batch form and over several batches."""
+    source, schema = str(tmp_path / "in"), "message_id string, ts timestamp, event_id long"
+    at = lambda s: T0 + datetime.timedelta(seconds=s)
+    rows = [("a", at(50 * n), n) for n in range(6)] + [("b", at(7), 10), ("b", at(7), 11), ("b", at(67), 12), ("b", at(68), 13)]
+    want = [0, 2, 4, 10, 13]
+    whole = spark.createDataFrame(rows, schema)
+    assert sorted(r["event_id"] for r in jobs.dedupe_batch(whole).collect()) == want
+    out = []
+    for part in (rows[:3] + rows[6:8], rows[3:6], rows[8:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = jobs.dedupe_stream(spark.readStream.schema(schema).parquet(source), late="10 minutes")
+        stream.writeStream.foreachBatch(lambda df, _: out.extend(r["event_id"] for r in df.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(out) == want
 
 
 def test_retry_stream_counts_across_batches(spark, tmp_path):
