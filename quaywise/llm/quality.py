@@ -241,7 +241,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col
     """The rows of ``docs`` (all columns) that are predicted to be good. Only labelled texts are looked at for the
     fit; all are scored in passing, with no join."""
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    known = statistics_table(texts.join(truth_of(labels), F.col("doc_id") == F.col("_id")), keep=["y"])
+    truth = written(truth_of(labels), "truth")  # its size is known then, so Spark broadcasts it as long as it is small
+    known = statistics_table(texts.join(truth, F.col("doc_id") == F.col("_id")), keep=["y"])
     labelled = written(known.select("x", "y"), "labelled")
     model = train(labelled)
     removed(labelled)
