@@ -92,7 +92,7 @@ def truncate_words(text: Column, most: int = 8192) -> Column:
     """
     raw = F.substring(text.cast("binary"), 1, most)
     whole = F.regexp_replace(F.make_valid_utf8(raw.cast("string")), "�+$", "")
-    words = F.regexp_extract(whole, r"^(.*)\s", 1)
+    words = F.regexp_extract(whole, r"(?s)^(.*)\s", 1)
     return F.when(F.octet_length(text) <= most, text).otherwise(F.rtrim(F.when(F.length(words) > 0, words).otherwise(whole)))
 
 

@@ -244,3 +244,31 @@ def sized_batches(rows: DataFrame, size: int = 100, block: int = 100_000) -> Dat
     dealt = rows.join(shares, "index_key").withColumn("block", F.pmod(F.xxhash64("doc_key"), F.col("_blocks"))).drop("_blocks")
     place = F.row_number().over(Window.partitionBy("index_key", "block").orderBy("doc_key")) - 1
     return dealt.withColumn("bulk", F.floor(place / size))
+
+
+def write_index(documents: DataFrame, new: DataFrame, full: DataFrame) -> DataFrame:
+    """The search index after a commit: documents of catalogues published in full go (whatever their partition), those
+    named anew are replaced by key, the others stay."""
+    kept = documents.join(full.select("catalog_id").distinct(), "catalog_id", "left_anti").join(new.select("doc_key"), "doc_key", "left_anti")
+    return kept.select(*documents.columns).unionByName(new.select(*documents.columns))
+
+
+def items_of_catalogs(items: DataFrame, catalogs: DataFrame, first_only: bool = False) -> DataFrame:
+    """Items of the named catalogues; on request the first of each by id."""
+    held = items.join(catalogs.select("catalog_id").distinct(), "catalog_id", "left_semi")
+    if not first_only:
+        return held
+    return held.groupBy("catalog_id").agg(F.min("id").alias("id")).join(items, KEYS)
+
+
+#: Errors that a message itself causes: trying again cannot help.
+FINAL_ERRORS = ("too large", "not JSON", "no catalogues", "no context", "validation")
+
+
+def error_policy(failures: DataFrame, first: float = 1.0, factor: float = 2.0, longest: float = 30.0, whole: float = 300.0) -> DataFrame:
+    """Failed messages (``error, attempt``) with what happens next: ``REJECT`` at once, ``RETRY`` after ``wait``
+    seconds (growing by a factor up to a longest wait), or ``FAILED`` once the waits together reach the whole."""
+    grow = lambda n: F.least(F.lit(longest), F.lit(first) * F.pow(F.lit(factor), n - 1))
+    waited = F.aggregate(F.sequence(F.lit(1), F.col("attempt")), F.lit(0.0), lambda s, n: s + grow(n))
+    action = F.when(F.col("error").isin(*FINAL_ERRORS), "REJECT").when(waited >= whole, "FAILED").otherwise("RETRY")
+    return failures.withColumn("action", action).withColumn("wait", F.when(F.col("action") == "RETRY", grow(F.col("attempt"))))
