@@ -73,3 +73,38 @@ def cell_of(lon: Column, lat: Column, cell: float = CELL) -> Column:
 def cells_of_box(b: Column, cell: float = CELL) -> Column:
     span = lambda lo, hi: F.sequence(F.floor(lo / cell).cast("int"), F.floor(hi / cell).cast("int"))
     return F.flatten(F.transform(span(b["x1"], b["x2"]), lambda x: F.transform(span(b["y1"], b["y2"]), lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
+
+
+def segment_m(lon: Column, lat: Column, a: Column, b: Column) -> Column:
+    """Metres from a point to the stretch from ``a`` to ``b`` (``struct<x, y>``), in the plane that touches the sphere
+    at the point: exact enough for stretches of some degrees around it."""
+    scale = F.cos(F.radians(lat))
+    ax, ay, bx, by = (a["x"] - lon) * scale, a["y"] - lat, (b["x"] - lon) * scale, b["y"] - lat
+    dx, dy = bx - ax, by - ay
+    size = dx * dx + dy * dy
+    along = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / size))).otherwise(F.lit(0.0))
+    x, y = ax + along * dx, ay + along * dy
+    return F.radians(F.sqrt(x * x + y * y)) * EARTH_M
+
+
+def chain_m(lon: Column, lat: Column, chain: Column) -> Column:
+    """Metres from a point to a chain of two corners or more."""
+    steps = F.sequence(F.lit(1), F.size(chain) - 1)
+    return F.array_min(F.transform(steps, lambda i: segment_m(lon, lat, F.get(chain, i - 1), F.get(chain, i))))
+
+
+def in_ring(lon: Column, lat: Column, ring: Column) -> Column:
+    """Whether a point is inside a closed ring, by crossings of a ray to the right."""
+
+    def crossed(i: Column) -> Column:
+        a, b = F.get(ring, i - 1), F.get(ring, i)
+        return ((a["y"] > lat) != (b["y"] > lat)) & (lon < (b["x"] - a["x"]) * (lat - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) + a["x"])
+
+    return F.size(F.filter(F.sequence(F.lit(1), F.size(ring) - 1), crossed)) % 2 == 1
+
+
+def wider(b: Column, lat: Column, metres: Column) -> Column:
+    """Bounds that reach so many metres farther; ``lat`` is the largest absolute latitude in play."""
+    up = F.degrees(metres / F.lit(EARTH_M))
+    side = up / F.cos(F.radians(F.least(F.lit(89.0), lat + up)))
+    return F.struct((b["x1"] - side).alias("x1"), (b["y1"] - up).alias("y1"), (b["x2"] + side).alias("x2"), (b["y2"] + up).alias("y2"))

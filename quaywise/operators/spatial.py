@@ -31,6 +31,30 @@ def within_distance(locations: DataFrame, circles: DataFrame) -> DataFrame:
     return near.where(F.col("distance_m") <= F.col("metres")).groupBy("intent_id", *KEYS).agg(F.min("distance_m").alias("distance_m"))
 
 
+def within_distance_of_lines(locations: DataFrame, lines: DataFrame) -> DataFrame:
+    """``intent_id, item_id, catalog_id, distance_m``: point locations within some metres of each line (``intent_id,
+    chain, metres``, the chain not over the 180th meridian), nearest location per item."""
+    points = locations.where(F.col("geometry.kind") == "Point").select(*KEYS, F.col("geometry.ring")[0]["x"].alias("x"), F.col("geometry.ring")[0]["y"].alias("y"))
+    points = points.withColumn("cell", geo.cell_of(F.col("x"), F.col("y")))
+    bounds = geo.box(F.col("chain"))
+    farthest = F.greatest(F.abs(bounds["y1"]), F.abs(bounds["y2"]))
+    covered = lines.withColumn("cell", F.explode(geo.cells_of_box(geo.wider(bounds, farthest, F.col("metres")))))
+    near = points.join(covered, "cell").withColumn("distance_m", geo.chain_m(F.col("x"), F.col("y"), F.col("chain")))
+    return near.where(F.col("distance_m") <= F.col("metres")).groupBy("intent_id", *KEYS).agg(F.min("distance_m").alias("distance_m"))
+
+
+def areas_within_distance(locations: DataFrame, circles: DataFrame) -> DataFrame:
+    """``intent_id, item_id, catalog_id, distance_m``: stored areas within each circle (``intent_id, lon, lat,
+    metres``); an area around the centre is at distance zero."""
+    areas = locations.where(F.col("geometry.kind") == "Polygon").select(*KEYS, F.col("geometry.ring").alias("ring"))
+    areas = areas.withColumn("cell", F.explode(geo.cells_of_box(geo.box(F.col("ring")))))
+    covered = circles.select("intent_id", "lon", "lat", "metres", F.explode(geo.cells_of_circle(F.col("lon"), F.col("lat"), F.col("metres"))).alias("cell"))
+    pairs = areas.join(covered, "cell").drop("cell").dropDuplicates(["intent_id", *KEYS, "ring"])
+    lon, lat, ring = F.col("lon"), F.col("lat"), F.col("ring")
+    near = pairs.withColumn("distance_m", F.when(geo.in_ring(lon, lat, ring), F.lit(0.0)).otherwise(geo.chain_m(lon, lat, ring)))
+    return near.where(F.col("distance_m") <= F.col("metres")).groupBy("intent_id", *KEYS).agg(F.min("distance_m").alias("distance_m"))
+
+
 def refine(pairs: DataFrame, relation: str) -> DataFrame:
     """Pairs (``intent_id, item_id, catalog_id, stored, ring``) whose shapes are in the relation, by Arrow batch."""
     test = shapes.RELATIONS[relation]

@@ -172,6 +172,28 @@ def geo_polygon_relations(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+SEGMENT_SQL = "(radians(sqrt(pow(x1 + t * (x2 - x1), 2) + pow(y1 + t * (y2 - y1), 2))) * " + repr(geo.EARTH_M) + ")"
+
+
+@query(sql_with("catalogs", "items", "points") + f""", l AS (SELECT n_nationkey AS intent_id, n_nationkey * 14.0 - 172 AS ax, n_nationkey * 6.0 - 73 AS ay, n_nationkey * 14.0 - 168 AS bx, n_nationkey * 6.0 - 71 AS by_, 200000.0 AS metres FROM nation),
+  s AS (SELECT *, (ax - lon) * cos(radians(lat)) AS x1, ay - lat AS y1, (bx - lon) * cos(radians(lat)) AS x2, by_ - lat AS y2 FROM points, l),
+  d AS (SELECT *, greatest(0.0, least(1.0, -(x1 * (x2 - x1) + y1 * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) AS t FROM s)
+  SELECT intent_id, item_id, catalog_id, round({SEGMENT_SQL}, 2) AS distance_m FROM d WHERE {SEGMENT_SQL} <= metres""")
+def geo_dwithin_lines(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    ends = F.array(*(F.struct((n * 14.0 - x).alias("x"), (n * 6.0 - y).alias("y")) for x, y in ((172, 73), (168, 71))))
+    lines = table(spark, d, "nation").select(n.alias("intent_id"), ends.alias("chain"), F.lit(200_000.0).alias("metres"))
+    found = spatial.within_distance_of_lines(derived.locations(derived.items(spark, d)), lines)
+    return found.select("intent_id", "item_id", "catalog_id", F.round("distance_m", 2).alias("distance_m"))
+
+
+@query(sql_with("catalogs", "items", "points") + f""", c AS ({CIRCLES_SQL}), d AS (SELECT intent_id, item_id, catalog_id, metres, radians(sqrt(pow(greatest(p.lon - 0.5 - c.lon, 0.0, c.lon - p.lon - 0.5) * cos(radians(c.lat)), 2) + pow(greatest(p.lat - 0.5 - c.lat, 0.0, c.lat - p.lat - 0.5), 2))) * {geo.EARTH_M!r} AS m
+  FROM points p, c WHERE l_partkey % 3 = 0) SELECT intent_id, item_id, catalog_id, round(m, 2) AS distance_m FROM d WHERE m <= metres""")
+def geo_dwithin_areas(spark: SparkSession, d: str) -> DataFrame:
+    found = spatial.areas_within_distance(derived.locations(derived.items(spark, d)), circles(spark, d))
+    return found.select("intent_id", "item_id", "catalog_id", F.round("distance_m", 2).alias("distance_m"))
+
+
 @query("""SELECT item_id, catalog_id, path, CAST(row_number() OVER (PARTITION BY item_id, catalog_id, path ORDER BY l_orderkey, l_linenumber) - 1 AS SMALLINT) AS seq, lat, lon FROM (
   SELECT 'res-' || l_partkey AS item_id, 'cat-' || l_suppkey AS catalog_id, CASE WHEN l_linenumber % 2 = 0 THEN '$.even' ELSE '$.odd' END AS path, l_orderkey, l_linenumber,
     CAST(l_orderkey % 200 - 100 AS DOUBLE) AS lat, CAST(l_orderkey % 400 - 200 AS DOUBLE) AS lon FROM lineitem) WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180""")

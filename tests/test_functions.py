@@ -159,3 +159,22 @@ def test_analysis_and_stems(spark):
 def test_best_fields(spark):
     df = spark.createDataFrame([(2.0, 1.0, None)], "a double, b double, c double")
     assert df.select(text.best_fields([F.col("a"), F.col("b"), F.col("c")], [1.0, 3.0, 5.0], 0.3).alias("x")).first()["x"] == pytest.approx(3.0 + 0.3 * 2.0)
+
+
+def test_relations_of_lines_and_equal_shapes():
+    import numpy as np
+
+    from quaywise.functions import shapes
+
+    a = lambda *p: np.array(p, float)
+    square = a((0, 0), (2, 0), (2, 2), (0, 2), (0, 0))
+    same = a((2, 2), (0, 2), (0, 1), (0, 0), (1, 0), (2, 0), (2, 2))  # other start, with corners on straight stretches
+    turned = square[::-1]
+    bow, hull = a((0, 0), (2, 2), (2, 0), (0, 2), (0, 0)), square  # the same corners in another order
+    assert shapes.equals(square, same) and shapes.equals(square, turned) and not shapes.equals(bow, hull)
+    through, along, inner, outer = a((-1, 1), (3, 1)), a((0, 0), (2, 0)), a((0.5, 1), (1, 1.5)), a((5, 5), (6, 6))
+    assert shapes.crosses(through, square) and shapes.crosses(square, through) and shapes.crosses(through, a((1, 0), (1, 3)))
+    assert not any(shapes.crosses(x, square) for x in (along, inner, outer, square))
+    assert shapes.contains(square, inner) and shapes.within(inner, square) and not shapes.contains(square, along) and not shapes.contains(square, through)
+    assert shapes.touches(along, square) and shapes.disjoint(outer, square) and not shapes.touches(inner, square)
+    assert shapes.equals(inner, inner[::-1]) and shapes.contains(through, a((0, 1), (1, 1))) and not shapes.contains(through, a((3, 1)))
