@@ -26,6 +26,37 @@ def test_publish_stream_equals_batches(spark, tmp_path):
     assert [r["status"] for r in spark.read.parquet(f"{state}/results/version=0").collect()] == ["ACCEPTED"]
 
 
+def test_publish_stream_fills_every_table(spark, tmp_path):
+    """Validation, offers across catalogues, provider offers, locations, index and results; a full update clears a
+    catalogue everywhere, and a version that is gone raises."""
+    import shutil
+
+    import pytest
+
+    source, state = str(tmp_path / "in"), str(tmp_path / "state")
+    msg = lambda mode, *catalogs: json.dumps({"message": {"catalogs": list(catalogs), "publishDirectives": [{"catalogId": c["id"], "updateMode": mode} for c in catalogs if c.get("id")]}})
+    at = lambda lon: {"geo": {"type": "Point", "coordinates": [lon, 2.0]}}
+    shop = {"id": "c1", "provider": {"id": "p1"}, "resources": [{"id": "r1", "descriptor": {"name": "Lamp"}, "availableAt": [at(1.0), at(3.0)], "resourceAttributes": {"colour": "red", "@type": "T"}}], "offers": [{"id": "whole", "note": None}]}
+    other = {"id": "c2", "resources": [{"id": "r9", "descriptor": {"name": "Desk"}, "availableAt": [at(5.0)]}], "offers": [{"id": "far", "resourceIds": ["r1"]}]}
+    broken = {"id": "c3", "resources": "none"}
+    batches = [msg("MERGE", shop, broken), msg("MERGE", other), msg("FULL", {"id": "c1", "resources": [{"id": "r2", "descriptor": {"name": "Shelf"}}]})]
+    for n, value in enumerate(batches):
+        spark.createDataFrame([("k", value, T0, n)], jobs.MESSAGE).coalesce(1).write.mode("append").parquet(source)
+        jobs.publish_stream(jobs.read_messages(spark, source), state, str(tmp_path / "ck")).start().awaitTermination()
+    read = lambda name, n: spark.read.parquet(f"{state}/{name}/version={n}").collect()
+    assert {(r["catalog_id"], r["id"]): r["offer_ids"] for r in read("items", 1)} == {("c1", "r1"): ["far"], ("c2", "r9"): []}
+    assert sorted((r["item_id"], r["path"], r["seq"], r["geometry"]["ring"][0]["x"]) for r in read("locations", 1)) == [("r1", "$.catalogs[*].resources[*].availableAt[*].geo", 0, 1.0), ("r1", "$.catalogs[*].resources[*].availableAt[*].geo", 1, 3.0), ("r9", "$.catalogs[*].resources[*].availableAt[*].geo", 0, 5.0)]
+    assert [(r["offer_id"], r["provider_id"], json.loads(r["payload"])) for r in read("provider_offers", 1)] == [("whole", "p1", {"id": "whole"})]
+    assert {r["doc_key"]: r["text"] for r in read("documents", 1)} == {"c1:r1": "Lamp red", "c2:r9": "Desk"}
+    assert {r["catalog_id"]: r["status"] for r in read("results", 0)} == {"c1": "ACCEPTED", "c3": "REJECTED"}
+    assert all(json.loads(r["value"])["context"]["action"] == "on_publish" for r in read("results", 0))
+    assert {(r["catalog_id"], r["id"]) for r in read("items", 2)} == {("c1", "r2"), ("c2", "r9")} == {tuple(r["doc_key"].split(":")) for r in read("documents", 2)}
+    assert [r["item_id"] for r in read("locations", 2)] == ["r9"] and not read("provider_offers", 2)
+    shutil.move(f"{state}/items/version=2", str(tmp_path / "gone"))
+    with pytest.raises(Exception, match="version=2"):
+        jobs.apply_publish(spark.createDataFrame([("k", batches[0], T0, 9)], jobs.MESSAGE), state, 3)
+
+
 def test_dedupe_counts_from_what_was_let_through(spark, tmp_path):
     """One id every 50 seconds: 0, 100 and 200 pass, in one batch, in the batch form and over several batches."""
     source, schema = str(tmp_path / "in"), "message_id string, ts timestamp, event_id long"
