@@ -251,7 +251,7 @@ def _query_terms(spark: SparkSession, d: str) -> DataFrame:
     return words.distinct()
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
+def scored(spark: SparkSession, d: str) -> DataFrame:
     """Relevance of every document that holds a term of a benchmark text, from the stored postings."""
     posted = derived.stored_postings(spark, d)
     n = table(spark, d, "documents").where("text is not null").count()
@@ -261,20 +261,20 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
 
 @query(BM25_SQL + " SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s) WHERE rank <= 50")
 def text_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    hits = _scored(spark, d).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    hits = scored(spark, d).select("query_id", "doc_id", F.round("score", 6).alias("score"))
     return text.top_hits(hits, 50, "query_id", "doc_id")
 
 
 @query(BM25_SQL + " SELECT query_id, count(*) AS n, round(min(score), 6) AS least FROM (SELECT *, max(round(score, 6)) OVER (PARTITION BY query_id) AS top FROM s) WHERE round(score, 6) >= 0.6 * top AND score >= 0.72 GROUP BY ALL")
 def text_relative_cutoff(spark: SparkSession, d: str) -> DataFrame:
-    hits = _scored(spark, d).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    hits = scored(spark, d).select("query_id", "doc_id", F.round("score", 6).alias("score"))
     kept = filters.min_score(text.relative_cutoff(hits, 0.6), 0.72)
     return kept.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
 
 
 @query(BM25_SQL + ", need AS (SELECT query_id, count(*) AS need FROM q GROUP BY ALL) SELECT query_id, doc_id FROM s JOIN need USING (query_id) WHERE matched = need")
 def text_match_all(spark: SparkSession, d: str) -> DataFrame:
-    return text.match_all(_scored(spark, d), _query_terms(spark, d)).select("query_id", "doc_id")
+    return text.match_all(scored(spark, d), _query_terms(spark, d)).select("query_id", "doc_id")
 
 
 @query("""WITH v AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS term FROM part), q AS (SELECT DISTINCT n_nationkey AS query_id, CASE n_nationkey % 4 WHEN 0 THEN 'smal' WHEN 1 THEN 'rnig' WHEN 2 THEN 'larhe' ELSE 'bo' END AS term FROM nation)
@@ -291,7 +291,7 @@ def text_fuzzy_terms(spark: SparkSession, d: str) -> DataFrame:
 def text_then_filter(spark: SparkSession, d: str) -> DataFrame:
     """Ranked text hits, then the path filter on items of those ids, in rank order. All hits are candidates, so no
     item is lost behind a cap."""
-    ranked = text.ranked(_scored(spark, d).select("query_id", "doc_id", F.round("score", 6).alias("score")), "query_id", "doc_id")
+    ranked = text.ranked(scored(spark, d).select("query_id", "doc_id", F.round("score", 6).alias("score")), "query_id", "doc_id")
     hits = ranked.select("query_id", "rank", F.concat(F.lit("res-"), "doc_id").alias("id"))
     items = derived.stored_items(spark, d).where(paths.path_filter(F.col("payload"), "$.catalogs[*].resources[*] ? (@.resourceAttributes.size >= 25)"))
     found = items.select("id", "catalog_id").join(hits, "id")
@@ -320,7 +320,7 @@ STATE_SQL = """, old AS (SELECT catalog_id, 'res-' || l_partkey AS id, 0 AS vers
   new AS (SELECT catalog_id, 'res-' || l_partkey AS id, 1 AS version, list_sort(list(DISTINCT 'off-' || l_orderkey || '-' || l_suppkey)) AS offer_ids FROM lineitem JOIN catalogs ON l_suppkey = s_suppkey WHERE l_orderkey % 2 = 1 GROUP BY ALL)"""
 
 
-def _batches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def batches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     line = table(spark, d, "lineitem").withColumn("catalog_id", F.concat(F.lit("cat-"), "l_suppkey")).withColumn("id", F.concat(F.lit("res-"), "l_partkey"))
     offer = F.concat(F.lit("off-"), "l_orderkey", F.lit("-"), "l_suppkey")
     part = lambda n: line.where(F.col("l_orderkey") % 2 == n).groupBy("catalog_id", "id").agg(F.array_sort(F.collect_set(offer)).alias("offer_ids")).select("catalog_id", "id", F.lit(n).alias("version"), "offer_ids")
@@ -340,13 +340,13 @@ _joined = lambda: F.array_join(F.array_sort("offer_ids"), ",").alias("offer_ids"
   UNION ALL SELECT n.catalog_id, n.id, n.version, array_to_string(list_sort(list_distinct(list_concat(n.offer_ids, list_filter(coalesce(o.offer_ids, []), lambda x: NOT list_contains(coalesce(rs.r, []), x))))), ',')
   FROM new n LEFT JOIN old o ON n.catalog_id = o.catalog_id AND n.id = o.id LEFT JOIN rs ON n.catalog_id = rs.catalog_id""")
 def publish_merge_state(spark: SparkSession, d: str) -> DataFrame:
-    old, new = _batches(spark, d)
+    old, new = batches(spark, d)
     return publish.publish_merge(old, new, _restated(spark, d)).select("catalog_id", "id", "version", _joined())
 
 
 @query(sql_with("catalogs") + STATE_SQL + ", f AS (SELECT catalog_id FROM catalogs WHERE s_suppkey % 3 = 0) SELECT catalog_id, id, version, array_to_string(offer_ids, ',') AS offer_ids FROM old WHERE catalog_id NOT IN (SELECT catalog_id FROM f) UNION ALL SELECT catalog_id, id, version, array_to_string(offer_ids, ',') FROM new WHERE catalog_id IN (SELECT catalog_id FROM f)")
 def publish_full_state(spark: SparkSession, d: str) -> DataFrame:
-    old, new = _batches(spark, d)
+    old, new = batches(spark, d)
     full = derived.catalogs(spark, d).where("s_suppkey % 3 = 0").select("catalog_id")
     return publish.publish_full(old, new.join(full, "catalog_id", "left_semi"), full).select("catalog_id", "id", "version", _joined())
 
@@ -354,7 +354,7 @@ def publish_full_state(spark: SparkSession, d: str) -> DataFrame:
 @query(sql_with("catalogs") + STATE_SQL + """ SELECT catalog_id, count(*) FILTER (was IS NULL) AS inserted, count(*) FILTER (was IS NOT NULL AND now IS NOT NULL) AS updated, CASE WHEN CAST(substr(catalog_id, 5) AS BIGINT) % 3 = 0 THEN count(*) FILTER (now IS NULL) ELSE 0 END AS deleted
   FROM (SELECT coalesce(n.catalog_id, o.catalog_id) AS catalog_id, o.id AS was, n.id AS now FROM new n FULL JOIN old o ON n.catalog_id = o.catalog_id AND n.id = o.id) GROUP BY catalog_id""")
 def publish_change_counts(spark: SparkSession, d: str) -> DataFrame:
-    old, new = _batches(spark, d)
+    old, new = batches(spark, d)
     return publish.change_counts(old, new, derived.catalogs(spark, d).where("s_suppkey % 3 = 0").select("catalog_id"))
 
 
@@ -362,7 +362,7 @@ def publish_change_counts(spark: SparkSession, d: str) -> DataFrame:
   SELECT u.catalog_id, u.id, array_to_string(list_sort(list(DISTINCT u.offer_id)), ',') AS shared FROM u JOIN io ON u.catalog_id = io.catalog_id AND u.offer_id = io.offer_id
   WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.catalog_id = u.catalog_id AND new.id = u.id) GROUP BY u.catalog_id, u.id""")
 def offer_propagation(spark: SparkSession, d: str) -> DataFrame:
-    old, new = _batches(spark, d)
+    old, new = batches(spark, d)
     return publish.linked_items(old, _restated(spark, d), new).select("catalog_id", "id", F.array_join("shared", ",").alias("shared"))
 
 
@@ -378,21 +378,21 @@ MESSAGE_SQL = ", l AS (SELECT DISTINCT catalog_id AS offer_catalog, offer_id, un
 @query(sql_with("catalogs", "offers") + STATE_SQL + MESSAGE_SQL + """, a AS (SELECT id, list(DISTINCT offer_id) AS added FROM l WHERE id NOT IN (SELECT id FROM h) GROUP BY id)
   SELECT old.catalog_id, old.id, len(list_distinct(list_concat(offer_ids, added))) AS n_offers FROM old JOIN a ON old.id = a.id""")
 def cross_catalog_offers(spark: SparkSession, d: str) -> DataFrame:
-    old, new = _batches(spark, d)
+    old, new = batches(spark, d)
     touched, _ = publish.cross_catalog_offers(old, *_message(spark, d, new))
     return touched.select("catalog_id", "id", F.size("offer_ids").cast("long").alias("n_offers"))
 
 
 @query(sql_with("catalogs", "offers") + STATE_SQL + MESSAGE_SQL + """ SELECT offer_catalog, offer_id, id FROM l WHERE id NOT IN (SELECT id FROM h) AND id NOT IN (SELECT id FROM old WHERE id NOT LIKE '%7')""")
 def unresolved_offer_refs(spark: SparkSession, d: str) -> DataFrame:
-    old, new = _batches(spark, d)
+    old, new = batches(spark, d)
     return publish.cross_catalog_offers(old.where("id not like '%7'"), *_message(spark, d, new))[1]
 
 
 @query(sql_with("catalogs") + STATE_SQL + """ SELECT o.catalog_id, o.id, c.catalog_name || ' v2' AS meta FROM old o JOIN catalogs c ON o.catalog_id = c.catalog_id
   WHERE s_suppkey % 4 <> 0 AND s_suppkey % 5 <> 0 AND NOT EXISTS (SELECT 1 FROM new WHERE new.catalog_id = o.catalog_id AND new.id = o.id)""")
 def metadata_propagation(spark: SparkSession, d: str) -> DataFrame:
-    old, new = _batches(spark, d)
+    old, new = batches(spark, d)
     names = derived.catalogs(spark, d)
     changed = F.when(F.col("s_suppkey") % 5 == 0, F.col("catalog_name")).otherwise(F.concat("catalog_name", F.lit(" v2")))
     meta = names.select("catalog_id", changed.alias("meta"), (F.col("s_suppkey") % 4 != 0).alias("describes"))

@@ -6,12 +6,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaywise.functions import paths
+from quaywise.functions.embedding import hashed_embedding
 from quaywise.operators import filters, respond, spatial, text
-from quaywise.operators.vectors import candidate_cap
+from quaywise.operators.vectors import candidate_cap, knn
 
 
 class HitSource(Protocol):
@@ -39,6 +41,55 @@ class Tables:
     mean_length: float
 
 
+def schema_postfilter(hits: DataFrame, intents: DataFrame, items: DataFrame) -> DataFrame:
+    """Hits (``intent_id, id, catalog_id, ...``) of items that meet their intent's ``schema_urls``, for engines that cannot
+    filter by schema themselves."""
+    asked = intents.select("intent_id", "schema_urls")
+    kinds = items.select("id", "catalog_id", "context_url", "type")
+    joined = hits.join(asked, "intent_id").join(kinds, ["id", "catalog_id"])
+    return joined.where(filters.schema_filter(F.col("context_url"), F.col("type"), F.col("schema_urls"))).select(*hits.columns)
+
+
+def hits_of(source: HitSource, intents: DataFrame, items: DataFrame) -> DataFrame:
+    """What an engine finds, filtered by schema before or after, as the engine says."""
+    hits = source(intents)
+    return hits if source.applies_schema_filter else schema_postfilter(hits, intents, items)
+
+
+def index_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A stored index, or no rows where there is none yet; any other error is raised."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def matched_ids(hits: DataFrame, by: str = "intent_id", key: str = "id") -> DataFrame:
+    """``by, ids``: the ids of each intent's hits in rank order; blank ones are passed over."""
+    named = hits.where(F.coalesce(F.trim(F.col(key).cast("string")), F.lit("")) != "")
+    ordered = F.array_sort(F.collect_list(F.struct("rank", F.col(key).alias("id"))))
+    return named.groupBy(by).agg(ordered.alias("o")).select(by, F.transform("o", lambda x: x["id"]).alias("ids"))
+
+
+@dataclass
+class VectorHits:
+    """Text intents answered by nearest vectors: both sides embedded alike, hits under a least score dropped."""
+
+    vectors: DataFrame  # vec_id, vector of items
+    keys: DataFrame  # vec_id, id, catalog_id
+    limit: int = 50
+    least: float = 0.72
+    applies_schema_filter: bool = False
+
+    def __call__(self, intents: DataFrame) -> DataFrame:
+        asked = intents.where(F.coalesce(F.trim("text_search"), F.lit("")) != "")
+        queries = hashed_embedding(asked, "intent_id", "text_search").select(F.col("intent_id").alias("query_id"), F.col("vector").alias("query"))
+        near = filters.min_score(knn(self.vectors, queries, self.limit), self.least)
+        return near.join(self.keys, "vec_id").select(F.col("query_id").alias("intent_id"), "id", "catalog_id", "rank", "score")
+
+
 def resolve_flags(intents: DataFrame, active: bool = True, valid: bool = True) -> DataFrame:
     """Request flags, else the configured defaults."""
     return intents.withColumn("active", F.coalesce("active", F.lit(active))).withColumn("valid", F.coalesce("valid", F.lit(valid)))

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from quaywise.functions import embedding, geo, scalars
 from quaywise.operators import audit, dispatch, filters, payloads, publish, respond, spatial, text
 from quaywise.plans import discover
-from quaywise.plans.catalogue_queries import CIRCLES_SQL, NOW, TS_SQL, _batches, circles, haversine_sql, query
-from quaywise.plans.catalogue_queries import STATE_SQL
+from quaywise.plans.catalogue_queries import BM25_SQL, CIRCLES_SQL, NOW, STATE_SQL, TS_SQL, batches, circles, haversine_sql, query, scored
 from quaywise.sources import derived, pull
 from quaywise.sources.derived import sql_with, table
 
@@ -131,13 +130,13 @@ def geojson_shapes(spark: SparkSession, d: str) -> DataFrame:
   UNION ALL SELECT catalog_id || ':' || id, catalog_id, version FROM new""")
 def index_after_publish(spark: SparkSession, d: str) -> DataFrame:
     """The index after a commit: whole catalogues deleted, documents replaced by key."""
-    old, new = (b.select(scalars.doc_id(F.col("catalog_id"), F.col("id")).alias("doc_key"), "catalog_id", "version") for b in _batches(spark, d))
+    old, new = (b.select(scalars.doc_id(F.col("catalog_id"), F.col("id")).alias("doc_key"), "catalog_id", "version") for b in batches(spark, d))
     return publish.write_index(old, new, derived.catalogs(spark, d).where("s_suppkey % 3 = 0"))
 
 
 @query(sql_with("catalogs") + STATE_SQL + " SELECT catalog_id, min(id) AS id, any_value(version) AS version FROM old WHERE catalog_id IN (SELECT catalog_id FROM catalogs WHERE is_active IS TRUE) GROUP BY catalog_id")
 def first_items_of_catalogs(spark: SparkSession, d: str) -> DataFrame:
-    old, _ = _batches(spark, d)
+    old, _ = batches(spark, d)
     return publish.items_of_catalogs(old, derived.catalogs(spark, d).where("is_active"), first_only=True).select("catalog_id", "id", "version")
 
 
@@ -145,7 +144,7 @@ def first_items_of_catalogs(spark: SparkSession, d: str) -> DataFrame:
   row_number() OVER (PARTITION BY p_type ORDER BY lpad(CAST(p_partkey AS VARCHAR), 12, '0')) - 1 AS place FROM part) GROUP BY ALL""")
 def bulk_requests(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "part").select(scalars.index_key(F.col("p_type")).alias("index_key"), F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("doc_key"), "p_partkey")
-    return publish.sized_batches(docs).groupBy("index_key", "block", "bulk").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first")).drop("block")
+    return publish.sizedbatches(docs).groupBy("index_key", "block", "bulk").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first")).drop("block")
 
 
 @query("SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY o_custkey")
@@ -156,7 +155,7 @@ def last_writer(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT true AS same")
 def idempotent_publish(spark: SparkSession, d: str) -> DataFrame:
     """A batch applied twice leaves the state that it left the first time."""
-    old, new = _batches(spark, d)
+    old, new = batches(spark, d)
     none = derived.offers(spark, d).limit(0).select("catalog_id", "offer_id")
     once = publish.publish_merge(old, new, none)
     return audit.same_final_state(once, publish.publish_merge(once, new, none))
@@ -175,6 +174,21 @@ def resolved_intents(spark: SparkSession, d: str) -> DataFrame:
     return resolved.select("conv_id", "turn", "active", "valid", F.array_join("schema_urls", ",").alias("urls"))
 
 
+@query(BM25_SQL + " SELECT query_id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rank) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s) WHERE rank <= 10 GROUP BY query_id")
+def matched_id_lists(spark: SparkSession, d: str) -> DataFrame:
+    hits = text.top_hits(scored(spark, d).select("query_id", "doc_id", F.round("score", 6).alias("score")), 10, "query_id", "doc_id")
+    return discover.matched_ids(hits, "query_id", "doc_id").select("query_id", F.array_join("ids", ",").alias("ids"))
+
+
+@query(sql_with("catalogs", "items") + " SELECT n_nationkey AS intent_id, id, catalog_id FROM items, nation WHERE catalog_id = 'cat-' || (n_nationkey + 1) AND context_url = 'https://ctx/Brand-2' AND type = 'ECONOMY'")
+def schema_after_search(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of an engine that cannot filter by schema: the same rule, applied to what it found."""
+    n, items = F.col("n_nationkey"), derived.items(spark, d)
+    intents = table(spark, d, "nation").select(n.alias("intent_id"), F.concat(F.lit("cat-"), n + 1).alias("catalog_id"), F.array(F.lit("https://ctx/Brand-2#ECONOMY")).alias("schema_urls"))
+    hits = items.join(intents, "catalog_id").select("intent_id", "id", "catalog_id")
+    return discover.schema_postfilter(hits, intents, items)
+
+
 @query("""SELECT p_partkey, 'https://ctx/' || p_brand AS bases, p_type AS types FROM part""")
 def context_parts(spark: SparkSession, d: str) -> DataFrame:
     base = F.concat(F.lit("https://ctx/"), F.replace("p_brand", F.lit("#"), F.lit("-")))

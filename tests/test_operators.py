@@ -170,3 +170,23 @@ def test_index_side_of_space(spark):
     near = spatial.index_spatial(loc, {"op": "s_dwithin", "targets": ["$.a", "$.b"]}, circle)
     assert [r["item_id"] for r in near.collect()] == ["i"]
     assert spatial.index_spatial(loc, {"op": "s_dwithin", "quantifier": "all"}, circle) is None and spatial.index_spatial(loc, {"op": "s_touches"}, circle) is None
+
+
+def test_engines_and_missing_index(spark, tmp_path):
+    from quaywise.functions.embedding import hashed_embedding
+    from quaywise.plans import discover
+
+    items = spark.createDataFrame([("i1", "c", "u", "T", 1, "red desk lamp"), ("i2", "c", "u", "S", 2, "red desk lamp"), ("i3", "c", "u", "T", 3, "blue garden chair")], "id string, catalog_id string, context_url string, type string, vec_id long, name string")
+    engine = discover.VectorHits(hashed_embedding(items, "vec_id", "name"), items.select("vec_id", "id", "catalog_id"), limit=5, least=0.9)
+    intents = spark.createDataFrame([("q", "red desk lamp", ["u#T"]), ("blank", " ", None)], "intent_id string, text_search string, schema_urls array<string>")
+    assert sorted(r["id"] for r in engine(intents).collect()) == ["i1", "i2"]
+    found = discover.hits_of(engine, intents, items)
+    assert [(r["intent_id"], r["id"]) for r in found.collect()] == [("q", "i1")]
+    assert discover.matched_ids(engine(intents)).first()["ids"] == ["i1", "i2"]
+    assert discover.index_or_empty(spark, str(tmp_path / "none"), "a int").count() == 0
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.parquet").write_text("no parquet")
+    import pytest
+
+    with pytest.raises(Exception):
+        discover.index_or_empty(spark, str(tmp_path / "bad"), "a int").count()
