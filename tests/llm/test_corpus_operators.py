@@ -670,3 +670,37 @@ def test_boosting_learns():
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(float)
     model = boosting.fit_trees(x, y, trees=30, depth=3)
     assert ((model.logit(x) > 0) == (y > 0)).mean() > 0.95
+
+
+def test_license_query_matches_its_sql(spark, data):
+    import duckdb
+
+    from quaywise.llm import queries
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    want = db.sql(queries.ORACLES["op10_license_scans"])
+    got = queries.QUERIES["op10_license_scans"](spark, data)
+    plain = lambda rows, columns: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in (r[columns.index(c)] for c in sorted(columns))) for r in rows), key=repr)
+    assert plain(got.collect(), got.columns) == plain(want.fetchall(), want.columns)
+
+
+def test_discriminant_is_the_plain_one():
+    """Log densities by inverse and determinant of the shrunk covariances, from the rows themselves."""
+    r = np.random.default_rng(2)
+    d = 5
+    x = [r.normal(size=(300, d)) @ r.normal(size=(d, d)) + k for k in (0, 1)]
+    both = np.concatenate(x)
+    moments = quality.Moments(np.array([len(v) for v in x], float), np.array([v.sum(0) for v in x]), np.array([v.T @ v for v in x]))
+    model = quality.fit(moments, to_pooled=0.1, to_diagonal=0.02)
+    z = [(v - both.mean(0)) / both.std(0) for v in x]
+    covs = [np.cov(v.T, bias=True) for v in z]
+    pooled = (covs[0] + covs[1]) / 2
+    asked = np.clip((both - both.mean(0)) / both.std(0), -8, 8)
+    density = []
+    for v, c in zip(z, covs):
+        c = 0.9 * c + 0.1 * pooled
+        c = 0.98 * c + 0.02 * np.diag(np.maximum(np.diagonal(c), 1e-2)) + 1e-3 * np.eye(d)
+        e = asked - v.mean(0)
+        density.append(-0.5 * np.einsum("ni,ij,nj->n", e, np.linalg.inv(c), e) - 0.5 * np.log(np.linalg.det(c)))
+    assert model.difference(both) == pytest.approx(density[1] - density[0], abs=1e-6)
