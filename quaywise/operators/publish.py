@@ -237,11 +237,17 @@ def catalog_problems(catalog: Column, rules: list[tuple[str, str, bool]] = CATAL
     return F.array_compact(F.array(*found))
 
 
+def key_block(key: Column, blocks: Column) -> Column:
+    """The hashed block of a key: the first 32 bits of its MD5, modulo the number of blocks."""
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") % blocks
+
+
 def sized_batches(rows: DataFrame, size: int = 100, block: int = 100_000) -> DataFrame:
-    """Rows with the number of the bulk request they belong to (``block, bulk``), at most ``size`` to one within each
-    partition key. Keys with many rows are numbered within hashed blocks of about ``block`` rows."""
+    """Rows with the bulk request they belong to (``block, bulk``), at most ``size`` rows in each. A partition key is dealt
+    into one hashed block for every ``block`` rows begun (:func:`key_block`), and numbered within a block by document key,
+    so no task gets all rows of a large key."""
     shares = rows.groupBy("index_key").agg(F.ceil(F.count("*") / block).alias("_blocks"))
-    dealt = rows.join(shares, "index_key").withColumn("block", F.pmod(F.xxhash64("doc_key"), F.col("_blocks"))).drop("_blocks")
+    dealt = rows.join(shares, "index_key").withColumn("block", key_block(F.col("doc_key"), F.col("_blocks"))).drop("_blocks")
     place = F.row_number().over(Window.partitionBy("index_key", "block").orderBy("doc_key")) - 1
     return dealt.withColumn("bulk", F.floor(place / size))
 
@@ -261,8 +267,12 @@ def items_of_catalogs(items: DataFrame, catalogs: DataFrame, first_only: bool =
     return held.groupBy("catalog_id").agg(F.min("id").alias("id")).join(items, KEYS)
 
 
-#: Errors that a message itself causes: trying again cannot help.
-FINAL_ERRORS = ("too large", "not JSON", "no catalogues", "no context", "validation")
+#: Classes of errors that a message itself causes: trying again cannot help. What stands behind a colon is detail.
+FINAL_ERRORS = ("too large", "not JSON", "no catalogues", "no context", "no message or transaction id", "no catalogue id", "catalogue too large", "validation")
+
+
+def error_class(error: Column) -> Column:
+    return F.trim(F.substring_index(error, ":", 1))
 
 
 def error_policy(failures: DataFrame, first: float = 1.0, factor: float = 2.0, longest: float = 30.0, whole: float = 300.0) -> DataFrame:
@@ -270,5 +280,5 @@ def error_policy(failures: DataFrame, first: float = 1.0, factor: float = 2.0, l
     seconds (growing by a factor up to a longest wait), or ``FAILED`` once the waits together reach the whole."""
     grow = lambda n: F.least(F.lit(longest), F.lit(first) * F.pow(F.lit(factor), n - 1))
     waited = F.aggregate(F.sequence(F.lit(1), F.col("attempt")), F.lit(0.0), lambda s, n: s + grow(n))
-    action = F.when(F.col("error").isin(*FINAL_ERRORS), "REJECT").when(waited >= whole, "FAILED").otherwise("RETRY")
+    action = F.when(error_class(F.col("error")).isin(*FINAL_ERRORS), "REJECT").when(waited >= whole, "FAILED").otherwise("RETRY")
     return failures.withColumn("action", action).withColumn("wait", F.when(F.col("action") == "RETRY", grow(F.col("attempt"))))

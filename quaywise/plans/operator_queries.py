@@ -74,11 +74,14 @@ def real_resources(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", resource.alias("r")).select("p_partkey", filters.is_real_resource(F.col("r")).alias("kept"))
 
 
-@query("""SELECT error, attempt, CASE WHEN error = 'not JSON' THEN 'REJECT' WHEN attempt >= 14 THEN 'FAILED' ELSE 'RETRY' END AS action,
-  CASE WHEN error <> 'not JSON' AND attempt < 14 THEN least(30.0, pow(2.0, attempt - 1)) END AS wait, count(*) AS n
-  FROM (SELECT CASE WHEN event_type = 'error' THEN 'not JSON' ELSE 'timeout' END AS error, CAST(event_id % 20 + 1 AS INTEGER) AS attempt FROM events) GROUP BY ALL""")
+@query("""WITH e AS (SELECT CASE event_id % 5 WHEN 0 THEN 'validation: id: missing' WHEN 1 THEN 'no catalogue id' WHEN 2 THEN event_type ELSE 'timeout: 30 s' END AS error, event_id % 5 < 2 AS final,
+    CAST(event_id % 20 + 1 AS INTEGER) AS attempt FROM events)
+  SELECT error, attempt, CASE WHEN final THEN 'REJECT' WHEN attempt >= 14 THEN 'FAILED' ELSE 'RETRY' END AS action,
+  CASE WHEN NOT final AND attempt < 14 THEN least(30.0, pow(2.0, attempt - 1)) END AS wait, count(*) AS n FROM e GROUP BY ALL""")
 def consumer_errors(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select(F.when(F.col("event_type") == "error", "not JSON").otherwise("timeout").alias("error"), (F.col("event_id") % 20 + 1).cast("int").alias("attempt"))
+    """Reasons as the stream writes them, with and without detail, and errors from outside."""
+    error = _pick(F.col("event_id"), "validation: id: missing", "no catalogue id", F.col("event_type"), "timeout: 30 s", "timeout: 30 s")
+    e = table(spark, d, "events").select(error.alias("error"), (F.col("event_id") % 20 + 1).cast("int").alias("attempt"))
     return publish.error_policy(e).groupBy("error", "attempt", "action", "wait").agg(F.count("*").alias("n"))
 
 
@@ -140,11 +143,17 @@ def first_items_of_catalogs(spark: SparkSession, d: str) -> DataFrame:
     return publish.items_of_catalogs(old, derived.catalogs(spark, d).where("is_active"), first_only=True).select("catalog_id", "id", "version")
 
 
-@query("""SELECT index_key, CAST(place // 100 AS BIGINT) AS bulk, count(*) AS n, min(p_partkey) AS first FROM (SELECT 'catalog-' || regexp_replace(lower(p_type), '[^a-z0-9-]', '-', 'g') AS index_key, p_partkey,
-  row_number() OVER (PARTITION BY p_type ORDER BY lpad(CAST(p_partkey AS VARCHAR), 12, '0')) - 1 AS place FROM part) GROUP BY ALL""")
+@query("""WITH p AS (SELECT 'catalog-' || lower(p_type) AS index_key, p_partkey, lpad(CAST(p_partkey AS VARCHAR), 12, '0') AS doc_key FROM part),
+  n AS (SELECT index_key, (count(*) + 39) // 40 AS blocks FROM p GROUP BY ALL),
+  b AS (SELECT *, CAST('0x' || substr(md5(doc_key), 1, 8) AS BIGINT) % blocks AS block FROM p JOIN n USING (index_key)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY index_key, block ORDER BY doc_key) - 1 AS place FROM b)
+  SELECT index_key, block, CAST(place // 10 AS BIGINT) AS bulk, count(*) AS n, min(p_partkey) AS first FROM r GROUP BY ALL""")
 def bulk_requests(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "part").select(scalars.index_key(F.col("p_type")).alias("index_key"), F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("doc_key"), "p_partkey")
-    return publish.sizedbatches(docs).groupBy("index_key", "block", "bulk").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first")).drop("block")
+    """Bulk requests of ten documents, large types dealt into blocks of about forty."""
+    key = F.lpad(F.col("p_partkey").cast("string"), 12, "0")
+    docs = table(spark, d, "part").select(scalars.index_key(F.col("p_type")).alias("index_key"), key.alias("doc_key"), "p_partkey")
+    numbered = publish.sized_batches(docs, size=10, block=40)
+    return numbered.groupBy("index_key", "block", "bulk").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
 
 
 @query("SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY o_custkey")
@@ -152,13 +161,18 @@ def last_writer(spark: SparkSession, d: str) -> DataFrame:
     return publish.latest_version(table(spark, d, "orders"), ["o_custkey"], "o_orderkey").select("o_custkey", "o_orderkey", "o_totalprice")
 
 
-@query("SELECT true AS same")
+@query(sql_with("catalogs") + STATE_SQL + """ SELECT catalog_id, count(*) AS n, CAST(sum(version) AS BIGINT) AS fresh, true AS same FROM (
+    SELECT catalog_id, version FROM old o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.catalog_id = o.catalog_id AND n.id = o.id) UNION ALL SELECT catalog_id, version FROM new) GROUP BY catalog_id""")
 def idempotent_publish(spark: SparkSession, d: str) -> DataFrame:
-    """A batch applied twice leaves the state that it left the first time."""
+    """A batch applied twice leaves the state that it left the first time: rows of each catalogue after the second, how
+    many of them are new, and whether both states are equal."""
     old, new = batches(spark, d)
     none = derived.offers(spark, d).limit(0).select("catalog_id", "offer_id")
     once = publish.publish_merge(old, new, none)
-    return audit.same_final_state(once, publish.publish_merge(once, new, none))
+    twice = publish.publish_merge(once, new, none)
+    counted = twice.groupBy("catalog_id").agg(F.count("*").alias("n"), F.count_if(F.col("version") == 1).alias("fresh"))
+    verdict = audit.same_final_state(once, twice).withColumn("k", F.lit(1))  # one row
+    return counted.withColumn("k", F.lit(1)).join(F.broadcast(verdict), "k").drop("k")
 
 
 # --------------------------------------------------------------------------- intents and answers
@@ -180,11 +194,17 @@ def matched_id_lists(spark: SparkSession, d: str) -> DataFrame:
     return discover.matched_ids(hits, "query_id", "doc_id").select("query_id", F.array_join("ids", ",").alias("ids"))
 
 
-@query(sql_with("catalogs", "items") + " SELECT n_nationkey AS intent_id, id, catalog_id FROM items, nation WHERE catalog_id = 'cat-' || (n_nationkey + 1) AND context_url = 'https://ctx/Brand-2' AND type = 'ECONOMY'")
+@query(
+    sql_with("catalogs", "items")
+    + """ SELECT n_nationkey AS intent_id, id, catalog_id FROM items, nation WHERE catalog_id = 'cat-' || (n_nationkey % 10 + 1)
+  AND ((context_url = 'https://ctx/Brand-' || (n_nationkey + 1) AND type = 'ECONOMY') OR context_url = 'https://ctx/Brand-' || (n_nationkey % 7 + 1))"""
+)
 def schema_after_search(spark: SparkSession, d: str) -> DataFrame:
     """Hits of an engine that cannot filter by schema: the same rule, applied to what it found."""
     n, items = F.col("n_nationkey"), derived.items(spark, d)
-    intents = table(spark, d, "nation").select(n.alias("intent_id"), F.concat(F.lit("cat-"), n + 1).alias("catalog_id"), F.array(F.lit("https://ctx/Brand-2#ECONOMY")).alias("schema_urls"))
+    typed, whole = F.concat(F.lit("https://ctx/Brand-"), n + 1, F.lit("#ECONOMY")), F.concat(F.lit("https://ctx/Brand-"), n % 7 + 1)
+    asked = F.concat(F.lit("cat-"), n % 10 + 1).alias("catalog_id")
+    intents = table(spark, d, "nation").select(n.alias("intent_id"), asked, F.array(typed, F.lit(" "), whole).alias("schema_urls"))
     hits = items.join(intents, "catalog_id").select("intent_id", "id", "catalog_id")
     return discover.schema_postfilter(hits, intents, items)
 
