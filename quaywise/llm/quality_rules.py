@@ -28,7 +28,7 @@ SYMBOLS = "#*$%&|<>"
 #: Characters that do not make a word of letters: digits and ASCII punctuation.
 NO_LETTERS = "0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
-#: The commonest words of English, German, French and Spanish.
+#: The commonest words of English, German, French and Spanish; they count in lower case or with a capital first letter.
 STOP_WORDS = (
     "the of and to a in is that it for was on with as be by this are at from an or not have which "
     "der die und den von zu das mit sich des auf für ist im dem nicht ein eine als auch es "
@@ -37,6 +37,10 @@ STOP_WORDS = (
 ).split()
 
 
+def written_forms(words: list[str]) -> list[str]:
+    return sorted({*words, *(w.capitalize() for w in words)})
+
+
 class Rule(NamedTuple):
     """``measure`` has to lie between ``least`` and ``most``; None leaves a side open."""
 
@@ -61,7 +65,7 @@ def without(text: Column, characters: str) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), "")
 
 
 def filled_lines(text: Column) -> Column:
@@ -132,7 +136,7 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sto
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("_text"))
     parted = texts.select("doc_id", "_text", words_of(F.col("_text")).alias("_words"), filled_lines(F.col("_text")).alias("_lines"))
     words, lines = F.col("_words"), F.col("_lines")
-    stop = F.filter(words, lambda w: F.lower(w).isin(*stop_words))
+    stop = F.filter(words, lambda w: w.isin(*written_forms(stop_words)))
     lettered = words_of(without(F.col("_text"), NO_LETTERS))
     return parted.select(
         "doc_id",

@@ -132,7 +132,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(spots) AS BIGINT) AS
 FROM labelled LEFT JOIN best USING (r)
 """
 
-_STOP_LIST = ", ".join(f"'{w}'" for w in sorted(set(quality_rules.STOP_WORDS)))
+_STOP_LIST = ", ".join(f"'{w}'" for w in quality_rules.written_forms(quality_rules.STOP_WORDS))
 _SHARES = {
     "n_words": "n_words",
     "mean_word_chars": "CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END",
@@ -167,7 +167,7 @@ WITH docs AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
     CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, len(lines) AS n_lines,
-    len(list_filter(w, lambda x: lower(x) IN ({_STOP_LIST}))) AS n_stop, len(lettered) AS n_lettered
+    len(list_filter(w, lambda x: x IN ({_STOP_LIST}))) AS n_stop, len(lettered) AS n_lettered
   FROM parts LEFT JOIN covered USING (r)
 ), judged AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
