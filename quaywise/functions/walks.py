@@ -88,8 +88,66 @@ def geo_objects(value, path: str = "$", depth: int = 0) -> Iterator[tuple[str, s
 def _loaded(text: str | None):
     try:
         return json.loads(text) if text is not None else None
-    except ValueError:
+    except (ValueError, RecursionError):
+        return None
+
+
+def all_texts(value, parts: dict[str, None]) -> None:
+    """Adds every text (no address of the web) and number of a JSON value to ``parts``, in document order, and the names
+    of members that are true; context members and shapes are passed over."""
+    if isinstance(value, str):
+        if value.strip() and not value.startswith(("http://", "https://")):
+            parts[value] = None
+    elif isinstance(value, (int, float)) and not isinstance(value, bool):
+        parts[str(value)] = None
+    elif isinstance(value, dict):
+        for k, v in value.items():
+            if k.startswith("@") or k in KEYS:
+                continue
+            if v is True:
+                parts[k] = None
+            all_texts(v, parts)
+    elif isinstance(value, list):
+        for v in value:
+            all_texts(v, parts)
+
+
+def location_texts(value, parts: dict[str, None]) -> None:
+    """The texts beside the shapes of locations, wherever they are."""
+    if isinstance(value, dict):
+        if any(k in value for k in KEYS):
+            for k, v in value.items():
+                if k not in KEYS and not k.startswith("@"):
+                    all_texts(v, parts)
+            return
+        value = list(value.values())
+    if isinstance(value, list):
+        for v in value:
+            location_texts(v, parts)
+
+
+def text_parts(resource: str | None, offers: list[str | None]) -> str | None:
+    """The searched text of a resource and its offers, all JSON texts; null where the resource is no object."""
+    r = _loaded(resource)
+    if not isinstance(r, dict):
         return None
+    at = lambda *path: _at(r, path)
+    parts: dict[str, None] = {}
+    for named in (at("descriptor", "name"), at("descriptor", "shortDesc"), at("descriptor", "longDesc"), at("category", "name"), at("provider", "descriptor", "name")):
+        if isinstance(named, str) and named.strip():
+            parts[named] = None
+    location_texts(r, parts)
+    for value in (at("resourceAttributes"), at("constraints"), at("policies"), at("descriptor", "docs"), at("descriptor", "mediaFile")):
+        all_texts(value, parts)
+    for offer in offers:
+        all_texts(_loaded(offer), parts)
+    return " ".join(parts)
+
+
+def _at(value, path: tuple[str, ...]):
+    for name in path:
+        value = value.get(name) if isinstance(value, dict) else None
+    return value
 
 
 def extract_geometries(items: DataFrame, keys: list[str], payload: Column) -> DataFrame:

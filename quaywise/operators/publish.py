@@ -185,41 +185,6 @@ def rejects(rows: DataFrame, reason: str = "reject_reason", raw: str = "value")
     return bad.select(F.to_json(F.struct(F.col(reason).alias("reason"), F.current_timestamp().alias("timestamp"), F.substring(raw, 1, 200).alias("snippet"))).alias("value"))
 
 
-def search_documents(items: DataFrame) -> DataFrame:
-    """Flat search documents from item payloads, with index partition and key."""
-    res = lambda path, kind="string": F.try_variant_get("payload", f"$.catalogs[0].resources[0].{path}", kind)
-    cat = lambda path, kind="string": F.try_variant_get("payload", f"$.catalogs[0].{path}", kind)
-    return items.select(
-        scalars.doc_id(F.col("catalog_id"), F.col("id")).alias("doc_key"),
-        scalars.index_key(F.col("type")).alias("index_key"),
-        "catalog_id",
-        cat("descriptor.name").alias("catalog_name"),
-        cat("isActive", "boolean").alias("catalog_is_active"),
-        scalars.try_timestamp(cat("validity.startDate")).alias("catalog_start"),
-        scalars.try_timestamp(cat("validity.endDate")).alias("catalog_end"),
-        F.col("id").alias("resource_id"),
-        F.coalesce(res("descriptor.name"), res("descriptor.shortDesc")).alias("resource_name"),
-        cat("provider.id").alias("provider_id"),
-        F.try_variant_get("payload", "$.catalogs[0].resources[0].resourceAttributes['@type']", "string").alias("attributes_type"),
-        F.try_variant_get("payload", "$.catalogs[0].resources[0].resourceAttributes['@context']", "string").alias("attributes_context"),
-        res("resourceAttributes.listPrice", "double").alias("list_price"),
-        F.size(F.try_variant_get("payload", "$.catalogs[0].offers", "array<variant>")).alias("n_offers"),
-    )
-
-
-def text_blob(parts: list[Column], attributes: Column, most: int = 8192) -> Column:
-    """Distinct parts in order: named fields, then every text (no address of the web) and number of the
-    attributes, and the *names* of those that are true. Context and geometry members are left out."""
-    entries = F.map_entries(attributes.cast("map<string,variant>"))
-    plain = F.filter(entries, lambda e: ~e["key"].startswith("@") & ~e["key"].isin("geo", "gps", "polygon"))
-    kind = lambda e: F.schema_of_variant(e["value"])
-    text = lambda e: F.try_variant_get(e["value"], "$", "string")
-    word = lambda e: F.when(kind(e) == "BOOLEAN", F.when(F.try_variant_get(e["value"], "$", "boolean"), e["key"])).when(kind(e).rlike("^(STRING|BIGINT|DOUBLE|DECIMAL|FLOAT)") & ~text(e).rlike("^https?://"), text(e))
-    found = F.coalesce(F.transform(plain, word), F.array().cast("array<string>"))
-    every = F.filter(F.concat(F.array(*parts), found), lambda x: x.isNotNull() & (F.trim(x) != ""))
-    return scalars.truncate_words(F.array_join(F.array_distinct(every), " "), most)
-
-
 #: Rules of a publish message: member, JSON type, whether it must be there.
 CATALOG_RULES = [("id", "string", True), ("descriptor.name", "string", False), ("provider.id", "string", False), ("isActive", "boolean", False), ("resources", "array<variant>", False), ("offers", "array<variant>", False)]
 

@@ -102,7 +102,8 @@ def drop_broken_answers(catalogs: DataFrame, by: str = "intent_id") -> DataFrame
 
 def attach_offers(hits: DataFrame, offers: DataFrame) -> DataFrame:
     """``hits`` (keyed by intent, catalogue and id) with the ``offers`` of the same catalogue that list them."""
-    listed = offers.select("catalog_id", F.explode("resource_ids").alias("id"), F.struct("offer_id", "resource_ids", "price").alias("o"))
+    wanted = offers.join(hits.select("catalog_id").distinct(), "catalog_id", "left_semi")  # before their lists are taken apart
+    listed = wanted.select("catalog_id", F.explode("resource_ids").alias("id"), F.struct("offer_id", "resource_ids", "price").alias("o"))
     joined = hits.join(listed, ["catalog_id", "id"], "left")
     own = F.array_sort(F.collect_list("o")).alias("offers")  # nulls are not collected
     return joined.groupBy(*hits.columns).agg(own)

@@ -47,17 +47,37 @@ def postings(docs: DataFrame, key: str, text: str, stem: bool = False) -> DataFr
     return rows.groupBy("term", key, "length").agg(F.count("*").alias("tf"))
 
 
+#: Rows of a query side that are sent to every executor; more are shuffled.
+MOST_SENT = 200_000
+
+
+def sent_if_small(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """``df``, marked for broadcast if it has no more than ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def bm25(posted: DataFrame, key: str, query_terms: DataFrame, n_docs: int, mean_length: float) -> DataFrame:
-    """``query_id, key, score, matched``: relevance of each document that holds a query term.
+    """``query_id, key, score, matched``: relevance of each document that holds a query term (``query_id, term``)."""
+    variants = query_terms.select("query_id", "term").distinct().withColumns({"variant": F.col("term"), "factor": F.lit(1.0)})
+    return bm25_of_variants(posted, key, variants, n_docs, mean_length, one_each=True)
+
+
+def bm25_of_variants(posted: DataFrame, key: str, variants: DataFrame, n_docs: int, mean_length: float, one_each: bool = False) -> DataFrame:
+    """``query_id, key, score, matched`` for query terms that stand in the postings as ``variant`` (``query_id, term, variant,
+    factor``): a term counts with its best variant in a document.
 
-    Query terms (``query_id, term``) meet the postings by term; document frequencies come from the same join's
-    terms only, so the corpus is never grouped for one query.
+    Postings meet the query side, which is sent to them where it is small: they are read, but not shuffled by term, and
+    document frequencies are counted before anything moves.
     """
-    wanted = posted.join(query_terms.select("term").distinct(), "term", "left_semi")
-    frequency = wanted.groupBy("term").agg(F.count("*").alias("df"))
+    asked = sent_if_small(variants.select(F.col("variant").alias("term")).distinct())
+    frequency = posted.join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(mean_length))))
-    scored = wanted.join(frequency, "term").withColumn("w", weight).join(query_terms.select("query_id", "term").distinct(), "term")
+    found = variants.join(frequency.withColumnRenamed("term", "variant"), "variant")
+    weighted = sent_if_small(found.select("query_id", F.col("term").alias("_of"), F.col("variant").alias("term"), (idf * F.col("factor")).alias("_idf")))
+    gain = F.col("_idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(mean_length))))
+    scored = posted.join(weighted, "term").withColumn("w", gain)
+    if not one_each:
+        scored = scored.groupBy("query_id", key, "_of").agg(F.max("w").alias("w"))
     return scored.groupBy("query_id", key).agg(F.sum("w").alias("score"), F.count("*").alias("matched"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaywise.functions import geo, paths, scalars
-from quaywise.operators import audit, dispatch, filters, publish, respond, spatial, text, vectors
+from quaywise.operators import audit, dispatch, documents, filters, publish, respond, spatial, text, vectors
 from quaywise.sources import derived
 from quaywise.sources.derived import sql_with, table
 
@@ -411,18 +411,78 @@ def provider_offers_upsert(spark: SparkSession, d: str) -> DataFrame:
     return publish.upsert(old, new, ["offer_id", "catalog_id"])
 
 
-@query(sql_with("catalogs", "items") + f""" SELECT catalog_id || ':' || id AS doc_key, 'catalog-' || regexp_replace(lower(type), '[^a-z0-9-]', '-', 'g') AS index_key, catalog_id, catalog_name, is_active AS catalog_is_active,
-  {TS_SQL.format('start_text')} AS catalog_start, {TS_SQL.format('end_text')} AS catalog_end, id AS resource_id, name AS resource_name, provider_id, type AS attributes_type, context_url AS attributes_context, price AS list_price, 2 AS n_offers FROM items""")
+def rich_items(spark: SparkSession, d: str) -> DataFrame:
+    """Item rows whose payload fills most members of a search document, some of them with another JSON type."""
+    p, text = F.col("l_partkey"), lambda prefix, n: F.concat(F.lit(prefix), n)
+    fifth = p % 5 == 0
+    rating = F.when(fifth, F.to_variant_object(F.struct(F.col("size").cast("string").alias("ratingCount")))).otherwise(
+        F.to_variant_object(F.struct((F.col("size") / 2).alias("ratingValue"), F.col("size").alias("ratingCount"), text("seen ", p % 6).alias("reviewText")))
+    )
+    point = F.struct(F.lit("Point").alias("type"), F.array(F.lit(1.5), F.lit(2.5)).alias("coordinates"))
+    address = F.struct(text("Town ", p % 7).alias("locality"), text("Road ", p % 9).alias("street"), F.lit(True).alias("main"))
+    nested = F.struct(F.array(F.col("type"), text("tag ", p % 11)).alias("tags"), F.struct(F.array(F.array(text("note ", p % 4))).alias("lists")).alias("deep"))
+    attributes = F.struct(
+        F.col("type").alias("@type"), F.col("context_url").alias("@context"), "brand", "size", (p % 3 == 0).alias("organic"), F.col("context_url").alias("link"), nested.alias("nested")
+    )
+    resource = F.struct(
+        "id",
+        F.struct("name", F.col("brand").alias("shortDesc"), F.array(F.struct(text("doc ", p % 3).alias("label"))).alias("docs")).alias("descriptor"),
+        F.struct(F.col("type").alias("codeValue"), F.lower("type").alias("name")).alias("category"),
+        rating.alias("rating"),
+        F.when(p % 2 == 0, F.lit("yes").cast("variant")).otherwise(F.lit(True).cast("variant")).alias("rateable"),
+        F.struct(F.col("provider_id").alias("id"), F.struct(text("maker ", p % 5).alias("name")).alias("descriptor")).alias("provider"),
+        F.array(F.struct(point.alias("geo"), address.alias("address"))).alias("availableAt"),
+        attributes.alias("resourceAttributes"),
+        F.array(F.struct(text("limit ", p % 2).alias("code"))).alias("constraints"),
+    )
+    offer = F.struct(text("offer-", p).alias("id"), F.struct(F.lit("INR").alias("currency"), F.col("size").alias("value")).alias("price"))
+    owner = F.when(fifth, F.col("provider_id").cast("variant")).otherwise(F.to_variant_object(F.struct(F.col("provider_id").alias("id"))))
+    catalog = F.struct(
+        F.col("catalog_id").alias("id"),
+        F.col("is_active").alias("isActive"),
+        F.struct(F.col("catalog_name").alias("name")).alias("descriptor"),
+        owner.alias("provider"),
+        F.struct(F.col("start_text").alias("startDate"), F.col("end_text").alias("endDate")).alias("validity"),
+        F.array(resource).alias("resources"),
+        F.array(offer).alias("offers"),
+    )
+    return derived.items(spark, d).withColumn("payload", F.to_variant_object(F.struct(F.array(catalog).alias("catalogs"))))
+
+
+BLOB_SQL = """, t AS (SELECT *, l_partkey AS p, [name, brand, lower(type), 'maker ' || (l_partkey % 5), 'Town ' || (l_partkey % 7), 'main', 'Road ' || (l_partkey % 9), brand, 'note ' || (l_partkey % 4),
+    type, 'tag ' || (l_partkey % 11), CASE WHEN l_partkey % 3 = 0 THEN 'organic' END, CAST(size AS VARCHAR), 'limit ' || (l_partkey % 2), 'doc ' || (l_partkey % 3), 'offer-' || l_partkey, 'INR', CAST(size AS VARCHAR)] AS parts FROM items),
+  b AS (SELECT * EXCLUDE (parts), list_filter(parts, lambda x: x IS NOT NULL) AS parts FROM t),
+  blobs AS (SELECT * EXCLUDE (parts), array_to_string(list_filter(parts, lambda x, i: list_position(parts, x) = i), ' ') AS blob FROM b)"""
+
+
+@query(
+    sql_with("catalogs", "items")
+    + BLOB_SQL
+    + f""" SELECT catalog_id || ':' || id AS doc_key, 'catalog-' || regexp_replace(lower(type), '[^a-z0-9-]', '-', 'g') AS index_key, catalog_id, catalog_name, is_active AS catalog_is_active,
+  {TS_SQL.format("start_text")} AS catalog_start, {TS_SQL.format("end_text")} AS catalog_end, id AS resource_id, name AS resource_name, provider_id, provider_id AS resource_provider_id, 'maker ' || (p % 5) AS resource_provider_name,
+  type AS attributes_type, context_url AS attributes_context, brand AS resource_short_desc, type AS resource_category_code, lower(type) AS resource_category_name,
+  CASE WHEN p % 5 <> 0 THEN size / 2.0 END AS resource_rating_value, CASE WHEN p % 5 <> 0 THEN CAST(size AS INTEGER) END AS resource_rating_count, CASE WHEN p % 5 <> 0 THEN 'seen ' || (p % 6) END AS resource_review_text,
+  CASE WHEN p % 2 <> 0 THEN true END AS resource_rateable, '{{"code":"limit ' || (p % 2) || '"}}' AS constraints, '{{"label":"doc ' || (p % 3) || '"}}' AS resource_docs,
+  '{{"id":"offer-' || p || '","price":{{"currency":"INR","value":' || size || '}}}}' AS offers, array_to_string(network_id, ',') AS networks, blob AS full_text_blob FROM blobs"""
+)
 def document_build(spark: SparkSession, d: str) -> DataFrame:
-    docs = publish.search_documents(derived.stored_items(spark, d))
-    return docs.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("catalog_start", "catalog_end")})
+    """Every filled column of a search document; members of another JSON type are null."""
+    docs = documents.search_documents(rich_items(spark, d))
+    lists = {c: F.array_join(c, ",") for c in ("constraints", "resource_docs", "offers")}
+    docs = docs.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("catalog_start", "catalog_end")} | lists)
+    names = """doc_key index_key catalog_id catalog_name catalog_is_active catalog_start catalog_end resource_id resource_name provider_id resource_provider_id resource_provider_name attributes_type
+      attributes_context resource_short_desc resource_category_code resource_category_name resource_rating_value resource_rating_count resource_review_text resource_rateable constraints
+      resource_docs offers full_text_blob""".split()
+    return docs.select(*names, F.array_join("network_id", ",").alias("networks"))
 
 
-@query(sql_with("catalogs", "items") + " SELECT id, catalog_id, array_to_string(list_reduce(list_prepend([], list_transform(list_filter([name, catalog_name, brand, CAST(size AS VARCHAR)], lambda x: x IS NOT NULL), lambda x: [x])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END), ' ') AS blob FROM items")
+@query(sql_with("catalogs", "items") + BLOB_SQL + " SELECT id, catalog_id, blob FROM blobs")
 def text_blob(spark: SparkSession, d: str) -> DataFrame:
-    rows = derived.items(spark, d)
-    attributes = F.to_variant_object(F.create_map(F.lit("@type"), F.to_variant_object(F.array("type")), F.lit("brand"), F.col("brand").cast("variant"), F.lit("link"), F.col("context_url").cast("variant"), F.lit("size"), F.col("size").cast("variant")))
-    return rows.select("id", "catalog_id", publish.text_blob([F.col("name"), F.col("catalog_name")], attributes).alias("blob"))
+    """Texts at any depth: address around a shape, nested lists, names of what is true, offers."""
+    get = lambda path, kind: F.try_variant_get("payload", f"$.catalogs[0].{path}", kind)
+    offers = F.transform(get("offers", "array<variant>"), lambda v: F.to_json(v))
+    rows = rich_items(spark, d).select("id", "catalog_id", F.to_json(get("resources[0]", "variant")).alias("resource"), offers.alias("offers"))
+    return documents.text_blobs(rows, "resource", "offers", "blob").select("id", "catalog_id", "blob")
 
 
 # --------------------------------------------------------------------------- streams, delivery, audit

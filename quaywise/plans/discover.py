@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from typing import Protocol
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaywise.functions import paths
 from quaywise.functions.embedding import hashed_embedding
 from quaywise.operators import filters, respond, spatial, text
-from quaywise.operators.vectors import candidate_cap, knn
+from quaywise.operators.vectors import candidate_cap, cosine_score, knn, norm
 
 
 class HitSource(Protocol):
@@ -31,14 +32,17 @@ def route_of(has_filter: Column, has_space: Column, has_text: Column) -> Column:
 
 @dataclass
 class Tables:
-    """What a discover run reads: ``items`` (with payload), ``locations``, ``offers``, ``postings`` and its shape."""
+    """What a discover run reads: ``items`` (with payload), ``locations``, ``offers``; of the text index ``postings`` (by
+    item id, None where there is no index) and its shape; ``vectors`` (``vec_id, id, catalog_id, vector``) if there are any."""
 
     items: DataFrame
     locations: DataFrame
     offers: DataFrame
-    postings: DataFrame
+    postings: DataFrame | None
     n_docs: int
     mean_length: float
+    vectors: DataFrame | None = None
+    least_similarity: float = 0.72
 
 
 def schema_postfilter(hits: DataFrame, intents: DataFrame, items: DataFrame) -> DataFrame:
@@ -84,25 +88,59 @@ class VectorHits:
     applies_schema_filter: bool = False
 
     def __call__(self, intents: DataFrame) -> DataFrame:
-        asked = intents.where(F.coalesce(F.trim("text_search"), F.lit("")) != "")
-        queries = hashed_embedding(asked, "intent_id", "text_search").select(F.col("intent_id").alias("query_id"), F.col("vector").alias("query"))
+        queries = query_vectors(intents.where(F.coalesce(F.trim("text_search"), F.lit("")) != ""))
         near = filters.min_score(knn(self.vectors, queries, self.limit), self.least)
         return near.join(self.keys, "vec_id").select(F.col("query_id").alias("intent_id"), "id", "catalog_id", "rank", "score")
 
 
+def query_vectors(intents: DataFrame) -> DataFrame:
+    """``query_id, query``: the intent's own ``query_vector`` where it brings one, else its embedded text."""
+    own = "query_vector" in intents.columns
+    texts = intents.where("query_vector is null") if own else intents
+    found = hashed_embedding(texts, "intent_id", "text_search").select(F.col("intent_id").alias("query_id"), F.col("vector").cast("array<double>").alias("query"))
+    if own:
+        brought = intents.where("query_vector is not null").select(F.col("intent_id").alias("query_id"), F.col("query_vector").cast("array<double>").alias("query"))
+        found = found.unionByName(brought)
+    return found
+
+
 def resolve_flags(intents: DataFrame, active: bool = True, valid: bool = True) -> DataFrame:
     """Request flags, else the configured defaults."""
     return intents.withColumn("active", F.coalesce("active", F.lit(active))).withColumn("valid", F.coalesce("valid", F.lit(valid)))
 
 
-def filter_hits(items: DataFrame, intents: DataFrame, expressions: list[str | None]) -> DataFrame:
-    """``intent_id`` with the items that its path filter keeps. Each *distinct* expression is compiled once; an
-    expression outside the language answers nothing."""
-    compiled = F.lit(None).cast("array<string>")
-    kept = [F.when(paths.path_filter(F.col("payload"), e), F.lit(e or "")) for e in expressions if e is None or not e.strip() or paths.path_problem(e) is None]
-    compiled = F.array_compact(F.array(*kept)) if kept else F.array().cast("array<string>")
-    passed = items.withColumn("_e", F.explode(compiled))
-    return passed.join(intents.select("intent_id", F.coalesce(F.trim("expression"), F.lit("")).alias("_e"), "network", "schema_urls", "active", "valid"), "_e").drop("_e")
+#: Distinct expressions that are compiled into one plan.
+EXPRESSIONS_AT_ONCE = 200
+
+
+def expression_blocks(intents: DataFrame, most: int = EXPRESSIONS_AT_ONCE) -> Iterator[list[str]]:
+    """The distinct expressions of intents (``_e``), in hashed blocks of about ``most``."""
+    distinct = intents.select("_e").distinct()
+    n_blocks = -(-distinct.count() // most)
+    for k in range(n_blocks):
+        yield [r[0] for r in distinct.where(F.pmod(F.xxhash64("_e"), F.lit(n_blocks)) == k).collect()]
+
+
+def known(expression: str) -> bool:
+    return not expression or paths.path_problem(expression) is None
+
+
+def filter_hits(items: DataFrame, intents: DataFrame, expressions: list[str]) -> DataFrame:
+    """``intent_id`` with the items that its path filter (``_e``, one of ``expressions``) keeps. Each expression is compiled
+    once; one outside the language answers nothing."""
+    kept = [F.when(paths.path_filter(F.col("payload"), e), F.lit(e)) for e in expressions if known(e)]
+    passed = items.withColumn("_e", F.explode(F.array_compact(F.array(*kept)) if kept else F.array().cast("array<string>")))
+    return passed.join(intents, "_e")
+
+
+def filtered_candidates(rows: DataFrame, expressions: list[str]) -> DataFrame:
+    """Rows (items met by an intent) that pass their intent's own filter ``_e``, one of ``expressions``: no row is tested
+    by another intent's."""
+    passes = F.lit(None).cast("boolean")
+    for e in expressions:
+        if known(e):
+            passes = F.when(F.col("_e") == F.lit(e), paths.path_filter(F.col("payload"), e) if e else F.lit(True)).otherwise(passes)
+    return rows.where(F.col("_e").isin(*expressions) & passes)
 
 
 def plain_filters(rows: DataFrame, now: Column) -> DataFrame:
@@ -115,42 +153,84 @@ def plain_filters(rows: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def text_ranks(tables: Tables, intents: DataFrame, limit: int, chain: bool) -> DataFrame:
-    """``intent_id, id, text_rank``: ranked text hits (document key = item id); more of them for a chain."""
-    asked = intents.where(F.coalesce(F.trim("text_search"), F.lit("")) != "")
-    terms = asked.select(F.col("intent_id").alias("query_id"), F.explode(text.analyse(F.col("text_search"))).alias("term")).distinct()
-    scored = text.bm25(tables.postings, "id", terms, tables.n_docs, tables.mean_length)
-    hits = text.match_all(scored, terms)
-    ranked = text.top_hits(hits, candidate_cap(limit) if chain else limit, "query_id", "id")
-    return ranked.select(F.col("query_id").alias("intent_id"), "id", F.col("rank").alias("text_rank"))
-
-
-def discover(intents: DataFrame, tables: Tables, now: Column, limit: int = 100, expressions: list[str | None] | None = None, on_answer: Callable[[DataFrame], DataFrame] = respond.discard_without_offers) -> DataFrame:
+def keyword_hits(tables: Tables, intents: DataFrame) -> DataFrame:
+    """``intent_id, id, keyword``: items that hold every term of the text, with their relevance. Intents with a place or a
+    filter beside their text (``_fuzzy``) also meet terms within the edits that a term's length allows."""
+    terms = intents.select(F.col("intent_id").alias("query_id"), "_fuzzy", F.explode(text.analyse(F.col("text_search"))).alias("term")).distinct()
+    exact = terms.select("query_id", "term", F.col("term").alias("variant"), F.lit(1.0).alias("factor"))
+    near = text.fuzzy_terms(tables.postings.select("term").distinct(), terms.where("_fuzzy").select("query_id", "term")).where("edits > 0")
+    more = near.select("query_id", "term", "variant", (1 - F.col("edits") / F.length("term")).alias("factor"))
+    scored = text.bm25_of_variants(tables.postings, "id", exact.unionByName(more), tables.n_docs, tables.mean_length)
+    hits = text.match_all(scored, terms.select("query_id", "term"))
+    return hits.select(F.col("query_id").alias("intent_id"), "id", F.col("score").alias("keyword"))
+
+
+def text_candidates(tables: Tables, intents: DataFrame, near: DataFrame, limit: int) -> DataFrame:
+    """``intent_id, id, catalog_id, keyword, semantic`` of text intents: those with a place rank what lies in it, the others
+    what the index finds. A hit has every term of the text, or a vector that is like the intent's."""
+    words = keyword_hits(tables, intents)
+    placed = near.join(intents.where("_g").select("intent_id"), "intent_id", "left_semi")
+    free = words.join(intents.where("not _g").select("intent_id"), "intent_id", "left_semi").join(tables.items.select("id", "catalog_id"), "id")
+    inside = placed.join(words, ["intent_id", "id"], "left")
+    none = F.lit(None).cast("double")
+    if tables.vectors is None:
+        return inside.where("keyword is not null").unionByName(free).withColumn("semantic", none)
+    asked = query_vectors(intents)
+    scored = inside.join(tables.vectors.select("id", "catalog_id", "vector"), ["id", "catalog_id"], "left").join(asked.withColumnRenamed("query_id", "intent_id"), "intent_id", "left")
+    likeness = cosine_score(F.col("query"), F.col("vector"), norm(F.col("query")), norm(F.col("vector")))
+    inside = scored.withColumn("semantic", F.when(likeness >= tables.least_similarity, likeness)).where("keyword is not null or semantic is not null")
+    engine = VectorHits(tables.vectors, tables.vectors.select("vec_id", "id", "catalog_id"), candidate_cap(limit), tables.least_similarity)
+    found = engine(intents.where("not _g")).select("intent_id", "id", "catalog_id", F.col("score").alias("semantic"))
+    outside = free.join(found, ["intent_id", "id", "catalog_id"], "full")
+    columns = ["intent_id", "id", "catalog_id", "keyword", "semantic"]
+    return inside.select(*columns).unionByName(outside.select(*columns))
+
+
+def discover_hits(intents: DataFrame, tables: Tables, now: Column, limit: int = 100) -> DataFrame:
+    """The items that answer each intent, with ``rank``: hits of words before hits of vectors alone, each by score, then
+    newest first.
+
+    Intents with a place or a text start from what these find; only those with neither look at every item. Without
+    an index the text of an intent that also has a filter or a place is left out of account, and one that has
+    nothing else finds nothing.
+    """
+    has_text = F.coalesce(F.trim("text_search"), F.lit("")) != ""
+    intents = resolve_flags(intents).withColumns({"_e": F.coalesce(F.trim("expression"), F.lit("")), "_g": F.col("lon").isNotNull(), "_t": has_text})
+    if tables.postings is None:
+        intents = intents.where(~F.col("_t") | F.col("_g") | (F.col("_e") != "")).withColumn("_t", F.lit(False))
+    intents = intents.withColumn("_fuzzy", F.col("_g") | (F.col("_e") != ""))
+    carried = intents.select("intent_id", "_e", "network", "schema_urls", "active", "valid")
+    none = F.lit(None).cast("double")
+
+    near = spatial.within_distance(tables.locations, intents.where("_g").select("intent_id", "lon", "lat", "metres"))
+    near = near.select("intent_id", F.col("item_id").alias("id"), "catalog_id")
+    placed = near.join(intents.where("_g and not _t").select("intent_id"), "intent_id", "left_semi")
+    candidates = placed.withColumns({"keyword": none, "semantic": none})
+    if tables.postings is not None:
+        candidates = candidates.unionByName(text_candidates(tables, intents.where("_t"), near, limit))
+    met = plain_filters(tables.items.join(candidates, ["id", "catalog_id"]).join(carried, "intent_id"), now)
+
+    every = plain_filters_of_blocks(tables, intents.where("not _g and not _t").join(carried.select("intent_id"), "intent_id", "left_semi"), now)
+    narrowed = [filtered_candidates(met, block) for block in expression_blocks(intents.where("_g or _t"))]
+    rows = reduce(DataFrame.unionByName, [r.select(*met.columns) for r in [*narrowed, *every]]) if narrowed or every else met.where(F.lit(False))
+    order = [F.round("keyword", 9).desc_nulls_last(), F.round("semantic", 12).desc_nulls_last(), F.desc("updated_at"), "catalog_id", "id"]
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("intent_id").orderBy(*order))).where(F.col("rank") <= limit)
+
+
+def plain_filters_of_blocks(tables: Tables, intents: DataFrame, now: Column) -> list[DataFrame]:
+    """For intents with neither place nor text: the items that pass, a plan for each block of expressions."""
+    none = F.lit(None).cast("double")
+    carried = intents.select("intent_id", "_e", "network", "schema_urls", "active", "valid")
+    return [plain_filters(filter_hits(tables.items, carried, block), now).withColumns({"keyword": none, "semantic": none}) for block in expression_blocks(intents)]
+
+
+def discover(intents: DataFrame, tables: Tables, now: Column, limit: int = 100, on_answer: Callable[[DataFrame], DataFrame] = respond.discard_without_offers) -> DataFrame:
     """``intent_id, catalog_id, rank, resources, offers``: answers of all intents in one plan.
 
-    ``intents``: ``intent_id, expression, text_search, lon, lat, metres, network, schema_urls, active, valid``.
-    Rows of an intent are those that pass its path filter, its circle (both keys of an item) and its text (by
-    bare id, as the chain's allow-list does), newest first or by text rank; then regrouped, pruned and enriched.
+    ``intents``: ``intent_id, expression, text_search, lon, lat, metres, network, schema_urls, active, valid`` and, where
+    there are vectors, optionally ``query_vector``. Hits are regrouped into catalogues, pruned and enriched with offers.
     """
-    intents = resolve_flags(intents)
-    if expressions is None:  # the distinct expressions of the batch are what is compiled
-        expressions = [r[0] for r in intents.select(F.coalesce(F.trim("expression"), F.lit(""))).distinct().collect()]
-    rows = plain_filters(filter_hits(tables.items, intents, expressions), now)
-    circles = intents.where("lon is not null").select("intent_id", "lon", "lat", "metres")
-    near = spatial.within_distance(tables.locations, circles).select("intent_id", F.col("item_id").alias("id"), "catalog_id", F.lit(True).alias("_near"))
-    ranks = text_ranks(tables, intents, limit, chain=True)
-    wants = intents.select("intent_id", F.col("lon").isNotNull().alias("_g"), (F.coalesce(F.trim("text_search"), F.lit("")) != "").alias("_t"))
-    joined = rows.join(wants, "intent_id").join(near, ["intent_id", "id", "catalog_id"], "left").join(ranks, ["intent_id", "id"], "left")
-    hits = joined.where((~F.col("_g") | F.col("_near")) & (~F.col("_t") | F.col("text_rank").isNotNull()))
-    place = F.row_number().over(_ranking())
-    hits = hits.withColumn("rank", place).where(F.col("rank") <= limit)
+    hits = discover_hits(intents, tables, now, limit)
     slim = hits.select("intent_id", "catalog_id", "id", "catalog_name", "provider_id", "name", "rank")
-    full = respond.attach_offers(slim, tables.offers)
-    pruned = respond.mutual_pruning(respond.group_into_catalogs(full))
+    pruned = respond.mutual_pruning(respond.group_into_catalogs(respond.attach_offers(slim, tables.offers)))
     return respond.drop_broken_answers(on_answer(respond.enrich_with_provider_offers(pruned, tables.offers)))
-
-
-def _ranking():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("intent_id").orderBy(F.col("text_rank").asc_nulls_last(), F.desc("updated_at"), "catalog_id", "id")
