@@ -13,10 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
 
-from quaywise.functions import scalars, walks
-from quaywise.operators import dispatch, publish
+from quaywise.operators import dispatch
 
 MESSAGE = "key string, value string, ts timestamp, seq long"
 
@@ -37,6 +35,28 @@ def read_envelopes(messages: DataFrame) -> DataFrame:
     return messages.select(*messages.columns, text("$.meta.subscriberId", "subscriber_id"), text("$.meta.recordId", "record_id"), flag("active"), flag("valid"), text("$.payload.context.messageId", "message_id"), text("$.payload.context.transactionId", "transaction_id"), F.try_variant_get(v, "$.payload", "variant").alias("payload"))
 
 
+def read_responses(messages: DataFrame) -> DataFrame:
+    """Answers that wait for their callback: who gets them (from ``meta``), what their context says, the body to send, and
+    ``dead_reason`` where they cannot be sent. An answer without ``payload`` is taken as the body itself."""
+    v = F.try_parse_json("value")
+    body = F.coalesce(F.try_variant_get(v, "$.payload", "variant"), v)
+    text = lambda of, path: F.nullif(F.trim(F.try_variant_get(of, path, "string")), F.lit(""))
+    rows = messages.select(
+        *messages.columns,
+        v.isNotNull().alias("_json"),
+        text(v, "$.meta.subscriberId").alias("subscriber_id"),
+        text(v, "$.meta.recordId").alias("record_id"),
+        text(body, "$.context.action").alias("action"),
+        text(body, "$.context.transactionId").alias("transaction_id"),
+        text(body, "$.context.messageId").alias("message_id"),
+        F.try_variant_get(body, "$.context", "map<string,variant>").isNotNull().alias("_context"),
+        F.to_json(body).alias("body"),
+    )
+    no_one = F.col("subscriber_id").isNull() | F.col("record_id").isNull()
+    reason = F.when(~F.col("_json"), "not JSON").when(no_one, "no subscriber or record id").when(~F.col("_context"), "no context")
+    return rows.withColumn("dead_reason", reason).drop("_json", "_context")
+
+
 def dedupe_stream(messages: DataFrame, seconds: int = 60, late: str = "60 seconds") -> DataFrame:
     """Messages (``message_id, ts, ...``) that pass: no equal one was let through within the time to live before. The
     moment of the last one let through is the state of an id; it is dropped once the watermark has passed its time."""
@@ -85,102 +105,6 @@ def message_key(subscriber: str = "subscriber_id", provider: str = "bpp_id"):
     return F.coalesce(F.nullif(F.trim(subscriber), F.lit("")), F.nullif(F.trim(provider), F.lit("")))
 
 
-#: Stored tables of the publish side; a batch writes a version of each.
-STATE = {
-    "items": "catalog_id string, id string, resource string, offer_ids array<string>",
-    "locations": "item_id string, catalog_id string, path string, seq smallint, geometry struct<kind:string,ring:array<struct<x:double,y:double>>>",
-    "provider_offers": "offer_id string, catalog_id string, provider_id string, payload string, created_at timestamp",
-    "documents": "doc_key string, catalog_id string, id string, text string",
-}
-RESOURCE_PATH = "$.catalogs[*].resources[*]"
-
-
-def stored_version(spark: SparkSession, state_dir: str, name: str, batch_id: int) -> DataFrame:
-    """A stored table as the batch before ``batch_id`` left it. Only the first batch starts from nothing: a version that
-    is missing later is lost data, and reading it raises."""
-    if not batch_id:
-        return spark.createDataFrame([], STATE[name])
-    return spark.read.schema(STATE[name]).parquet(f"{state_dir}/{name}/version={batch_id - 1}")
-
-
-def valid_catalogs(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(parsed messages, their catalogues): both with a ``reject_reason`` where they are refused."""
-    parsed = publish.parse_messages(batch)
-    catalogs = publish.split_catalogs(parsed)
-    problems = publish.catalog_problems(F.col("catalog"))
-    broken = F.when(F.size(problems) > 0, F.concat(F.lit("validation: "), F.array_join(problems, "; ")))
-    return parsed, catalogs.withColumn("reject_reason", F.coalesce("reject_reason", broken))
-
-
-def published_locations(resources: DataFrame) -> DataFrame:
-    """Location rows of resources (``catalog_id, id, resource``), numbered within item, catalogue and path."""
-    found = walks.extract_geometries(resources, publish.KEYS, F.col("resource"))
-    path = F.concat(F.lit(RESOURCE_PATH), F.substring("path", 2, 10_000))
-    rows = found.select(F.col("id").alias("item_id"), "catalog_id", path.alias("path"), "pos", "geometry")
-    return publish.location_seq(rows).select("item_id", "catalog_id", "path", "seq", "geometry")
-
-
-def index_documents(items: DataFrame) -> DataFrame:
-    """Search documents of stored items."""
-    r = F.try_parse_json("resource")
-    get = lambda path, kind="string": F.try_variant_get(r, path, kind)
-    blob = publish.text_blob([get("$.descriptor.name"), get("$.descriptor.shortDesc"), get("$.descriptor.longDesc")], get("$.resourceAttributes", "variant"))
-    return items.select(scalars.doc_id(F.col("catalog_id"), F.col("id")).alias("doc_key"), "catalog_id", "id", blob.alias("text"))
-
-
-def apply_publish(batch: DataFrame, state_dir: str, batch_id: int) -> None:
-    """One micro-batch: parse, validate, merge into the stored items, spread offers to items of other catalogues, replace
-    locations and provider offers, then index what was saved, and report. Each batch writes version ``batch_id`` of
-    every table from the version before it, so a repeated batch overwrites what it wrote before."""
-    spark = batch.sparkSession
-    write = lambda df, name: df.write.mode("overwrite").parquet(f"{state_dir}/{name}/version={batch_id}")
-    parsed, catalogs = valid_catalogs(batch)
-    full = catalogs.where("update_mode = 'FULL' and reject_reason is null").select("catalog_id").distinct()
-    before = {name: stored_version(spark, state_dir, name, batch_id).join(full, "catalog_id", "left_anti").select(*columns_of(STATE[name])) for name in STATE}
-
-    new = publish.latest_version(publish.catalog_resources(catalogs), publish.KEYS)
-    offers = publish.catalog_offers(catalogs)
-    listed, whole = publish.offer_index(offers)
-    own = listed.groupBy("catalog_id", "id").agg(F.array_sort(F.collect_set("offer_id")).alias("offer_ids"))
-    none = F.array().cast("array<string>")
-    incoming = new.join(own, publish.KEYS, "left").select("catalog_id", "id", F.to_json("resource").alias("resource"), F.coalesce("offer_ids", none).alias("offer_ids"))
-    merged = publish.publish_merge(before["items"], incoming, offers.select("catalog_id", "offer_id"))
-    touched, _ = publish.cross_catalog_offers(before["items"], offers, incoming)
-    write(merged.join(touched.select(*publish.KEYS), publish.KEYS, "left_anti").unionByName(touched), "items")
-
-    write(publish.replace_locations(before["locations"], incoming, published_locations(new)).select(*columns_of(STATE["locations"])), "locations")
-    last = publish.latest_version(whole.where("offer_id is not null"), ["offer_id", "catalog_id"])
-    stamped = last.join(batch.groupBy("seq").agg(F.max("ts").alias("created_at")), "seq", "left")
-    stamped = stamped.select("offer_id", "catalog_id", "provider_id", F.to_json(publish.strip_nulls(F.col("offer"))).alias("payload"), "created_at")
-    write(publish.upsert(before["provider_offers"], stamped, ["offer_id", "catalog_id"]), "provider_offers")
-
-    saved = spark.read.schema(STATE["items"]).parquet(f"{state_dir}/items/version={batch_id}")  # the index follows the commit
-    fresh = saved.join(incoming.select(*publish.KEYS), publish.KEYS, "left_semi")
-    write(publish.write_index(before["documents"], index_documents(fresh), full), "documents")
-
-    bad = publish.rejects(parsed).unionByName(publish.rejects(catalogs.withColumn("value", F.to_json("catalog"))))
-    bad.write.mode("overwrite").text(f"{state_dir}/rejects/version={batch_id}")
-    counted = incoming.groupBy("catalog_id").agg(F.count("*").alias("saved"))
-    results = catalogs.groupBy("catalog_id").agg(F.count("reject_reason").alias("errors")).join(counted, "catalog_id", "left").fillna(0, ["saved"])
-    results = results.withColumn("status", publish.result_status(F.col("saved"), F.col("errors")))
-    write(results.withColumn("value", publish_result("catalog_id", "status", "saved", "errors")), "results")
-
-
-def columns_of(schema: str) -> list[str]:
-    return StructType.fromDDL(schema).names
-
-
-def publish_result(catalog: str, status: str, saved: str, errors: str):
-    """The body that tells a publisher how a catalogue fared, as JSON."""
-    result = F.struct(F.col(catalog).alias("catalogId"), F.col(status).alias("status"), F.col(saved).alias("resourceCount"), F.col(errors).alias("errorCount"))
-    return F.to_json(F.struct(F.struct(F.lit("on_publish").alias("action")).alias("context"), F.struct(F.array(result).alias("results")).alias("message")))
-
-
-def publish_stream(messages: DataFrame, state_dir: str, checkpoint: str) -> DataStreamWriter:
-    """At-least-once publishing; the checkpoint is the acknowledgement."""
-    return messages.writeStream.foreachBatch(lambda df, n: apply_publish(df, state_dir, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-
-
 def discover_stream(requests: DataFrame, answer: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> DataStreamWriter:
     """Requests meet the latest tables (read anew by ``answer`` for every batch); answers are written by batch."""
     return requests.writeStream.foreachBatch(lambda df, n: answer(df).write.mode("overwrite").parquet(f"{out}/batch={n}")).option("checkpointLocation", checkpoint).trigger(availableNow=True)
@@ -197,19 +121,6 @@ def dispatch_stream(envelopes: DataFrame, registry: Callable[[], DataFrame], out
     return envelopes.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-def retry_stream(failures: DataFrame, most: int = dispatch.INDEX_ATTEMPTS) -> DataFrame:
-    """Counts failures per document across batches: ``doc_key, attempt, action`` (RETRY or DEAD) for each failure."""
-
-    def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = state.get[0] if state.exists else 0
-        n = sum(map(len, batches))
-        rows = [(key[0], a, "DEAD" if a >= most else "RETRY") for a in range(seen + 1, min(seen + n, most) + 1)]
-        state.update((min(seen + n, most),))
-        yield pd.DataFrame(rows, columns=["doc_key", "attempt", "action"])
-
-    return failures.groupBy("doc_key").applyInPandasWithState(count, "doc_key string, attempt int, action string", "seen int", "append", GroupStateTimeout.NoTimeout)
-
-
 def lag_windows(timed: DataFrame, value: str = "lag_ms", every: str = "15 seconds", late: str = "1 minute") -> DataFrame:
     """Count, mean and approximate 99th percentile of a lag by window, with late data allowed for a while."""
     return timed.withWatermark("ts", late).groupBy(F.window("ts", every)).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.percentile_approx(value, 0.99).alias("p99"))
