@@ -178,13 +178,57 @@ def deep_merge_patch(target, patch):
     return out
 
 
-def patched(rows: DataFrame, target: str, patch: str, out: str) -> DataFrame:
-    """``out``: the JSON text ``target`` with the JSON text ``patch`` merged in; null where either is no JSON."""
+def without_nulls(value):
+    """A JSON object without null members at any depth of objects; what stands in lists stays as it is."""
+    if not isinstance(value, dict):
+        return value
+    return {k: without_nulls(v) for k, v in value.items() if v is not None}
+
+
+def with_offer(payload, patch):
+    """A payload with an offer merged into the one of its first catalogue that has the same id, or appended to them."""
+    offers = _first_catalog(payload).setdefault("offers", [])
+    for n, offer in enumerate(offers):
+        if isinstance(offer, dict) and offer.get("id") == patch.get("id"):
+            offers[n] = deep_merge_patch(offer, patch)
+            return payload
+    offers.append(patch)
+    return payload
+
+
+def with_resource(payload, patch):
+    """A payload with a patch merged into the first resource of its first catalogue; without one it stays as it is."""
+    resources = _first_catalog(payload).get("resources") or []
+    if resources and patch is not None:
+        resources[0] = deep_merge_patch(resources[0], patch)
+    return payload
+
+
+def _first_catalog(payload) -> dict:
+    catalogs = payload.setdefault("catalogs", [{}])
+    if not catalogs:
+        catalogs.append({})
+    return catalogs[0]
+
+
+#: Ways to merge a patch into a payload, by name.
+MERGES: dict[str, Callable] = {
+    "value": deep_merge_patch,
+    "offer": with_offer,
+    "resource": with_resource,
+    "offer without nulls": lambda payload, patch: with_offer(payload, without_nulls(patch)),
+}
+
+
+def patched(rows: DataFrame, target: str, patch: str, out: str, how: str = "value") -> DataFrame:
+    """``out``: the JSON text ``target`` with the JSON text ``patch`` merged in (one of :data:`MERGES`); null where either is
+    no JSON."""
+    merge = MERGES[how]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = zip(*(map(_loaded, batch.column(c).to_pylist()) for c in (target, patch)), strict=True)
-            merged = [None if a is None or b is None else json.dumps(deep_merge_patch(a, b), sort_keys=True) for a, b in pairs]
+            merged = [None if a is None or b is None else json.dumps(merge(a, b), sort_keys=True, ensure_ascii=False) for a, b in pairs]
             yield batch.append_column(out, pa.array(merged, pa.string()))
 
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)

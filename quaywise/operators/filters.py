@@ -87,11 +87,38 @@ def callback_url_allowed(url: Column) -> Column:
     return url.rlike("^(?i)https?://") & (host != "") & ~private & ~wrapped & ~odd
 
 
+NUMBER = r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"
+#: Levels of lists that a shape's coordinates may have; the deepest known shape has four.
+DEEPEST = 12
+
+
+def coordinates_valid(value: Column) -> Column:
+    """Whether a variant is a position (a list of two numbers or more) or a list of such, not empty at any level.
+
+    In the JSON text, positions are replaced by a mark, then lists of marks by one mark, from the inside out; what is
+    right ends as a single mark.
+    """
+    left = F.regexp_replace(F.to_json(value), rf"\[{NUMBER}(?:,{NUMBER})+\]", "P")
+    for _ in range(DEEPEST):
+        left = F.regexp_replace(left, r"\[P(?:,P)*\]", "P")
+    return F.coalesce(left == "P", F.lit(False))
+
+
+def geometry_valid(geometry: Column) -> Column:
+    """Coordinates of a shape, and of the members of a collection of shapes; what is not there is not wrong."""
+    here = lambda g, name: F.try_variant_get(g, f"$.{name}", "variant")
+    missing = lambda v: v.isNull() | F.coalesce(F.is_variant_null(v), F.lit(True))
+    own = lambda g: missing(here(g, "coordinates")) | coordinates_valid(here(g, "coordinates"))
+    members = F.coalesce(F.try_variant_get(geometry, "$.geometries", "array<variant>"), F.array().cast("array<variant>"))
+    return own(geometry) & F.forall(members, own)
+
+
 def intent_problems(intents: DataFrame) -> DataFrame:
     """``problems array<struct<path, message>>`` of each intent row: what the request breaks.
 
     Columns read: ``message_id, transaction_id, text_search, expression, spatial`` (array of
-    ``struct<op, distance_m, lon, lat>``) and ``has_text`` (the request names a text search at all).
+    ``struct<op, distance_m, lon, lat>``), ``has_text`` (the request names a text search at all) and, where there is one,
+    ``geometries`` (the shapes as variants).
     """
     rule = lambda bad, path, message: F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(path).alias("path"), F.lit(message).alias("message")))
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
@@ -102,7 +129,11 @@ def intent_problems(intents: DataFrame) -> DataFrame:
         rule(nothing, "message.intent", "at least one criterion is needed"),
         rule(F.col("has_text") & blank(F.col("text_search")), "message.intent.textSearch", "must not be blank"),
         rule(F.col("expression").isNotNull() & blank(F.col("expression")), "message.intent.filters.expression", "must not be blank"),
+        rule(~blank(F.col("expression")) & ~F.trim("expression").startswith("$"), "message.intent.filters.expression", "must be an absolute path"),
         rule(F.exists("spatial", lambda s: s["distance_m"] < 0), "message.intent.spatial.distanceMeters", "must not be negative"),
         rule(F.exists("spatial", lambda s: s["lon"].isNull() | s["lat"].isNull()), "message.intent.spatial.geometry", "coordinates must be numbers"),
     ]
+    if "geometries" in intents.columns:
+        wrong = F.exists("geometries", lambda g: ~geometry_valid(g))
+        rules.append(rule(wrong, "message.intent.spatial.geometry.coordinates", "must be numbers at every level, and not empty"))
     return intents.withColumn("problems", F.array_compact(F.array(*rules)))

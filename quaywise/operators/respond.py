@@ -154,6 +154,18 @@ def normalise_catalogs(catalogs: DataFrame) -> DataFrame:
     return kept.withColumn("provider_id", F.coalesce(F.when(~blank(F.col("provider_id")), F.col("provider_id")), F.get(named, F.lit(0))["provider_id"]))
 
 
-def location_level(path):
-    """Whether a location belongs to the ``provider``, the ``resource`` or the ``catalog``, by what its path passes."""
-    return F.when(path.contains("provider"), "provider").when(path.contains("resources"), "resource").otherwise("catalog")
+def location_level(field: Column) -> Column:
+    """Whether an index field (``loc_...``) holds locations of the ``provider`` or of the ``resource`` itself; null for those of
+    offers and attributes, which come with their own members."""
+    has = lambda name: field.contains(f"_{name}_")
+    attributes = has("providerAttributes") | has("resourceAttributes")
+    resource = has("resources") & ~has("provider") & ~attributes & ~has("offers")
+    return F.when(has("provider") & ~has("providerAttributes"), "provider").when(resource, "resource")
+
+
+def collect_locations(locations: DataFrame, level: str) -> DataFrame:
+    """``item_id, catalog_id, locations``: the locations of a level of each item (rows ``item_id, catalog_id, field, seq,
+    location``), in order of field and number."""
+    own = locations.where(location_level(F.col("field")) == level)
+    ordered = F.array_sort(F.collect_list(F.struct("field", "seq", "location")))
+    return own.groupBy("item_id", "catalog_id").agg(F.transform(ordered, lambda x: x["location"]).alias("locations"))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaywise.functions.stemming import stems
+
 #: English stop words of the standard analyser: fixed values.
 STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 K1, B = 1.2, 0.75
@@ -21,16 +23,9 @@ def without_stop_words(words: Column) -> Column:
     return F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
 
 
-def light_stem(word: Column) -> Column:
-    """Plural and verb endings of English: the first steps of suffix stripping."""
-    plural = F.when(word.rlike("sses$"), F.regexp_replace(word, "sses$", "ss")).when(word.rlike("ies$"), F.regexp_replace(word, "ies$", "i")).when(word.rlike("[^s]s$"), F.regexp_replace(word, "s$", "")).otherwise(word)
-    verb = F.regexp_replace(plural, "^(.*[aeiouy].*?)(?:ing|ed)$", "$1")
-    return F.regexp_replace(verb, "^(.*[aeiouy].*)y$", "$1i")
-
-
-def analyse(text: Column, stem: bool = False) -> Column:
-    words = without_stop_words(tokens(text))
-    return F.transform(words, light_stem) if stem else words
+def analyse(text: Column) -> Column:
+    """Tokens without stop words; stems are looked up where postings or query terms are built."""
+    return without_stop_words(tokens(text))
 
 
 def with_synonyms(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
@@ -40,11 +35,40 @@ def with_synonyms(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     return own.unionByName(queries.join(both, "term").select("query_id", "term", "variant")).distinct()
 
 
+def phrase_synonyms(queries: DataFrame, phrases: DataFrame, longest: int = 4) -> DataFrame:
+    """``query_id, slot, variant``: the words of queries (``query_id, words``) in slots, each with all that may stand there.
+
+    ``phrases`` (``phrase, meaning``) lists words and phrases of up to ``longest`` words; those of one meaning stand for each
+    other. Runs of words meet the table by an equi join. From left to right the longest phrase takes its words, so
+    slots do not overlap; a word in no phrase is a slot of its own.
+    """
+    spans = F.flatten(F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("words") - i)), lambda n: F.struct(i.alias("at"), n.alias("n")))))
+    runs = queries.where(F.size("words") > 0).select("query_id", "words", F.explode(spans).alias("s"))
+    runs = runs.select("query_id", "s.at", "s.n", F.array_join(F.slice("words", F.col("s.at") + 1, F.col("s.n")), " ").alias("phrase"))
+    table = phrases.select(F.lower("phrase").alias("phrase"), "meaning").distinct()
+    found = runs.join(sent_if_small(table), "phrase", "left").where((F.col("n") == 1) | F.col("meaning").isNotNull())
+
+    spot = F.struct("at", (-F.col("n")).alias("less"), "n", "phrase")
+    ordered = found.groupBy("query_id").agg(F.array_sort(F.collect_set(spot)).alias("spots"))
+    empty = F.struct(F.lit(0).alias("end"), F.expr("cast(array() as array<struct<at:int,phrase:string>>)").alias("kept"))
+    taken = lambda acc, x: F.when(x["at"] >= acc["end"], F.struct((x["at"] + x["n"]).alias("end"), F.concat(acc["kept"], F.array(F.struct(x["at"].alias("at"), x["phrase"].alias("phrase")))).alias("kept"))).otherwise(acc)
+    kept = ordered.select("query_id", F.posexplode(F.aggregate("spots", empty, taken, lambda acc: acc["kept"])).alias("slot", "k")).select("query_id", "slot", "k.phrase")
+    meant = kept.join(sent_if_small(table), "phrase")
+    others = meant.join(sent_if_small(table.withColumnRenamed("phrase", "variant")), "meaning").select("query_id", "slot", "variant")
+    return kept.select("query_id", "slot", F.col("phrase").alias("variant")).unionByName(others).distinct()
+
+
 def postings(docs: DataFrame, key: str, text: str, stem: bool = False) -> DataFrame:
-    """``term, key, tf, length``: one row per term and document."""
-    words = docs.select(F.col(key), analyse(F.col(text), stem).alias("w"))
+    """``term, key, tf, length``: one row per term and document; terms are stemmed if asked for."""
+    words = docs.select(F.col(key), analyse(F.col(text)).alias("w"))
     rows = words.select(key, F.size("w").alias("length"), F.explode("w").alias("term"))
-    return rows.groupBy("term", key, "length").agg(F.count("*").alias("tf"))
+    counted = rows.groupBy("term", key, "length").agg(F.count("*").alias("tf"))
+    return stemmed(counted).groupBy("term", key, "length").agg(F.sum("tf").alias("tf")) if stem else counted
+
+
+def stemmed(rows: DataFrame, term: str = "term") -> DataFrame:
+    """Rows with their term replaced by its stem. A term is stemmed once, however often it stands."""
+    return rows.join(stems(rows, term, "_stem"), term).withColumn(term, F.col("_stem")).drop("_stem")
 
 
 #: Rows of a query side that are sent to every executor; more are shuffled.

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaywise.functions import embedding, geo, scalars
+from quaywise.functions import embedding, geo, scalars, walks
 from quaywise.operators import audit, dispatch, filters, payloads, publish, respond, spatial, text
 from quaywise.plans import discover
-from quaywise.plans.catalogue_queries import BM25_SQL, CIRCLES_SQL, NOW, STATE_SQL, TS_SQL, batches, circles, haversine_sql, query, scored
+from quaywise.plans.catalogue_queries import BM25_SQL, CIRCLES_SQL, NOW, STATE_SQL, TOKENS_SQL, TS_SQL, batches, circles, haversine_sql, query, scored
 from quaywise.sources import derived, pull
 from quaywise.sources.derived import sql_with, table
 
@@ -235,11 +235,142 @@ def items_in_two_circles(spark: SparkSession, d: str) -> DataFrame:
     return spatial.keep_matching(items, *near).select("id", "catalog_id")
 
 
-@query("""WITH w AS (SELECT item_id, string_split(text, ' ')[1] AS a, string_split(text, ' ')[2] AS b FROM benchmark) SELECT item_id, greatest(length(a) * 2.0, length(b) * 0.5) + 0.3 * least(length(a) * 2.0, length(b) * 0.5) AS score FROM w WHERE b IS NOT NULL""")
+@query(
+    """WITH f AS (SELECT p_partkey, 1 AS field, p_name AS t FROM part UNION ALL SELECT p_partkey, 2, p_type || ' ' || p_name FROM part),
+  d AS (SELECT field, p_partkey, """
+    + TOKENS_SQL.format("t")
+    + """ AS w FROM f), st AS (SELECT field, count(*) AS n, avg(len(w)) AS a FROM d GROUP BY ALL), q AS (SELECT DISTINCT n_nationkey AS query_id, unnest(['small', 'widget', CASE WHEN n_nationkey % 2 = 0 THEN 'large' ELSE 'economy' END]) AS term FROM nation),
+  p AS (SELECT field, p_partkey, length, term, count(*) AS tf FROM (SELECT field, p_partkey, len(w) AS length, unnest(w) AS term FROM d) GROUP BY ALL), df AS (SELECT field, term, count(*) AS df FROM p GROUP BY ALL),
+  s AS (SELECT query_id, p_partkey, field, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / a))) AS score FROM p JOIN df USING (field, term) JOIN q USING (term) JOIN st USING (field) GROUP BY ALL),
+  b AS (SELECT query_id, p_partkey, coalesce(max(score) FILTER (field = 1), 0) * 2.0 AS x, coalesce(max(score) FILTER (field = 2), 0) * 0.5 AS y FROM s GROUP BY ALL)
+  SELECT query_id, p_partkey, round(greatest(x, y) + 0.3 * least(x, y), 6) AS score FROM b"""
+)
 def best_field_scores(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "benchmark").select("item_id", F.split("text", " ").alias("w")).where(F.size("w") >= 2)
-    scores = [F.length(F.col("w")[n]).cast("double") for n in (0, 1)]
-    return words.select("item_id", text.best_fields(scores, [2.0, 0.5], tie=0.3).alias("score"))
+    """Relevance in two fields, the better one and a share of the other, by weight."""
+    part, n = table(spark, d, "part"), F.col("n_nationkey")
+    words = F.array(F.lit("small"), F.lit("widget"), F.when(n % 2 == 0, "large").otherwise("economy"))
+    asked = table(spark, d, "nation").select(n.alias("query_id"), F.explode(words).alias("term"))
+
+    def relevance(value: Column, name: str) -> DataFrame:
+        docs = part.select("p_partkey", value.alias("t"))
+        shape = docs.agg(F.count("*").alias("n"), F.avg(F.size(text.analyse(F.col("t")))).alias("a")).first()
+        return text.bm25(text.postings(docs, "p_partkey", "t"), "p_partkey", asked, shape["n"], shape["a"]).select("query_id", "p_partkey", F.col("score").alias(name))
+
+    both = relevance(F.col("p_name"), "x").join(relevance(F.concat_ws(" ", "p_type", "p_name"), "y"), ["query_id", "p_partkey"], "full")
+    return both.select("query_id", "p_partkey", F.round(text.best_fields([F.col("x"), F.col("y")], [2.0, 0.5], tie=0.3), 6).alias("score"))
+
+
+PHRASES = [("electric vehicle", 1), ("ev", 1), ("small widget", 2), ("gadget", 2), ("small", 3), ("tiny", 3), ("cold blue rod", 4), ("icicle", 4), ("blue rod", 5), ("stick", 5)]
+
+
+@query(
+    """WITH RECURSIVE ph AS (SELECT * FROM (VALUES """
+    + ", ".join(f"('{p}', {m})" for p, m in PHRASES)
+    + """) AS v(phrase, meaning)), w AS (SELECT p_partkey AS query_id, string_split(CASE p_partkey % 4 WHEN 0 THEN 'cold ' || p_name WHEN 1 THEN 'ev ' || p_name ELSE p_name || ' electric vehicle' END, ' ') AS words FROM part),
+  step AS (SELECT query_id, words, 0 AS slot, 1 AS pos, coalesce((SELECT max(len(string_split(phrase, ' '))) FROM ph WHERE list_slice(words, 1, len(string_split(phrase, ' '))) = string_split(phrase, ' ')), 1) AS n FROM w
+    UNION ALL SELECT query_id, words, slot + 1, pos + n, coalesce((SELECT max(len(string_split(phrase, ' '))) FROM ph WHERE list_slice(words, pos + n, pos + n + len(string_split(phrase, ' ')) - 1) = string_split(phrase, ' ')), 1) FROM step WHERE pos + n <= len(words)),
+  kept AS (SELECT query_id, slot, array_to_string(list_slice(words, pos, pos + n - 1), ' ') AS phrase FROM step)
+  SELECT query_id, slot, phrase AS variant FROM kept UNION SELECT query_id, slot, o.phrase FROM kept k JOIN ph USING (phrase) JOIN ph o ON o.meaning = ph.meaning"""
+)
+def query_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """Synonyms of one, two and three words; the longest phrase from the left takes its words."""
+    p = F.col("p_partkey")
+    asked = F.when(p % 4 == 0, F.concat(F.lit("cold "), "p_name")).when(p % 4 == 1, F.concat(F.lit("ev "), "p_name")).otherwise(F.concat("p_name", F.lit(" electric vehicle")))
+    queries = table(spark, d, "part").select(p.alias("query_id"), F.split(asked, " ").alias("words"))
+    return text.phrase_synonyms(queries, spark.createDataFrame(PHRASES, "phrase string, meaning int"))
+
+
+@query(
+    "WITH w AS (SELECT p_partkey, string_split(p_name, ' ')[2] AS base FROM part) SELECT base || e AS term, 'stem' AS kind, base || 'ed' AS other, count(*) AS n FROM w, (VALUES ('s'), ('ed'), ('ing')) AS v(e) WHERE base IN ('widget', 'bolt', 'gear', 'nut') GROUP BY ALL"
+)
+def stemmed_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Endings of one noun meet in one stem: each form with the other forms of its stem and the rows that hold it."""
+    nouns = table(spark, d, "part").select(F.split("p_name", " ")[1].alias("base")).where(F.col("base").isin("widget", "bolt", "gear", "nut"))
+    forms = nouns.select("base", F.explode(F.transform(F.array(*map(F.lit, ("s", "ed", "ing"))), lambda e: F.concat("base", e))).alias("term"))
+    counted = forms.groupBy("term").agg(F.count("*").alias("n"))
+    stems = text.stemmed(counted.withColumn("form", F.col("term")))
+    other = stems.where(F.col("form").endswith("ed")).select("term", F.col("form").alias("other"))
+    return stems.join(other, "term").select(F.col("form").alias("term"), F.lit("stem").alias("kind"), "other", "n")
+
+
+@query(
+    sql_with("catalogs", "items")
+    + """ SELECT id, catalog_id, CASE l_partkey % 4 WHEN 2 THEN 2 WHEN 1 THEN 3 ELSE 2 END AS n_offers,
+  CASE l_partkey % 4 WHEN 0 THEN 'new' END AS first_tag, CASE l_partkey % 4 WHEN 1 THEN 'extra' END AS last_id, CASE l_partkey % 4 WHEN 2 THEN 'renamed' ELSE name END AS resource_name,
+  CASE l_partkey % 4 WHEN 3 THEN '{"a":{"list":[null]},"id":"' || o || '-a","price":{"currency":"INR"},"resourceIds":["' || id || '"]}' END AS nulls_gone,
+  CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE 'INR' END AS currency FROM (SELECT *, 'offer-' || l_partkey || '-' || l_suppkey AS o FROM items)"""
+)
+def payload_patches(spark: SparkSession, d: str) -> DataFrame:
+    """Patches of an offer by id, of one that is new, of the first resource, and of an offer with nulls at depth."""
+    p, offer = F.col("l_partkey"), F.concat(F.lit("offer-"), "l_partkey", F.lit("-"), "l_suppkey", F.lit("-a"))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    # the price's value goes in both, so that the texts do not depend on how a number is written
+    by_id = F.concat(F.lit('{"id":'), quoted(offer), F.lit(',"tag":"new","price":{"currency":null,"value":null}}'))
+    nulls = F.concat(F.lit('{"id":'), quoted(offer), F.lit(',"x":null,"a":{"b":null,"list":[null]},"price":{"note":null}}'))
+    rows = derived.stored_items(spark, d).select("id", "catalog_id", "l_partkey", F.to_json("payload").alias("payload"), _pick(p, by_id, '{"id":"extra"}', '{"descriptor":{"name":"renamed"}}', nulls).alias("patch"))
+    # what has no fixed spelling goes first: the value of the offer that the last kind shows
+    shown = F.concat(F.lit('{"id":'), quoted(F.get_json_object("payload", "$.catalogs[0].offers[0].id")), F.lit(',"price":{"value":null}}'))
+    rows = walks.patched(rows.withColumn("cut", shown), "payload", "cut", "ready", "offer").drop("payload", "cut")
+    kinds = {0: "offer", 1: "offer", 2: "resource", 3: "offer without nulls"}
+    parts = [walks.patched(rows.where(p % 4 == k), "ready", "patch", "merged", how) for k, how in kinds.items()]
+    merged = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    get = lambda path: F.get_json_object("merged", f"$.catalogs[0].{path}")
+    n = F.size(F.from_json(get("offers"), "array<string>"))
+    return merged.select(
+        "id",
+        "catalog_id",
+        n.alias("n_offers"),
+        get("offers[0].tag").alias("first_tag"),
+        F.when(n == 3, get("offers[2].id")).alias("last_id"),
+        get("resources[0].descriptor.name").alias("resource_name"),
+        F.when(p % 4 == 3, get("offers[0]")).alias("nulls_gone"),
+        get("offers[0].price.currency").alias("currency"),
+    )
+
+
+SHAPES = [
+    ('{"coordinates":[1.5,2]}', True), ('{"coordinates":[1.5]}', False), ('{"coordinates":[[1,2],[3,4]]}', True), ('{"coordinates":[[1,2],[3,"4"]]}', False),
+    ('{"coordinates":[[[1,2],[3,-4e2],[5,6],[1,2]]]}', True), ('{"coordinates":[[[1,2],[]]]}', False), ('{"coordinates":[[[[1,2,7],[3,4]]],[[[5,6]]]]}', True), ('{"coordinates":[[[[1,2],[true,4]]]]}', False),
+    ('{"coordinates":[]}', False), ('{"coordinates":"1,2"}', False), ('{"type":"Point"}', True), ('{"geometries":[{"coordinates":[1,2]},{"coordinates":[[1]]}]}', False), ('{"geometries":[{"coordinates":[1,2]}]}', True),
+]
+
+
+@query(
+    "WITH e AS (SELECT event_id, event_id % 13 AS k, event_id % 3 AS p FROM events) SELECT event_id, array_to_string(list_filter([CASE WHEN p = 1 THEN 'must be an absolute path' END, CASE WHEN k IN ("
+    + ", ".join(str(k) for k, (_, good) in enumerate(SHAPES) if not good)
+    + ") THEN 'must be numbers at every level, and not empty' END], lambda x: x IS NOT NULL), ';') AS problems FROM e"
+)
+def intent_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Coordinates of one to four levels, collections of shapes, and filters that are no absolute path."""
+    i, uuid = F.col("event_id"), F.lit("00000000-0000-4000-8000-000000000000")
+    spatial_type = "array<struct<op:string,distance_m:double,lon:double,lat:double>>"
+    rows = table(spark, d, "events").select(
+        "event_id",
+        uuid.alias("message_id"),
+        uuid.alias("transaction_id"),
+        F.lit("x").alias("text_search"),
+        F.lit(True).alias("has_text"),
+        _pick(i, "$.catalogs[*]", "catalogs[*]", " $.a").alias("expression"),
+        F.array().cast(spatial_type).alias("spatial"),
+        F.array(F.parse_json(_pick(i, *(shape for shape, _ in SHAPES)))).alias("geometries"),
+    )
+    judged = filters.intent_problems(rows)
+    return judged.select("event_id", F.array_join(F.transform("problems", lambda x: x["message"]), ";").alias("problems"))
+
+
+@query(
+    sql_with("catalogs", "items")
+    + """ SELECT id AS item_id, catalog_id, 'here ' || l_partkey || ',there ' || l_suppkey AS of_resource, 'office ' || l_suppkey AS of_provider FROM items"""
+)
+def location_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Locations of an item by the level that their index field names; those of offers and attributes are in neither."""
+    base, name = "$.catalogs[*].resources[*]", lambda tag, n: F.concat(F.lit(tag), n)
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    kinds = [(".location", 1, name("there ", s)), (".availableAt[*]", 0, name("here ", p)), (".provider.locations[*]", 0, name("office ", s)), (".offers[*].area", 0, name("offer ", s)), (".resourceAttributes.area", 0, name("area ", p)), (".provider.providerAttributes.area", 0, name("more ", p))]
+    every = F.array(*(F.struct(scalars.location_field(F.lit(f"{base}{path}.geo")).alias("field"), F.lit(seq).alias("seq"), location.alias("location")) for path, seq, location in kinds))
+    rows = derived.items(spark, d).select(F.col("id").alias("item_id"), "catalog_id", F.explode(every).alias("x")).select("item_id", "catalog_id", "x.*")
+    of = lambda level, out: respond.collect_locations(rows, level).select("item_id", "catalog_id", F.array_join("locations", ",").alias(out))
+    return of("resource", "of_resource").join(of("provider", "of_provider"), ["item_id", "catalog_id"])
 
 
 @query("""WITH s AS (SELECT conv_id % 3 AS shape, CASE WHEN turn % 4 = 0 THEN NULL ELSE CAST(conv_id % 50 + 60 AS INTEGER) END AS score, turn % 5 <> 0 AS has FROM conversations)
