@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +65,38 @@ def removed(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Size of a :func:`hashed_bits` filter, whatever the table: a megabyte.
+FILTER_BITS = 1 << 23
+
+
+def hashed_bits(keys: DataFrame, key: str) -> np.ndarray:
+    """A filter of :data:`FILTER_BITS` bits over a column of 64-bit hashes, for :func:`may_hold`. Words of 64 bits are
+    put together by Spark; at most 131 072 of them reach the driver. With more keys it lets more through, never less."""
+    place = F.pmod(F.col(key), F.lit(FILTER_BITS))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(`{key}`, 64) as int))")
+    words = keys.groupBy(F.floor(place / 64).cast("int").alias("w")).agg(F.bit_or(bit).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    for w, bits in words:
+        out[w] = bits & 0xFFFF_FFFF_FFFF_FFFF
+    return out
+
+
+def may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """False where a hash is certainly not among the keys of the filter."""
+    place = hashes.astype(np.int64) % FILTER_BITS
+    return (bits[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def may_be_in(bits: np.ndarray, key: Column) -> Column:
+    """:func:`may_hold` as a column."""
+
+    @F.pandas_udf("boolean")
+    def held(hashes: pd.Series) -> pd.Series:
+        return pd.Series(may_hold(bits, hashes.to_numpy()))
+
+    return held(key)
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
