@@ -217,38 +217,72 @@ def solve_configurations(counts: np.ndarray, capacity: int, rounds: int = 400, r
     return result
 
 
-def packing_plan(counts: np.ndarray, capacity: int, rounds: int = 400) -> list[tuple[dict[int, int], int]]:
-    """Whole-number plan: ``({length: pieces per sequence}, sequences)`` that holds the histogram exactly.
+Plan = list[tuple[dict[int, int], int]]
 
-    The program's solution is rounded down to whole sequences. What that leaves is placed sequence by sequence: each
-    is the most valuable configuration of the pieces that are left, at the program's first prices.
-    """
-    if not counts.any():
-        return []
-    solved = solve_configurations(counts, capacity, rounds)
-    lengths, left = solved.lengths, counts[solved.lengths].astype(np.int64)
-    plan: list[tuple[dict[int, int], int]] = []
-
-    def place(config: np.ndarray, times: int) -> None:
-        nonlocal left
-        left = left - config * times
-        plan.append(({int(lengths[k]): int(config[k]) for k in np.flatnonzero(config)}, int(times)))
 
+def rounded_down(solved: Covering, counts: np.ndarray, least: int) -> tuple[Plan, np.ndarray]:
+    """Whole sequences of the program's configurations that fill at least ``least`` of the capacity, and what is left of
+    the pieces (by length, as in ``solved.lengths``)."""
+    lengths, left = solved.lengths, counts[solved.lengths].astype(np.int64)
+    plan: Plan = []
     for k in np.argsort(-np.array(solved.times), kind="stable"):
         config, held = solved.configs[k], solved.configs[k] > 0
         times = min(math.floor(solved.times[k] + 1e-9), int((left[held] // config[held]).min()))
-        if times:
-            place(config, times)
-    price = (lengths / capacity) ** POWER
+        if times and config @ lengths >= least:
+            left = left - config * times
+            plan.append((_pieces(lengths, config), times))
+    return plan, left
+
+
+def _pieces(lengths: np.ndarray, config: np.ndarray) -> dict[int, int]:
+    return {int(lengths[k]): int(config[k]) for k in np.flatnonzero(config)}
+
+
+def priced_rest(lengths: np.ndarray, left: np.ndarray, capacity: int, power: float) -> Plan:
+    """The pieces that are left, sequence by sequence: each is the most valuable configuration of them, a length's price
+    being a power of its share of the capacity."""
+    price, plan = (lengths / capacity) ** power, []
     while left.any():
         at = np.flatnonzero(left)
         config = np.zeros(len(lengths), np.int64)
         config[at] = best_configuration(lengths[at], price[at], left[at], capacity)
         held = config > 0
-        place(config, int((left[held] // config[held]).min()))
+        times = int((left[held] // config[held]).min())
+        left = left - config * times
+        plan.append((_pieces(lengths, config), times))
     return plan
 
 
+#: Prices of the pieces that rounding leaves: the lower the power, the more a full sequence counts against long pieces.
+REST_POWERS = (1.02, 1.1, POWER)
+
+
+def sequences(plan: Plan) -> int:
+    return sum(times for _, times in plan)
+
+
+def packing_plan(counts: np.ndarray, capacity: int, rounds: int = 400) -> Plan:
+    """Whole-number plan: ``({length: pieces per sequence}, sequences)`` that holds the histogram exactly.
+
+    The program's solution is rounded down to whole sequences, and what that leaves is placed by the pricing step. A
+    sequence with room to spare is lost for good, so one rounding keeps the program's full configurations only and
+    leaves more to place, another keeps all; each is finished with a few prices, and the fewest sequences win.
+    """
+    if not counts.any():
+        return []
+    solved = solve_configurations(counts, capacity, rounds)
+    best: Plan | None = None
+    for least in (capacity, 0):
+        plan, left = rounded_down(solved, counts, least)
+        for power in REST_POWERS:
+            whole = plan + priced_rest(solved.lengths, left, capacity, power)
+            if best is None or sequences(whole) < sequences(best):
+                best = whole
+            if sequences(best) < solved.bound + 1:  # no plan has fewer
+                return best
+    return best
+
+
 class PlanTable:
     """The plan as sorted arrays: a piece's number within its length finds its sequence and offset."""
 
