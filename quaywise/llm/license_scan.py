@@ -124,6 +124,15 @@ def _any(tests: list[Column]) -> Column:
     return out
 
 
+STRETCH = 64  # places that are seeds of one stretch
+
+
+def _stretch(c: Column, wide: int) -> Column:
+    """The places of stretch ``c`` and ``wide`` more on both sides; ``first`` tells where its own begin."""
+    start = F.greatest(F.lit(1), c * STRETCH + 1 - wide)
+    return F.struct(F.slice("placed", start, c * STRETCH + STRETCH + wide + 1 - start).alias("places"), (c * STRETCH + 1 - start).alias("first"))
+
+
 def containment_join(placed: DataFrame, key: str, templates: list[tuple[str, str]], threshold: float = THRESHOLD) -> DataFrame:
     """``key, label, containment`` of every row (``key, placed``) and template with a block that meets the threshold:
     its best block's share of the template's words."""
@@ -141,9 +150,14 @@ def containment_join(placed: DataFrame, key: str, templates: list[tuple[str, str
     schema = "w string, number int, label string, width int, size int, need int, template array<string>, behind array<string>"
     prefix = placed.sparkSession.createDataFrame(prefixes, schema)
 
-    seeds = placed.select(key, "placed", F.explode("placed").alias("seed")).select(key, "placed", "seed.p", "seed.w")
-    met = seeds.join(F.broadcast(prefix), "w")
-    around = F.filter("placed", lambda x: (x["p"] > F.col("p") - F.col("width")) & (x["p"] < F.col("p") + F.col("width")) & F.array_contains("template", x["w"]))
+    # stretches of places, each with as many beside it as the widest template needs: places are in order and differ, so
+    # those within some words of a seed are within as many entries of it
+    wide = max((p[3] for p in prefixes), default=1) - 1
+    stretch = F.transform(F.sequence(F.lit(0), F.floor((F.size("placed") - 1) / STRETCH).cast("int")), lambda c: _stretch(c, wide))
+    parts = placed.where(F.size("placed") > 0).select(key, F.explode(stretch).alias("x")).select(key, "x.places", "x.first")
+    seeds = parts.select(key, "places", "first", F.posexplode("places").alias("i", "seed")).where((F.col("i") >= F.col("first")) & (F.col("i") < F.col("first") + STRETCH))
+    met = seeds.select(key, "places", "seed.p", "seed.w").join(F.broadcast(prefix), "w")
+    around = F.filter("places", lambda x: (x["p"] > F.col("p") - F.col("width")) & (x["p"] < F.col("p") + F.col("width")) & F.array_contains("template", x["w"]))
     met = met.select(key, "number", "label", "p", "width", "size", "need", "behind", around.alias("near"))
     words = F.array_distinct("near.w")
     met = met.where((F.size(words) >= F.col("need")) & (F.size(F.array_intersect(words, "behind")) >= F.col("need")))
