@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quaywise.llm import packed_products, presence_search, quality_rules, queries
+from quaywise.llm import common, license_scan, packed_products, packing, presence_search, quality_rules, queries, shingle_dedup
 from quaywise.llm.packed_products import Packing
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -221,3 +221,90 @@ def test_query_matches_its_sql(spark, data, name):
     want, got = db.sql(queries.ORACLES[name]), queries.QUERIES[name](spark, data)
     rows = lambda found, columns: sorted((tuple(r[columns.index(c)] for c in sorted(columns)) for r in found), key=repr)
     assert rows(got.collect(), got.columns) == rows(want.fetchall(), want.columns)
+
+
+# --------------------------------------------------------------------------- earlier operators
+
+
+def best_containments(words, templates):
+    """Label and best share of every template, by a window that slides over the words."""
+    out = {}
+    for label, text in templates:
+        wanted, width = set(text.split()), len(text.split())
+        held, most = Counter(), 0
+        for n, w in enumerate(words):
+            if w in wanted:
+                held[w] += 1
+            if n >= width and words[n - width] in wanted:
+                old = words[n - width]
+                held[old] -= 1
+                if not held[old]:
+                    del held[old]
+            most = max(most, len(held))
+        if most / len(wanted) >= license_scan.THRESHOLD:
+            out[label] = max(out.get(label, 0), most / len(wanted))
+    return out
+
+
+def test_long_texts_of_template_words(spark):
+    """A hundred thousand words that all stand in templates: the scan takes time in proportion."""
+    import time
+
+    r = random.Random(6)
+    vocabulary = sorted({w for _, t in license_scan.TEMPLATES for w in t.split()})
+    long = [r.choice(vocabulary) for _ in range(100_000)]
+    planted = license_scan.TEMPLATES[8][1].split()
+    long[70_000 : 70_000 + len(planted)] = planted
+    texts = {1: long, 2: long[:5000], 3: planted[: -len(planted) // 3]}
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id long, text string")
+    license_scan.scan_licenses(df.where("doc_id = 3")).collect()  # compiled
+    began = time.time()
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(df).collect()}
+    took = time.time() - began
+    base = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+    for k, words in texts.items():
+        found = best_containments(words, license_scan.TEMPLATES)
+        told = set(found) | {label for phrase, label in base.items() if f" {phrase} " in f" {' '.join(words)} "}
+        assert got[k]["labels"] == ",".join(sorted(told))
+    assert took < 30  # four minutes and more where each seed looked through the whole text
+
+
+@pytest.mark.parametrize(("seed", "n"), [(1, 400), (2, 3000)])
+def test_packing_is_no_worse_than_best_fit(seed, n):
+    """Against plain best fit, longest first, and close to the program's own bound."""
+    r = np.random.default_rng(seed)
+    sizes = np.minimum(1024, np.maximum(1, r.lognormal(5.5, 1.0, n).astype(int)))
+    counts = np.bincount(sizes, minlength=1025)
+    plan = packing.packing_plan(counts, 1024)
+    held = np.zeros(1025, np.int64)
+    for config, times in plan:
+        assert sum(k * m for k, m in config.items()) <= 1024
+        for k, m in config.items():
+            held[k] += m * times
+    assert (held == counts).all()
+    room: list[int] = []
+    for size in sorted(sizes.tolist(), reverse=True):
+        fits = [k for k, free in enumerate(room) if free >= size]
+        if fits:
+            room[min(fits, key=room.__getitem__)] -= size
+        else:
+            room.append(1024 - size)
+    assert packing.sequences(plan) <= len(room)
+    assert packing.sequences(plan) <= math.ceil(packing.solve_configurations(counts, 1024).bound) + 1
+
+
+def test_hashed_filter_lets_every_key_through(spark):
+    keys = spark.range(5000).select(F.xxhash64("id").alias("a"))
+    bits = common.hashed_bits(keys, "a")
+    held = keys.toPandas()["a"].to_numpy()
+    assert common.may_hold(bits, held).all()
+    others = spark.range(10_000, 60_000).select(F.xxhash64("id").alias("a"))
+    assert common.may_hold(bits, others.toPandas()["a"].to_numpy()).mean() < 0.01
+    assert others.where(common.may_be_in(bits, F.col("a"))).count() < 500
+
+
+def test_small_groups_are_compared_whole(spark):
+    rows = [(7, s, s, 10, 0, 0) for s in range(5)] + [(8, s, s, 10, 0, 0) for s in range(40)] + [(9, 1, 1, 10, 0, 0), (9, 50, 1, 10, 0, 0), (9, 51, 51, 100, 0, 0)]
+    shared = spark.createDataFrame(rows, "key long, set_id long, root long, size int, lo long, hi long")
+    pairs = {(r["u"], r["v"]) for r in shingle_dedup.pairs_of_small_groups(shared, 16).collect()}
+    assert pairs == {(u, v) for u in range(5) for v in range(u + 1, 5)}
