@@ -165,6 +165,21 @@ def extract_geometries(items: DataFrame, keys: list[str], payload: Column) -> Da
     return rows.select(*keys, F.explode("_g").alias("_g")).select(*keys, "_g.path", "_g.pos", F.struct("_g.kind", "_g.ring").alias("geometry"))
 
 
+def extract_geo_objects(items: DataFrame, keys: list[str], payload: Column) -> DataFrame:
+    """``keys, path, pos, location``: one row per location object in the payload, whole and as JSON text."""
+    kind = pa.list_(pa.struct([("path", pa.string()), ("pos", pa.int32()), ("location", pa.string())]))
+    source = items.select(*keys, F.to_json(payload).alias("_p"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[{"path": p, "pos": n, "location": o} for n, (p, o) in enumerate(geo_objects(_loaded(t)))] for t in batch.column("_p").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, kind)], names=[*keys, "_g"])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in source.select(*keys).dtypes)
+    rows = source.mapInArrow(run, f"{schema}, _g array<struct<path:string,pos:int,location:string>>")
+    return rows.select(*keys, F.explode("_g").alias("_g")).select(*keys, "_g.*")
+
+
 def deep_merge_patch(target, patch):
     """The whole of a merge patch: objects merge at every level, null deletes, anything else replaces."""
     if not isinstance(patch, dict):

@@ -112,10 +112,9 @@ def merge_offers(rows: DataFrame, patches: DataFrame) -> DataFrame:
     return joined.where("patches is null").drop("patches").withColumn("patched", F.lit(False)).unionByName(done)
 
 
-def replaced_items(existing: DataFrame, live: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def replaced_items(existing: DataFrame, live: DataFrame, offers: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(item rows of the listed resources; the batch's offers by catalogue and id; the listed resources)."""
     resources = publish.latest_version(publish.catalog_resources(live), publish.KEYS)
-    offers = publish.catalog_offers(live)
     restated = publish.latest_version(offers.where("offer_id is not null"), ["catalog_id", "offer_id"])
     every = restated.unionByName(offers.where("offer_id is null"))
     own = F.array_sort(F.collect_list(F.struct("seq", "offer_id", F.to_json(publish.strip_nulls(F.col("offer"))).alias("offer"))))
@@ -179,34 +178,45 @@ def index_documents(items: DataFrame) -> DataFrame:
     return text.select(scalars.doc_id(F.col("catalog_id"), F.col("id")).alias("doc_key"), *publish.KEYS, scalars.index_key(F.col("type")).alias("index_key"), "catalog_name", "provider_id", "network_id", "text")
 
 
+def staged(df: DataFrame, state_dir: str, name: str) -> DataFrame:
+    """``df`` written beside the state and read again: later steps start from a table, not from a plan that grows, and lost
+    executors cost nothing that was done. A batch overwrites what the one before it staged."""
+    path = f"{state_dir}/_staging/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def apply_publish(batch: DataFrame, batch_id: int, state_dir: str, buckets: int = BUCKETS, keep: int | None = None) -> None:
     """One micro-batch, from the state that the batch before it left; ``keep`` removes versions that only older
     manifests name."""
     spark = batch.sparkSession
     of = {name: state_table(state_dir, name, buckets) for name in SCHEMAS}
+    stage = partial(staged, state_dir=state_dir)
     before = read_manifest(spark, state_dir, TABLES, batch_id - 1, buckets)
-    batch = batch.persist()
+    batch = stage(batch, name="batch")
     parsed, catalogs = valid_catalogs(batch)
-    catalogs = catalogs.persist()
+    catalogs = stage(catalogs, name="catalogs")
     live, full = live_catalogs(catalogs, batch.select("seq", "ts").dropDuplicates(["seq"]))
-    live, full = live.persist(), full.persist()
+    live, full = stage(live, name="live"), stage(full, name="full")
 
     # what the batch touches: its catalogues, and the catalogues of items that its offers list
     named = of["items"].touched(live)
-    reached = publish.catalog_offers(live).select(F.explode("resource_ids").alias("id")).distinct()
+    offers = stage(publish.catalog_offers(live), name="offers")
+    reached = offers.select(F.explode("resource_ids").alias("id")).distinct()
     places = of["places"].read(spark, before, of["places"].touched(reached)).join(reached, "id", "left_semi")
     touched = named | of["items"].touched(places)
 
-    stored = of["items"].read(spark, before, touched).join(full, "catalog_id", "left_anti").persist()
-    incoming, restated, resources = replaced_items(stored, live, batch_id)
-    incoming, restated = incoming.persist(), restated.persist()
+    stored = of["items"].read(spark, before, touched).join(full, "catalog_id", "left_anti")
+    incoming, restated, resources = replaced_items(stored, live, offers, batch_id)
+    incoming, restated = stage(incoming, name="incoming"), stage(restated, name="restated")
     others = restamped(stored.join(incoming.select(*publish.KEYS), publish.KEYS, "left_anti"), live)
-    rows = incoming.withColumn("stamped", F.lit(False)).unionByName(others).persist()
-    merged = merge_offers(rows, offer_patches(rows, incoming, restated))
-    times = batch.agg(F.max("ts").alias("_now"))
+    rows = stage(incoming.withColumn("stamped", F.lit(False)).unionByName(others), name="rows")
+    patches = stage(offer_patches(rows, incoming, restated), name="patches")
+    now = batch.agg(F.max("ts").alias("t")).first()["t"]
+    merged = merge_offers(rows, patches)
     changed = F.col("patched") | F.col("stamped")
-    merged = merged.join(F.broadcast(times)).withColumns({  # one row
-        "updated_at": F.when(changed, F.greatest("updated_at", "_now")).otherwise(F.col("updated_at")),
+    merged = merged.withColumns({
+        "updated_at": F.when(changed, F.greatest("updated_at", F.lit(now))).otherwise(F.col("updated_at")),
         "batch": F.when(changed, F.lit(batch_id).cast("long")).otherwise(F.col("batch")),
     })
     after = of["items"].write(merged, batch_id, touched, before)
@@ -219,17 +229,15 @@ def apply_publish(batch: DataFrame, batch_id: int, state_dir: str, buckets: int
     locations = of["locations"].read(spark, before, named).join(full, "catalog_id", "left_anti")
     after = of["locations"].write(publish.replace_locations(locations, incoming, published_locations(resources)), batch_id, named, after)
 
-    _, whole = publish.offer_index(publish.catalog_offers(live))
+    _, whole = publish.offer_index(offers)
     last = publish.latest_version(whole.where("offer_id is not null"), ["offer_id", "catalog_id"]).join(batch.select("seq", F.col("ts").alias("created_at")).dropDuplicates(["seq"]), "seq")
     stamped = last.select("offer_id", "catalog_id", "provider_id", F.to_json(publish.strip_nulls(F.col("offer"))).alias("payload"), "created_at")
-    offers = of["provider_offers"].read(spark, before, named).join(full, "catalog_id", "left_anti").select(*of["provider_offers"].columns)
-    after = of["provider_offers"].write(publish.upsert(offers, stamped, ["offer_id", "catalog_id"]), batch_id, named, after)
+    whole_before = of["provider_offers"].read(spark, before, named).join(full, "catalog_id", "left_anti").select(*of["provider_offers"].columns)
+    after = of["provider_offers"].write(publish.upsert(whole_before, stamped, ["offer_id", "catalog_id"]), batch_id, named, after)
     write_manifest(spark, state_dir, TABLES, batch_id, after, buckets)
 
     index_batch(spark, batch_id, state_dir, after, touched, full, buckets)
     report(parsed, catalogs, incoming, batch_id, state_dir)
-    for held in (rows, incoming, restated, stored, live, full, catalogs, batch):
-        held.unpersist()
     if keep:
         vacuum(spark, [t for n, t in of.items() if n != "documents"], TABLES, keep)
         vacuum(spark, [of["documents"]], INDEX, keep)
@@ -249,11 +257,16 @@ def report(parsed: DataFrame, catalogs: DataFrame, incoming: DataFrame, batch_id
     bad = publish.rejects(parsed).unionByName(publish.rejects(catalogs.withColumn("value", F.to_json("catalog"))))
     bad.write.mode("overwrite").text(f"{state_dir}/rejects/batch={batch_id}")
     counted = incoming.groupBy("catalog_id").agg(F.count("*").alias("saved"))
-    results = catalogs.groupBy("catalog_id").agg(F.count("reject_reason").alias("errors")).join(counted, "catalog_id", "left").fillna(0, ["saved"])
-    results = results.withColumn("status", publish.result_status(F.col("saved"), F.col("errors")))
+    results = with_status(catalogs, counted)
     results.withColumn("value", publish_result("catalog_id", "status", "saved", "errors")).write.mode("overwrite").parquet(f"{state_dir}/results/batch={batch_id}")
 
 
+def with_status(catalogs: DataFrame, saved: DataFrame) -> DataFrame:
+    """``catalog_id, errors, saved, status`` of a batch's catalogues, from what was refused and what was saved of each."""
+    results = catalogs.groupBy("catalog_id").agg(F.count("reject_reason").alias("errors")).join(saved, "catalog_id", "left").fillna(0, ["saved"])
+    return results.withColumn("status", publish.result_status(F.col("saved"), F.col("errors")))
+
+
 def publish_result(catalog: str, status: str, saved: str, errors: str):
     """The body that tells a publisher how a catalogue fared, as JSON."""
     result = F.struct(F.col(catalog).alias("catalogId"), F.col(status).alias("status"), F.col(saved).alias("resourceCount"), F.col(errors).alias("errorCount"))
