@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaywise.operators.text import sent_if_small
+
 
 def reconcile(left: DataFrame, right: DataFrame, keys: list[str], by: str) -> DataFrame:
     """``by, left_rows, right_rows, only_left, only_right, duplicates``: key sets of two tables, per group."""
@@ -43,7 +45,7 @@ def same_final_state(a: DataFrame, b: DataFrame) -> DataFrame:
 def slo_percentiles(timed: DataFrame, by: str, value: str, budgets: DataFrame) -> DataFrame:
     """``by, p50, p95, p99, budget, met`` against budgets (``by, budget`` on p99)."""
     shares = timed.groupBy(by).agg(*(F.percentile(value, p / 100).alias(f"p{p}") for p in (50, 95, 99)))
-    return shares.join(F.broadcast(budgets), by, "left").withColumn("met", F.col("p99") <= F.col("budget"))
+    return shares.join(sent_if_small(budgets), by, "left").withColumn("met", F.col("p99") <= F.col("budget"))
 
 
 def freshness(checks: DataFrame, today) -> DataFrame:

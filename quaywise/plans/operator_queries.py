@@ -386,9 +386,9 @@ def external_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_concat(w, list_concat(CASE WHEN list_contains(w, 'the') THEN ['article', 'word'] ELSE [] END, CASE WHEN list_contains(w, 'a') THEN ['article'] ELSE [] END)))), ' ') AS terms
-  FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM conversations)""")
+  FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM conversations)""")
 def enriched_queries(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", text.tokens(F.col("text")).alias("w"))
+    words = table(spark, d, "conversations").select("conv_id", "turn", text.tokens(F.coalesce("text", F.lit(""))).alias("w"))
     more = embedding.enrich_query(F.col("w"), {"the": ["article", "word"], "a": ["article"]})
     return words.select("conv_id", "turn", F.array_join(F.array_sort(more), " ").alias("terms"))
 
@@ -420,12 +420,14 @@ def truncated_texts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", scalars.truncate_words(F.col("text"), 300).alias("cut"))
 
 
-@query("""SELECT page_id, page_id % 2 = 0 AS same, octet_length(encode(html)) AS bytes FROM pages WHERE html IS NOT NULL""")
+@query("""SELECT page_id, page_id % 2 = 0 AS same, octet_length(encode(coalesce(html, ''))) AS bytes FROM pages""")
 def digest_checks(spark: SparkSession, d: str) -> DataFrame:
-    digest = F.sha2(F.col("html").cast("binary"), 256)
+    """Bodies against the digest that came with them; a missing body counts as an empty one."""
+    body = F.coalesce("html", F.lit(""))
+    digest = F.sha2(body.cast("binary"), 256)
     declared = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("SHA256:"), F.upper(digest))).otherwise(F.reverse(digest))
-    rows = table(spark, d, "pages").where("html is not null")
-    return rows.select("page_id", scalars.sha256_matches(F.col("html").cast("binary"), declared).alias("same"), scalars.payload_bytes(F.col("html")).cast("long").alias("bytes"))
+    same = scalars.sha256_matches(body.cast("binary"), declared)
+    return table(spark, d, "pages").select("page_id", same.alias("same"), scalars.payload_bytes(body).cast("long").alias("bytes"))
 
 
 @query(sql_with("catalogs", "items") + f" SELECT id, catalog_id, coalesce({TS_SQL.format('end_text')} < TIMESTAMP '{NOW}', true) AS expired FROM items")
@@ -457,9 +459,9 @@ def callback_addresses(spark: SparkSession, d: str) -> DataFrame:
     return dispatch.resolve_callbacks(asked, registry).select("page_id", "callback_url", "dead_reason")
 
 
-@query("SELECT event_id, 'k' || user_id AS key, 'broken' AS error, event_type AS topic, CAST(user_id % 8 AS VARCHAR) AS part FROM events WHERE event_type = 'error'")
+@query("SELECT event_id, 'k' || user_id AS key, 'broken' AS error, event_type AS topic, CAST(user_id % 8 AS VARCHAR) AS part FROM events")
 def dead_letter_rows(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("event_type = 'error'")
+    e = table(spark, d, "events")
     rows = e.select(F.concat(F.lit("k"), "user_id").alias("key"), F.col("event_id").cast("string").alias("value"), F.lit("broken").alias("error"), F.lit("E").alias("error_class"), F.col("event_type").alias("topic"), (F.col("user_id") % 8).alias("partition"), F.col("event_id").alias("offset"))
     out = dispatch.dead_letters(rows)
     return out.select(F.col("value").cast("long").alias("event_id"), "key", F.col("headers")["error"].alias("error"), F.col("headers")["topic"].alias("topic"), F.col("headers")["partition"].alias("part"))
