@@ -89,6 +89,21 @@ def enrich_with_provider_offers(catalogs: DataFrame, offers: DataFrame) -> DataF
     return joined.withColumn("offers", F.concat("offers", other)).drop("provider_offers")
 
 
+def with_offer_counts(catalogs: DataFrame, offers: DataFrame, by: str = "intent_id") -> DataFrame:
+    """``n_offers``: how many offers :func:`enrich_with_provider_offers` would leave in each row (one per ``by`` and
+    catalogue). Provider offers are counted, never listed, so that memory does not grow with a provider's offers."""
+    whole = offers.where((F.coalesce(F.size("resource_ids"), F.lit(0)) <= 0) & F.col("provider_id").isNotNull())
+    whole = whole.join(catalogs.select("provider_id").distinct(), "provider_id", "left_semi")
+    once = whole.groupBy("provider_id", "offer_id").agg(F.count("*").alias("n"))
+    each = F.when(F.col("offer_id").isNull(), F.col("n")).otherwise(F.lit(1))  # offers without an id all stay
+    every = once.groupBy("provider_id").agg(F.sum(each).alias("_every"))
+    own = catalogs.select(by, "catalog_id", "provider_id", F.explode(F.array_distinct(F.transform("offers", lambda o: o["offer_id"]))).alias("offer_id"))
+    held = own.join(once.select("provider_id", "offer_id"), ["provider_id", "offer_id"]).groupBy(by, "catalog_id").agg(F.count("*").alias("_held"))
+    joined = catalogs.join(every, "provider_id", "left").join(held, [by, "catalog_id"], "left")
+    n = F.size("offers") + F.coalesce("_every", F.lit(0)) - F.coalesce("_held", F.lit(0))
+    return joined.withColumn("n_offers", n.cast("long")).drop("_every", "_held")
+
+
 def discard_without_offers(catalogs: DataFrame) -> DataFrame:
     return catalogs.where(F.size("offers") > 0)
 

@@ -75,6 +75,18 @@ def test_enrichment_and_broken_answers(spark):
     assert {r["merge_key"]: (r["catalog_id"], [x["id"] for x in r["resources"]]) for r in merged.collect()} == {"p": ("b", ["r1", "r2"]), "c": ("c", ["r3"])}
 
 
+def test_offer_counts_equal_the_enriched_lists(spark):
+    rows = [(1, "a", "p", 1, [("r1", "n")], [("x", ["r1"], 1.0), ("w", ["r1"], 1.0), (None, ["r1"], 1.0)]), (1, "b", "p", 2, [("r1", "n")], []), (2, "a", "none", 1, [("r1", "n")], [])]
+    offers = spark.createDataFrame([("x", "p", [], 1.0), ("y", "p", [], 1.0), ("y", "p", None, 2.0), (None, "p", [], 1.0), (None, "p", [], 2.0), ("z", "p", ["r1"], 1.0), ("v", None, [], 1.0)], "offer_id string, provider_id string, resource_ids array<string>, price double")
+    some = catalogs(spark, rows)
+    key = lambda r: (r["intent_id"], r["catalog_id"])
+    listed = {key(r): len(r["offers"]) for r in respond.enrich_with_provider_offers(some, offers).collect()}
+    counted = respond.with_offer_counts(some, offers)
+    assert {key(r): r["n_offers"] for r in counted.collect()} == listed == {(1, "a"): 6, (1, "b"): 4, (2, "a"): 0}
+    # no provider's offers are collected
+    assert "collect_" not in counted._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_delivery(spark):
     env = spark.createDataFrame([("s1", "r", "on_discover"), ("s2", "r", "on_discover"), ("s3", "r", "other"), ("s4", "r", "publish")], "subscriber_id string, record_id string, action string")
     reg = spark.createDataFrame([("s1", "r", "http://10.0.0.1"), ("s3", "r", "https://h"), ("s4", "r", "https://h/x/")], "subscriber_id string, record_id string, base_url string")
