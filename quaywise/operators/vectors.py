@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaywise.operators.text import sent_if_small
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -37,6 +39,16 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, same: str | None = None,
     return best.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
 
 
+def alike(vectors: DataFrame, queries: DataFrame, least: float) -> DataFrame:
+    """``query_id, vec_id, score``: for each query (``query_id, query``) every vector (``vec_id, vector``, and further columns, which
+    stay) with at least that score. The queries, a stated set, are sent to the vectors where they are few."""
+    stored = vectors.withColumn("_norm", norm(F.col("vector"))).where("_norm > 0")
+    asked = queries.withColumn("_qnorm", norm(F.col("query"))).where("_qnorm > 0")
+    score = cosine_score(F.col("query"), F.col("vector"), F.col("_qnorm"), F.col("_norm"))
+    scored = stored.crossJoin(sent_if_small(asked)).withColumn("score", score).where(F.col("score") >= least)
+    return scored.select("query_id", "score", *(c for c in vectors.columns if c != "vector"))
+
+
 def candidate_cap(limit: int, overfetch: int = 10, most: int = 5000) -> int:
     """Candidates to fetch for a chained search; a non-positive limit asks for none."""
     return 0 if limit <= 0 else min(limit * overfetch, most)

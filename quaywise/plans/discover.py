@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quaywise.functions import paths
 from quaywise.functions.embedding import hashed_embedding
 from quaywise.operators import filters, respond, spatial, text
-from quaywise.operators.vectors import candidate_cap, cosine_score, knn, norm
+from quaywise.operators.vectors import alike, cosine_score, knn, norm
 
 
 class HitSource(Protocol):
@@ -165,9 +165,10 @@ def keyword_hits(tables: Tables, intents: DataFrame) -> DataFrame:
     return hits.select(F.col("query_id").alias("intent_id"), "id", F.col("score").alias("keyword"))
 
 
-def text_candidates(tables: Tables, intents: DataFrame, near: DataFrame, limit: int) -> DataFrame:
+def text_candidates(tables: Tables, intents: DataFrame, near: DataFrame) -> DataFrame:
     """``intent_id, id, catalog_id, keyword, semantic`` of text intents: those with a place rank what lies in it, the others
-    what the index finds. A hit has every term of the text, or a vector that is like the intent's."""
+    what the index finds. A hit has every term of the text, or a vector that is like the intent's. Every one that is like it
+    is a candidate: later filters and ties decide which are answered, so none may be cut before them."""
     words = keyword_hits(tables, intents)
     placed = near.join(intents.where("_g").select("intent_id"), "intent_id", "left_semi")
     free = words.join(intents.where("not _g").select("intent_id"), "intent_id", "left_semi").join(tables.items.select("id", "catalog_id"), "id")
@@ -179,8 +180,8 @@ def text_candidates(tables: Tables, intents: DataFrame, near: DataFrame, limit:
     scored = inside.join(tables.vectors.select("id", "catalog_id", "vector"), ["id", "catalog_id"], "left").join(asked.withColumnRenamed("query_id", "intent_id"), "intent_id", "left")
     likeness = cosine_score(F.col("query"), F.col("vector"), norm(F.col("query")), norm(F.col("vector")))
     inside = scored.withColumn("semantic", F.when(likeness >= tables.least_similarity, likeness)).where("keyword is not null or semantic is not null")
-    engine = VectorHits(tables.vectors, tables.vectors.select("vec_id", "id", "catalog_id"), candidate_cap(limit), tables.least_similarity)
-    found = engine(intents.where("not _g")).select("intent_id", "id", "catalog_id", F.col("score").alias("semantic"))
+    found = alike(tables.vectors, query_vectors(intents.where("not _g")), tables.least_similarity)
+    found = found.select(F.col("query_id").alias("intent_id"), "id", "catalog_id", F.col("score").alias("semantic"))
     outside = free.join(found, ["intent_id", "id", "catalog_id"], "full")
     columns = ["intent_id", "id", "catalog_id", "keyword", "semantic"]
     return inside.select(*columns).unionByName(outside.select(*columns))
@@ -207,7 +208,7 @@ def discover_hits(intents: DataFrame, tables: Tables, now: Column, limit: int =
     placed = near.join(intents.where("_g and not _t").select("intent_id"), "intent_id", "left_semi")
     candidates = placed.withColumns({"keyword": none, "semantic": none})
     if tables.postings is not None:
-        candidates = candidates.unionByName(text_candidates(tables, intents.where("_t"), near, limit))
+        candidates = candidates.unionByName(text_candidates(tables, intents.where("_t"), near))
     met = plain_filters(tables.items.join(candidates, ["id", "catalog_id"]).join(carried, "intent_id"), now)
 
     every = plain_filters_of_blocks(tables, intents.where("not _g and not _t").join(carried.select("intent_id"), "intent_id", "left_semi"), now)

@@ -202,3 +202,24 @@ def test_engines_and_missing_index(spark, tmp_path):
 
     with pytest.raises(Exception):
         discover.index_or_empty(spark, str(tmp_path / "bad"), "a int").count()
+
+
+def test_no_like_vector_is_cut_before_ties_are_decided(spark):
+    """Twenty items are equally like the query; the newest has the largest vector id."""
+    from pyspark.sql import functions as F
+
+    from quaywise.plans import discover
+
+    n = F.col("id")
+    item = spark.range(20).select(F.concat(F.lit("r"), n).alias("id"), F.lit("c").alias("catalog_id"), n.alias("vec_id"), F.timestamp_seconds(n).alias("updated_at"))
+    null = lambda kind: F.lit(None).cast(kind)
+    items = item.select("id", "catalog_id", "updated_at", null("variant").alias("payload"), null("array<string>").alias("network_id"), null("string").alias("context_url"), null("string").alias("type"), null("boolean").alias("is_active"), null("string").alias("start_text"), null("string").alias("end_text"))
+    vectors = item.select("vec_id", "id", "catalog_id", F.array(F.lit(1.0), F.lit(2.0)).alias("vector"))
+    places = spark.createDataFrame([], "item_id string, catalog_id string, path string, seq short, geometry struct<kind:string,ring:array<struct<x:double,y:double>>>")
+    posted = spark.createDataFrame([], "term string, id string, length int, tf long")
+    intents = spark.createDataFrame([(1, "word", [1.0, 2.0])], "intent_id int, text_search string, query_vector array<double>")
+    for name, kind in [("expression", "string"), ("lon", "double"), ("lat", "double"), ("metres", "double"), ("network", "string"), ("schema_urls", "array<string>"), ("active", "boolean"), ("valid", "boolean")]:
+        intents = intents.withColumn(name, null(kind))
+    tables = discover.Tables(items, places, None, posted, 1, 1.0, vectors, 0.72)
+    hits = discover.discover_hits(intents, tables, F.lit("2020-01-01").cast("timestamp"), limit=1)
+    assert [r["id"] for r in hits.collect()] == ["r19"]
