@@ -238,13 +238,27 @@ MERGES: dict[str, Callable] = {
 def patched(rows: DataFrame, target: str, patch: str, out: str, how: str = "value") -> DataFrame:
     """``out``: the JSON text ``target`` with the JSON text ``patch`` merged in (one of :data:`MERGES`); null where either is
     no JSON."""
-    merge = MERGES[how]
+    return patched_in_turn(rows.withColumn("_how", F.lit(how)), target, [(patch, "_how")], out).drop("_how")
+
+
+def patched_in_turn(rows: DataFrame, target: str, patches: list[tuple[str, str]], out: str) -> DataFrame:
+    """As :func:`patched`, with several patches one after the other, each a column with the patch and one with the way to merge
+    it: a row is read and written as JSON once, and rows merged in different ways go through together."""
+
+    def merged(target: str | None, pairs: list[tuple[str | None, str]]) -> str | None:
+        value = _loaded(target)
+        for text, how in pairs:
+            patch = _loaded(text)
+            if value is None or patch is None:
+                return None
+            value = MERGES[how](value, patch)
+        return json.dumps(value, sort_keys=True, ensure_ascii=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(*(map(_loaded, batch.column(c).to_pylist()) for c in (target, patch)), strict=True)
-            merged = [None if a is None or b is None else json.dumps(merge(a, b), sort_keys=True, ensure_ascii=False) for a, b in pairs]
-            yield batch.append_column(out, pa.array(merged, pa.string()))
+            pairs = zip(*(zip(batch.column(p).to_pylist(), batch.column(h).to_pylist(), strict=True) for p, h in patches), strict=True)
+            found = [merged(t, p) for t, p in zip(batch.column(target).to_pylist(), pairs, strict=True)]
+            yield batch.append_column(out, pa.array(found, pa.string()))
 
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
     return rows.mapInArrow(run, f"{schema}, `{out}` string")

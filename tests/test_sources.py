@@ -69,3 +69,19 @@ def test_embedding(spark):
     assert set(got) == {1, 2, 3} and np.allclose(got[1], got[2]) and np.isclose(np.linalg.norm(got[3]), 1, atol=1e-6) and got[1] @ got[3] < 0.6
     terms = spark.range(1).select(embedding.enrich_query(F.array(F.lit("ev"), F.lit("fast")), {"ev": ["electric", "fast"]}).alias("x")).first()["x"]
     assert terms == ["ev", "fast", "electric"]
+
+
+def test_patches_in_turn_read_a_payload_once(spark):
+    rows = [('{"catalogs":[{"offers":[{"id":"a","x":1}],"resources":[{"id":"r"}]}]}', '{"id":"a","x":null}', "offer", '{"id":"b","y":null}', "offer without nulls"), ('{"catalogs":[{"resources":[{"id":"r"}]}]}', '{"z":1}', "value", '{"n":2}', "resource"), ("broken", "{}", "value", "{}", "value"), ("{}", "{}", "value", None, "value")]
+    df = spark.createDataFrame(rows, "t string, p string, hp string, q string, hq string")
+    both = walks.patched_in_turn(df, "t", [("p", "hp"), ("q", "hq")], "m")
+    got = [r["m"] and json.loads(r["m"]) for r in both.collect()]
+    assert got == [{"catalogs": [{"offers": [{"id": "a"}, {"id": "b"}], "resources": [{"id": "r"}]}]}, {"catalogs": [{"resources": [{"id": "r", "n": 2}]}], "z": 1}, None, None]
+
+
+def test_payload_patches_merge_in_one_pass(spark, data):
+    import quaywise.plans.operator_queries  # noqa: F401  registers the query
+    from quaywise.plans.catalogue_queries import QUERIES
+
+    plan = QUERIES["payload_patches"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
