@@ -46,9 +46,15 @@ def split_catalogs(parsed: DataFrame, cap: int = scalars.MAX_MESSAGE_BYTES) -> D
     """One row per catalogue: ``catalog_id, catalog, update_mode, visible_to, reject_reason``. The first directive
     of a catalogue wins, the default mode is MERGE; a missing id or an oversized catalogue is a reject."""
     directives = F.coalesce(F.try_variant_get("message", "$.message.publishDirectives", "array<variant>"), F.array().cast("array<variant>"))
-    rows = parsed.where("reject_reason is null").select("seq", directives.alias("directives"), F.explode("catalogs").alias("catalog"))
+    keyed = parsed.where("reject_reason is null").withColumn("_message", F.xxhash64("value"))
+    rows = keyed.select("seq", "_message", F.explode("catalogs").alias("catalog"))
     rows = rows.withColumn("catalog_id", F.try_variant_get("catalog", "$.id", "string"))
-    own = F.get(F.filter("directives", lambda d: F.try_variant_get(d, "$.catalogId", "string") == F.col("catalog_id")), F.lit(0))
+    # catalogues and directives of a message meet by a join: a message of many is not copied for each
+    said = keyed.select("seq", "_message", F.posexplode(directives).alias("_at", "_d"))
+    said = said.select("seq", "_message", "_at", F.try_variant_get("_d", "$.catalogId", "string").alias("catalog_id"), F.struct(F.to_json("_d").alias("d")).alias("_d"))
+    said = said.where("catalog_id is not null").groupBy("seq", "_message", "catalog_id").agg(F.min_by("_d", "_at")["d"].alias("_own"))
+    rows = rows.join(said, ["seq", "_message", "catalog_id"], "left")
+    own = F.parse_json("_own")
     reason = F.when(F.coalesce(F.trim("catalog_id"), F.lit("")) == "", "no catalogue id").when(F.octet_length(F.to_json("catalog")) > cap, "catalogue too large")
     return rows.select("seq", "catalog_id", "catalog", F.upper(F.coalesce(F.try_variant_get(own, "$.updateMode", "string"), F.lit("MERGE"))).alias("update_mode"), scalars.string_list(own, "$.visibleTo").alias("visible_to"), reason.alias("reject_reason"))
 
