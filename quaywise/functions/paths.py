@@ -17,7 +17,11 @@ from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r'\s*(?:(?P<num>-?\d+(?:\.\d+)?)|(?P<str>"(?:[^"\\]|\\.)*")|(?P<op>&&|\|\||==|!=|<>|<=|>=|<|>|!|\(|\)|\?|\[\*\]|\.|\$|@)|(?P<word>[A-Za-z_][\w-]*))')
 _BARE_PREFIXED = re.compile(r"\.([A-Za-z_]\w*:[A-Za-z_]\w*)")
-_NUMBER_TYPES = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL)"
+
+
+def is_number(kind: Column) -> Column:
+    """Whether a type, as ``schema_of_variant`` names it, is one of numbers."""
+    return kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
 
 
 class BadPath(ValueError):
@@ -41,23 +45,33 @@ def _tokens(expression: str) -> list[tuple[str, str]]:
     return out
 
 
-def _member(values: Column, name: str) -> Column:
-    path = "$['" + name.replace("'", "\\'") + "']"
+def _at(values: Column, names: list[str]) -> Column:
+    """The members that a run of names leads to, read in one step: each read copies what it returns."""
+    if not names:
+        return values
+    path = _path(names)
     return F.filter(F.transform(values, lambda x: F.try_variant_get(x, path, "variant")), lambda x: x.isNotNull())
 
 
-def _elements(values: Column) -> Column:
-    return F.flatten(F.transform(values, lambda x: F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.array(x))))
+def _elements(values: Column, names: list[str]) -> Column:
+    """The elements of the lists that a run of names leads to; what is no list stands for itself."""
+    path = _path(names)
+    one = lambda x: F.filter(F.array(F.try_variant_get(x, path, "variant")), lambda v: v.isNotNull())
+    return F.flatten(F.transform(values, lambda x: F.coalesce(F.try_variant_get(x, path, "array<variant>"), one(x))))
+
+
+def _path(names: list[str]) -> str:
+    return "$" + "".join("['" + n.replace("'", "\\'") + "']" for n in names)
 
 
 def _compare(values: Column, op: str, kind: str, literal: str) -> Column:
     tests: dict[str, Callable[[Column, Column], Column]] = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<>": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
     if kind == "num":
-        cast, pattern, value = "double", _NUMBER_TYPES, F.lit(float(literal))
+        cast, typed, value = "double", is_number, F.lit(float(literal))
     elif kind == "str":
-        cast, pattern, value = "string", "^STRING", F.lit(literal[1:-1].replace('\\"', '"'))
+        cast, typed, value = "string", lambda t: t == "STRING", F.lit(literal[1:-1].replace('\\"', '"'))
     elif literal in ("true", "false"):
-        cast, pattern, value = "boolean", "^BOOLEAN", F.lit(literal == "true")
+        cast, typed, value = "boolean", lambda t: t == "BOOLEAN", F.lit(literal == "true")
     else:
         raise BadPath(f"not a literal: {literal}")
     if op == "like":
@@ -66,7 +80,7 @@ def _compare(values: Column, op: str, kind: str, literal: str) -> Column:
         test = lambda a: a.startswith(literal[1:-1])
     else:
         test = lambda a: tests[op](a, value)
-    one = lambda x: F.when(F.schema_of_variant(x).rlike(pattern), test(F.try_variant_get(x, "$", cast)))
+    one = lambda x: F.when(typed(F.schema_of_variant(x)), test(F.try_variant_get(x, "$", cast)))
     return F.exists(values, one)
 
 
@@ -87,21 +101,21 @@ class _Reader:
         start = self.take()[1]
         if start not in ("$", "@"):
             raise BadPath(f"a path starts with $ or @, not {start!r}")
-        values = F.array(root if start == "$" else context)
+        values, names = F.array(root if start == "$" else context), []
         while (step := self.peek()) in (".", "[*]", "?"):
             self.take()
             if step == ".":
                 kind, name = self.take()
                 if kind not in ("word", "str"):
                     raise BadPath(f"not a member name: {name!r}")
-                values = _member(values, name[1:-1] if kind == "str" else name)
+                names.append(name[1:-1] if kind == "str" else name)
             elif step == "[*]":
-                values = _elements(values)
+                values, names = _elements(values, names), []
             else:
                 self.take("(")
-                values = F.filter(values, self._keeper(root))
+                values, names = F.filter(_at(values, names), self._keeper(root)), []
                 self.take(")")
-        return values
+        return _at(values, names)
 
     def _keeper(self, root: Column) -> Callable[[Column], Column]:
         begin = self.at
