@@ -13,13 +13,14 @@ settle most groups; a similarity join finds what lies beyond their radius:
   similarity, so they stand side by side, and a chain of neighbours joins a group of any size at a cost of its rows.
   First next neighbours in one order, then, among what is still apart, up to :data:`REACH` places in all three.
 * What shares a shingle and is still apart after that: in a group of at most :data:`SMALL` sets all pairs of different
-  components are compared.
+  components are compared. Larger groups are dealt into blocks of about that many sets, every block meets every other, and
+  pairs go on that share enough of the prefixes, which is counted here: all they share is held by larger groups.
 * A pair must have sizes that allow 0.8, and share enough of the prefixes: of the overlap that its sizes ask for, all
   but the ``need - 1`` shingles behind the prefix of the larger set (where the prefixes end in the order decides
   whose, and the larger set's bound is the lower one). What passes is verified by counting shared shingles.
 
-So every link is exact. Two like sets can stay apart only where each shingle they share is held by more than :data:`SMALL`
-sets, with strangers between them in all three orders, and no chain of other copies joins them. Texts are not shuffled: shingles are counted where the texts are read, for those that a filter of fixed size lets
+So every link is exact, and none is left out: the time for a group that stays mixed grows with the square of its sets, what
+meets in one place does not. Texts are not shuffled: shingles are counted where the texts are read, for those that a filter of fixed size lets
 through.
 
 Words are lower-cased in A-Z and parted by ASCII white space, as for fingerprints. A text of fewer words is its
@@ -121,11 +122,15 @@ def sizes_allow(m: Column, n: Column) -> Column:
 def enough_shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``u, v`` of set ids whose prefixes share enough."""
     left, right = (sets.select(F.col("set_id").alias(s), F.struct("size", "keys").alias(f"s{s}")) for s in "uv")
-    m, n = F.col("su.size"), F.col("sv.size")
-    asked = F.ceil(4 * (m + n) / 9) - F.ceil(4 * F.greatest(m, n) / 5) + 1
+    asked = least_shared(F.col("su.size"), F.col("sv.size"))
     return pairs.join(left, "u").join(right, "v").where(F.size(F.array_intersect("su.keys", "sv.keys")) >= asked).select("u", "v")
 
 
+def least_shared(m: Column, n: Column) -> Column:
+    """How many shingles the prefixes of two sets of these sizes share at least if the sets link."""
+    return F.ceil(4 * (m + n) / 9) - F.ceil(4 * F.greatest(m, n) / 5) + 1
+
+
 ORDERS = (["lo", "size", "set_id"], ["hi", "size", "set_id"], ["size", "set_id"])
 
 
@@ -161,6 +166,19 @@ def pairs_of_small_groups(shared: DataFrame, most: int = SMALL) -> DataFrame:
     return pairs.select("u", "v").distinct()
 
 
+def pairs_of_large_groups(shared: DataFrame, most: int = SMALL) -> DataFrame:
+    """``u, v``: the pairs of different components that share enough shingles of more than ``most`` sets each. A pair that also
+    shares another is not judged here, :func:`pairs_of_small_groups` has it."""
+    blocks = shared.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key", F.ceil(F.col("n") / most).alias("n"))
+    dealt = shared.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("n")))
+    own = lambda s: (F.col("set_id").alias(s), F.col("root").alias(f"r{s}"), F.col("size").alias(f"z{s}"))
+    left = dealt.select("key", *own("u"), F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("n") - 1)).alias("j"))
+    right = dealt.select("key", *own("v"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("i"))
+    apart = (F.col("ru") != F.col("rv")) & sizes_allow(F.col("zu"), F.col("zv")) & ((F.col("i") < F.col("j")) | (F.col("u") < F.col("v")))
+    met = left.join(right, ["key", "i", "j"]).where(apart).select(*ordered_pair(F.col("u"), F.col("v")), least_shared(F.col("zu"), F.col("zv")).alias("asked"))
+    return met.groupBy("u", "v", "asked").agg(F.count("*").alias("n")).where("n >= asked").select("u", "v")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``u, v`` of set ids whose sets have a similarity of 0.8 or more, counted exactly."""
     likely = written(enough_shared(pairs, sets), "likely")
@@ -214,6 +232,7 @@ def set_components(rows: DataFrame, texts: DataFrame) -> DataFrame:
         lambda mixed: neighbours(mixed, ORDERS[:1], 1),
         lambda mixed: neighbours(mixed, ORDERS, REACH),
         pairs_of_small_groups,
+        pairs_of_large_groups,
     ):
         mixed = with_roots(shared, sets, links)
         pairs = propose(mixed) if tried is None else propose(mixed).join(tried, ["u", "v"], "left_anti")

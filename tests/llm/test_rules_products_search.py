@@ -308,3 +308,29 @@ def test_small_groups_are_compared_whole(spark):
     shared = spark.createDataFrame(rows, "key long, set_id long, root long, size int, lo long, hi long")
     pairs = {(r["u"], r["v"]) for r in shingle_dedup.pairs_of_small_groups(shared, 16).collect()}
     assert pairs == {(u, v) for u in range(5) for v in range(u + 1, 5)}
+
+
+def test_pairs_of_large_groups_leave_no_pair_out(spark):
+    """Pairs that only share shingles of large groups, against all pairs; two of one component are not compared."""
+    import random
+
+    rng = random.Random(3)
+    holds = {u: (rng.choice([20, 22, 24, 40]), set(rng.sample(range(6), rng.randint(1, 6)))) for u in range(1, 91)}
+    rows = [(k, u, u // 2, size, 0, 0) for u, (size, keys) in holds.items() for k in keys] + [(99, 1, 0, 20, 0, 0), (99, 5, 2, 20, 0, 0)]
+    shared = spark.createDataFrame(rows, "key long, set_id long, root long, size int, lo long, hi long")
+    least = lambda m, n: -(-4 * (m + n) // 9) - -(-4 * max(m, n) // 5) + 1
+    want = {(u, v) for u, (m, a) in holds.items() for v, (n, b) in holds.items() if u < v and u // 2 != v // 2 and 5 * min(m, n) >= 4 * max(m, n) and len(a & b) >= least(m, n)}
+    got = [(r["u"], r["v"]) for r in shingle_dedup.pairs_of_large_groups(shared, 16).collect()]
+    assert want and sorted(got) == sorted(want)
+
+
+def test_sets_in_large_groups_are_joined(spark, monkeypatch):
+    """With no group small enough to be compared whole and neighbours switched off, like sets still meet."""
+    monkeypatch.setattr(shingle_dedup, "neighbours", lambda shared, *_: shared.selectExpr("set_id u", "set_id v").where("false"))
+    monkeypatch.setattr(shingle_dedup, "pairs_of_small_groups", lambda shared: shared.selectExpr("set_id u", "set_id v").where("false"))
+    whole = shingle_dedup.pairs_of_large_groups
+    monkeypatch.setattr(shingle_dedup, "pairs_of_large_groups", lambda shared: whole(shared, 1))
+    words = [f"w{n}" for n in range(300)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:290], *(f"x{n}" for n in range(10))])), (3, "some other text of more than five words")], "doc_id long, text string")
+    monkeypatch.setattr(shingle_dedup, "fingerprint_groups", lambda rows: rows.selectExpr("set_id u", "set_id v").where("false"))
+    assert sorted(r["doc_id"] for r in shingle_dedup.keep_one_of_each(docs).collect()) == [1, 3]
