@@ -2,24 +2,48 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaywise.functions import scalars, walks
+from quaywise.functions import paths, scalars, walks
 
 LIST = "array<variant>"
 #: What a typed read accepts, by JSON type.
-JSON_TYPES = {"string": "^STRING", "boolean": "^BOOLEAN", "double": "^(BIGINT|DOUBLE|DECIMAL|FLOAT)", "int": "^BIGINT"}
+JSON_TYPES = {"string": lambda t: t == "STRING", "boolean": lambda t: t == "BOOLEAN", "double": paths.is_number, "int": lambda t: t == "BIGINT"}
 
 
 def typed_get(value: Column, path: str, kind: str) -> Column:
     """The member at ``path`` if its JSON type is ``kind`` (``string``, ``boolean``, ``double`` or ``int``), else null: a
     number in quotes is a text, not a number."""
-    there = F.schema_of_variant(F.try_variant_get(value, path, "variant")).rlike(JSON_TYPES[kind])
-    return F.when(there, F.try_variant_get(value, path, kind))
+    return typed(F.try_variant_get(value, path, "variant"), kind)
+
+
+def typed(value: Column, kind: str) -> Column:
+    """A variant as ``kind`` if that is its JSON type, else null."""
+    return F.when(JSON_TYPES[kind](F.schema_of_variant(value)), F.try_variant_get(value, "$", kind))
+
+
+def shape_of(members: list[str]) -> str:
+    """The struct type, with variants at its leaves, that holds these paths (``$.a.b``, ``$['@c']``)."""
+    tree: dict = {}
+    for path in members:
+        at = tree
+        for name in steps(path):
+            at = at.setdefault(name, {})
+    kind = lambda t: "struct<" + ",".join(f"`{k}`:{kind(v) if v else 'variant'}" for k, v in t.items()) + ">"
+    return kind(tree)
+
+
+def steps(path: str) -> list[str]:
+    return [quoted or plain for quoted, plain in re.findall(r"\['([^']*)'\]|\.(\w+)", path)]
+
+
+def member(owner: Column, path: str) -> Column:
+    for name in steps(path):
+        owner = owner[name]
+    return owner
 
 
 def provider_id(owner: Column) -> Column:
@@ -82,30 +106,34 @@ VALUES = [
 def search_documents(items: DataFrame) -> DataFrame:
     """Flat search documents of item rows (``id, catalog_id, type, network_id, payload``), with index partition, key,
     offers as JSON texts and the text blob."""
+    own = lambda o: [m[2] for m in [*TEXTS, *LISTS, *VALUES] if m[1] == o]
     parts = items.select(
         F.col("id").alias("resource_id"),
         F.col("catalog_id").alias("_catalog_id"),
         F.col("type").alias("schema_type"),
         "network_id",
-        F.try_variant_get("payload", "$.catalogs[0]", "variant").alias("catalog"),
-        F.try_variant_get("payload", "$.catalogs[0].resources[0]", "variant").alias("resource"),
+        F.try_variant_get("payload", "$.catalogs[0]", shape_of([*own("catalog"), "$.validity.startDate", "$.validity.endDate", "$.provider"])).alias("catalog"),
+        F.try_variant_get("payload", "$.catalogs[0].resources[0]", shape_of([*own("resource")])).alias("resource"),
+        F.try_variant_get("payload", "$.catalogs[0].resources[0]", "variant").alias("whole"),
     )
+    # each owner is read once, as a struct with a variant for each member
     owner = {"catalog": F.col("catalog"), "resource": F.col("resource")}
-    validity = lambda end: scalars.try_timestamp(typed_get(owner["catalog"], f"$.validity.{end}", "string"))
+    validity = lambda end: scalars.try_timestamp(typed(owner["catalog"]["validity"][end], "string"))
+    provider = owner["catalog"]["provider"]
     rows = parts.select(
         scalars.doc_id(F.col("_catalog_id"), F.col("resource_id")).alias("doc_key"),
         scalars.index_key(F.col("schema_type")).alias("index_key"),
         "resource_id",
         "schema_type",
         "network_id",
-        *(typed_get(owner[o], path, "string").alias(name) for name, o, path in TEXTS),
-        *(typed_get(owner[o], path, kind).alias(name) for name, o, path, kind in VALUES),
-        *(json_list(owner[o], path).alias(name) for name, o, path in LISTS),
-        provider_id(owner["catalog"]).alias("provider_id"),
+        *(typed(member(owner[o], path), "string").alias(name) for name, o, path in TEXTS),
+        *(typed(member(owner[o], path), kind).alias(name) for name, o, path, kind in VALUES),
+        *(json_list(member(owner[o], path), "$").alias(name) for name, o, path in LISTS),
+        F.coalesce(typed(provider, "string"), typed_get(provider, "$.id", "string")).alias("provider_id"),
         validity("startDate").alias("catalog_start"),
         validity("endDate").alias("catalog_end"),
-        F.to_json(F.try_variant_get("resource", "$.resourceAttributes", "variant")).alias("attributes"),
-        F.to_json("resource").alias("_resource"),
+        F.to_json(F.try_variant_get("whole", "$.resourceAttributes", "variant")).alias("attributes"),
+        F.to_json("whole").alias("_resource"),
     )
     return text_blobs(rows, "_resource", "offers", "full_text_blob").drop("_resource")
 
@@ -118,10 +146,10 @@ def text_blobs(rows: DataFrame, resource: str, offers: str, out: str, most: int
     and offers, and the names of members that are true. Context members and shapes are left out.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = zip(batch.column(resource).to_pylist(), batch.column(offers).to_pylist(), strict=True)
-            yield batch.append_column(out, pa.array([walks.text_parts(r, o or []) for r, o in pairs], pa.string()))
+    def texts(resources: pa.Array, lists: pa.Array) -> pa.Array:
+        pairs = zip(resources.to_pylist(), lists.to_pylist(), strict=True)
+        return pa.array([walks.text_parts(r, o or []) for r, o in pairs], pa.string())
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
-    return rows.mapInArrow(run, f"{schema}, `{out}` string").withColumn(out, scalars.truncate_words(F.col(out), most))
+    # only these two columns go through Python, not the whole document
+    found = F.arrow_udf(texts, "string")(F.col(resource), F.col(offers))
+    return rows.withColumn(out, found).withColumn(out, scalars.truncate_words(F.col(out), most))

@@ -223,3 +223,19 @@ def test_no_like_vector_is_cut_before_ties_are_decided(spark):
     tables = discover.Tables(items, places, None, posted, 1, 1.0, vectors, 0.72)
     hits = discover.discover_hits(intents, tables, F.lit("2020-01-01").cast("timestamp"), limit=1)
     assert [r["id"] for r in hits.collect()] == ["r19"]
+
+
+def test_documents_read_an_owner_once(spark):
+    """Members of another JSON type are null and spoil no other member; no member is looked up in the whole payload."""
+    from pyspark.sql import functions as F
+
+    from quaywise.operators import documents
+
+    one = '{"catalogs":[{"id":"c","descriptor":"text","provider":"p","isActive":"yes","offers":[{"id":"o"}],"resources":[{"id":"r","descriptor":{"name":"n","shortDesc":5,"docs":{}},"category":[],"rating":{"ratingValue":2.5,"ratingCount":"3"},"provider":"q","resourceAttributes":{"@type":"t"}}]}]}'
+    items = spark.createDataFrame([("r", "c", "t", ["N"], one), ("r", "c", "t", ["N"], '{"catalogs":[7]}')], "id string, catalog_id string, type string, network_id array<string>, payload string").withColumn("payload", F.parse_json("payload"))
+    docs = documents.search_documents(items)
+    r = docs.where("catalog_id is not null").first()
+    assert (r["catalog_id"], r["provider_id"], r["resource_name"], r["resource_rating_value"], r["attributes_type"], r["offers"]) == ("c", "p", "n", 2.5, "t", ['{"id":"o"}'])
+    assert not [c for c in ("catalog_name", "catalog_is_active", "resource_short_desc", "resource_docs", "resource_category_code", "resource_rating_count", "resource_provider_id") if r[c] is not None]
+    assert docs.where("catalog_id is null").count() == 1
+    assert "$.descriptor" not in docs._jdf.queryExecution().optimizedPlan().toString()
