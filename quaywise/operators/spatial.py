@@ -21,14 +21,20 @@ def on_paths(locations: DataFrame, targets: list[str] | None) -> DataFrame:
     return locations.where(F.col("path").isin(*targets)) if targets else locations
 
 
-def within_distance(locations: DataFrame, circles: DataFrame) -> DataFrame:
-    """``intent_id, item_id, catalog_id, distance_m``: point locations within each circle
-    (``intent_id, lon, lat, metres``), nearest location per item."""
-    points = locations.where(F.col("geometry.kind") == "Point").select(*KEYS, F.col("geometry.ring")[0]["x"].alias("x"), F.col("geometry.ring")[0]["y"].alias("y"))
+def points_within(locations: DataFrame, circles: DataFrame, *columns: str) -> DataFrame:
+    """``intent_id, item_id, catalog_id, distance_m`` and further ``columns`` of the locations: every point location within
+    each circle (``intent_id, lon, lat, metres``). Nothing is shuffled where the circles are few."""
+    points = locations.where(F.col("geometry.kind") == "Point").select(*KEYS, *columns, F.col("geometry.ring")[0]["x"].alias("x"), F.col("geometry.ring")[0]["y"].alias("y"))
     points = points.withColumn("cell", geo.cell_of(F.col("x"), F.col("y")))
     covered = circles.select("intent_id", "lon", "lat", "metres", F.explode(geo.cells_of_circle(F.col("lon"), F.col("lat"), F.col("metres"))).alias("cell"))
     near = points.join(covered, "cell").withColumn("distance_m", geo.haversine_m(F.col("lon"), F.col("lat"), F.col("x"), F.col("y")))
-    return near.where(F.col("distance_m") <= F.col("metres")).groupBy("intent_id", *KEYS).agg(F.min("distance_m").alias("distance_m"))
+    return near.where(F.col("distance_m") <= F.col("metres")).select("intent_id", *KEYS, "distance_m", *columns)
+
+
+def within_distance(locations: DataFrame, circles: DataFrame) -> DataFrame:
+    """``intent_id, item_id, catalog_id, distance_m``: point locations within each circle
+    (``intent_id, lon, lat, metres``), nearest location per item."""
+    return points_within(locations, circles).groupBy("intent_id", *KEYS).agg(F.min("distance_m").alias("distance_m"))
 
 
 def within_distance_of_lines(locations: DataFrame, lines: DataFrame) -> DataFrame:

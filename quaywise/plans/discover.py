@@ -32,8 +32,11 @@ def route_of(has_filter: Column, has_space: Column, has_text: Column) -> Column:
 
 @dataclass
 class Tables:
-    """What a discover run reads: ``items`` (with payload), ``locations``, ``offers``; of the text index ``postings`` (by
-    item id, None where there is no index) and its shape; ``vectors`` (``vec_id, id, catalog_id, vector``) if there are any."""
+    """What a discover run reads: ``items``, ``locations``, ``offers``; of the text index ``postings`` (by item id, None where
+    there is no index) and its shape; ``vectors`` (``vec_id, id, catalog_id, vector``) if there are any.
+
+    Items have a ``payload``, or ``with_payload`` adds it to those that a filter asks for. Locations may hold their item's
+    columns (struct ``item``): then what lies in a circle is not looked up among all items."""
 
     items: DataFrame
     locations: DataFrame
@@ -43,6 +46,7 @@ class Tables:
     mean_length: float
     vectors: DataFrame | None = None
     least_similarity: float = 0.72
+    with_payload: Callable[[DataFrame], DataFrame] = lambda rows: rows
 
 
 def schema_postfilter(hits: DataFrame, intents: DataFrame, items: DataFrame) -> DataFrame:
@@ -125,18 +129,20 @@ def known(expression: str) -> bool:
     return not expression or paths.path_problem(expression) is None
 
 
-def filter_hits(items: DataFrame, intents: DataFrame, expressions: list[str]) -> DataFrame:
+def filter_hits(tables: Tables, intents: DataFrame, expressions: list[str]) -> DataFrame:
     """``intent_id`` with the items that its path filter (``_e``, one of ``expressions``) keeps. Each expression is compiled
     once; one outside the language answers nothing."""
     kept = [F.when(paths.path_filter(F.col("payload"), e), F.lit(e)) for e in expressions if known(e)]
-    passed = items.withColumn("_e", F.explode(F.array_compact(F.array(*kept)) if kept else F.array().cast("array<string>")))
+    passed = tables.with_payload(tables.items).withColumn("_e", F.explode(F.array_compact(F.array(*kept)) if kept else F.array().cast("array<string>")))
     return passed.join(intents, "_e")
 
 
-def filtered_candidates(rows: DataFrame, expressions: list[str]) -> DataFrame:
+def filtered_candidates(tables: Tables, rows: DataFrame, expressions: list[str]) -> DataFrame:
     """Rows (items met by an intent) that pass their intent's own filter ``_e``, one of ``expressions``: no row is tested
-    by another intent's."""
+    by another intent's, and payloads are read only if there is some filter."""
     passes = F.lit(None).cast("boolean")
+    if any(expressions):
+        rows = tables.with_payload(rows)
     for e in expressions:
         if known(e):
             passes = F.when(F.col("_e") == F.lit(e), paths.path_filter(F.col("payload"), e) if e else F.lit(True)).otherwise(passes)
@@ -165,26 +171,37 @@ def keyword_hits(tables: Tables, intents: DataFrame) -> DataFrame:
     return hits.select(F.col("query_id").alias("intent_id"), "id", F.col("score").alias("keyword"))
 
 
-def text_candidates(tables: Tables, intents: DataFrame, near: DataFrame) -> DataFrame:
-    """``intent_id, id, catalog_id, keyword, semantic`` of text intents: those with a place rank what lies in it, the others
-    what the index finds. A hit has every term of the text, or a vector that is like the intent's. Every one that is like it
-    is a candidate: later filters and ties decide which are answered, so none may be cut before them."""
+def placed_items(tables: Tables, intents: DataFrame, carried: DataFrame, now: Column) -> DataFrame:
+    """``intent_id``, the columns of ``carried`` and of the item: items inside the circle of an intent that pass its plain filters."""
+    circles = intents.select("intent_id", "lon", "lat", "metres")
+    if "item" in tables.locations.columns:
+        inside = spatial.points_within(tables.locations, circles, "item").select("intent_id", "item.*")
+        return plain_filters(inside.join(carried, "intent_id"), now).dropDuplicates(["intent_id", "id", "catalog_id"])
+    near = spatial.within_distance(tables.locations, circles).select("intent_id", F.col("item_id").alias("id"), "catalog_id")
+    return plain_filters(tables.items.join(near, ["id", "catalog_id"]).join(carried, "intent_id"), now)
+
+
+def text_candidates(tables: Tables, intents: DataFrame, near: DataFrame) -> list[DataFrame]:
+    """Item rows with ``intent_id, keyword, semantic``, for text intents: those with a place rank what lies in it (``near``), the
+    others what the index finds. A hit has every term of the text, or a vector that is like the intent's. Every one that is
+    like it is a candidate: later filters and ties decide which are answered, so none may be cut before them."""
     words = keyword_hits(tables, intents)
     placed = near.join(intents.where("_g").select("intent_id"), "intent_id", "left_semi")
-    free = words.join(intents.where("not _g").select("intent_id"), "intent_id", "left_semi").join(tables.items.select("id", "catalog_id"), "id")
+    free = words.join(intents.where("not _g").select("intent_id"), "intent_id", "left_semi")
     inside = placed.join(words, ["intent_id", "id"], "left")
     none = F.lit(None).cast("double")
     if tables.vectors is None:
-        return inside.where("keyword is not null").unionByName(free).withColumn("semantic", none)
+        inside = inside.where("keyword is not null")
+        return [tables.items.join(inside, ["id", "catalog_id"]).withColumn("semantic", none), tables.items.join(free, "id").withColumn("semantic", none)]
     asked = query_vectors(intents)
     scored = inside.join(tables.vectors.select("id", "catalog_id", "vector"), ["id", "catalog_id"], "left").join(asked.withColumnRenamed("query_id", "intent_id"), "intent_id", "left")
     likeness = cosine_score(F.col("query"), F.col("vector"), norm(F.col("query")), norm(F.col("vector")))
     inside = scored.withColumn("semantic", F.when(likeness >= tables.least_similarity, likeness)).where("keyword is not null or semantic is not null")
     found = alike(tables.vectors, query_vectors(intents.where("not _g")), tables.least_similarity)
     found = found.select(F.col("query_id").alias("intent_id"), "id", "catalog_id", F.col("score").alias("semantic"))
-    outside = free.join(found, ["intent_id", "id", "catalog_id"], "full")
+    outside = free.join(tables.items.select("id", "catalog_id"), "id").join(found, ["intent_id", "id", "catalog_id"], "full")
     columns = ["intent_id", "id", "catalog_id", "keyword", "semantic"]
-    return inside.select(*columns).unionByName(outside.select(*columns))
+    return [tables.items.join(inside.select(*columns).unionByName(outside.select(*columns)), ["id", "catalog_id"])]
 
 
 def discover_hits(intents: DataFrame, tables: Tables, now: Column, limit: int = 100) -> DataFrame:
@@ -203,17 +220,23 @@ def discover_hits(intents: DataFrame, tables: Tables, now: Column, limit: int =
     carried = intents.select("intent_id", "_e", "network", "schema_urls", "active", "valid")
     none = F.lit(None).cast("double")
 
-    near = spatial.within_distance(tables.locations, intents.where("_g").select("intent_id", "lon", "lat", "metres"))
-    near = near.select("intent_id", F.col("item_id").alias("id"), "catalog_id")
-    placed = near.join(intents.where("_g and not _t").select("intent_id"), "intent_id", "left_semi")
-    candidates = placed.withColumns({"keyword": none, "semantic": none})
-    if tables.postings is not None:
-        candidates = candidates.unionByName(text_candidates(tables, intents.where("_t"), near))
-    met = plain_filters(tables.items.join(candidates, ["id", "catalog_id"]).join(carried, "intent_id"), now)
-
-    every = plain_filters_of_blocks(tables, intents.where("not _g and not _t").join(carried.select("intent_id"), "intent_id", "left_semi"), now)
-    narrowed = [filtered_candidates(met, block) for block in expression_blocks(intents.where("_g or _t"))]
-    rows = reduce(DataFrame.unionByName, [r.select(*met.columns) for r in [*narrowed, *every]]) if narrowed or every else met.where(F.lit(False))
+    asked = intents.agg(*(F.coalesce(F.max(c), F.lit(False)) for c in (F.col("_g") & ~F.col("_t"), F.col("_t"), ~F.col("_g") & ~F.col("_t")))).first()
+    met, every = [], []
+    if asked[0]:
+        placed = placed_items(tables, intents.where("_g and not _t"), carried, now)
+        met.append(placed.withColumns({"keyword": none, "semantic": none}))
+    if asked[1] and tables.postings is not None:
+        near = spatial.within_distance(tables.locations, intents.where("_g and _t").select("intent_id", "lon", "lat", "metres"))
+        near = near.select("intent_id", F.col("item_id").alias("id"), "catalog_id")
+        met += [plain_filters(rows.join(carried, "intent_id"), now) for rows in text_candidates(tables, intents.where("_t"), near)]
+    if asked[2]:
+        every = plain_filters_of_blocks(tables, intents.where("not _g and not _t"), now)
+    columns = ["intent_id", *(c for c in tables.items.columns if c != "payload"), "keyword", "semantic"]
+    blocks = list(expression_blocks(intents.where("_g or _t"))) if met else []
+    narrowed = [filtered_candidates(tables, rows, block) for rows in met for block in blocks]
+    if not narrowed and not every:
+        every = [tables.items.join(carried, F.lit(False)).withColumns({"keyword": none, "semantic": none})]
+    rows = reduce(DataFrame.unionByName, [r.select(*columns) for r in [*narrowed, *every]])
     order = [F.round("keyword", 9).desc_nulls_last(), F.round("semantic", 12).desc_nulls_last(), F.desc("updated_at"), "catalog_id", "id"]
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("intent_id").orderBy(*order))).where(F.col("rank") <= limit)
 
@@ -222,7 +245,7 @@ def plain_filters_of_blocks(tables: Tables, intents: DataFrame, now: Column) ->
     """For intents with neither place nor text: the items that pass, a plan for each block of expressions."""
     none = F.lit(None).cast("double")
     carried = intents.select("intent_id", "_e", "network", "schema_urls", "active", "valid")
-    return [plain_filters(filter_hits(tables.items, carried, block), now).withColumns({"keyword": none, "semantic": none}) for block in expression_blocks(intents)]
+    return [plain_filters(filter_hits(tables, carried, block), now).withColumns({"keyword": none, "semantic": none}) for block in expression_blocks(intents)]
 
 
 def discover(intents: DataFrame, tables: Tables, now: Column, limit: int = 100, on_answer: Callable[[DataFrame], DataFrame] = respond.discard_without_offers) -> DataFrame:

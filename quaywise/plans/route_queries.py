@@ -38,13 +38,13 @@ def _intents(spark: SparkSession, d: str, expression: bool, place: bool, words:
 
 
 def _tables(spark: SparkSession, d: str, vectors: bool) -> discover.Tables:
-    items = derived.stored_items(spark, d)
+    items = derived.plain_items(spark, d)
     parts = table(spark, d, "part").select(F.concat(F.lit("res-"), "p_partkey").alias("id"), "p_name")
     shape = parts.agg(F.count("*").alias("n"), F.avg(F.size(text.analyse(F.col("p_name")))).alias("mean")).first()
     own = F.array(F.col("size").cast("double"), (F.col("l_partkey") % 7 + 1).cast("double"), (F.col("l_suppkey") % 5 + 1).cast("double"))
     held = items.select((F.col("l_partkey") * 1_000_000 + F.col("l_suppkey")).alias("vec_id"), "id", "catalog_id", own.alias("vector"))
     posted = text.postings(parts, "id", "p_name")
-    return discover.Tables(items, derived.locations(items), derived.offers(spark, d), posted, shape["n"], shape["mean"], held if vectors else None, LEAST)
+    return discover.Tables(items, derived.locations(items, with_item=True), derived.offers(spark, d), posted, shape["n"], shape["mean"], held if vectors else None, LEAST, derived.with_payload)
 
 
 def _hits(spark: SparkSession, d: str, expression: bool = False, place: bool = False, words: bool = False, vectors: bool = False, index: bool = True) -> DataFrame:

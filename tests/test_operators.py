@@ -239,3 +239,27 @@ def test_documents_read_an_owner_once(spark):
     assert not [c for c in ("catalog_name", "catalog_is_active", "resource_short_desc", "resource_docs", "resource_category_code", "resource_rating_count", "resource_provider_id") if r[c] is not None]
     assert docs.where("catalog_id is null").count() == 1
     assert "$.descriptor" not in docs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_place_alone_reads_items_beside_their_locations(spark):
+    """Items with two points in a circle are answered once; no payload is built and all items are not looked through where
+    only a place is asked for."""
+    from pyspark.sql import functions as F
+
+    from quaywise.plans import discover
+
+    null = lambda kind: F.lit(None).cast(kind)
+    n = F.col("n")
+    item = spark.range(4).withColumnRenamed("id", "n").select(F.concat(F.lit("r"), n).alias("id"), F.lit("c").alias("catalog_id"), F.timestamp_seconds(n).alias("updated_at"), null("array<string>").alias("network_id"), null("string").alias("context_url"), null("string").alias("type"), (n != 2).alias("is_active"), null("string").alias("start_text"), null("string").alias("end_text"))
+    at = lambda x: F.struct(F.lit("Point").alias("kind"), F.array(F.struct(F.lit(x).alias("x"), F.lit(1.0).alias("y"))).alias("ring"))
+    places = item.select(F.col("id").alias("item_id"), "catalog_id", F.struct(*item.columns).alias("item"), F.explode(F.array(at(1.0), at(1.001))).alias("geometry"), F.lit("$.a").alias("path"))
+    intents = spark.createDataFrame([(1, 1.0, 1.0, 1000.0), (2, 50.0, 50.0, 1000.0)], "intent_id int, lon double, lat double, metres double")
+    for name, kind in [("expression", "string"), ("text_search", "string"), ("network", "string"), ("schema_urls", "array<string>"), ("active", "boolean"), ("valid", "boolean")]:
+        intents = intents.withColumn(name, null(kind))
+
+    def payload(rows):
+        raise AssertionError("no filter asks for payloads")
+
+    tables = discover.Tables(item, places, None, None, 1, 1.0, with_payload=payload)
+    hits = discover.discover_hits(intents, tables, F.lit("2020-01-01").cast("timestamp"))
+    assert sorted((r["intent_id"], r["id"], r["rank"]) for r in hits.collect()) == [(1, "r0", 3), (1, "r1", 2), (1, "r3", 1)]
