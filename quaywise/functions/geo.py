@@ -75,6 +75,12 @@ def cells_of_box(b: Column, cell: float = CELL) -> Column:
     return F.flatten(F.transform(span(b["x1"], b["x2"]), lambda x: F.transform(span(b["y1"], b["y2"]), lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
 
 
+def first_shared_cell(a: Column, b: Column, cell: float = CELL) -> Column:
+    """The one cell at which two boxes that meet count as met: both cover the smallest corner of what they share."""
+    at = lambda n: F.floor(F.greatest(a[n], b[n]) / cell).cast("int")
+    return F.struct(at("x1").alias("cx"), at("y1").alias("cy"))
+
+
 def segment_m(lon: Column, lat: Column, a: Column, b: Column) -> Column:
     """Metres from a point to the stretch from ``a`` to ``b`` (``struct<x, y>``), in the plane that touches the sphere
     at the point: exact enough for stretches of some degrees around it."""

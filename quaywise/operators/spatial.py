@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaywise.functions import geo, shapes
+from quaywise.operators.text import sent_if_small
 
 KEYS = ["item_id", "catalog_id"]
 #: What the index side supports; other relations are skipped there.
@@ -61,41 +63,63 @@ def areas_within_distance(locations: DataFrame, circles: DataFrame) -> DataFrame
     return near.where(F.col("distance_m") <= F.col("metres")).groupBy("intent_id", *KEYS).agg(F.min("distance_m").alias("distance_m"))
 
 
-def refine(pairs: DataFrame, relation: str) -> DataFrame:
-    """Pairs (``intent_id, item_id, catalog_id, stored, ring``) whose shapes are in the relation, by Arrow batch."""
-    test = shapes.RELATIONS[relation]
+def refine(pairs: DataFrame, relations: list[str]) -> DataFrame:
+    """Pairs (``intent_id, item_id, catalog_id, stored, ring``) without their shapes, with ``held``: the relations that they are in,
+    by Arrow batch."""
+    tests = [shapes.RELATIONS[r] for r in relations]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            held = []
             for stored, ring in zip(batch.column("stored"), batch.column("ring"), strict=True):
                 r, s = (np.stack([v.values.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")], 1) for v in (stored, ring))
-                keep.append(test(r, s))
-            yield batch.filter(pa.array(keep, pa.bool_()))
+                held.append([name for name, test in zip(relations, tests, strict=True) if test(r, s)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(held, pa.list_(pa.string()))], names=[*names, "held"])
 
-    return pairs.mapInArrow(run, pairs.schema)
+    names = ["intent_id", *KEYS]
+    kinds = dict(pairs.dtypes)
+    return pairs.select(*names, "stored", "ring").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names) + ", held array<string>")
 
 
-def related(locations: DataFrame, queries: DataFrame, relation: str, blocks: int | None = None) -> DataFrame:
-    """``intent_id, item_id, catalog_id`` with some location in the relation to the intent's ring (``intent_id,
-    ring``). Shapes meet by grid cell and bounds, and what meets is tested exactly.
+def related(locations: DataFrame, queries: DataFrame, relation: str) -> DataFrame:
+    """``intent_id, item_id, catalog_id`` with some location in the relation to the intent's ring (``intent_id, ring``)."""
+    return related_by(locations, queries, [relation]).drop("relation")
 
-    Disjoint holds if *some* location is disjoint. Nearly every pair is, so there the intents, a stated query
-    set, meet all locations block by block; bounds decide all pairs but those that meet.
+
+def related_by(locations: DataFrame, queries: DataFrame, relations: list[str]) -> DataFrame:
+    """``relation, intent_id, item_id, catalog_id`` for each of ``relations`` that some location is in to the intent's ring
+    (``intent_id, ring``). Shapes meet by grid cell and bounds, each pair in one cell only, and what meets is tested exactly.
+
+    Disjoint holds if *some* location is disjoint. Nearly every pair is, so there the intents, a stated query set, meet the
+    items, not their locations, and those are left out that all of an item's locations meet: no pair is shuffled.
     """
-    blocks = blocks or max(16, int(locations.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    stored = locations.select(*KEYS, "path", "seq", F.col("geometry.ring").alias("stored")).withColumn("sb", geo.box(F.col("stored")))
+    stored = locations.select(*KEYS, F.col("geometry.ring").alias("stored")).withColumn("sb", geo.box(F.col("stored")))
     asked = queries.select("intent_id", "ring").withColumn("qb", geo.box(F.col("ring")))
-    meet = geo.boxes_meet(F.col("sb"), F.col("qb"))
-    keys, cols = ["intent_id", *KEYS], ["intent_id", *KEYS, "stored", "ring"]
-    if relation == "s_disjoint":
-        dealt = stored.withColumn("block", F.pmod(F.xxhash64(*KEYS, "path", "seq"), F.lit(blocks)))
-        pairs = dealt.join(asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))), "block")
-        return pairs.where(~meet).select(*keys).unionByName(refine(pairs.where(meet).select(*cols), relation).select(*keys)).distinct()
     left = stored.withColumn("cell", F.explode(geo.cells_of_box(F.col("sb"))))
     right = asked.withColumn("cell", F.explode(geo.cells_of_box(F.col("qb"))))
-    pairs = left.join(right, "cell").where(meet).dropDuplicates(["intent_id", *KEYS, "path", "seq"])
-    return refine(pairs.select(*cols), relation).select(*keys).distinct()
+    once = geo.boxes_meet(F.col("sb"), F.col("qb")) & (F.col("cell") == geo.first_shared_cell(F.col("sb"), F.col("qb")))
+    pairs = left.join(right, "cell").where(once).select("intent_id", *KEYS, "stored", "ring")
+    met = [r for r in relations if r != "s_disjoint"]
+    found = []
+    if met:
+        held = refine(pairs, met).select(F.explode("held").alias("relation"), "intent_id", *KEYS)
+        found.append(held.distinct())
+    if "s_disjoint" in relations:
+        found.append(_some_apart(stored, asked, refine(pairs, ["s_disjoint"]).where(F.size("held") == 0)))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _some_apart(stored: DataFrame, asked: DataFrame, meeting: DataFrame) -> DataFrame:
+    """Items and intents with some pair of shapes that is not among the pairs ``meeting``."""
+    bounded = lambda c: geo.boxes_meet(F.col(c), F.col(c))  # noqa: E731  null for a shape without bounds
+    items = stored.where(bounded("sb")).groupBy(*KEYS).agg(F.count("*").alias("n"))
+    intents = asked.where(bounded("qb")).groupBy("intent_id").agg(F.count("*").alias("rings"))
+    touching = meeting.groupBy("intent_id", *KEYS).agg(F.count("*").alias("pairs"))
+    touching = touching.groupBy(*(F.col(k).alias(f"_{k}") for k in KEYS)).agg(F.collect_list(F.struct("intent_id", "pairs")).alias("met"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEYS))
+    every = items.join(touching, same, "left").crossJoin(sent_if_small(intents))
+    all_meet = F.exists("met", lambda m: m["intent_id"].eqNullSafe(F.col("intent_id")) & (m["pairs"] >= F.col("n") * F.col("rings")))
+    return every.where(~F.coalesce(all_meet, F.lit(False))).select(F.lit("s_disjoint").alias("relation"), "intent_id", *KEYS)
 
 
 def index_spatial(locations: DataFrame, constraint: dict, intents: DataFrame) -> DataFrame | None:
