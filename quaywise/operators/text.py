@@ -75,9 +75,13 @@ def stemmed(rows: DataFrame, term: str = "term") -> DataFrame:
 MOST_SENT = 200_000
 
 
+def is_small(df: DataFrame, most: int = MOST_SENT) -> bool:
+    return df.limit(most + 1).count() <= most
+
+
 def sent_if_small(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
     """``df``, marked for broadcast if it has no more than ``most`` rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if is_small(df, most) else df
 
 
 def bm25(posted: DataFrame, key: str, query_terms: DataFrame, n_docs: int, mean_length: float) -> DataFrame:
@@ -90,16 +94,20 @@ def bm25_of_variants(posted: DataFrame, key: str, variants: DataFrame, n_docs: i
     """``query_id, key, score, matched`` for query terms that stand in the postings as ``variant`` (``query_id, term, variant,
     factor``): a term counts with its best variant in a document.
 
-    Postings meet the query side, which is sent to them where it is small: they are read, but not shuffled by term, and
-    document frequencies are counted before anything moves.
+    Document frequencies are counted before anything moves. A small query side is sent to the postings: those that it asks for
+    are shuffled by document, once, and a document's scores are summed where its postings are, so that of the pairs of
+    queries and documents none is shuffled for its sum.
     """
     asked = sent_if_small(variants.select(F.col("variant").alias("term")).distinct())
-    frequency = posted.join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    held = posted.join(asked, "term", "left_semi")
+    frequency = held.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     found = variants.join(frequency.withColumnRenamed("term", "variant"), "variant")
-    weighted = sent_if_small(found.select("query_id", F.col("term").alias("_of"), F.col("variant").alias("term"), (idf * F.col("factor")).alias("_idf")))
+    weighted = found.select("query_id", F.col("term").alias("_of"), F.col("variant").alias("term"), (idf * F.col("factor")).alias("_idf"))
+    if is_small(weighted):
+        weighted, held = F.broadcast(weighted), held.repartition(key)
     gain = F.col("_idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(mean_length))))
-    scored = posted.join(weighted, "term").withColumn("w", gain)
+    scored = held.join(weighted, "term").withColumn("w", gain)
     if not one_each:
         scored = scored.groupBy("query_id", key, "_of").agg(F.max("w").alias("w"))
     return scored.groupBy("query_id", key).agg(F.sum("w").alias("score"), F.count("*").alias("matched"))
@@ -119,11 +127,12 @@ def best_fields(scores: list[Column], boosts: list[float], tie: float = 0.3) ->
 
 
 def relative_cutoff(hits: DataFrame, share: float = 0.6, by: str = "query_id", score: str = "score") -> DataFrame:
-    """Hits that reach a share of their query's best score; 0 keeps all."""
+    """Hits that reach a share of their query's best score; 0 keeps all. The best scores, a row for each query of a stated set,
+    are sent to the hits: these are neither shuffled nor sorted by query."""
     if share <= 0:
         return hits
-    top = F.max(score).over(Window.partitionBy(by))
-    return hits.withColumn("_top", top).where(F.col(score) >= share * F.col("_top")).drop("_top")
+    top = F.broadcast(hits.groupBy(F.col(by).alias("_by")).agg(F.max(score).alias("_top")))
+    return hits.join(top, F.col(by).eqNullSafe(F.col("_by"))).where(F.col(score) >= share * F.col("_top")).drop("_by", "_top")
 
 
 def ranked(hits: DataFrame, by: str, key: str, score: str = "score") -> DataFrame:
