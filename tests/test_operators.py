@@ -263,3 +263,52 @@ def test_place_alone_reads_items_beside_their_locations(spark):
     tables = discover.Tables(item, places, None, None, 1, 1.0, with_payload=payload)
     hits = discover.discover_hits(intents, tables, F.lit("2020-01-01").cast("timestamp"))
     assert sorted((r["intent_id"], r["id"], r["rank"]) for r in hits.collect()) == [(1, "r0", 3), (1, "r1", 2), (1, "r3", 1)]
+
+
+def test_scores_are_summed_where_postings_are(spark):
+    """Pairs of queries and documents are not shuffled for their sums, nor sorted by query for a relative cut."""
+    import re
+
+    posted = spark.createDataFrame([("a", 1, 2, 1), ("b", 1, 2, 1), ("a", 2, 1, 1), ("c", 3, 1, 1)], "term string, doc_id int, length int, tf long")
+    asked = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "a")], "query_id int, term string")
+    scored = text.bm25(posted, "doc_id", asked, 3, 4 / 3)
+    plan_text = scored._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(query_id#\d+, doc_id", plan_text)
+    kept = text.relative_cutoff(scored, 0.9)
+    assert "Window" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["query_id"], r["doc_id"]) for r in kept.collect()} == {(1, 1), (2, 3), (None, 2)}
+
+
+def test_relations_of_items_with_several_shapes(spark):
+    """Two shapes under one path and number are both judged; an item is disjoint unless all its shapes meet the ring."""
+    square = lambda x, y, h: [(x - h, y - h), (x + h, y - h), (x + h, y + h), (x - h, y + h), (x - h, y - h)]
+    corner = [(1.0, 1.0), (3.0, 1.0), (3.0, 3.0), (1.0, 1.0)]  # its bounds meet a square at its empty corner
+    rows = [("two", "c", "$.a", 0, ("Polygon", square(1.4, 2.8, 0.1))), ("two", "c", "$.a", 0, ("Polygon", square(2.5, 1.5, 0.2))), ("in", "c", "$.a", 0, ("Polygon", square(2.5, 1.5, 0.2))), ("in", "c", "$.a", 1, ("Polygon", square(2.6, 1.4, 0.2))), ("far", None, "$.a", 0, ("Polygon", square(50.0, 1.5, 0.2)))]
+    loc = spark.createDataFrame(rows, "item_id string, catalog_id string, path string, seq short, geometry struct<kind:string,ring:array<struct<x:double,y:double>>>")
+    asked = spark.createDataFrame([(1, corner)], "intent_id int, ring array<struct<x:double,y:double>>")
+    found = spatial.related_by(loc, asked, ["s_intersects", "s_disjoint"])
+    got = sorted((r["relation"], r["item_id"]) for r in found.collect())
+    assert got == [("s_disjoint", "far"), ("s_disjoint", "two"), ("s_intersects", "in"), ("s_intersects", "two")]
+
+
+def test_nearest_vectors_of_many_copies(spark):
+    """Blocks of vectors meet blocks of queries; copies tie by id, rows of another label or without a length take no part."""
+    import random
+
+    from quaywise.operators import vectors
+
+    r = random.Random(1)
+    base = [[r.gauss(0, 1) for _ in range(7)] for _ in range(40)]
+    rows = [(n, base[n % 40], n % 3 if n % 50 else None) for n in range(600)] + [(900, [0.0] * 7, 1), (901, None, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<float>, label int")
+    asked = df.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), "label")
+    plain = df.where("vec_id < 900").join(asked.where("query_id < 900"), "label").select("query_id", "vec_id", vectors.cosine_score(F.col("query"), F.col("vector"), vectors.norm(F.col("query")), vectors.norm(F.col("vector"))).alias("score")).where("score is not null")
+    want = {}
+    for q, v, s in plain.collect():
+        want.setdefault(q, []).append((-s, v))
+    found = vectors.knn(df, asked, 5, same="label", blocks=3)
+    got = {}
+    for x in sorted(found.collect(), key=lambda x: (x["query_id"], x["rank"])):
+        got.setdefault(x["query_id"], []).append((-x["score"], x["vec_id"]))
+    assert got == {q: sorted(x)[:5] for q, x in want.items()}
+    assert "CoGroups" in found._jdf.queryExecution().optimizedPlan().toString()
