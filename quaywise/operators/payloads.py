@@ -32,11 +32,12 @@ def denormalise(resources: DataFrame) -> DataFrame:
     return resources.withColumn("payload", F.to_variant_object(whole))
 
 
-def _members(payload: Column, name: str) -> Column:
-    """All elements of a list member of the payload's catalogues."""
-    none = F.array().cast(LIST)
-    catalogs = F.coalesce(F.try_variant_get(payload, "$.catalogs", LIST), none)
-    return F.flatten(F.transform(catalogs, lambda c: F.coalesce(F.try_variant_get(c, f"$.{name}", LIST), none)))
+def _members(payload: Column, name: str, kind: str = "variant") -> Column:
+    """All elements of a list member of the payload's catalogues, read in one step: nothing beside them is copied."""
+    none = F.array().cast(f"array<{kind}>")
+    catalogs = F.try_variant_get(payload, "$.catalogs", f"array<struct<{name}:array<{kind}>>>")
+    lists = F.transform(catalogs, lambda c: F.coalesce(c[name], none))
+    return F.coalesce(F.flatten(lists), none)
 
 
 def extract_resource(payload: Column, item_id: Column) -> Column:
@@ -46,7 +47,7 @@ def extract_resource(payload: Column, item_id: Column) -> Column:
 
 def offer_ids(payload: Column) -> Column:
     """Ids of the payload's offers, in order; offers without one are passed over."""
-    return F.array_compact(F.transform(_members(payload, "offers"), lambda o: F.try_variant_get(o, "$.id", "string")))
+    return F.array_compact(F.transform(_members(payload, "offers", "struct<id:string>"), lambda o: o["id"]))
 
 
 def _context(value: Column, path: str) -> Column:
@@ -55,9 +56,10 @@ def _context(value: Column, path: str) -> Column:
     return _filled(F.coalesce(first, F.try_variant_get(value, path, "string")))
 
 
-def context_url(resource: Column, catalog: Column) -> Column:
-    """The context of the resource's attributes, else of the resource, else of the catalogue."""
-    return F.coalesce(_context(resource, "$.resourceAttributes['@context']"), _context(resource, "$['@context']"), _context(catalog, "$['@context']"))
+def context_url(resource: Column, catalog: Column, at: str = "$") -> Column:
+    """The context of the resource's attributes, else of the resource, else of the catalogue, which stands ``at`` a path of the
+    value given for it."""
+    return F.coalesce(_context(resource, "$.resourceAttributes['@context']"), _context(resource, "$['@context']"), _context(catalog, f"{at}['@context']"))
 
 
 def schema_type(schema_context: Column, resources: Column) -> Column:

@@ -312,3 +312,14 @@ def test_nearest_vectors_of_many_copies(spark):
         got.setdefault(x["query_id"], []).append((-x["score"], x["vec_id"]))
     assert got == {q: sorted(x)[:5] for q, x in want.items()}
     assert "CoGroups" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_payload_members_of_other_types(spark):
+    """Members of another type spoil no other member; a catalogue's context is read where it stands, offers by their ids alone."""
+    from quaywise.operators import payloads
+
+    one = '{"catalogs":[{"@context":"u","resources":{"id":"r"},"offers":[{"id":"a"},5,{"id":7},null]},7,{"resources":[5,{"id":"r","n":1}],"offers":{"id":"z"}}]}'
+    df = spark.createDataFrame([(1, one), (2, '{"catalogs":5}')], "n int, t string").select("n", F.parse_json("t").alias("p"))
+    r = payloads.extract_resource(F.col("p"), F.lit("r"))
+    got = df.select("n", F.try_variant_get(r, "$.n", "int").alias("m"), payloads.offer_ids(F.col("p")).alias("o"), payloads.context_url(r, F.col("p"), "$.catalogs[0]").alias("c"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, ["a", "7"], "u"), (2, None, [], None)]
