@@ -14,9 +14,11 @@ DEEPEST = 32
 KEYS = ("geo", "gps", "polygon")
 
 
-def _point(x, y) -> list | None:
-    ok = all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in (x, y))
-    return [{"x": float(x), "y": float(y)}] if ok and -180 <= x <= 180 and -90 <= y <= 90 else None
+NUMBERS = (int, float)  # of a value read from JSON: a truth value is none
+
+
+def _position(x, y) -> bool:
+    return type(x) in NUMBERS and type(y) in NUMBERS and -180 <= x <= 180 and -90 <= y <= 90
 
 
 def _geojson(value) -> tuple[str, list] | None:
@@ -25,8 +27,7 @@ def _geojson(value) -> tuple[str, list] | None:
         return None
     at = value.get("coordinates")
     if value.get("type") == "Point" and isinstance(at, list) and len(at) >= 2:
-        ring = _point(*at[:2])
-        return ("Point", ring) if ring else None
+        return ("Point", [(float(at[0]), float(at[1]))]) if _position(at[0], at[1]) else None
     if value.get("type") == "Polygon" and isinstance(at, list) and at:
         return _ring(at[0])
     return None
@@ -35,8 +36,12 @@ def _geojson(value) -> tuple[str, list] | None:
 def _ring(at) -> tuple[str, list] | None:
     if not isinstance(at, list) or len(at) < 4:
         return None
-    ring = [_point(*p[:2]) if isinstance(p, list) and len(p) >= 2 else None for p in at]
-    return ("Polygon", [p[0] for p in ring]) if all(ring) else None
+    ring = []
+    for p in at:
+        if type(p) is not list or len(p) < 2 or not _position(p[0], p[1]):
+            return None
+        ring.append((float(p[0]), float(p[1])))
+    return "Polygon", ring
 
 
 def _gps(value) -> tuple[str, list] | None:
@@ -46,28 +51,36 @@ def _gps(value) -> tuple[str, list] | None:
         lat, lon = map(float, value.split(","))
     except ValueError:
         return None
-    ring = _point(lon, lat)
-    return ("Point", ring) if ring else None
+    return ("Point", [(lon, lat)]) if _position(lon, lat) else None
 
 
 #: Geometry readers by member name.
 PARSERS: dict[str, Callable] = {"geo": _geojson, "gps": _gps, "polygon": _ring}
 
 
-def geometries(value, path: str = "$", depth: int = 0) -> Iterator[tuple[str, str, list]]:
+def geometries(value) -> list[tuple[str, str, list]]:
     """(path with ``[*]`` for lists, kind, ring) depth first, in document order."""
+    found: list[tuple[str, str, list]] = []
+    _add_geometries(value, "$", 0, found)
+    return found
+
+
+def _add_geometries(value, path: str, depth: int, found: list) -> None:
     if depth > DEEPEST:
         return
-    if isinstance(value, dict):
+    if type(value) is dict:
         for k, v in value.items():
-            found = PARSERS[k](v) if k in PARSERS else None
-            if found:
-                yield f"{path}.{k}", *found
-            elif k not in PARSERS:
-                yield from geometries(v, f"{path}.{k}", depth + 1)
-    elif isinstance(value, list):
+            if k in PARSERS:
+                shape = PARSERS[k](v)
+                if shape:
+                    found.append((f"{path}.{k}", *shape))
+            elif type(v) is dict or type(v) is list:
+                _add_geometries(v, f"{path}.{k}", depth + 1, found)
+    elif type(value) is list:
+        path += "[*]"
         for v in value:
-            yield from geometries(v, f"{path}[*]", depth + 1)
+            if type(v) is dict or type(v) is list:
+                _add_geometries(v, path, depth + 1, found)
 
 
 def geo_objects(value, path: str = "$", depth: int = 0) -> Iterator[tuple[str, str]]:
@@ -152,17 +165,30 @@ def _at(value, path: tuple[str, ...]):
 
 def extract_geometries(items: DataFrame, keys: list[str], payload: Column) -> DataFrame:
     """``keys, path, pos, geometry``: one row per geometry in the payload."""
-    kind = pa.list_(pa.struct([("path", pa.string()), ("pos", pa.int32()), ("kind", pa.string()), ("ring", pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))]))
+    xy = pa.struct([("x", pa.float64()), ("y", pa.float64())])
     source = items.select(*keys, F.to_json(payload).alias("_p"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[{"path": p, "pos": n, "kind": k, "ring": r} for n, (p, k, r) in enumerate(geometries(_loaded(t)))] for t in batch.column("_p").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, kind)], names=[*keys, "_g"])
+            # columns are filled flat: a batch holds no object for each shape and corner
+            rows, paths, places, kinds, ends, xs, ys = [], [], [], [], [0], [], []
+            for row, text in enumerate(batch.column(len(keys)).to_pylist()):
+                for n, (path, kind, ring) in enumerate(geometries(_loaded(text))):
+                    rows.append(row)
+                    paths.append(path)
+                    places.append(n)
+                    kinds.append(kind)
+                    for x, y in ring:
+                        xs.append(x)
+                        ys.append(y)
+                    ends.append(len(xs))
+            corners = pa.StructArray.from_arrays([pa.array(xs, pa.float64()), pa.array(ys, pa.float64())], fields=list(xy))
+            shape = pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), corners)], names=["kind", "ring"])
+            own = batch.select(range(len(keys))).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(paths, pa.string()), pa.array(places, pa.int32()), shape], names=[*keys, "path", "pos", "geometry"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in source.select(*keys).dtypes)
-    rows = source.mapInArrow(run, f"{schema}, _g array<struct<path:string,pos:int,kind:string,ring:array<struct<x:double,y:double>>>>")
-    return rows.select(*keys, F.explode("_g").alias("_g")).select(*keys, "_g.path", "_g.pos", F.struct("_g.kind", "_g.ring").alias("geometry"))
+    return source.mapInArrow(run, f"{schema}, path string, pos int, geometry struct<kind:string,ring:array<struct<x:double,y:double>>>")
 
 
 def extract_geo_objects(items: DataFrame, keys: list[str], payload: Column) -> DataFrame:

@@ -85,3 +85,13 @@ def test_payload_patches_merge_in_one_pass(spark, data):
 
     plan = QUERIES["payload_patches"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_geometries_leave_python_as_rows(spark):
+    """Shapes come out of the walk one a row, not as a list of each payload that is exploded afterwards."""
+    texts = ['{"a":[{"gps":"5,60"},[{"geo":{"type":"Point","coordinates":[true,1]}}],{"polygon":[[0,0],[1,0],[1,1],[0,0]]}]}', '{"gps":"91,0"}', None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", F.try_parse_json("t").alias("p"))
+    found = walks.extract_geometries(df, ["id"], F.col("p"))
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    got = [(r["id"], r["path"], r["pos"], r["geometry"]["kind"], len(r["geometry"]["ring"])) for r in found.orderBy("id", "pos").collect()]
+    assert got == [(0, "$.a[*].gps", 0, "Point", 1), (0, "$.a[*].polygon", 1, "Polygon", 4)]
