@@ -91,13 +91,18 @@ def publish_merge(existing: DataFrame, incoming: DataFrame, restated: DataFrame)
     ``existing``/``incoming``: ``catalog_id, id, version, offer_ids``; ``restated``: ``catalog_id, offer_id`` of
     the message's offers. Stored offers of a replaced row stay unless the message restates them.
     """
-    none = F.array().cast("array<string>")
-    held = existing.join(incoming.select(*KEYS), KEYS, "left_semi").select(*KEYS, F.posexplode("offer_ids").alias("pos", "offer_id"))
-    held = held.join(restated.select("catalog_id", "offer_id").distinct(), ["catalog_id", "offer_id"], "left_anti")
-    stored = held.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("pos", "offer_id"))).alias("stored"))
-    more = F.coalesce(F.transform("stored", lambda x: x["offer_id"]), none)
-    new = incoming.join(stored, KEYS, "left").withColumn("offer_ids", F.array_union("offer_ids", more)).select(*incoming.columns)
-    return existing.join(incoming.select(*KEYS), KEYS, "left_anti").unionByName(new)
+    none, columns = F.array().cast("array<string>"), existing.columns
+    # only offers that the message restates are looked up one by one
+    held = existing.join(incoming.select(*KEYS), KEYS, "left_semi").select(*KEYS, F.explode("offer_ids").alias("offer_id"))
+    gone = held.join(restated.select("catalog_id", "offer_id"), ["catalog_id", "offer_id"], "left_semi").groupBy(*KEYS).agg(F.collect_set("offer_id").alias("_gone"))
+    # stored and incoming rows meet once; the stored rows of a key, one unless it is repeated, come as a list
+    rows = existing.groupBy(*KEYS).agg(F.collect_list(F.struct(*columns)).alias("_old")).join(gone, KEYS, "left")
+    both = rows.join(incoming.select(*KEYS, F.struct(*columns).alias("_new")), KEYS, "full")
+    placed = F.transform("_old", lambda row: F.transform(F.coalesce(row["offer_ids"], none), lambda x, pos: F.struct(pos.alias("pos"), x.alias("offer_id"))))
+    stored = F.transform(F.array_sort(F.flatten(placed)), lambda x: x["offer_id"])
+    more = F.coalesce(F.array_except(stored, F.coalesce("_gone", none)), none)
+    merged = F.struct(*(F.array_union("_new.offer_ids", more).alias(c) if c == "offer_ids" else F.col("_new")[c].alias(c) for c in columns))
+    return both.select(F.inline(F.when(F.col("_new").isNotNull(), F.array(merged)).otherwise(F.col("_old"))))
 
 
 def publish_full(existing: DataFrame, incoming: DataFrame, full: DataFrame) -> DataFrame:
