@@ -22,13 +22,13 @@ def metadata_slice(catalog: Column) -> Column:
 
 def denormalise(resources: DataFrame) -> DataFrame:
     """``payload``: one catalogue with its own members, this ``resource`` and its ``offers`` (an array of variants),
-    for rows that carry ``catalog``, ``resource`` and ``offers``."""
+    for rows that carry ``catalog`` (a variant, or its members as a map), ``resource`` and ``offers``."""
     own = F.map_filter(F.col("catalog").cast("map<string,variant>"), lambda k, v: ~k.isin("resources", "items", "offers"))
     lists = F.create_map(
         F.lit("resources"), F.to_variant_object(F.array("resource")),
         F.lit("offers"), F.to_variant_object(F.coalesce("offers", F.array().cast(LIST))),
     )
-    whole = F.struct(F.array(F.to_variant_object(F.map_concat(own, lists))).alias("catalogs"))
+    whole = F.struct(F.array(F.map_concat(own, lists)).alias("catalogs"))  # turned into a variant in one step
     return resources.withColumn("payload", F.to_variant_object(whole))
 
 

@@ -5,7 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from quaywise.operators import audit, dispatch, filters, publish, respond, spatial, text
+from quaywise.operators import audit, dispatch, filters, payloads, publish, respond, spatial, text
 from quaywise.plans import discover as plan
 from quaywise.sources import derived
 
@@ -346,3 +346,14 @@ def test_offers_of_matches_build_payloads_where_asked(spark, data):
     from quaywise.plans.catalogue_queries import QUERIES
 
     assert " AS payload#" not in _optimized(QUERIES["offers_of_matches"](spark, data))
+
+
+def test_denormalise_in_one_step(spark):
+    """A payload becomes a variant in one step, from a catalogue or its members."""
+    v = F.parse_json(F.lit('{"id":"c","resources":[{"id":"x"}],"offers":[],"isActive":true}'))
+    rows = spark.range(1).select(v.alias("catalog"), F.parse_json(F.lit('{"id":"r"}')).alias("resource"), F.array(F.parse_json(F.lit('{"id":"o"}'))).alias("offers"))
+    by_map = rows.withColumn("catalog", F.col("catalog").cast("map<string,variant>"))
+    plain, mapped = (payloads.denormalise(r).select(F.to_json("payload").alias("p")) for r in (rows, by_map))
+    assert plain.first() == mapped.first() and plain.first()["p"] == '{"catalogs":[{"id":"c","isActive":true,"offers":[{"id":"o"}],"resources":[{"id":"r"}]}]}'
+    stored = spark.createDataFrame([("{}",)], "t string").select(F.parse_json("t").alias("catalog"), F.parse_json("t").alias("resource"), F.array(F.parse_json("t")).alias("offers"))
+    assert payloads.denormalise(stored)._jdf.queryExecution().analyzed().toString().count("to_variant_object(") == 3
