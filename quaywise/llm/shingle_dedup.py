@@ -181,14 +181,16 @@ def pairs_of_large_groups(shared: DataFrame, most: int = SMALL) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``u, v`` of set ids whose sets have a similarity of 0.8 or more, counted exactly."""
-    likely = written(enough_shared(pairs, sets), "likely")
+    # prefixes are long: those of sets that no pair names stay where they are, as long as the names can be sent to them
+    named = written(pairs.select(F.explode(F.array("u", "v")).alias("set_id")).distinct(), "named")
+    likely = written(enough_shared(pairs, sets.join(named, "set_id", "left_semi")), "likely")
     asked = likely.select(F.explode(F.array("u", "v")).alias("set_id")).distinct()
     one = written(sets.select("set_id", "a", "b").join(asked, "set_id"), "asked")
     grams = written(gram_lists(texts, hashed_bits(one, "a")).join(one, ["a", "b"]).select("set_id", F.col("grams").alias("g")).dropDuplicates(["set_id"]), "grams")
     left, right = (grams.select(F.col("set_id").alias(s), F.col("g").alias(f"g{s}")) for s in "uv")
     shared = F.size(F.array_intersect("gu", "gv"))
     found = written(likely.join(left, "u").join(right, "v").where(9 * shared >= 4 * (F.size("gu") + F.size("gv"))).select("u", "v"), "verified")
-    for table in (likely, one, grams):
+    for table in (named, likely, one, grams):
         removed(table)
     return found
 

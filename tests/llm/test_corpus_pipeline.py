@@ -145,3 +145,20 @@ def test_stages_on_awkward_tables(spark, data):
     assert {r["doc_id"] for r in corpus_pipeline.pack(spark, docs, data).collect()} == {i for i, _ in rows}
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), data).count() == 0
+
+
+def test_prefixes_of_unnamed_sets_are_not_compared(spark, monkeypatch):
+    """Only sets that a pair names reach the comparison of prefixes."""
+    from quaywise.llm import shingle_dedup
+
+    seen = []
+    real = shingle_dedup.enough_shared
+    monkeypatch.setattr(shingle_dedup, "enough_shared", lambda pairs, sets: seen.append(sorted(r["set_id"] for r in sets.collect())) or real(pairs, sets))
+    words = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, words), (2, words + " end"), (3, "another text with enough words for a shingle or two")], "doc_id long, text string")
+    texts = shingle_dedup.keyed_texts(docs, "doc_id", "text")
+    rows = shingle_dedup.sketches(texts).cache()
+    sets = rows.select("set_id", "a", "b", "size", "lo", "hi", "keys")
+    u, v = sorted(r["set_id"] for r in rows.where("doc_id < 3").collect())
+    pairs = spark.createDataFrame([(u, v)], "u long, v long")
+    assert [tuple(r) for r in shingle_dedup.verified(pairs, sets, texts).collect()] == [(u, v)] and seen == [[u, v]]
