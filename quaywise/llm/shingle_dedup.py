@@ -13,14 +13,18 @@ settle most groups; a similarity join finds what lies beyond their radius:
   similarity, so they stand side by side, and a chain of neighbours joins a group of any size at a cost of its rows.
   First next neighbours in one order, then, among what is still apart, up to :data:`REACH` places in all three.
 * What shares a shingle and is still apart after that: in a group of at most :data:`SMALL` sets all pairs of different
-  components are compared. Larger groups are dealt into blocks of about that many sets, every block meets every other, and
+  components are compared. Larger groups are dealt into blocks of about :data:`BLOCK` sets, every block meets every other, and
   pairs go on that share enough of the prefixes, which is counted here: all they share is held by larger groups.
+* Every set has a mark: for each remainder of a shingle's hash by :data:`MARK`, whether an odd number of its shingles has it. A
+  shingle that only one of two sets holds changes one bit, so marks that differ in more bits than linked sets may differ in
+  shingles rule a pair out. Proposed pairs meet the marks first (those of larger groups while the blocks meet), so that
+  few but links are listed, and prefixes and shingles are shuffled for these only.
 * A pair must have sizes that allow 0.8, and share enough of the prefixes: of the overlap that its sizes ask for, all
   but the ``need - 1`` shingles behind the prefix of the larger set (where the prefixes end in the order decides
   whose, and the larger set's bound is the lower one). What passes is verified by counting shared shingles.
 
 So every link is exact, and none is left out: the time for a group that stays mixed grows with the square of its sets, what
-meets in one place does not. Texts are not shuffled: shingles are counted where the texts are read, for those that a filter of fixed size lets
+meets in one place does not, and listed are only links and pairs that the marks cannot tell from links. Texts are not shuffled: shingles are counted where the texts are read, for those that a filter of fixed size lets
 through.
 
 Words are lower-cased in A-Z and parted by ASCII white space, as for fingerprints. A text of fewer words is its
@@ -46,6 +50,8 @@ SEED = 42
 SAMPLE = 4096
 REACH = 3  # places between neighbours that are compared before the rest is settled
 SMALL = 128  # sets that share a shingle and are all compared with each other
+BLOCK = 512  # sets of a larger group that meet those of another block in one place
+MARK = 512  # bits of a set's mark
 
 
 def shingles(raw: bytes, n: int = 5) -> np.ndarray:
@@ -56,6 +62,12 @@ def shingles(raw: bytes, n: int = 5) -> np.ndarray:
     return np.unique(np.array([digest(g, SEED) for g in grams], np.uint64).view(np.int64))
 
 
+def mark(g: np.ndarray) -> np.ndarray:
+    """:data:`MARK` bits as signed longs: for each remainder, whether an odd number of the hashes ``g`` has it."""
+    odd = np.bincount(g.view(np.uint64) % np.uint64(MARK), minlength=MARK) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def row_key(docs: DataFrame) -> list[Column]:
     """Two hashes of a row's values and of which of them are null."""
     values = [F.col(f"`{c}`") for c in docs.columns]
@@ -88,8 +100,8 @@ def gram_lists(texts: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
 
 
 def sketches(texts: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``a, b, doc_id, fp, set_id, size, lo, hi, keys`` of every row: its fingerprint, its shingle set's hash, size,
-    smallest and largest shingle hash, and the set's prefix."""
+    """``a, b, doc_id, fp, set_id, size, lo, hi, bits, keys`` of every row: its fingerprint, its shingle set's hash, size,
+    smallest and largest shingle hash and mark, and the set's prefix."""
     every = texts.count() // sample + 1
     some = gram_lists(texts.where(F.pmod("a", F.lit(every)) == 0))
     often = some.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n")).where("n > 1").toPandas().sort_values("g")
@@ -109,16 +121,30 @@ def sketches(texts: DataFrame, sample: int = SAMPLE) -> DataFrame:
             fps = np.array([fingerprint(raw) for raw in raws], np.uint64).view(np.int64)
             ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             columns = [*batch.columns[:3], pa.array(fps), pa.array(ids), pa.array([len(s) for s in sets], pa.int32())]
-            columns += [pa.array([s[0] for s in sets]), pa.array([s[-1] for s in sets]), listed([prefix(s) for s in sets])]
-            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "doc_id", "fp", "set_id", "size", "lo", "hi", "keys"])
+            columns += [pa.array([s[0] for s in sets]), pa.array([s[-1] for s in sets]), listed([mark(s) for s in sets]), listed([prefix(s) for s in sets])]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "doc_id", "fp", "set_id", "size", "lo", "hi", "bits", "keys"])
 
-    return texts.mapInArrow(run, f"a long, b long, doc_id {dict(texts.dtypes)['doc_id']}, fp long, set_id long, size int, lo long, hi long, keys array<long>")
+    return texts.mapInArrow(run, f"a long, b long, doc_id {dict(texts.dtypes)['doc_id']}, fp long, set_id long, size int, lo long, hi long, bits array<long>, keys array<long>")
 
 
 def sizes_allow(m: Column, n: Column) -> Column:
     return 5 * F.least(m, n) >= 4 * F.greatest(m, n)
 
 
+def marks_allow(m: Column, n: Column, one: Column, other: Column) -> Column:
+    """False where sets of sizes ``m`` and ``n`` with these marks certainly do not link: linked sets differ in a ninth of
+    the sum of their sizes at most, and their marks in no more bits. True where a mark is null."""
+    bits = sum((F.bit_count(one[i].bitwiseXOR(other[i])) for i in range(MARK // 64)), F.lit(0))
+    return F.coalesce(9 * bits <= m + n, F.lit(True))
+
+
+def close_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``u, v`` of set ids whose marks allow a link."""
+    left, right = (sets.select(F.col("set_id").alias(s), F.struct("size", "bits").alias(f"s{s}")) for s in "uv")
+    allowed = marks_allow(F.col("su.size"), F.col("sv.size"), F.col("su.bits"), F.col("sv.bits"))
+    return pairs.join(left, "u").join(right, "v").where(allowed).select("u", "v")
+
+
 def enough_shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``u, v`` of set ids whose prefixes share enough."""
     left, right = (sets.select(F.col("set_id").alias(s), F.struct("size", "keys").alias(f"s{s}")) for s in "uv")
@@ -166,31 +192,42 @@ def pairs_of_small_groups(shared: DataFrame, most: int = SMALL) -> DataFrame:
     return pairs.select("u", "v").distinct()
 
 
-def pairs_of_large_groups(shared: DataFrame, most: int = SMALL) -> DataFrame:
-    """``u, v``: the pairs of different components that share enough shingles of more than ``most`` sets each. A pair that also
-    shares another is not judged here, :func:`pairs_of_small_groups` has it."""
-    blocks = shared.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key", F.ceil(F.col("n") / most).alias("n"))
+def marked(shared: DataFrame, sets: DataFrame, most: int = SMALL) -> DataFrame:
+    """The rows with the marks of their sets (``bits``) where more than ``most`` sets hold the key, else null."""
+    many = shared.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key")
+    large = shared.join(many, "key", "left_semi").join(sets.select("set_id", "bits"), "set_id")
+    return written(large.unionByName(shared.join(many, "key", "left_anti").withColumn("bits", F.lit(None).cast("array<long>"))), "marked")
+
+
+def pairs_of_large_groups(shared: DataFrame, most: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """``u, v``: the pairs of different components that share enough shingles of more than ``most`` sets each, and whose marks
+    (``bits``, if the rows have them) allow a link. A pair that also shares another shingle is not judged here,
+    :func:`pairs_of_small_groups` has it."""
+    if "bits" not in shared.columns:
+        shared = shared.withColumn("bits", F.lit(None).cast("array<long>"))
+    blocks = shared.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key", F.ceil(F.col("n") / block).alias("n"))
     dealt = shared.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("n")))
-    own = lambda s: (F.col("set_id").alias(s), F.col("root").alias(f"r{s}"), F.col("size").alias(f"z{s}"))
+    own = lambda s: (F.col("set_id").alias(s), F.col("root").alias(f"r{s}"), F.col("size").alias(f"z{s}"), F.col("bits").alias(f"b{s}"))
     left = dealt.select("key", *own("u"), F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("n") - 1)).alias("j"))
     right = dealt.select("key", *own("v"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("i"))
     apart = (F.col("ru") != F.col("rv")) & sizes_allow(F.col("zu"), F.col("zv")) & ((F.col("i") < F.col("j")) | (F.col("u") < F.col("v")))
+    apart &= marks_allow(F.col("zu"), F.col("zv"), F.col("bu"), F.col("bv"))
     met = left.join(right, ["key", "i", "j"]).where(apart).select(*ordered_pair(F.col("u"), F.col("v")), least_shared(F.col("zu"), F.col("zv")).alias("asked"))
     return met.groupBy("u", "v", "asked").agg(F.count("*").alias("n")).where("n >= asked").select("u", "v")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``u, v`` of set ids whose sets have a similarity of 0.8 or more, counted exactly."""
-    # prefixes are long: those of sets that no pair names stay where they are, as long as the names can be sent to them
-    named = written(pairs.select(F.explode(F.array("u", "v")).alias("set_id")).distinct(), "named")
-    likely = written(enough_shared(pairs, sets.join(named, "set_id", "left_semi")), "likely")
+    # prefixes are long: those of sets that no pair names are not shuffled (nor most of them, where names are very many)
+    named = hashed_bits(pairs.select("u").union(pairs.select("v")), "u")
+    likely = written(enough_shared(pairs, sets.where(may_be_in(named, F.col("set_id")))), "likely")
     asked = likely.select(F.explode(F.array("u", "v")).alias("set_id")).distinct()
     one = written(sets.select("set_id", "a", "b").join(asked, "set_id"), "asked")
-    grams = written(gram_lists(texts, hashed_bits(one, "a")).join(one, ["a", "b"]).select("set_id", F.col("grams").alias("g")).dropDuplicates(["set_id"]), "grams")
+    grams = written(gram_lists(texts, hashed_bits(one, "a")).join(one, ["a", "b"]).dropDuplicates(["a", "b"]).select("set_id", F.col("grams").alias("g")), "grams")
     left, right = (grams.select(F.col("set_id").alias(s), F.col("g").alias(f"g{s}")) for s in "uv")
     shared = F.size(F.array_intersect("gu", "gv"))
     found = written(likely.join(left, "u").join(right, "v").where(9 * shared >= 4 * (F.size("gu") + F.size("gv"))).select("u", "v"), "verified")
-    for table in (named, likely, one, grams):
+    for table in (likely, one, grams):
         removed(table)
     return found
 
@@ -227,7 +264,7 @@ def with_roots(shared: DataFrame, sets: DataFrame, links: DataFrame) -> DataFram
 def set_components(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """``u, root`` of the sets that link to another set, but for the roots."""
     links = fingerprint_groups(rows)
-    sets = written(rows.groupBy("set_id").agg(F.min(F.struct("a", "b", "size", "lo", "hi", "keys")).alias("r")).select("set_id", "r.*"), "sets")
+    sets = written(rows.groupBy("set_id").agg(F.min(F.struct("a", "b", "size", "lo", "hi", "bits", "keys")).alias("r")).select("set_id", "r.*"), "sets")
     shared = written(shared_rows(rows), "shared")
     tried = None
     for propose in (
@@ -236,12 +273,16 @@ def set_components(rows: DataFrame, texts: DataFrame) -> DataFrame:
         pairs_of_small_groups,
         pairs_of_large_groups,
     ):
-        mixed = with_roots(shared, sets, links)
-        pairs = propose(mixed) if tried is None else propose(mixed).join(tried, ["u", "v"], "left_anti")
-        pairs = written(pairs, "pairs")
+        # components only grow: what is not mixed now is never mixed again
+        before, shared = shared, with_roots(shared.select("key", "set_id"), sets, links)
+        removed(before)
+        if propose is pairs_of_large_groups:
+            before, shared = shared, marked(shared, sets)
+            removed(before)
+        pairs = close_pairs(propose(shared), sets)
+        pairs = written(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
         links = links.unionByName(verified(pairs, sets, texts))
         tried = pairs if tried is None else tried.unionByName(pairs)
-        removed(mixed)
     found = star_components(links)
     for table in (sets, shared):
         removed(table)

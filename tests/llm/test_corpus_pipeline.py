@@ -162,3 +162,50 @@ def test_prefixes_of_unnamed_sets_are_not_compared(spark, monkeypatch):
     u, v = sorted(r["set_id"] for r in rows.where("doc_id < 3").collect())
     pairs = spark.createDataFrame([(u, v)], "u long, v long")
     assert [tuple(r) for r in shingle_dedup.verified(pairs, sets, texts).collect()] == [(u, v)] and seen == [[u, v]]
+
+
+def test_marks_rule_out_no_link(spark):
+    """Sets around the limit: a pair that links is never ruled out, most of the others are; also for very long sets."""
+    import numpy as np
+
+    from quaywise.llm import shingle_dedup
+
+    rng = np.random.default_rng(5)
+    held, want = [], set()
+    for k, size in enumerate([1, 2, 9, 60, 146, 400, 5000] * 3):
+        base = rng.integers(-(2**63), 2**63 - 1, size)
+        for near in range(4):
+            other = base.copy()
+            gone = rng.choice(size, min(size, round(size * 0.04 * near)), replace=False)
+            other[gone] = rng.integers(-(2**63), 2**63 - 1, len(gone))
+            held.append((10 * k + near, np.unique(other)))
+    sets = spark.createDataFrame([(i, len(g), shingle_dedup.mark(g).tolist()) for i, g in held], "set_id long, size int, bits array<long>")
+    by_id = dict(held)
+    alike = lambda i, j: 5 * min(len(by_id[i]), len(by_id[j])) >= 4 * max(len(by_id[i]), len(by_id[j]))
+    pairs = [(i, j) for i in by_id for j in by_id if i < j and alike(i, j)]
+    for i, j in pairs:
+        both = len(np.intersect1d(by_id[i], by_id[j]))
+        if 9 * both >= 4 * (len(by_id[i]) + len(by_id[j])):
+            want.add((i, j))
+    got = {(r["u"], r["v"]) for r in shingle_dedup.close_pairs(spark.createDataFrame(pairs, "u long, v long"), sets).collect()}
+    assert want and want <= got and len(got - want) < len(pairs) // 3
+
+
+def test_pairs_of_a_large_group_are_not_listed(spark):
+    """Texts that share one passage and are far apart: no pair of them goes on from their group."""
+    import random
+
+    from quaywise.llm import shingle_dedup
+
+    rng = random.Random(11)
+    passage = [f"p{n}" for n in range(60)]
+    docs = [(i, " ".join([*passage, *(f"x{rng.randrange(10**9)}" for _ in range(30))])) for i in range(150)]
+    docs += [(900 + i, " ".join([*passage, *(f"y{n}" for n in range(30 - i))])) for i in range(3)]
+    rows = shingle_dedup.sketches(shingle_dedup.keyed_texts(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text"), sample=1000).cache()
+    # every text has twelve shingles of the passage among its keys, as where the sample does not show the passage
+    keys = spark.createDataFrame([(k,) for k in range(12)], "key long")
+    shared = rows.selectExpr("set_id", "set_id root", "size", "lo", "hi").crossJoin(keys)
+    near = {r["set_id"] for r in rows.where("doc_id >= 900").collect()}
+    whole = shingle_dedup.pairs_of_large_groups(shared).count()
+    got = shingle_dedup.pairs_of_large_groups(shingle_dedup.marked(shared, rows)).collect()
+    assert whole > 10_000 and len(got) == 3 and {x for r in got for x in r} == near
