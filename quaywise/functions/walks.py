@@ -4,9 +4,11 @@ deep merge patches. Used once at publish time; queries read the tables they fill
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,10 +100,22 @@ def geo_objects(value, path: str = "$", depth: int = 0) -> Iterator[tuple[str, s
             yield from geo_objects(v, f"{path}[*]", depth + 1)
 
 
+_decoder = json.JSONDecoder()
+
+
 def _loaded(text: str | None):
+    if text is None:
+        return None
+    try:
+        value, end = _decoder.raw_decode(text)
+        return value if end == len(text) else _decoder.decode(text)
+    except RecursionError:
+        return None
+    except ValueError:
+        pass
     try:
-        return json.loads(text) if text is not None else None
-    except (ValueError, RecursionError):
+        return _decoder.decode(text)  # white space before it
+    except ValueError:
         return None
 
 
@@ -208,14 +222,14 @@ def extract_geo_objects(items: DataFrame, keys: list[str], payload: Column) -> D
 
 def deep_merge_patch(target, patch):
     """The whole of a merge patch: objects merge at every level, null deletes, anything else replaces."""
-    if not isinstance(patch, dict):
+    if type(patch) is not dict:
         return patch
-    out = dict(target) if isinstance(target, dict) else {}
+    out = dict(target) if type(target) is dict else {}
     for k, v in patch.items():
         if v is None:
             out.pop(k, None)
         else:
-            out[k] = deep_merge_patch(out.get(k), v)
+            out[k] = deep_merge_patch(out.get(k), v) if type(v) is dict else v
     return out
 
 
@@ -288,3 +302,69 @@ def patched_in_turn(rows: DataFrame, target: str, patches: list[tuple[str, str]]
 
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
     return rows.mapInArrow(run, f"{schema}, `{out}` string")
+
+
+def patched_members(rows: DataFrame, offers: str, resource: str, patches: list[tuple[str, str]]) -> DataFrame:
+    """The offers (a list of JSON texts) and the first resource (a JSON text) of a payload with patches merged in, one after the
+    other, as :func:`patched_in_turn` leaves them in it; null where a patch is no JSON. A patch whose way is null is left out;
+    ``value`` patches no member. The columns of the patches are dropped.
+
+    The payload's other members, which such patches do not change, need not be put together; an offer is read only
+    while the one that a patch names is looked for, and what no patch met keeps its text.
+    """
+    keys = [c for c in rows.columns if c not in {offers, resource, *(c for pair in patches for c in pair)}]
+    encode = json.JSONEncoder(sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode
+
+    def merged(own: list, main: str | None, pairs: Iterable[tuple[str | None, str | None]], read: Callable):
+        """The first resource, or its text where no patch met it; changes the list of offers. Whether all patches are JSON."""
+        for text, how in pairs:
+            if how is None:
+                continue
+            patch = read(text)
+            if patch is None:
+                return None, False
+            if how == "resource":
+                main = None if main is None else deep_merge_patch(_read(main), patch)
+            else:
+                _merge_offer(own, without_nulls(patch) if how == "offer without nulls" else patch)
+        return main, True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = lru_cache(4096)(_loaded)  # many rows may share a patch; what is merged is copied, so it stays as it is
+        for batch in batches:
+            column = lambda c: c.to_numpy(zero_copy_only=False).tolist()  # noqa: E731  several times as fast as to_pylist
+            lists = batch.column(offers)
+            texts, sizes = column(lists.flatten()), column(pc.fill_null(lists.value_lengths(), 0))
+            pairs = zip(*(zip(column(batch.column(p)), column(batch.column(h)), strict=True) for p, h in patches), strict=True)
+            at, ends, broken, out, mains = 0, [0], [], [], []  # filled flat: no object is kept for a row
+            for size, main, pair in zip(sizes, column(batch.column(resource)), pairs, strict=True):
+                own = texts[at : at + size]
+                at += size
+                main, good = merged(own, main, pair, read)
+                if good:
+                    out += [o if o is None or type(o) is str else encode(o) for o in own]
+                broken.append(not good)
+                ends.append(len(out))
+                mains.append(main if main is None or type(main) is str else encode(main))
+            new = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.string()), mask=pa.array(broken, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*batch.select(keys).columns, new, pa.array(mains, pa.string())], names=[*keys, offers, resource])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*keys).dtypes)
+    return rows.mapInArrow(run, f"{schema}, `{offers}` array<string>, `{resource}` string")
+
+
+def _read(value):
+    """A member as it is after earlier patches, or read from its text."""
+    return _loaded(value) if type(value) is str else value
+
+
+def _merge_offer(offers: list, patch) -> None:
+    key = patch.get("id")
+    for n, text in enumerate(offers):
+        if type(text) is str and type(key) is str and key not in text and "\\" not in text:
+            continue  # without an escape, the id would stand in the text as it is
+        offer = _read(text)
+        if type(offer) is dict and offer.get("id") == key:
+            offers[n] = deep_merge_patch(offer, patch)
+            return
+    offers.append(patch)

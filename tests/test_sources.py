@@ -87,6 +87,46 @@ def test_payload_patches_merge_in_one_pass(spark, data):
     assert plan.count("MapInArrow") == 1
 
 
+def test_patched_members_are_those_of_the_patched_payload(spark):
+    """Offers and resource alone come out as they would in the whole payload; what no patch meets keeps its text."""
+    offers = ['{"id": "a", "x": {"y": 1, "z": 2}}', '{"id":"\\u0062","w":1.50}', '[1]', '{"id":7}']
+    resource = '{"id":"r","descriptor":{"name":"n","docs":[1]}}'
+    both = [
+        ('{"id":"a","x":{"y":null,"n":{"m":null}}}', "offer", '{"id":"b","w":null}', "offer"),
+        ('{"id":"c","l":[null],"d":{"e":null}}', "offer without nulls", '{"id":"c","d":{"e":5}}', "offer"),
+        ('{"descriptor":{"name":"m"}}', "resource", '{"id":null,"descriptor":{"docs":null}}', "resource"),
+        ('{"id":7,"w":1}', "offer", '{"q":1}', "resource"),
+        ("broken", "offer", "{}", "resource"),
+        (None, "resource", "{}", "resource"),
+    ]
+    kind = "n int, offers array<string>, resource string, p string, hp string, q string, hq string"
+    lists = [(n, offers, resource, *b) for n, b in enumerate(both)]
+    lists += [(6, None, None, '{"id":"a"}', "offer", "{}", "resource"), (7, ["{}", None], resource, None, None, ' {"id":"a"} ', "offer"), (8, [], None, "{}", None, None, None)]
+    patches = [("p", "hp"), ("q", "hq")]
+    got = {r["n"]: r for r in walks.patched_members(spark.createDataFrame(lists, kind), "offers", "resource", patches).collect()}
+    texts = ",".join(offers)
+    whole = spark.createDataFrame([(n, f'{{"catalogs":[{{"offers":[{texts}],"resources":[{resource}]}}]}}', *b) for n, b in enumerate(both)], "n int, t string, p string, hp string, q string, hq string")
+    for r in walks.patched_in_turn(whole, "t", patches, "m").collect():
+        mine = got[r["n"]]
+        if r["m"] is None:
+            assert mine["offers"] is None and mine["resource"] is None
+        else:
+            want = json.loads(r["m"])["catalogs"][0]
+            assert [json.loads(o) for o in mine["offers"]] == want["offers"] and [json.loads(mine["resource"])] == want["resources"]
+    assert got[2]["offers"] == offers and got[0]["resource"] == resource
+    assert (got[6]["offers"], got[6]["resource"]) == (['{"id":"a"}'], None)
+    assert got[7]["offers"] == ["{}", None, '{"id":"a"}'] and got[7]["resource"] == resource
+    assert (got[8]["offers"], got[8]["resource"]) == ([], None)
+
+
+def test_payload_patches_read_what_patches_change(spark, data):
+    """No payload is put together and written as text for patches of its offers and resource."""
+    import quaywise.plans.operator_queries  # noqa: F401  registers the query
+    from quaywise.plans.catalogue_queries import QUERIES
+
+    assert "to_variant_object" not in QUERIES["payload_patches"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_geometries_leave_python_as_rows(spark):
     """Shapes come out of the walk one a row, not as a list of each payload that is exploded afterwards."""
     texts = ['{"a":[{"gps":"5,60"},[{"geo":{"type":"Point","coordinates":[true,1]}}],{"polygon":[[0,0],[1,0],[1,1],[0,0]]}]}', '{"gps":"91,0"}', None]
