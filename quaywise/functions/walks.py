@@ -119,53 +119,61 @@ def _loaded(text: str | None):
         return None
 
 
+WEB = ("http://", "https://")
+
+
 def all_texts(value, parts: dict[str, None]) -> None:
     """Adds every text (no address of the web) and number of a JSON value to ``parts``, in document order, and the names
     of members that are true; context members and shapes are passed over."""
-    if isinstance(value, str):
-        if value.strip() and not value.startswith(("http://", "https://")):
-            parts[value] = None
-    elif isinstance(value, (int, float)) and not isinstance(value, bool):
-        parts[str(value)] = None
-    elif isinstance(value, dict):
+    kind = type(value)
+    if kind is dict:
         for k, v in value.items():
-            if k.startswith("@") or k in KEYS:
+            if k in PARSERS or k[:1] == "@":
                 continue
-            if v is True:
+            # texts, the most frequent, are added here: a call for each would cost more than the rest
+            if type(v) is str:
+                if v and not v.isspace() and not v.startswith(WEB):
+                    parts[v] = None
+            elif v is True:
                 parts[k] = None
-            all_texts(v, parts)
-    elif isinstance(value, list):
+            else:
+                all_texts(v, parts)
+    elif kind is list:
         for v in value:
             all_texts(v, parts)
+    elif kind is str:
+        if value and not value.isspace() and not value.startswith(WEB):
+            parts[value] = None
+    elif kind in NUMBERS:
+        parts[str(value)] = None
 
 
 def location_texts(value, parts: dict[str, None]) -> None:
     """The texts beside the shapes of locations, wherever they are."""
-    if isinstance(value, dict):
-        if any(k in value for k in KEYS):
+    if type(value) is dict:
+        if "geo" in value or "gps" in value or "polygon" in value:
             for k, v in value.items():
-                if k not in KEYS and not k.startswith("@"):
+                if k not in PARSERS and k[:1] != "@":
                     all_texts(v, parts)
             return
-        value = list(value.values())
-    if isinstance(value, list):
-        for v in value:
+        value = value.values()
+    for v in value:
+        if type(v) is dict or type(v) is list:
             location_texts(v, parts)
 
 
-def text_parts(resource: str | None, offers: list[str | None]) -> str | None:
+def text_parts(resource: str | None, offers: Iterable[str | None]) -> str | None:
     """The searched text of a resource and its offers, all JSON texts; null where the resource is no object."""
     r = _loaded(resource)
-    if not isinstance(r, dict):
+    if type(r) is not dict:
         return None
-    at = lambda *path: _at(r, path)
-    parts: dict[str, None] = {}
-    for named in (at("descriptor", "name"), at("descriptor", "shortDesc"), at("descriptor", "longDesc"), at("category", "name"), at("provider", "descriptor", "name")):
-        if isinstance(named, str) and named.strip():
-            parts[named] = None
+    descriptor = _at(r, ("descriptor",))
+    named = (_at(descriptor, ("name",)), _at(descriptor, ("shortDesc",)), _at(descriptor, ("longDesc",)), _at(r, ("category", "name")), _at(r, ("provider", "descriptor", "name")))
+    parts: dict[str, None] = {n: None for n in named if type(n) is str and n and not n.isspace()}
     location_texts(r, parts)
-    for value in (at("resourceAttributes"), at("constraints"), at("policies"), at("descriptor", "docs"), at("descriptor", "mediaFile")):
-        all_texts(value, parts)
+    for value in (r.get("resourceAttributes"), r.get("constraints"), r.get("policies"), _at(descriptor, ("docs",)), _at(descriptor, ("mediaFile",))):
+        if value is not None:
+            all_texts(value, parts)
     for offer in offers:
         all_texts(_loaded(offer), parts)
     return " ".join(parts)

@@ -241,6 +241,21 @@ def test_documents_read_an_owner_once(spark):
     assert "$.descriptor" not in docs._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_text_blobs_of_copies_and_odd_members(spark, data):
+    """Copies of a resource with the same or other offers, lists that are null or hold nulls, resources that are none."""
+    from quaywise.operators import documents
+    from quaywise.plans.catalogue_queries import QUERIES
+
+    r = '{"descriptor":{"name":"n","docs":["d"," "]},"provider":{"gps":"x","id":"p","@c":"q","l":["http://u",5,true]},"resourceAttributes":{"@t":"t","w":true,"geo":"g","":{"z":false,"s":"\\u001f"}},"policies":"text"}'
+    rows = [(1, r, ["{broken", '{"id":"o","v":1.0}']), (2, r, None), (3, r, [None, '"one"', "true"]), (4, "[1]", ["{}"]), (5, None, ["{}"]), (6, " {} ", []), (7, r, ["{broken", '{"id":"o","v":1.0}'])]
+    df = spark.createDataFrame(rows, "n int, r string, o array<string>").repartition(1)
+    got = {x["n"]: x["b"] for x in documents.text_blobs(df, "r", "o", "b").collect()}
+    own = "n p 5 w text d"
+    assert got == {1: f"{own} o 1.0", 2: own, 3: f"{own} one", 4: None, 5: None, 6: "", 7: f"{own} o 1.0"}
+    plan = _optimized(QUERIES["text_blob"](spark, data))
+    assert "to_variant_object" not in plan and "Sort" in plan  # texts are not written from variants, copies of a resource stand together
+
+
 def test_place_alone_reads_items_beside_their_locations(spark):
     """Items with two points in a circle are answered once; no payload is built and all items are not looked through where
     only a place is asked for."""
