@@ -28,14 +28,20 @@ def typed(value: Column, kind: str) -> Column:
     return F.when(JSON_TYPES[kind](F.schema_of_variant(value)), F.try_variant_get(value, "$", kind))
 
 
-def shape_of(members: list[str]) -> str:
-    """The struct type, with variants at its leaves, that holds these paths (``$.a.b``, ``$['@c']``)."""
+#: Leaves of a shape: of all JSON types a text alone can be read as bytes (those of its UTF-8), so a member of another type is
+#: null there and no type is looked up.
+TEXT, ANY = "binary", "variant"
+
+
+def shape_of(members: dict[str, str]) -> str:
+    """The struct type that holds these paths (``$.a.b``, ``$['@c']``), each with the type of its leaf."""
     tree: dict = {}
-    for path in members:
-        at = tree
-        for name in steps(path):
+    for path, leaf in members.items():
+        at, names = tree, steps(path)
+        for name in names[:-1]:
             at = at.setdefault(name, {})
-    kind = lambda t: "struct<" + ",".join(f"`{k}`:{kind(v) if v else 'variant'}" for k, v in t.items()) + ">"
+        at[names[-1]] = leaf
+    kind = lambda t: t if isinstance(t, str) else "struct<" + ",".join(f"`{k}`:{kind(v)}" for k, v in t.items()) + ">"
     return kind(tree)
 
 
@@ -54,9 +60,9 @@ def provider_id(owner: Column) -> Column:
     return F.coalesce(typed_get(owner, "$.provider", "string"), typed_get(owner, "$.provider.id", "string"))
 
 
-def json_list(value: Column, path: str) -> Column:
-    """A list member as JSON texts, null where it is no list."""
-    return F.transform(F.try_variant_get(value, path, LIST), lambda v: F.to_json(v))
+def json_list(value: Column) -> Column:
+    """A list of variants as JSON texts."""
+    return F.transform(value, lambda v: F.to_json(v))
 
 
 #: Text members of a document: column, owner, path.
@@ -106,22 +112,28 @@ VALUES = [
 ]
 
 
-def search_documents(items: DataFrame) -> DataFrame:
+def search_documents(items: DataFrame, resource: str | None = None, offers: str | None = None) -> DataFrame:
     """Flat search documents of item rows (``id, catalog_id, type, network_id, payload``), with index partition, key,
-    offers as JSON texts and the text blob."""
-    own = lambda o: [m[2] for m in [*TEXTS, *LISTS, *VALUES] if m[1] == o]
+    offers as JSON texts and the text blob. ``resource`` and ``offers`` name the columns with the payload's resource and offers as
+    JSON texts, if the items have them; else the payload is written as text for the blob, which takes most of the time."""
+    bounds = {"catalog_start": "$.validity.startDate", "catalog_end": "$.validity.endDate"}
+    lists = [m for m in LISTS if offers is None or m[0] != "offers"]
+    own = lambda o: {m[2]: leaf for group, leaf in ((TEXTS, TEXT), (lists, LIST), (VALUES, ANY)) for m in group if m[1] == o}
+    read = lambda path, members: F.try_variant_get("payload", path, shape_of(members))
     parts = items.select(
         F.col("id").alias("resource_id"),
         F.col("catalog_id").alias("_catalog_id"),
         F.col("type").alias("schema_type"),
         "network_id",
-        F.try_variant_get("payload", "$.catalogs[0]", shape_of([*own("catalog"), "$.validity.startDate", "$.validity.endDate", "$.provider"])).alias("catalog"),
-        F.try_variant_get("payload", "$.catalogs[0].resources[0]", shape_of([*own("resource")])).alias("resource"),
+        read("$.catalogs[0]", own("catalog") | {"$.provider": ANY} | dict.fromkeys(bounds.values(), TEXT)).alias("catalog"),
+        read("$.catalogs[0].resources[0]", own("resource")).alias("resource"),
         F.try_variant_get("payload", "$.catalogs[0].resources[0]", "variant").alias("whole"),
+        *([F.col(resource).alias("_resource")] if resource else []),
+        *([F.col(offers).alias("offers")] if offers else []),
     )
-    # each owner is read once, as a struct with a variant for each member
+    # each owner is read once, as a struct with a leaf for each member
     owner = {"catalog": F.col("catalog"), "resource": F.col("resource")}
-    validity = lambda end: scalars.try_timestamp(typed(owner["catalog"]["validity"][end], "string"))
+    text = lambda path, o: member(owner[o], path).cast("string")
     provider = owner["catalog"]["provider"]
     rows = parts.select(
         scalars.doc_id(F.col("_catalog_id"), F.col("resource_id")).alias("doc_key"),
@@ -129,14 +141,14 @@ def search_documents(items: DataFrame) -> DataFrame:
         "resource_id",
         "schema_type",
         "network_id",
-        *(typed(member(owner[o], path), "string").alias(name) for name, o, path in TEXTS),
+        *(text(path, o).alias(name) for name, o, path in TEXTS),
         *(typed(member(owner[o], path), kind).alias(name) for name, o, path, kind in VALUES),
-        *(json_list(member(owner[o], path), "$").alias(name) for name, o, path in LISTS),
+        *(json_list(member(owner[o], path)).alias(name) for name, o, path in lists),
+        *(["offers"] if offers else []),
         F.coalesce(typed(provider, "string"), typed_get(provider, "$.id", "string")).alias("provider_id"),
-        validity("startDate").alias("catalog_start"),
-        validity("endDate").alias("catalog_end"),
+        *(scalars.try_timestamp(text(path, "catalog")).alias(name) for name, path in bounds.items()),
         F.to_json(F.try_variant_get("whole", "$.resourceAttributes", "variant")).alias("attributes"),
-        F.to_json("whole").alias("_resource"),
+        (F.col("_resource") if resource else F.to_json("whole")).alias("_resource"),
     )
     return text_blobs(rows, "_resource", "offers", "full_text_blob").drop("_resource")
 

@@ -241,6 +241,27 @@ def test_documents_read_an_owner_once(spark):
     assert "$.descriptor" not in docs._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_documents_from_published_texts(spark, data):
+    """Resource and offers given as JSON texts make the document that the payload makes; a text is told from other types without
+    its type being looked up."""
+    from pyspark.sql import functions as F
+
+    from quaywise.operators import documents
+    from quaywise.plans.catalogue_queries import QUERIES
+
+    resource = '{"descriptor":{"docs":["a",{"b":1}],"longDesc":["l"],"name":"5","shortDesc":5},"id":"r","provider":{"descriptor":{"name":true},"id":""},"rateable":"true","rating":{"ratingCount":2,"ratingValue":"2"},"resourceAttributes":{"@type":{"t":"t"},"w":1.5}}'
+    catalog = '{"descriptor":{"code":2.5,"name":"\\u00e9 \\"q\\""},"id":7,"isActive":true,"offers":[{"id":"o"},"p",3],"provider":{"id":"v"},"resources":[%s],"validity":{"endDate":1999,"startDate":"1998-01-01T00:00:00Z"}}'
+    rows = [("r", "c", "t", ["N"], '{"catalogs":[%s]}' % (catalog % resource), resource, ['{"id":"o"}', '"p"', "3"])]
+    items = spark.createDataFrame(rows, "id string, catalog_id string, type string, network_id array<string>, payload string, r string, o array<string>").withColumn("payload", F.parse_json("payload"))
+    plain, given = documents.search_documents(items).first(), documents.search_documents(items, "r", "o").first()
+    assert plain.asDict() == given.asDict()
+    assert (given["catalog_name"], given["resource_name"], given["resource_provider_id"], given["resource_rating_count"], given["catalog_is_active"], given["provider_id"]) == ('\u00e9 "q"', "5", "", 2, True, "v")
+    assert given["resource_docs"] == ['"a"', '{"b":1}'] and given["offers"] == rows[0][-1] and given["catalog_start"] is not None
+    assert not [c for c in ("catalog_id", "catalog_descriptor_code", "resource_short_desc", "resource_long_desc", "resource_provider_name", "resource_rateable", "resource_rating_value", "attributes_type", "catalog_end") if given[c] is not None]
+    plan = _optimized(QUERIES["document_build"](spark, data))
+    assert plan.count("schema_of_variant(") <= 8 and "to_json(_resource" not in plan
+
+
 def test_text_blobs_of_copies_and_odd_members(spark, data):
     """Copies of a resource with the same or other offers, lists that are null or hold nulls, resources that are none."""
     from quaywise.operators import documents
